@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from framelark.plans import eval_queries, perf_queries, trim_queries
+
+_PARTS = (trim_queries, eval_queries, perf_queries)
+QUERIES: dict = {k: v for p in _PARTS for k, v in p.QUERIES.items()}
+ORACLE: dict = {k: v for p in _PARTS for k, v in p.ORACLE.items()}
