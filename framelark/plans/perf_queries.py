@@ -88,7 +88,7 @@ def q_marginal(spark, d):
     w = Window.partitionBy("ep").orderBy("frame")
     base = f.where("ep = 0").select("frame", F.col("rss").alias("base"))
     j = f.withColumn("delta", F.col("rss") - F.lag("rss", 1, 500.0).over(w)).join(base, "frame")
-    return j.select("ep", "frame", r6(F.col("delta")).alias("delta"), r6(F.col("rss") / F.col("base")).alias("ratio"), r6(F.col("rss") / F.col("params")).alias("per_param"))
+    return j.select("ep", "frame", r6(F.col("delta")).alias("delta"), F.round(F.col("rss") / F.col("base"), 9).alias("ratio"), r6(F.col("rss") / F.col("params")).alias("per_param"))
 
 
 def q_two_point(spark, d):
@@ -130,7 +130,7 @@ SELECT user_id, n, round(span, 6) AS span_s, round((n - 1) / nullif(span, 0), 9)
     "report_windows": """WITH g AS (SELECT time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '2000-01-01') AS start, event_type, count(*) AS n, sum(value) AS v FROM events GROUP BY 1, 2)
 SELECT strftime(start, '%Y-%m-%d %H:%M:%S') AS start, event_type, n, round(v / n, 6) AS avg, round(sum(v) OVER w / sum(n) OVER w, 6) AS running_avg FROM g WINDOW w AS (PARTITION BY event_type ORDER BY start)""",
     "marginal_delta": f"""WITH {FRAMES_SQL}, m AS (SELECT ep, frame, 500.0 + frame * 40 + state AS rss, frame + 1 AS params FROM f WHERE frame < 12), b AS (SELECT frame, rss AS base FROM m WHERE ep = 0)
-SELECT ep, frame, round(rss - lag(rss, 1, 500.0) OVER (PARTITION BY ep ORDER BY frame), 6) AS delta, round(rss / base, 6) AS ratio, round(rss / params, 6) AS per_param FROM m JOIN b USING (frame)""",
+SELECT ep, frame, round(rss - lag(rss, 1, 500.0) OVER (PARTITION BY ep ORDER BY frame), 6) AS delta, round(rss / base, 9) AS ratio, round(rss / params, 6) AS per_param FROM m JOIN b USING (frame)""",
     "two_point_fit": f"""WITH {FRAMES_SQL}, a AS (SELECT ep, min(frame) AS x0, arg_min(state, frame) AS y0, max(frame) AS x1, arg_max(state, frame) AS y1, min(state) AS low FROM f WHERE state > 5 GROUP BY ep),
 s AS (SELECT *, (y1 - y0) / nullif(x1 - x0, 0) AS slope FROM a) SELECT ep, round(slope, 6) AS slope, round(y0 - slope * x0, 6) AS floor, round((100.0 - (y0 - slope * x0)) / nullif(slope, 0), 6) AS at_budget, round(y0 - low, 6) AS consumed FROM s""",
 }
