@@ -18,13 +18,18 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, emit, map_docs, signed, sliding_min, window_hashes, without, word_hashes
+from .common import cut, emit, map_docs, signed, sliding_min, stored, window_hashes, without, word_hashes
 
 _PIECE = re.compile(rb"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
 
 
+def _dealt(docs: DataFrame, id_col: str) -> DataFrame:
+    """Rows with an id, dealt by id. Both joins on the id stand on this one exchange, which Spark reuses."""
+    return docs.where(F.col(id_col).isNotNull()).repartition(F.col(id_col))
+
+
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("body"))
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("body"))
 
 
 def _anchors(h: np.ndarray, n: int) -> np.ndarray:
@@ -33,18 +38,23 @@ def _anchors(h: np.ndarray, n: int) -> np.ndarray:
     return sliding_min(window_hashes(h, half), n - half + 1) if len(h) >= n else h[:0]
 
 
-def _in_other_documents(rows: DataFrame) -> DataFrame:
-    """Of (w, id): the windows found in two documents or more, with the smallest id."""
-    return cut(rows.groupBy("w").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("w", "lo"))
+def _repeated(rows: DataFrame) -> DataFrame:
+    """Of (w, id): the rows whose window is found in two documents or more, with the smallest id (lo).
+
+    The rows are written once; one exchange by window then feeds both the minimum and the join.
+    """
+    dealt = stored(rows).repartition("w")
+    least = dealt.groupBy("w").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("w", "lo")
+    return dealt.join(least.hint("merge"), "w")
 
 
 def _per_document(rows: DataFrame, name: str) -> DataFrame:
     return rows.groupBy("id").agg(F.collect_set("w").alias(name))
 
 
-def repeated_windows(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_windows(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str = "text", dealt: DataFrame | None = None) -> DataFrame:
     """(w, id, lo): distinct windows of n words that repeat, per document, with the smallest document."""
-    keyed = _keyed(docs, id_col, text_col)
+    keyed = _keyed(docs.where(F.col(id_col).isNotNull()), id_col, text_col)
 
     def level1(ids, bodies):
         for i, body in zip(ids, bodies, strict=True):
@@ -54,8 +64,8 @@ def repeated_windows(docs: DataFrame, n: int, id_col: str = "doc_id", text_col:
                 yield signed(a), np.full(len(a), i, np.int64)
 
     anchors = emit(keyed, level1, ["id", "body"], "w long, id long")
-    alive = anchors.join(_in_other_documents(anchors), "w").select("id", "w")
-    found = keyed.join(_per_document(alive, "alive"), "id")
+    alive = _repeated(anchors).select("id", "w")
+    found = _keyed(dealt or _dealt(docs, id_col), id_col, text_col).join(_per_document(alive, "alive").hint("merge"), "id")
 
     def level2(ids, bodies, alive):
         for i, body, live in zip(ids, bodies, alive, strict=True):
@@ -64,12 +74,12 @@ def repeated_windows(docs: DataFrame, n: int, id_col: str = "doc_id", text_col:
             yield signed(w), np.full(len(w), i, np.int64)
 
     windows = emit(found, level2, ["id", "body", "alive"], "w long, id long")
-    return windows.join(_in_other_documents(windows), "w")
+    return _repeated(windows)
 
 
 def longest_repeats(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, words): per document the largest n * 2**k of which a window repeats elsewhere; documents without one are left out."""
-    keyed, size, best = _keyed(docs, id_col, text_col), n, None
+    keyed, size, best = _keyed(_dealt(docs, id_col), id_col, text_col), n, None
     alive = cut(repeated_windows(docs, n, id_col, text_col).select("id", "w"))
     while not alive.isEmpty():
         level = alive.select("id").distinct().withColumn("words", F.lit(size).cast("long"))
@@ -84,7 +94,7 @@ def longest_repeats(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: s
                     yield signed(w), np.full(len(w), i, np.int64)
 
         rows = emit(keyed.join(_per_document(alive, "alive"), "id"), longer, ["id", "body", "alive"], "w long, id long")
-        alive, size = cut(rows.join(_in_other_documents(rows), "w").select("id", "w")), 2 * size
+        alive, size = cut(_repeated(rows).select("id", "w")), 2 * size
     if best is None:
         best = alive.select("id", F.lit(0).cast("long").alias("words"))
     return best.groupBy(F.col("id").alias(id_col)).agg(F.max("words").alias("words"))
@@ -96,9 +106,12 @@ def dedup_substrings(docs: DataFrame, n: int = 13, id_col: str = "doc_id", text_
     Adds n_words, n_removed (long), kept_words (kept words joined by one space) and rewrites the text
     column: kept words stay with the white space that followed them.
     """
-    hits = _per_document(repeated_windows(docs, n, id_col, text_col).where("lo < id"), "__hits")
     docs = without(docs, "n_words", "n_removed", "kept_words", "__hits")
-    rows = docs.join(hits, F.col(id_col) == F.col("id"), "left").drop("id").withColumn("__body", F.col(text_col).cast("binary"))
+    dealt = _dealt(docs, id_col)
+    hits = _per_document(repeated_windows(docs, n, id_col, text_col, dealt).where("lo < id"), "__hits").withColumnRenamed("id", "__id")
+    named = dealt.join(hits.hint("merge"), F.col(id_col) == F.col("__id"), "left").drop("__id")
+    nameless = docs.where(F.col(id_col).isNull()).withColumn("__hits", F.lit(None).cast("array<long>"))
+    rows = named.unionByName(nameless).withColumn("__body", F.col(text_col).cast("binary"))
 
     def cover(bodies, hits):
         total, removed, kept, texts = [], [], [], []
