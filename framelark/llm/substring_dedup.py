@@ -43,7 +43,7 @@ def _repeated(rows: DataFrame) -> DataFrame:
 
     The rows are written once; one exchange by window then feeds both the minimum and the join.
     """
-    dealt = stored(rows).repartition("w")
+    dealt = stored(rows).where("w is not null and id is not null").repartition("w")  # else each branch infers filters of its own
     least = dealt.groupBy("w").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("w", "lo")
     return dealt.join(least.hint("merge"), "w")
 
