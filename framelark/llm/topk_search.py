@@ -12,7 +12,8 @@ float64 while dim * max|q| * max|x| < 2**53, else in Python integers.
 Defined results: vectors that are null or hold null or non-finite components, and rows with a null
 id, take no part; empty vectors score 0; vectors meet only vectors of their own length; a candidate
 with the query's own id is left out; repeated rows count as often as they occur as candidates and
-once as a query; fewer than k candidates give all; empty tables give no rows.
+once as a query; fewer than k candidates give all; a
+score must fit a long; empty tables give no rows.
 """
 
 from __future__ import annotations
