@@ -124,7 +124,7 @@ def fit(docs: DataFrame, labels: DataFrame, chain=CHAIN, id_col: str = "doc_id",
     sizes = {r["__t"]: r["count"] for r in marks.groupBy("__t").count().collect()}
     draw = F.pmod(F.xxhash64(F.lit("sample"), "__i"), F.lit(1 << 30)) / float(1 << 30)
     want = F.when(F.col("__t"), draw < min(1.0, SAMPLE / max(1, sizes.get(True, 0)))).otherwise(F.coalesce(~F.col("__t"), F.lit(False)) & (draw < min(1.0, SAMPLE / max(1, sizes.get(False, 0)))))
-    rows = docs.select(F.col(id_col).alias("__d"), F.col(text_col).alias("__x")).join(marks.where(want), F.col("__d") == F.col("__i"))
+    rows = docs.select(F.col(id_col).alias("__d"), F.col(text_col).alias("__x")).join(F.broadcast(marks.where(want).limit(4 * SAMPLE)), F.col("__d") == F.col("__i"))
 
     def words(texts):
         return ([word_ids(t).astype(np.int32).tobytes() for t in texts],)
