@@ -25,7 +25,7 @@ from .common import map_docs, without
 
 MARK = "▁"
 #: Segments that a worker remembers before it starts anew.
-CACHE = 300_000
+CACHE = 700_000
 
 
 class PieceCodec:
