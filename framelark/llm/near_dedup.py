@@ -7,9 +7,9 @@ each block under every way of leaving out ERRORS symbols finds all pairs under t
 still met unless all 12 blocks miss, 3 times in a million.
 
 Equal shingle sets are one class first, so copies never meet in a bucket. Pairs within a bucket are
-not listed: members are compared with the bucket's smallest class, then only with members of the
-bucket that are not yet in their component, until the buckets hold no pair left to confirm. Links
-are confirmed on full shingle sets.
+not listed: members are compared with the bucket's hub, then those that are not in the hub's component
+with all members of the hub, in blocks of bounded size. Links are confirmed on full shingle sets; no
+pair that meets is dropped because its signatures are far apart.
 
 Defined results: null text or text without words has no shingles and is linked with nothing; a text
 with fewer words than a shingle is one shingle; rows with a null id are kept and linked with nothing;
@@ -21,6 +21,7 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,8 +31,8 @@ from .components import components
 
 BLOCKS, WIDTH, ERRORS = 12, 6, 1
 SYMBOLS = BLOCKS * WIDTH
-#: A pair whose signatures differ in more symbols is not confirmed: at similarity 0.8 one pair in ten thousand does.
-_FARTHEST = 27
+#: Shingles on one side of a block of comparisons, about.
+BLOCK_SHINGLES = 200_000
 _SEEDS = np.random.default_rng(20240229).integers(1, 2**63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _CHUNK = 1 << 16
 
@@ -104,42 +105,73 @@ def _confirm(pairs: DataFrame, bodies: DataFrame, shingle: int, percent: int) ->
     return cut(map_docs(both, linked, ["body_a", "body_b"], "linked boolean", ["a", "b"]).where("linked").select("a", "b"))
 
 
-def _near(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
-    """Drop pairs that set sizes rule out or whose signatures are farther apart than any linked pair's."""
-
-    def distance(x, y):
-        a = np.frombuffer(b"".join(x), np.uint16).reshape(len(x), -1)
-        b = np.frombuffer(b"".join(y), np.uint16).reshape(len(y), -1)
-        return ((a != b).sum(1).astype(np.int32),)
-
-    left = pairs.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("sa"), F.col("n").alias("na")), "a")
-    both = left.join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sb"), F.col("n").alias("nb")), "b")
-    both = both.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-    return map_docs(both, distance, ["sa", "sb"], "far int", ["a", "b"]).where(f"far <= {_FARTHEST}").select("a", "b")
+def block_links(asked: list[np.ndarray], asked_in: np.ndarray, sets: list[np.ndarray], sets_in: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """(i, j): asked[i] is linked with sets[j], which is in another component; one j for each i and component."""
+    sizes = np.array([len(s) for s in sets])
+    postings = np.concatenate(sets)
+    order = np.argsort(postings, kind="stable")
+    postings, of = postings[order], np.repeat(np.arange(len(sets)), sizes)[order]
+    found = []
+    for i, s in enumerate(asked):
+        first = np.searchsorted(postings, s, "left")
+        times = np.searchsorted(postings, s, "right") - first
+        ends = np.cumsum(times)
+        at = np.repeat(first - (ends - times), times) + np.arange(ends[-1])
+        common = np.bincount(of[at], minlength=len(sets))
+        near = np.flatnonzero((100 * common >= percent * (len(s) + sizes - common)) & (sets_in != asked_in[i]))
+        found += [(i, int(near[k])) for k in np.unique(sets_in[near], return_index=True)[1]]
+    return found
+
+
+def _left_over(stars: DataFrame, done: DataFrame, bodies: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links (a, b) among the members of a hub (stars: hub, id, n) that its own links leave in different components.
+
+    Two members in different components are not both in the hub's, so those outside of it are compared with
+    all members of the hub, block by block: both sides are dealt by hash into blocks of about BLOCK_SHINGLES.
+    """
+    placed = stars.join(done.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+    placed = placed.join(done.select(F.col("node").alias("hub"), "component"), "hub", "left").withColumn("asks", F.col("c") != F.coalesce("component", "hub")).drop("component")
+    placed = cut(placed)
+    blocks = placed.groupBy("hub").agg(F.sum("n").alias("all_n"), F.sum(F.when(F.col("asks"), F.col("n"))).alias("ask_n"), F.min("c").alias("c0"), F.max("c").alias("c1"))
+    blocks = blocks.where("c0 < c1").select("hub", F.expr(f"ceil(all_n / {BLOCK_SHINGLES})").cast("int").alias("of_all"), F.expr(f"ceil(ask_n / {BLOCK_SHINGLES})").cast("int").alias("of_asking"))
+    dealt = placed.join(cut(blocks), "hub").join(bodies, "id")
+    deal = F.xxhash64("id")
+    every = dealt.select("hub", "id", "c", "body", F.lit(False).alias("asks"), F.pmod(deal, "of_all").alias("block"), F.explode(F.sequence(F.lit(0), F.col("of_asking") - 1)).alias("asking"))
+    asking = dealt.where("asks").select("hub", "id", "c", "body", "asks", F.explode(F.sequence(F.lit(0), F.col("of_all") - 1)).alias("block"), F.pmod(deal, "of_asking").alias("asking"))
+    columns = ["hub", F.col("block").cast("int"), F.col("asking").cast("int"), "id", "c", "asks", "body"]
+
+    def compare(rows: pa.Table) -> pa.Table:
+        ids, c = rows["id"].to_numpy(), rows["c"].to_numpy()
+        asks = rows["asks"].to_numpy().astype(bool)
+        x, y = np.flatnonzero(asks), np.flatnonzero(~asks)
+        links = []
+        if len(x) and len(y):
+            bodies = rows["body"].to_pylist()
+            sets = [shingle_set(bodies[k], shingle) for k in y]
+            links = block_links([shingle_set(bodies[k], shingle) for k in x], c[x], sets, c[y], percent)
+        pairs = np.array([(ids[x[i]], ids[y[j]]) for i, j in links], np.int64).reshape(-1, 2)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    return cut(every.select(*columns).union(asking.select(*columns)).groupBy("hub", "block", "asking").applyInArrow(compare, "a long, b long"))
 
 
 def link_classes(reps: DataFrame, bodies: DataFrame, shingle: int, percent: int) -> DataFrame:
     """(node, component) of the similarity graph over classes (id, n, sig); classes without a link don't appear."""
-    sigs = reps.select("id", "n", "sig")
 
     def keys(sig):
         return ([index_keys(s) for s in sig],)
 
-    rows = map_docs(sigs, keys, ["sig"], "keys array<long>", ["id"]).select("id", F.explode("keys").alias("key"))
-    shared = cut(rows.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key", "lo"))
-    members = cut(rows.join(shared, "key").select("key", "id", "lo"))
-    stars = members.where("id <> lo").select(F.col("lo").alias("b"), F.col("id").alias("a")).distinct()
-    links = _confirm(cut(_near(stars, sigs, percent)), bodies, shingle, percent)
-    done = cut(components(links))
-
-    # What is left: members of a bucket that are in different components and have not met yet.
-    placed = members.join(done.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
-    spread = placed.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("key")
-    open_rows = cut(placed.join(cut(spread), "key").select("key", "id", "lo", "c"))
-    x = open_rows.select("key", F.col("id").alias("a"), F.col("c").alias("ca"), "lo")
-    y = open_rows.select("key", F.col("id").alias("b"), F.col("c").alias("cb"))
-    pairs = x.join(y, "key").where("a > b and ca <> cb and a <> lo and b <> lo").select("a", "b").distinct()
-    more = _confirm(cut(_near(pairs, sigs, percent)), bodies, shingle, percent)
+    rows = map_docs(reps.select("id", "n", "sig"), keys, ["sig"], "keys array<long>", ["id", "n"]).select("id", "n", F.explode("keys").alias("key"))
+    shared = rows.groupBy("key").agg(F.count("*").alias("met")).where("met > 1")
+    members = cut(rows.join(shared, "key"))
+    # A bucket's hub is the member that meets most others over all its buckets: the text nearest to the group's middle.
+    met = members.groupBy("id").agg(F.sum("met").alias("met"))
+    hubs = members.drop("met").join(met, "id").groupBy("key").agg(F.max(F.struct("met", -F.col("id"), "n")).alias("h"))
+    hubs = hubs.select("key", (-F.col("h.col2")).alias("hub"), F.col("h.n").alias("hub_n"))
+    stars = cut(members.join(hubs, "key").where("id <> hub").select("hub", "hub_n", "id", "n").distinct())
+    likely = stars.where(f"100 * least(n, hub_n) >= {percent} * greatest(n, hub_n)").select(F.col("hub").alias("b"), F.col("id").alias("a"))
+    links = _confirm(likely, bodies, shingle, percent)
+    more = _left_over(stars.select("hub", "id", "n"), cut(components(links)), bodies, shingle, percent)
     return components(links.union(more))
 
 
