@@ -24,8 +24,10 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import cut, map_docs, window_hashes, without, word_hashes
 
@@ -95,17 +97,85 @@ def consistency(core: float = CORE, p: int = _P) -> float:
     return core / _chi2(lo, p + 2)
 
 
-def _inverted(moments: DataFrame, keys: list[str], scale: float) -> DataFrame:
-    """Group rows with __m (mean) and __c (covariance, flat) -> __m and __w, the flat inverse."""
+def _inverse(cov: np.ndarray) -> list[float]:
+    return np.linalg.inv(cov + _RIDGE).ravel().tolist()
 
-    def run(cov):
-        return ([np.linalg.inv(np.array(c).reshape(_P, _P) * scale + _RIDGE).ravel().tolist() for c in cov],)
 
-    return cut(map_docs(moments, run, ["__c"], "__w array<double>", [*keys, "__m"]))
+def _started(quartiles: DataFrame) -> DataFrame:
+    """__q, three quartiles of each statistic, -> __m (medians) and __w, the flat inverse of the spread."""
 
+    def run(quartiles):
+        q = [np.array(one) for one in quartiles]
+        return [one[:, 1].tolist() for one in q], [_inverse(np.diag(((one[:, 2] - one[:, 0]) / 1.349) ** 2)) for one in q]
 
-def _distance() -> Column:
-    return F.expr(" + ".join(f"__w[{i * _P + j}] * (__x[{i}] - __m[{i}]) * (__x[{j}] - __m[{j}])" for i in range(_P) for j in range(_P)))
+    return cut(map_docs(quartiles, run, ["__q"], "__m array<double>, __w array<double>", ["__k"]))
+
+
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+
+
+def _distances(x: pa.Array, m: pa.Array, w: pa.Array) -> np.ndarray:
+    """Squared Mahalanobis distances of a batch without nulls."""
+    y = _matrix(x, _P) - _matrix(m, _P)
+    return (_matrix(w, _P * _P) * (y[:, :, None] * y[:, None, :]).reshape(-1, _P * _P)).sum(1)
+
+
+def _with_distance(df: DataFrame, name: str) -> DataFrame:
+    """Gives up __x, __m and __w for the distance, which is null where there is no estimate."""
+    keep = [f for f in df.schema.fields if f.name not in {"__x", "__m", "__w", name}]
+    k = len(keep)
+
+    def run(batches):
+        for b in batches:
+            known = b.column(k + 1).is_valid()
+            d = np.zeros(b.num_rows)
+            some = b.filter(known)
+            d[known.to_numpy(zero_copy_only=False)] = _distances(*some.columns[k:])
+            out = pa.array(d, mask=~known.to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([*b.columns[:k], out], names=[*[f.name for f in keep], name])
+
+    rows = df.select(*[F.col(f"`{f.name}`") for f in keep], "__x", "__m", "__w")
+    return rows.mapInArrow(run, T.StructType([*keep, T.StructField(name, T.DoubleType())]))
+
+
+def _sums(rows: DataFrame) -> DataFrame:
+    """(__k, __s): per group and over its core (distance up to __h), the count, the sums and the sums of products of __x.
+
+    They are added up in each task, then by position.
+    """
+
+    def run(batches):
+        total: dict[str, np.ndarray] = {}
+        for b in batches:
+            b = b.filter(pa.array(_distances(*b.columns[2:]) <= b.column(1).to_numpy()))
+            of = b.column(0).dictionary_encode()
+            x = _matrix(b.column(2), _P)
+            at = of.indices.to_numpy()
+            for g, k in enumerate(of.dictionary.to_pylist()):
+                y = x[at == g]
+                part = np.concatenate([[len(y)], y.sum(0), (y.T @ y).ravel()])
+                total[k] = total[k] + part if k in total else part
+        for k, v in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k] * len(v)), pa.array(np.arange(len(v), dtype=np.int32)), pa.array(v)], names=["__k", "i", "v"])
+
+    by_place = rows.select("__k", "__h", "__x", "__m", "__w").mapInArrow(run, "__k string, i int, v double").groupBy("__k", "i").agg(F.sum("v").alias("v"))
+    return by_place.groupBy("__k").agg(F.expr("transform(array_sort(collect_list(struct(i, v))), p -> p.v)").alias("__s"))
+
+
+def _estimated(sums: DataFrame, scale: float) -> DataFrame:
+    """__s -> __m and __w, the flat inverse of the covariance times scale."""
+
+    def run(sums):
+        means, inverses = [], []
+        for s in sums:
+            n, mean = s[0], np.array(s[1 : 1 + _P]) / s[0]
+            cov = np.array(s[1 + _P :]).reshape(_P, _P) / n - np.outer(mean, mean)
+            means.append(mean.tolist())
+            inverses.append(_inverse(cov * scale))
+        return means, inverses
+
+    return cut(map_docs(sums, run, ["__s"], "__m array<double>, __w array<double>", ["__k"]))
 
 
 def _joined(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
@@ -118,19 +188,14 @@ def _joined(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(g, match, "left").drop(*[f"__g_{k}" for k in keys])
 
 
-def estimates(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, __m, __w): location and inverse scatter of __x per group, by concentration steps."""
-    x = [F.col("__x")[i] for i in range(_P)]
-    middle = rows.groupBy(*keys).agg(*[F.percentile_approx(x[i], [0.25, 0.5, 0.75], 2000).alias(f"q{i}") for i in range(_P)])
-    flat = [F.pow((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, 2) if i == j else F.lit(0.0) for i in range(_P) for j in range(_P)]
-    now = _inverted(middle.select(*keys, F.array(*[F.col(f"q{i}")[1] for i in range(_P)]).alias("__m"), F.array(*flat).alias("__c")), keys, 1.0)
+def estimates(rows: DataFrame) -> DataFrame:
+    """(__k, __m, __w): location and inverse scatter of __x per group __k, by concentration steps."""
+    quartiles = rows.groupBy("__k").agg(F.array(*[F.percentile_approx(F.col("__x")[i], [0.25, 0.5, 0.75], 2000) for i in range(_P)]).alias("__q"))
+    now = _started(quartiles)
     for step in range(STEPS):
-        d = _joined(rows, now, keys).withColumn("__d", _distance()).drop("__m", "__w")
-        bound = cut(d.groupBy(*keys).agg(F.percentile_approx("__d", CORE, 2000).alias("__h")))
-        core = _joined(d, bound, keys).where("__d <= __h")
-        m = core.groupBy(*keys).agg(*[F.avg(x[i]).alias(f"m{i}") for i in range(_P)], *[F.covar_pop(x[i], x[j]).alias(f"c{i}_{j}") for i in range(_P) for j in range(i, _P)])
-        cov = F.array(*[F.col(f"c{min(i, j)}_{max(i, j)}") for i in range(_P) for j in range(_P)])
-        now = _inverted(m.select(*keys, F.array(*[F.col(f"m{i}") for i in range(_P)]).alias("__m"), cov.alias("__c")), keys, consistency() if step == STEPS - 1 else 1.0)
+        reach = _with_distance(_joined(rows, now, ["__k"]), "__d")
+        bound = cut(reach.groupBy("__k").agg(F.percentile_approx("__d", CORE, 2000).alias("__h")))
+        now = _estimated(_sums(_joined(rows, now.join(bound, "__k"), ["__k"])), consistency() if step == STEPS - 1 else 1.0)
     return now
 
 
@@ -144,13 +209,13 @@ def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
     sizes = cut(good.groupBy("__lang", "__source").agg(F.count("*").alias("__n")).select("__lang", "__source", (F.col("__n") < MIN_GROUP).alias("__pool")))
     grouped = _joined(s, sizes, ["__lang", "__source"]).withColumn("__pool", F.coalesce("__pool", F.lit(True))).withColumn("__source", F.when(~F.col("__pool"), F.col("__source")))
     keys = ["__lang", "__pool", "__source"]
-    grouped = cut(grouped)
+    grouped = cut(grouped.withColumn("__k", F.to_json(F.struct(*keys))).drop(*keys))
     members = grouped.where("not base_failed")
-    enough = cut(members.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") >= MIN_GROUP).drop("__n").withColumn("__enough", F.lit(True)))
-    fitted = estimates(_joined(members, enough, keys).where("__enough").select(*keys, "__x"), keys)
-    out = _joined(grouped, fitted, keys).withColumn("distance", _distance())
+    enough = cut(members.groupBy("__k").agg(F.count("*").alias("__n")).where(F.col("__n") >= MIN_GROUP).drop("__n").withColumn("__enough", F.lit(True)))
+    fitted = estimates(_joined(members, enough, ["__k"]).where("__enough").select("__k", "__x"))
+    out = _with_distance(_joined(grouped, fitted, ["__k"]), "distance")
     out = out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= CUTOFF, F.lit(True)))
-    return out.drop("__m", "__w", "__x", *keys)
+    return out.drop("__k")
 
 
 def drop_low_quality(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
