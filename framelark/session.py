@@ -6,6 +6,7 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -39,3 +40,11 @@ def ship_package(spark: SparkSession) -> None:
             z.write(f, f"{root.name}/{f.relative_to(root)}")
     sc.addPyFile(path)
     _shipped.add(sc.applicationId)
+
+
+def new_folder(spark: SparkSession, what: str) -> str:
+    """A name for a new folder in the cluster's checkpoint folder; only where none is named (as in tests) in one of our own."""
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp("-ckpt"))
+    return f"{sc.getCheckpointDir()}/{what}-{uuid.uuid4().hex}"
