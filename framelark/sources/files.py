@@ -21,7 +21,7 @@ def read_json_file(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def read_tagged(spark: SparkSession, path: str, tag: str, schema: str) -> DataFrame:
     """Per file, the record of the last line that starts with the tag (tag, then JSON): file, record. Files without one are left out."""
-    text = spark.read.option("wholetext", "true").text(path).select(F.input_file_name().alias("file"), "value")
+    text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
     lines = F.filter(F.split("value", r"\r\n|\r|\n"), lambda x: F.startswith(x, F.lit(f"{tag} ")))
     last = F.try_element_at(lines, F.lit(-1))
     found = text.select("file", F.substring(last, len(tag) + 2, 2**31 - 1).alias("j")).where("j is not null")
@@ -96,7 +96,9 @@ def read_points(spark: SparkSession, path: str, element: str = "vertex") -> Data
 
 
 def list_files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
-    """File catalog below a folder, without contents: path, modified, length, step (number in the pattern's first group)."""
+    """File catalog below a folder, without contents: path, modified, length, step (number in the pattern's first group).
+
+    Spark's reader of whole files leaves out empty ones."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     step = F.regexp_extract("path", pattern, 1)
     return files.select("path", F.col("modificationTime").alias("modified"), "length", F.when(step != "", step.cast("long")).alias("step"))
