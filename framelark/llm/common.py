@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -57,6 +57,11 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in gone])
 
 
+def numbered(names: list[str]) -> list[Column]:
+    """The columns under names without dots, which the Arrow functions need of their input."""
+    return [F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(names)]
+
+
 def map_docs(df: DataFrame, fn: Callable[..., Iterable], inputs: list[str], added: str, keep: list[str] | None = None) -> DataFrame:
     """Append columns that fn computes for each Arrow batch from the inputs (lists of Python values).
 
@@ -64,7 +69,7 @@ def map_docs(df: DataFrame, fn: Callable[..., Iterable], inputs: list[str], adde
     """
     new = T._parse_datatype_string(added)
     keep = [c for c in (keep or df.columns) if c not in new.names]
-    rows = df.select(*[F.col(f"`{c}`") for c in keep], *[F.col(f"`{c}`").alias(f"__in{i}") for i, c in enumerate(inputs)])
+    rows = df.select(*numbered(keep), *[F.col(f"`{c}`").alias(f"__in{i}") for i, c in enumerate(inputs)])
     schema = T.StructType([df.schema[c] for c in keep] + new.fields)
     kinds = [_arrow(f.dataType) for f in new.fields]
     k = len(keep)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, map_docs, window_hashes, without, word_hashes
+from .common import cut, map_docs, numbered, window_hashes, without, word_hashes
 
 #: Fixed values of the contract.
 SYMBOLS = "#*$%&|<>"
@@ -135,7 +135,7 @@ def _with_distance(df: DataFrame, name: str) -> DataFrame:
             out = pa.array(d, mask=~known.to_numpy(zero_copy_only=False))
             yield pa.RecordBatch.from_arrays([*b.columns[:k], out], names=[*[f.name for f in keep], name])
 
-    rows = df.select(*[F.col(f"`{f.name}`") for f in keep], "__x", "__m", "__w")
+    rows = df.select(*numbered([f.name for f in keep]), "__x", "__m", "__w")
     return rows.mapInArrow(run, T.StructType([*keep, T.StructField(name, T.DoubleType())]))
 
 
@@ -199,9 +199,13 @@ def estimates(rows: DataFrame) -> DataFrame:
     return now
 
 
+#: Names that judge works with; input columns so named give way.
+_RESERVED = ("__lang", "__source", "__pool", "__k", "__x", "__m", "__w", "__n", "__h", "__d", "__enough")
+
+
 def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", keep: list[str] | None = None) -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long), base_failed, distance (double, null without an estimate), kept."""
-    docs = without(docs, "base_failed", "distance", "kept", "__lang", "__pool")
+    docs = without(docs, "base_failed", "distance", "kept", *_RESERVED)
     keep = [c for c in (keep or docs.columns) if c in docs.columns]
     named = docs.withColumn("__lang", F.col(lang_col)).withColumn("__source", F.col(source_col))
     s = cut(statistics(named, text_col, [*keep, "__lang", "__source"]))
@@ -219,9 +223,12 @@ def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
 
 
 def drop_low_quality(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The documents that pass, columns as they came."""
+    """The documents that pass, columns as they came, whatever their names."""
     names = docs.columns
-    return judge(docs).where("kept").select(*[F.col(f"`{c}`") for c in names])
+    own = {c: f"__own{i}" for i, c in enumerate(names)}
+    renamed = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in own.items()])
+    judged = judge(renamed, own["text"], own["lang"], own["source"])
+    return judged.where("kept").select(*[F.col(n).alias(c) for c, n in own.items()])
 
 
 def query(spark, sf_dir):
