@@ -1,15 +1,16 @@
-"""Line dedup over content-defined chunks of lines, in DataFrame functions only.
+"""Line dedup over all runs of two adjacent lines, in DataFrame functions only.
 
-A line starts a chunk when the rolling hash of the two lines before it is a multiple of `divisor`, so
-boundaries depend on nearby content alone and come back in step after an insertion. Chunks of two
-lines or more whose bytes occur elsewhere are removed, save the first occurrence (smallest document
-id, then place). Hash, length and line count select candidates; equality of the chunk text itself
-(grouping by its bytes) decides.
+Every two adjacent lines are a unit, at each line of a text, so no boundary decides what is found: a
+run of two lines or more that occurs earlier (smaller document id, then place) is removed whole,
+however short it is and whatever stands around it. The first occurrence stays. A hash of both lines
+selects candidates without moving text; equality of the two lines' text itself (grouping by its
+bytes) decides.
 
 Defined results: null text stays null, empty text stays empty; a text that loses every line becomes
-empty; rows with a null id are left alone; rows with one id each count as a document, in text order;
-single-line chunks stay; chunks with fewer than `min_chars` characters stay; texts are taken whole;
-an input column named like an output column gives way; an empty table gives no rows.
+empty; rows with a null id are left alone; rows with one id each count as a document, in text order
+(rows of equal id and text are judged alike); a line that repeats without a neighbour stays; empty
+lines are lines; texts are taken whole; an input column named like an output column gives way; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -17,65 +18,56 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, without
+from .common import cut, stored, without
 
-DIVISOR = 3
-MIN_CHARS = 40
 _SALT = 32
 
 
-def _chunks(text: str, divisor: int) -> list:
-    """Columns step by step: lines, their hashes, starts of chunks, chunks (from, lines)."""
-    lines = F.split(text, "\n", -1)
-    hashes = F.transform("__lines", lambda line: F.xxhash64(line))
-    rolls = "pmod(xxhash64(get(__hashes, i - 2), get(__hashes, i - 1)), {d}) = 0".format(d=divisor)
-    starts = F.expr(f"filter(sequence(0, size(__lines) - 1), i -> i = 0 or (i > 1 and {rolls}))")
-    chunks = F.expr("transform(__starts, (s, k) -> struct(k as at, s as start, coalesce(get(__starts, k + 1), size(__lines)) - s as n))")
-    return [("__lines", lines), ("__hashes", hashes), ("__starts", starts), ("__chunks", chunks)]
+def _split(text_col: str):
+    return F.split(text_col, "\n", -1)
 
 
-def chunked(docs: DataFrame, text_col: str = "text", divisor: int = DIVISOR) -> DataFrame:
-    """docs with __lines and __chunks (at, start, n); null texts get null."""
-    for name, column in _chunks(text_col, divisor):
-        docs = docs.withColumn(name, column)
-    return docs.drop("__hashes", "__starts")
+def _repeats(keyed: DataFrame) -> DataFrame:
+    """Of (__id, __t): (__id, __doc, __gone), the places of pairs of lines whose bytes occur earlier."""
+    rows = keyed.withColumn("__doc", F.xxhash64("__t")).withColumn("__lines", _split("__t"))
+    pairs = F.expr("transform(slice(__lines, 1, size(__lines) - 1), (l, i) -> xxhash64(l, get(__lines, i + 1)))")
+    each = rows.select("__id", "__doc", F.posexplode(pairs).alias("at", "h"))
+    place = F.struct("__id", "__doc", "at")
+    seen = each.groupBy("h").agg(F.min(place).alias("lo"), F.count("*").alias("k")).where("k > 1")
+    found = each.join(cut(seen.select("h")), "h")
+    wanted = found.groupBy("__id", "__doc").agg(F.collect_list(F.struct("at", "h")).alias("__pairs")).select(F.col("__id").alias("__i"), F.col("__doc").alias("__d"), "__pairs")
+    held = rows.join(wanted, (F.col("__id") == F.col("__i")) & (F.col("__doc") == F.col("__d")))
+    held = held.select("__id", "__doc", "__lines", F.explode("__pairs").alias("p"))
+    twice = stored(held.select("__id", "__doc", "p.at", "p.h", F.expr("concat(get(__lines, p.at), '\n', get(__lines, p.at + 1))").alias("pair")))
+    # Bytes decide: the text itself is a grouping key. The salt spreads a pair that very many documents share.
+    salted = twice.withColumn("s", F.pmod(F.xxhash64("__id"), F.lit(_SALT)))
+    part = salted.groupBy("h", "pair", "s").agg(F.min(place).alias("first"))
+    first = stored(part.groupBy("h", "pair").agg(F.min("first").alias("first")))
+    # Nearly every hash has one text, and its rows need no text to find their first place.
+    texts = first.groupBy("h").agg(F.count("*").alias("n"), F.min("first").alias("first"))
+    lone = twice.select("__id", "__doc", "at", "h").join(texts.where("n = 1").select("h", "first"), "h")
+    mixed = twice.join(F.broadcast(texts.where("n > 1").select("h")), "h", "left_semi").join(first, ["h", "pair"])
+    later = lone.select("__id", "__doc", "at", "first").unionByName(mixed.select("__id", "__doc", "at", "first")).where(F.col("first") < place)
+    return later.groupBy("__id", "__doc").agg(F.collect_set("at").alias("__gone"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", divisor: int = DIVISOR, min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rewrites the text column; adds n_lines and n_removed_lines (long)."""
     docs = without(docs, "n_lines", "n_removed_lines")
-    keyed = docs.where(f"`{id_col}` is not null").select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t"))
-    rows = chunked(keyed, "__t", divisor).withColumn("__doc", F.xxhash64("__t"))
-    each = rows.select("__id", "__doc", "__lines", F.explode(F.filter("__chunks", lambda c: c.n >= 2)).alias("c"))
-    each = each.select("__id", "__doc", "c.at", F.array_join(F.slice("__lines", F.col("c.start") + 1, F.col("c.n")), "\n").alias("chunk"))
-    each = each.where(F.length("chunk") >= min_chars).withColumn("h", F.xxhash64("chunk"))
-
-    place = F.struct("__id", "__doc", "at")
-    seen = each.select("h", place.alias("p")).groupBy("h").agg(F.min("p").alias("lo"), F.count("*").alias("k")).where("k > 1")
-    again = cut(seen.select("h"))
-    twice = cut(each.join(again, "h"))
-    # Bytes decide: the text itself is a grouping key. The salt spreads a chunk that very many documents share.
-    salted = twice.withColumn("s", F.pmod(F.xxhash64("__id"), F.lit(_SALT)))
-    part = salted.groupBy("h", "chunk", "s").agg(F.min(place).alias("first"))
-    first = cut(part.groupBy("h", "chunk").agg(F.min("first").alias("first")))
-    later = twice.join(first, ["h", "chunk"]).where(F.col("first") < place)
-    gone = later.groupBy("__id", "__doc").agg(F.collect_set("at").alias("__gone"))
-
+    gone = _repeats(docs.where(f"`{id_col}` is not null").select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t")))
     marked = docs.withColumn("__doc2", F.xxhash64(text_col)).join(gone, (F.col(id_col) == F.col("__id")) & (F.col("__doc2") == F.col("__doc")), "left").drop("__id", "__doc", "__doc2")
-    marked = chunked(marked, text_col, divisor)
-    left = F.filter("__chunks", lambda c: F.coalesce(~F.array_contains("__gone", c.at), F.lit(True)))
-    kept = F.flatten(F.transform(left, lambda c: F.slice("__lines", c.start + 1, c.n)))
-    out = marked.withColumn("__kept", F.when(F.col("__gone").isNull(), F.col("__lines")).otherwise(kept))
-    text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join("__kept", "\n"))
-    n = F.coalesce(F.size("__lines"), F.lit(0)).cast("long")
-    n = F.when(F.col(text_col).isNull(), F.lit(0).cast("long")).otherwise(n)
-    gone_lines = F.when(F.col("__gone").isNull(), F.lit(0).cast("long")).otherwise((F.size("__lines") - F.size("__kept")).cast("long"))
+    marked = marked.withColumn("__lines", _split(text_col))
+    left = F.expr("array_except(sequence(0, size(__lines) - 1), flatten(transform(__gone, a -> array(a, a + 1))))")
+    marked = marked.withColumn("__left", F.when(F.col("__gone").isNotNull(), left))
+    changed = F.col("__gone").isNotNull()
+    text = F.when(changed, F.expr("array_join(transform(__left, i -> get(__lines, i)), '\n')")).otherwise(F.col(text_col))
+    n = F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size("__lines")).cast("long")
+    gone_lines = F.when(changed, F.size("__lines") - F.size("__left")).otherwise(F.lit(0)).cast("long")
     columns = [text.alias(text_col) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
-    return out.select(*columns, n.alias("n_lines"), gone_lines.alias("n_removed_lines"))
+    return marked.select(*columns, n.alias("n_lines"), gone_lines.alias("n_removed_lines"))
 
 
 def query(spark, sf_dir):
     from .common import table
 
     return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
-
