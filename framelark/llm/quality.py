@@ -1,9 +1,11 @@
 """Quality rules: two base rules and robust multivariate outliers.
 
 Per language and source, the minimum covariance determinant of transformed statistics is estimated
-by deterministic concentration steps over all documents: start at medians and deviations, then
-repeatedly take the mean and covariance of the CORE share with the smallest distances. A document is
-rejected when its squared Mahalanobis distance exceeds CUTOFF. Groups with fewer than MIN_GROUP
+by deterministic concentration steps over all documents: start at medians with STARTS deviations
+(from the quartiles, from the narrower side of the median, and the granted ones alone), then
+repeatedly take the mean and covariance of the core with the smallest distances. The core is half of
+the group, (n + p + 1) / 2 of n documents, so that junk up to nearly a half does not enter it; of the
+starts, the core covariance with the smallest determinant wins. A document is rejected when its squared Mahalanobis distance exceeds CUTOFF. Groups with fewer than MIN_GROUP
 documents are pooled per language, and a pool that is still smaller rejects nothing.
 
 A share that is zero in nearly all documents has no variance in the core; FLOOR is the deviation that
@@ -35,7 +37,8 @@ from .common import cut, map_docs, numbered, window_hashes, without, word_hashes
 SYMBOLS = "#*$%&|<>"
 WINDOW, MIN_WORDS, MAX_REPEAT_PERCENT = 8, 20, 30
 #: Parameters of the estimate.
-CORE, STEPS, MIN_GROUP, CUTOFF = 0.75, 3, 60, 64.0
+CORE, STEPS, MIN_GROUP, CUTOFF = 0.5, 3, 60, 64.0
+STARTS = 3
 #: Statistics and the deviation that each is granted at least. Repeats have a base rule of their own, so theirs is wide.
 FLOOR = {"word_length": 0.04, "symbols": 0.035, "dup_lines": 0.12, "repeats": 0.12, "upper": 0.04, "punct": 0.04, "stutter": 0.04, "digits": 0.1}
 
@@ -44,6 +47,8 @@ _PUNCT = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 _DIGITS = b"0123456789"
 _P = len(FLOOR)
 _RIDGE = np.diag([f * f for f in FLOOR.values()])
+#: The core of a group is the first of these shares that holds (n + p + 1) / 2 of its documents.
+SHARES = [CORE + (1 - CORE) * i / 20 for i in range(21)]
 
 
 def counts(text: str | None) -> tuple[int, int, int, int, int, list[float]]:
@@ -90,6 +95,8 @@ def _chi2(x: float, p: int) -> float:
 
 def consistency(core: float = CORE, p: int = _P) -> float:
     """Factor that makes the core's covariance that of a normal sample (p even)."""
+    if core >= 1:
+        return 1.0
     lo, hi = 0.0, 200.0
     for _ in range(80):
         mid = (lo + hi) / 2
@@ -97,16 +104,25 @@ def consistency(core: float = CORE, p: int = _P) -> float:
     return core / _chi2(lo, p + 2)
 
 
+def core_share(n: int, p: int = _P) -> float:
+    return next((s for s in SHARES if s * n >= (n + p + 1) / 2), 1.0)
+
+
 def _inverse(cov: np.ndarray) -> list[float]:
     return np.linalg.inv(cov + _RIDGE).ravel().tolist()
 
 
 def _started(quartiles: DataFrame) -> DataFrame:
-    """__q, three quartiles of each statistic, -> __m (medians) and __w, the flat inverse of the spread."""
+    """__q, three quartiles of each statistic, -> per start __m (medians) and __w, the flat inverse of the spread."""
 
     def run(quartiles):
-        q = [np.array(one) for one in quartiles]
-        return [one[:, 1].tolist() for one in q], [_inverse(np.diag(((one[:, 2] - one[:, 0]) / 1.349) ** 2)) for one in q]
+        means, inverses = [], []
+        for one in quartiles:
+            lo, mid, hi = np.array(one).T
+            spreads = [(hi - lo) / 1.349, np.minimum(mid - lo, hi - mid) / 0.6745, np.zeros(_P)]
+            means.append(mid.tolist() * STARTS)
+            inverses.append([v for spread in spreads for v in _inverse(np.diag(spread**2))])
+        return means, inverses
 
     return cut(map_docs(quartiles, run, ["__q"], "__m array<double>, __w array<double>", ["__k"]))
 
@@ -115,10 +131,11 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
 
-def _distances(x: pa.Array, m: pa.Array, w: pa.Array) -> np.ndarray:
-    """Squared Mahalanobis distances of a batch without nulls."""
-    y = _matrix(x, _P) - _matrix(m, _P)
-    return (_matrix(w, _P * _P) * (y[:, :, None] * y[:, None, :]).reshape(-1, _P * _P)).sum(1)
+def _distances(x: pa.Array, m: pa.Array, w: pa.Array, starts: int = 1) -> np.ndarray:
+    """Squared Mahalanobis distances of a batch without nulls: a row for each document, a column for each start."""
+    y = _matrix(x, _P)[:, None, :] - _matrix(m, starts * _P).reshape(-1, starts, _P)
+    z = np.einsum("nkij,nkj->nki", _matrix(w, starts * _P * _P).reshape(-1, starts, _P, _P), y)
+    return (z * y).sum(2)
 
 
 def _with_distance(df: DataFrame, name: str) -> DataFrame:
@@ -131,7 +148,7 @@ def _with_distance(df: DataFrame, name: str) -> DataFrame:
             known = b.column(k + 1).is_valid()
             d = np.zeros(b.num_rows)
             some = b.filter(known)
-            d[known.to_numpy(zero_copy_only=False)] = _distances(*some.columns[k:])
+            d[known.to_numpy(zero_copy_only=False)] = _distances(*some.columns[k:])[:, 0]
             out = pa.array(d, mask=~known.to_numpy(zero_copy_only=False))
             yield pa.RecordBatch.from_arrays([*b.columns[:k], out], names=[*[f.name for f in keep], name])
 
@@ -139,8 +156,20 @@ def _with_distance(df: DataFrame, name: str) -> DataFrame:
     return rows.mapInArrow(run, T.StructType([*keep, T.StructField(name, T.DoubleType())]))
 
 
+def _reaches(rows: DataFrame) -> DataFrame:
+    """(__k, __d): the distances from every start."""
+
+    def run(batches):
+        for b in batches:
+            d = _distances(*b.columns[1:], STARTS)
+            at = np.arange(len(d) + 1, dtype=np.int32) * STARTS
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(at, d.ravel())], names=["__k", "__d"])
+
+    return rows.select("__k", "__x", "__m", "__w").mapInArrow(run, "__k string, __d array<double>")
+
+
 def _sums(rows: DataFrame) -> DataFrame:
-    """(__k, __s): per group and over its core (distance up to __h), the count, the sums and the sums of products of __x.
+    """(__k, __s): per group, over its core (distance up to __h) of every start, the count, the sums and the sums of products of __x.
 
     They are added up in each task, then by position.
     """
@@ -148,13 +177,14 @@ def _sums(rows: DataFrame) -> DataFrame:
     def run(batches):
         total: dict[str, np.ndarray] = {}
         for b in batches:
-            b = b.filter(pa.array(_distances(*b.columns[2:]) <= b.column(1).to_numpy()))
+            core = _distances(*b.columns[2:], STARTS) <= _matrix(b.column(1), STARTS)
             of = b.column(0).dictionary_encode()
             x = _matrix(b.column(2), _P)
             at = of.indices.to_numpy()
             for g, k in enumerate(of.dictionary.to_pylist()):
-                y = x[at == g]
-                part = np.concatenate([[len(y)], y.sum(0), (y.T @ y).ravel()])
+                mine = at == g
+                parts = [x[mine & core[:, start]] for start in range(STARTS)]
+                part = np.concatenate([v for y in parts for v in ([len(y)], y.sum(0), (y.T @ y).ravel())])
                 total[k] = total[k] + part if k in total else part
         for k, v in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([k] * len(v)), pa.array(np.arange(len(v), dtype=np.int32)), pa.array(v)], names=["__k", "i", "v"])
@@ -163,19 +193,37 @@ def _sums(rows: DataFrame) -> DataFrame:
     return by_place.groupBy("__k").agg(F.expr("transform(array_sort(collect_list(struct(i, v))), p -> p.v)").alias("__s"))
 
 
-def _estimated(sums: DataFrame, scale: float) -> DataFrame:
-    """__s -> __m and __w, the flat inverse of the covariance times scale."""
+def _cores(s: list[float]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Mean and covariance of the core of every start."""
+    out = []
+    for one in np.array(s).reshape(STARTS, -1):
+        mean = one[1 : 1 + _P] / one[0]
+        out.append((mean, one[1 + _P :].reshape(_P, _P) / one[0] - np.outer(mean, mean)))
+    return out
+
+
+def _estimated(sums: DataFrame) -> DataFrame:
+    """__s -> per start __m and __w, the flat inverse of the covariance."""
 
     def run(sums):
+        cores = [_cores(s) for s in sums]
+        return [[v for mean, _ in c for v in mean.tolist()] for c in cores], [[v for _, cov in c for v in _inverse(cov)] for c in cores]
+
+    return cut(map_docs(sums, run, ["__s"], "__m array<double>, __w array<double>", ["__k"]))
+
+
+def _chosen(sums: DataFrame) -> DataFrame:
+    """__s and the group's size -> __m and __w of the start with the smallest determinant, for the covariance of a normal sample."""
+
+    def run(sums, sizes):
         means, inverses = [], []
-        for s in sums:
-            n, mean = s[0], np.array(s[1 : 1 + _P]) / s[0]
-            cov = np.array(s[1 + _P :]).reshape(_P, _P) / n - np.outer(mean, mean)
+        for s, n in zip(sums, sizes, strict=True):
+            mean, cov = min(_cores(s), key=lambda c: np.linalg.slogdet(c[1] + _RIDGE)[1])
             means.append(mean.tolist())
-            inverses.append(_inverse(cov * scale))
+            inverses.append(_inverse(cov * consistency(core_share(n))))
         return means, inverses
 
-    return cut(map_docs(sums, run, ["__s"], "__m array<double>, __w array<double>", ["__k"]))
+    return cut(map_docs(sums, run, ["__s", "__n"], "__m array<double>, __w array<double>", ["__k"]))
 
 
 def _joined(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
@@ -192,10 +240,15 @@ def estimates(rows: DataFrame) -> DataFrame:
     """(__k, __m, __w): location and inverse scatter of __x per group __k, by concentration steps."""
     quartiles = rows.groupBy("__k").agg(F.array(*[F.percentile_approx(F.col("__x")[i], [0.25, 0.5, 0.75], 2000) for i in range(_P)]).alias("__q"))
     now = _started(quartiles)
+    # Where in SHARES the group's core is.
+    place = F.expr(f"cast(greatest(0, least(20, ceil(((__n + {_P + 1}) / (2.0D * __n) - {CORE}D) * {20 / (1 - CORE)}D - 1e-9D))) as int)")
     for step in range(STEPS):
-        reach = _with_distance(_joined(rows, now, ["__k"]), "__d")
-        bound = cut(reach.groupBy("__k").agg(F.percentile_approx("__d", CORE, 2000).alias("__h")))
-        now = _estimated(_sums(_joined(rows, now.join(bound, "__k"), ["__k"])), consistency() if step == STEPS - 1 else 1.0)
+        reach = _reaches(_joined(rows, now, ["__k"]))
+        shares = F.array(*[F.percentile_approx(F.col("__d")[i], SHARES, 2000) for i in range(STARTS)])
+        bound = reach.groupBy("__k").agg(F.count("*").alias("__n"), shares.alias("__h")).withColumn("__at", place)
+        bound = cut(bound.select("__k", "__n", F.expr("transform(__h, h -> h[__at])").alias("__h")))
+        sums = _sums(_joined(rows, now.join(bound, "__k"), ["__k"]))
+        now = _chosen(sums.join(bound.select("__k", "__n"), "__k")) if step == STEPS - 1 else _estimated(sums)
     return now
 
 

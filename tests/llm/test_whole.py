@@ -2,9 +2,10 @@
 
 import random
 
+import numpy as np
 import pytest
 
-from framelark.llm import line_dedup
+from framelark.llm import line_dedup, quality
 
 SCHEMA = "doc_id long, text string, lang string, source string"
 
@@ -47,3 +48,54 @@ def test_lines_brute_force(spark):
     rows = [(1000 - i if i % 40 else None, t) for i, t in enumerate(texts)]
     got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, lines_left(rows)))
+
+
+def prose(rng, n):
+    return [" ".join("".join(rng.choices("abcdefgh", k=rng.randint(2, 9))) for _ in range(rng.randint(60, 200))) + "." for _ in range(n)]
+
+
+JUNK = {
+    "hashes": lambda t: " ".join(w + "###" for w in t.split()),
+    "upper": lambda t: " ".join(w.upper() + "!!" for w in t.split()),
+    "bars": lambda t: " | ".join(t.split()),
+}
+
+
+@pytest.mark.parametrize("kind", sorted(JUNK))
+def test_junk_in_two_fifths_of_a_source(spark, kind):
+    rng = random.Random(4)
+    texts = prose(rng, 100)
+    rows = [(i, JUNK[kind](t) if i < 40 else t, "en", "s") for i, t in enumerate(texts)]
+    kept = {r.doc_id: r.kept for r in quality.judge(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert not any(kept[i] for i in range(40)) and all(kept[i] for i in range(40, 100))
+
+
+def robust(x):
+    """Squared distances of the rows of x from the core of the smallest determinant."""
+    n, p = x.shape
+    low = np.sort(x, 0)
+    q = [low[max(0, int(np.ceil(share * n)) - 1)] for share in (0.25, 0.5, 0.75)]
+    spreads = [(q[2] - q[0]) / 1.349, np.minimum(q[1] - q[0], q[2] - q[1]) / 0.6745, np.zeros(p)]
+    ridge = np.diag([f * f for f in quality.FLOOR.values()])
+    share = quality.core_share(n)
+    away = lambda m, c: ((x - m) @ np.linalg.inv(c + ridge) * (x - m)).sum(1)
+    found = []
+    for spread in spreads:
+        m, c = q[1], np.diag(spread**2)
+        for _ in range(quality.STEPS):
+            d = away(m, c)
+            core = x[d <= np.sort(d)[int(np.ceil(share * n - 1e-9)) - 1]]
+            m, c = core.mean(0), np.cov(core.T, bias=True)
+        found.append((np.linalg.slogdet(c + ridge)[1], m, c))
+    _, m, c = min(found, key=lambda f: f[0])
+    return away(m, c * quality.consistency(share))
+
+
+def test_distances_brute_force(spark):
+    rng = random.Random(6)
+    texts = prose(rng, 90)
+    texts = [list(JUNK.values())[i % 3](t) if i < 30 else t for i, t in enumerate(texts)]
+    got = {r.doc_id: r for r in quality.judge(spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], SCHEMA)).collect()}
+    want = robust(np.array([quality.counts(t)[5] for t in texts]))
+    assert np.allclose([got[i].distance for i in range(90)], want, rtol=1e-6)
+    assert [got[i].kept for i in range(90)] == (want <= quality.CUTOFF).tolist()
