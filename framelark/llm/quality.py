@@ -5,8 +5,9 @@ by deterministic concentration steps over all documents: start at medians with S
 (from the quartiles, from the narrower side of the median, and the granted ones alone), then
 repeatedly take the mean and covariance of the core with the smallest distances. The core is half of
 the group, (n + p + 1) / 2 of n documents, so that junk up to nearly a half does not enter it; of the
-starts, the core covariance with the smallest determinant wins. A document is rejected when its squared Mahalanobis distance exceeds CUTOFF. Groups with fewer than MIN_GROUP
-documents are pooled per language, and a pool that is still smaller rejects nothing.
+starts, the core covariance with the smallest determinant wins. A document is rejected when its squared Mahalanobis distance exceeds CUTOFF. A group with fewer than MIN_GROUP
+documents is judged by the estimate over all documents of its language, and where that has fewer too,
+by the estimate over all documents, so every document past the base rules is judged.
 
 A share that is zero in nearly all documents has no variance in the core; FLOOR is the deviation that
 every statistic is granted, so that one symbol in a clean text is no outlier. CUTOFF is set far
@@ -253,24 +254,34 @@ def estimates(rows: DataFrame) -> DataFrame:
 
 
 #: Names that judge works with; input columns so named give way.
-_RESERVED = ("__lang", "__source", "__pool", "__k", "__x", "__m", "__w", "__n", "__h", "__d", "__enough")
+_RESERVED = ("__lang", "__source", "__level", "__k", "__feeds", "__x", "__m", "__w", "__n", "__h", "__d", "__all", "__own", "__any")
+
+
+def _levels(s: DataFrame) -> DataFrame:
+    """Per language and source: __k, the group that judges it, and __feeds, the groups whose estimates its documents enter."""
+    sizes = cut(s.groupBy("__lang", "__source").agg(F.sum(F.when(F.col("base_failed"), 0).otherwise(1)).alias("__n")))
+    own = F.col("__n") >= MIN_GROUP
+    langs = sizes.groupBy("__lang").agg((F.sum("__n") >= MIN_GROUP).alias("__all"), F.bool_or(~own).alias("__any"))
+    overall = langs.agg(F.coalesce(F.bool_or(~F.col("__all")), F.lit(False)).alias("__own"))
+    groups = _joined(sizes, langs, ["__lang"]).crossJoin(F.broadcast(overall))
+    # One name for each group; a null language or source is a value, so the level is part of the name.
+    key = lambda level, *parts: F.to_json(F.struct(F.lit(level).alias("__level"), *parts))
+    keys = [key(0, "__lang", "__source"), key(1, "__lang"), key(2)]
+    judged_by = F.when(own, keys[0]).when(F.col("__all"), keys[1]).otherwise(keys[2])
+    feeds = F.array(F.when(own, keys[0]), F.when(F.col("__all") & F.col("__any"), keys[1]), F.when(F.col("__own"), keys[2]))
+    return cut(groups.select("__lang", "__source", judged_by.alias("__k"), F.filter(feeds, lambda k: k.isNotNull()).alias("__feeds")))
 
 
 def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", keep: list[str] | None = None) -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long), base_failed, distance (double, null without an estimate), kept."""
+    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long), base_failed, distance (double, null only where no document passes the base rules), kept."""
     docs = without(docs, "base_failed", "distance", "kept", *_RESERVED)
     keep = [c for c in (keep or docs.columns) if c in docs.columns]
     named = docs.withColumn("__lang", F.col(lang_col)).withColumn("__source", F.col(source_col))
     s = cut(statistics(named, text_col, [*keep, "__lang", "__source"]))
-    good = s.where("not base_failed")
-    sizes = cut(good.groupBy("__lang", "__source").agg(F.count("*").alias("__n")).select("__lang", "__source", (F.col("__n") < MIN_GROUP).alias("__pool")))
-    grouped = _joined(s, sizes, ["__lang", "__source"]).withColumn("__pool", F.coalesce("__pool", F.lit(True))).withColumn("__source", F.when(~F.col("__pool"), F.col("__source")))
-    keys = ["__lang", "__pool", "__source"]
-    grouped = cut(grouped.withColumn("__k", F.to_json(F.struct(*keys))).drop(*keys))
-    members = grouped.where("not base_failed")
-    enough = cut(members.groupBy("__k").agg(F.count("*").alias("__n")).where(F.col("__n") >= MIN_GROUP).drop("__n").withColumn("__enough", F.lit(True)))
-    fitted = estimates(_joined(members, enough, ["__k"]).where("__enough").select("__k", "__x"))
-    out = _with_distance(_joined(grouped, fitted, ["__k"]), "distance")
+    levels = _levels(s)
+    grouped = _joined(s, levels, ["__lang", "__source"])
+    fitted = estimates(cut(grouped.where("not base_failed").select(F.explode("__feeds").alias("__k"), "__x")))
+    out = _with_distance(_joined(grouped.drop("__lang", "__source", "__feeds"), fitted, ["__k"]), "distance")
     out = out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= CUTOFF, F.lit(True)))
     return out.drop("__k")
 

@@ -99,3 +99,19 @@ def test_distances_brute_force(spark):
     want = robust(np.array([quality.counts(t)[5] for t in texts]))
     assert np.allclose([got[i].distance for i in range(90)], want, rtol=1e-6)
     assert [got[i].kept for i in range(90)] == (want <= quality.CUTOFF).tolist()
+
+
+def test_small_groups_are_judged(spark):
+    rng = random.Random(5)
+    spoilt = JUNK["hashes"]
+    rows = [(t, "en", "large") for t in prose(rng, 70)] + [(t, "en", "small") for t in prose(rng, 6)] + [(spoilt(t), "en", "small") for t in prose(rng, 4)]
+    rows += [(t, "fr", "one") for t in prose(rng, 5)] + [(spoilt(t), "fr", None) for t in prose(rng, 2)] + [(spoilt(t), None, None) for t in prose(rng, 1)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], SCHEMA)
+    got = {r.doc_id: r for r in quality.judge(df).collect()}
+    junk = {i for i, r in enumerate(rows) if "#" in r[0]}
+    assert len(got) == len(rows) and all(r.distance is not None for r in got.values())
+    assert {i for i in got if not got[i].kept} == junk
+    # Each by its own source, else by all of its language, else by all documents.
+    x = np.array([quality.counts(r[0])[5] for r in rows])
+    want = np.concatenate([robust(x[:70]), robust(x[:80])[70:], robust(x)[80:]])
+    assert np.allclose([got[i].distance for i in range(len(rows))], want, rtol=1e-6)
