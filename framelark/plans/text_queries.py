@@ -73,7 +73,7 @@ def q_latest(spark, d):
 
 def q_vendor(spark, d):
     """First matching rule names the vendor; it suggests a camera model and mapper."""
-    p = read_table(spark, d, "pages").select("page_id", F.lower(F.trim(F.coalesce(F.concat_ws(" ", "url", F.substring("html", 1, 200)), F.lit("")))).alias("s"))
+    p = read_table(spark, d, "pages").select("page_id", F.lower(F.trim(F.coalesce(F.concat_ws(" ", "url", "html"), F.lit("")))).alias("s"))
     v = F.when(F.col("s").contains("gopro"), "gopro").when(F.col("s").contains("/fr/") | F.col("s").contains("dji"), "dji").when(F.col("s").contains("page=2"), "insta").when(F.col("s") == "", "none").otherwise("unknown")
     p = p.withColumn("vendor", v)
     s = F.when(F.col("vendor").isin("gopro", "insta"), F.struct(F.lit("OPENCV_FISHEYE").alias("model"), F.lit("incremental").alias("mapper"))).otherwise(F.struct(F.lit("OPENCV").alias("model"), F.lit("global").alias("mapper")))
