@@ -59,7 +59,7 @@ STAGES = [
     ("best_fit_packing", best_fit_packing),
 ]
 
-#: Robust covariance and byte-pair encoding have no SQL; tests compare with a brute-force version.
+#: Robust covariance and byte-pair encoding have no SQL; tests compare the operators with brute-force versions, the run as a whole in part.
 ORACLE_SQL = None
 
 
