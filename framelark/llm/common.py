@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -18,6 +17,8 @@ from framelark.session import ship_package
 #: A word is a run of bytes that are neither space nor \t..\r; bytes.split() cuts at exactly these.
 WORD = r"[^\x20\x09-\x0D]+"
 FLUSH_ROWS = 250_000
+#: Rows of a few numbers that make a task of their own worth while.
+ROWS_A_TASK = 20_000
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -27,10 +28,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; only where none is named (as in tests) one of our own."""
+    """The cluster's checkpoint folder; only where none is named and master is local (as in tests) one of our own."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp("-ckpt"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp("-ckpt"))
     return sc.getCheckpointDir()
 
 
@@ -40,15 +44,27 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Like cut(), as a table of Parquet files: smaller than a checkpoint, and scans of it share exchanges.
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder from whatever store its path names."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
-    The files stay in the shared folder, which the cluster sweeps as it does for checkpoints.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+
+def few_tasks(df: DataFrame, rows: int) -> DataFrame:
+    """df of about that many small rows in no more tasks than they are worth; it never adds any."""
+    return df.coalesce(max(8, -(-rows // ROWS_A_TASK)))
+
+
+def sealed(docs: DataFrame, **roles: str) -> DataFrame:
+    """The columns named by roles under the roles' names, and all others within one struct, own: no name of theirs can clash."""
+    rest = [c for c in docs.columns if c not in roles.values()]
+    own = F.struct(*[F.col(f"`{c}`") for c in rest]) if rest else F.struct(F.lit(None).cast("boolean").alias("none"))
+    return docs.select(own.alias("own"), *[F.col(f"`{c}`").alias(role) for role, c in roles.items()])
+
+
+def opened(df: DataFrame, columns: list[str], roles: dict[str, Column], *added: Column) -> DataFrame:
+    """The columns as they were before sealed(), those in roles (by column name) with a value of their own, then the added ones."""
+    return df.select(*[roles[c].alias(c) if c in roles else F.col("own")[c].alias(c) for c in columns], *added)
 
 
 def without(df: DataFrame, *names: str) -> DataFrame:

@@ -18,53 +18,52 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, stored, without
+from .common import cut, opened, sealed, without
 
 _SALT = 32
 
 
-def _split(text_col: str):
-    return F.split(text_col, "\n", -1)
+def _split(text):
+    return F.split(text, "\n", -1)
 
 
 def _repeats(keyed: DataFrame) -> DataFrame:
-    """Of (__id, __t): (__id, __doc, __gone), the places of pairs of lines whose bytes occur earlier."""
-    rows = keyed.withColumn("__doc", F.xxhash64("__t")).withColumn("__lines", _split("__t"))
-    pairs = F.expr("transform(slice(__lines, 1, size(__lines) - 1), (l, i) -> xxhash64(l, get(__lines, i + 1)))")
-    each = rows.select("__id", "__doc", F.posexplode(pairs).alias("at", "h"))
-    place = F.struct("__id", "__doc", "at")
+    """Of (id, text): (id, doc, gone), the places of pairs of lines whose bytes occur earlier."""
+    rows = keyed.select("id", F.xxhash64("text").alias("doc"), _split("text").alias("lines"))
+    pairs = F.expr("transform(slice(lines, 1, size(lines) - 1), (l, i) -> xxhash64(l, get(lines, i + 1)))")
+    each = rows.select("id", "doc", F.posexplode(pairs).alias("at", "h"))
+    place = F.struct("id", "doc", "at")
     seen = each.groupBy("h").agg(F.min(place).alias("lo"), F.count("*").alias("k")).where("k > 1")
     found = each.join(cut(seen.select("h")), "h")
-    wanted = found.groupBy("__id", "__doc").agg(F.collect_list(F.struct("at", "h")).alias("__pairs")).select(F.col("__id").alias("__i"), F.col("__doc").alias("__d"), "__pairs")
-    held = rows.join(wanted, (F.col("__id") == F.col("__i")) & (F.col("__doc") == F.col("__d")))
-    held = held.select("__id", "__doc", "__lines", F.explode("__pairs").alias("p"))
-    twice = stored(held.select("__id", "__doc", "p.at", "p.h", F.expr("concat(get(__lines, p.at), '\n', get(__lines, p.at + 1))").alias("pair")))
+    wanted = found.groupBy("id", "doc").agg(F.collect_list(F.struct("at", "h")).alias("pairs"))
+    held = rows.join(wanted, ["id", "doc"]).select("id", "doc", "lines", F.explode("pairs").alias("p"))
+    twice = cut(held.select("id", "doc", "p.at", "p.h", F.expr("concat(get(lines, p.at), '\n', get(lines, p.at + 1))").alias("pair")))
     # Bytes decide: the text itself is a grouping key. The salt spreads a pair that very many documents share.
-    salted = twice.withColumn("s", F.pmod(F.xxhash64("__id"), F.lit(_SALT)))
+    salted = twice.withColumn("s", F.pmod(F.xxhash64("id"), F.lit(_SALT)))
     part = salted.groupBy("h", "pair", "s").agg(F.min(place).alias("first"))
-    first = stored(part.groupBy("h", "pair").agg(F.min("first").alias("first")))
+    first = cut(part.groupBy("h", "pair").agg(F.min("first").alias("first")))
     # Nearly every hash has one text, and its rows need no text to find their first place.
     texts = first.groupBy("h").agg(F.count("*").alias("n"), F.min("first").alias("first"))
-    lone = twice.select("__id", "__doc", "at", "h").join(texts.where("n = 1").select("h", "first"), "h")
+    lone = twice.select("id", "doc", "at", "h").join(texts.where("n = 1").select("h", "first"), "h")
+    # A hash of 64 bits has two texts a few hundred times in 10**11 pairs, which bounds what is broadcast.
     mixed = twice.join(F.broadcast(texts.where("n > 1").select("h")), "h", "left_semi").join(first, ["h", "pair"])
-    later = lone.select("__id", "__doc", "at", "first").unionByName(mixed.select("__id", "__doc", "at", "first")).where(F.col("first") < place)
-    return later.groupBy("__id", "__doc").agg(F.collect_set("at").alias("__gone"))
+    later = lone.select("id", "doc", "at", "first").unionByName(mixed.select("id", "doc", "at", "first")).where(F.col("first") < place)
+    return later.groupBy("id", "doc").agg(F.collect_set("at").alias("gone"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rewrites the text column; adds n_lines and n_removed_lines (long)."""
     docs = without(docs, "n_lines", "n_removed_lines")
-    gone = _repeats(docs.where(f"`{id_col}` is not null").select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t")))
-    marked = docs.withColumn("__doc2", F.xxhash64(text_col)).join(gone, (F.col(id_col) == F.col("__id")) & (F.col("__doc2") == F.col("__doc")), "left").drop("__id", "__doc", "__doc2")
-    marked = marked.withColumn("__lines", _split(text_col))
-    left = F.expr("array_except(sequence(0, size(__lines) - 1), flatten(transform(__gone, a -> array(a, a + 1))))")
-    marked = marked.withColumn("__left", F.when(F.col("__gone").isNotNull(), left))
-    changed = F.col("__gone").isNotNull()
-    text = F.when(changed, F.expr("array_join(transform(__left, i -> get(__lines, i)), '\n')")).otherwise(F.col(text_col))
-    n = F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size("__lines")).cast("long")
-    gone_lines = F.when(changed, F.size("__lines") - F.size("__left")).otherwise(F.lit(0)).cast("long")
-    columns = [text.alias(text_col) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
-    return marked.select(*columns, n.alias("n_lines"), gone_lines.alias("n_removed_lines"))
+    rows = sealed(docs, id=id_col, text=text_col)
+    gone = _repeats(rows.where("id is not null").select("id", "text"))
+    marked = rows.withColumn("doc", F.xxhash64("text")).join(gone, ["id", "doc"], "left").withColumn("lines", _split("text"))
+    left = F.expr("array_except(sequence(0, size(lines) - 1), flatten(transform(gone, a -> array(a, a + 1))))")
+    marked = marked.withColumn("left", F.when(F.col("gone").isNotNull(), left))
+    changed = F.col("gone").isNotNull()
+    text = F.when(changed, F.expr("array_join(transform(left, i -> get(lines, i)), '\n')")).otherwise(F.col("text"))
+    n = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size("lines")).cast("long")
+    gone_lines = F.when(changed, F.size("lines") - F.size("left")).otherwise(F.lit(0)).cast("long")
+    return opened(marked, docs.columns, {id_col: F.col("id"), text_col: text}, n.alias("n_lines"), gone_lines.alias("n_removed_lines"))
 
 
 def query(spark, sf_dir):

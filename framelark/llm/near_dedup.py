@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_docs, mixed, signed, window_hashes, word_hashes
+from .common import cut, few_tasks, map_docs, mixed, signed, window_hashes, word_hashes
 from .components import components
 
 BLOCKS, WIDTH, ERRORS = 12, 6, 1
@@ -123,15 +123,15 @@ def block_links(asked: list[np.ndarray], asked_in: np.ndarray, sets: list[np.nda
     return found
 
 
-def _left_over(stars: DataFrame, done: DataFrame, bodies: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Links (a, b) among the members of a hub (stars: hub, id, n) that its own links leave in different components.
+def _left_over(stars: DataFrame, m: int, done: DataFrame, bodies: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links (a, b) among the members of a hub (stars: hub, id, n, at most m rows) that its own links leave in different components.
 
     Two members in different components are not both in the hub's, so those outside of it are compared with
     all members of the hub, block by block: both sides are dealt by hash into blocks of about BLOCK_SHINGLES.
     """
-    placed = stars.join(done.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+    placed = few_tasks(stars.join(done.withColumnRenamed("node", "id"), "id", "left"), m).withColumn("c", F.coalesce("component", "id")).drop("component")
     placed = placed.join(done.select(F.col("node").alias("hub"), "component"), "hub", "left").withColumn("asks", F.col("c") != F.coalesce("component", "hub")).drop("component")
-    placed = cut(placed)
+    placed = cut(few_tasks(placed, m))
     blocks = placed.groupBy("hub").agg(F.sum("n").alias("all_n"), F.sum(F.when(F.col("asks"), F.col("n"))).alias("ask_n"), F.min("c").alias("c0"), F.max("c").alias("c1"))
     blocks = blocks.where("c0 < c1").select("hub", F.expr(f"ceil(all_n / {BLOCK_SHINGLES})").cast("int").alias("of_all"), F.expr(f"ceil(ask_n / {BLOCK_SHINGLES})").cast("int").alias("of_asking"))
     dealt = placed.join(cut(blocks), "hub").join(bodies, "id")
@@ -155,8 +155,11 @@ def _left_over(stars: DataFrame, done: DataFrame, bodies: DataFrame, shingle: in
     return cut(every.select(*columns).union(asking.select(*columns)).groupBy("hub", "block", "asking").applyInArrow(compare, "a long, b long"))
 
 
-def link_classes(reps: DataFrame, bodies: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """(node, component) of the similarity graph over classes (id, n, sig); classes without a link don't appear."""
+def link_classes(reps: DataFrame, keyed: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(node, component) of the similarity graph over classes (id, n, sig); classes without a link don't appear.
+
+    keyed: (id, body) of all documents, of which only those that meet another class are read on.
+    """
 
     def keys(sig):
         return ([index_keys(s) for s in sig],)
@@ -164,15 +167,23 @@ def link_classes(reps: DataFrame, bodies: DataFrame, shingle: int, percent: int)
     rows = map_docs(reps.select("id", "n", "sig"), keys, ["sig"], "keys array<long>", ["id", "n"]).select("id", "n", F.explode("keys").alias("key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("met")).where("met > 1")
     members = cut(rows.join(shared, "key"))
+    m = members.count()
+    members = few_tasks(members, m)
     # A bucket's hub is the member that meets most others over all its buckets: the text nearest to the group's middle.
     met = members.groupBy("id").agg(F.sum("met").alias("met"))
-    hubs = members.drop("met").join(met, "id").groupBy("key").agg(F.max(F.struct("met", -F.col("id"), "n")).alias("h"))
+    known = few_tasks(members.drop("met").join(met, "id"), m)
+    hubs = known.groupBy("key").agg(F.max(F.struct("met", -F.col("id"), "n")).alias("h"))
     hubs = hubs.select("key", (-F.col("h.col2")).alias("hub"), F.col("h.n").alias("hub_n"))
-    stars = cut(members.join(hubs, "key").where("id <> hub").select("hub", "hub_n", "id", "n").distinct())
+    stars = cut(few_tasks(few_tasks(members.join(hubs, "key").where("id <> hub"), m).select("hub", "hub_n", "id", "n").distinct(), m))
+    wanted = stars.select("id").union(stars.select("hub")).distinct()
+    bodies = cut(keyed.join(wanted, "id"))
     likely = stars.where(f"100 * least(n, hub_n) >= {percent} * greatest(n, hub_n)").select(F.col("hub").alias("b"), F.col("id").alias("a"))
     links = _confirm(likely, bodies, shingle, percent)
-    more = _left_over(stars.select("hub", "id", "n"), cut(components(links)), bodies, shingle, percent)
-    return components(links.union(more))
+    done = cut(components(links))
+    more = _left_over(stars.select("hub", "id", "n"), m, done, bodies, shingle, percent)
+    if more.isEmpty():
+        return done
+    return components(done.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -181,7 +192,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     keyed = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("body"))
     full = found.where("n > 0 and id is not null")
     reps = cut(full.groupBy("h1", "h2", "n").agg(F.min("id").alias("id"), F.first("sig").alias("sig")))
-    parts = link_classes(reps, keyed.join(reps.select("id").distinct(), "id"), shingle, percent)
+    parts = link_classes(reps, keyed, shingle, percent)
     of_class = reps.join(parts.withColumnRenamed("node", "id"), "id", "left").select("h1", "h2", "n", F.coalesce("component", "id").alias("component"))
     of_id = full.select("id", "h1", "h2", "n").join(of_class, ["h1", "h2", "n"]).groupBy("id").agg(F.min("component").alias("component"))
     out = found.select("id", "n").join(of_id, "id", "left")
@@ -191,8 +202,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with the smallest id of each group, columns as they came."""
-    gone = near_duplicates(docs, shingle, percent, id_col, text_col).where("not kept").select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    gone = near_duplicates(docs, shingle, percent, id_col, text_col).where("not kept").select(F.col(id_col).alias("gone")).distinct()
+    return docs.join(gone, docs[f"`{id_col}`"] == gone["gone"], "left_anti")
 
 
 def query(spark, sf_dir):

@@ -1,13 +1,21 @@
 """Substring dedup by level-wise doubling of repeated word windows.
 
-Level 1 looks at windows of half the wanted length, and of these only at anchors: the smallest hash
-among the half windows of each full window, so that equal full windows have equal anchors and about
-one position in four (for 13 words) is shuffled. Level 2 extends only windows whose anchor repeats
-in another document to the full length. `longest_repeats` goes on doubling until no window survives.
+A level has windows of one length: a quarter of the wanted length, half of it, all of it. Of a level
+below the last only anchors are looked at: the smallest hash among the short windows of each full
+window, so that equal full windows have equal anchors. Only full windows whose anchor repeats in
+another document are extended to anchors of twice the length, until the wanted length; a level at
+which nothing repeats leaves nothing to extend. `longest_repeats` goes on doubling from the wanted
+length until no window survives.
+
+Documents are dealt into batches by a hash of the id. A batch sends each of its windows once, with
+its smallest id, however many of its documents hold it, and is told which of them other batches hold
+too. So a window that a third of all documents share is one row for each batch, never one for each
+document. Windows are equal when 128 bits of hash are, from two unlike polynomials over word hashes.
 
 Defined results: null or empty text has no words and stays as it is; rows with a null id are never
 matched nor changed; rows that share an id do not remove each other's words; texts of any length are
-taken whole; an input column named like an output column gives way; an empty table gives no rows.
+taken whole; ids are integers; an input column named like an output column gives way; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -15,89 +23,187 @@ from __future__ import annotations
 import re
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import cut, emit, map_docs, signed, sliding_min, stored, window_hashes, without, word_hashes
+from .common import cut, emit, map_docs, opened, sealed, signed, sliding_min, window_hashes, without, word_hashes
 
 _PIECE = re.compile(rb"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
+#: Bytes of input files that make a batch of documents.
+BATCH_BYTES = 8 << 20
+_CHECK = np.uint64(0xD6E8FEB86659FD93)
+
+
+def levels(n: int) -> list[int]:
+    """Window lengths of the levels: each is twice the one before (or one less), the last is n."""
+    out = [n]
+    while len(out) < 3 and out[0] > 2:
+        out.insert(0, (out[0] + 1) // 2)
+    return out
 
 
-def _dealt(docs: DataFrame, id_col: str) -> DataFrame:
-    """Rows with an id, dealt by id. Both joins on the id stand on this one exchange, which Spark reuses."""
-    return docs.where(F.col(id_col).isNotNull()).repartition(F.col(id_col))
+def _anchors(h: np.ndarray, size: int, n: int) -> np.ndarray:
+    """For each window of n words, the hash of size words that equal windows share; at the full size its own."""
+    return sliding_min(window_hashes(h, size), n - size + 1) if len(h) >= n else h[:0]
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("body"))
+def _checks(h: np.ndarray, n: int) -> np.ndarray:
+    """The second half of a window's 128 bits."""
+    return window_hashes(h ^ (h >> np.uint64(23)) * _CHECK, n)
 
 
-def _anchors(h: np.ndarray, n: int) -> np.ndarray:
-    """For each window of n words, the anchor that equal windows share."""
-    half = (n + 1) // 2
-    return sliding_min(window_hashes(h, half), n - half + 1) if len(h) >= n else h[:0]
+def _twice(keys: np.ndarray) -> np.ndarray:
+    """The values that occur twice or more."""
+    keys = np.sort(keys)
+    return np.unique(keys[1:][keys[1:] == keys[:-1]])
 
 
-def _repeated(rows: DataFrame) -> DataFrame:
-    """Of (w, id): the rows whose window is found in two documents or more, with the smallest id (lo).
+class Batch:
+    """The documents of a batch: ids, and per document the hashes of its words."""
 
-    The rows are written once; one exchange by window then feeds both the minimum and the join.
-    """
-    dealt = stored(rows).where("w is not null and id is not null").repartition("w")  # else each branch infers filters of its own
-    least = dealt.groupBy("w").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("w", "lo")
-    return dealt.join(least.hint("merge"), "w")
+    def __init__(self, table: pa.Table):
+        self.ids = table["id"].to_numpy()
+        self.bodies = table["body"].to_pylist()
+        self.hashes = [word_hashes((b or b"").split()) for b in self.bodies]
 
+    def repeated(self, keys: list[np.ndarray], told: np.ndarray) -> np.ndarray:
+        """Of each document's keys: those that other batches hold (told), or two documents of this one."""
+        each = [np.unique(k) for k in keys]
+        at = {}
+        for k, i in zip(each, self.ids.tolist(), strict=True):
+            at.setdefault(i, []).append(k)
+        own = [np.unique(np.concatenate(ks)) if len(ks) > 1 else ks[0] for ks in at.values()]  # rows of one id are one document
+        return np.union1d(told, _twice(np.concatenate(own)) if own else told[:0])
 
-def _per_document(rows: DataFrame, name: str) -> DataFrame:
-    return rows.groupBy("id").agg(F.collect_set("w").alias(name))
+    def firsts(self, size: int, n: int, alive: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct keys of a level with their checks (0 below the last level) and the smallest id that holds each."""
+        keys, checks, ids = [], [], []
+        for i, h, ok in zip(self.ids.tolist(), self.hashes, alive, strict=True):
+            if not ok.any():
+                continue
+            k, at = np.unique(_anchors(h, size, n)[ok], return_index=True)
+            keys.append(k)
+            checks.append(_checks(h, n)[ok][at] if size == n else np.zeros(len(k), np.uint64))
+            ids.append(np.full(len(k), i, np.int64))
+        if not keys:
+            return np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64)
+        k, c, i = map(np.concatenate, (keys, checks, ids))
+        order = np.lexsort((i, c, k))
+        k, c, i = k[order], c[order], i[order]
+        new = np.ones(len(k), bool)
+        new[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
+        return k[new], c[new], i[new]
 
 
-def repeated_windows(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str = "text", dealt: DataFrame | None = None) -> DataFrame:
-    """(w, id, lo): distinct windows of n words that repeat, per document, with the smallest document."""
-    keyed = _keyed(docs.where(F.col(id_col).isNotNull()), id_col, text_col)
+def _told(table: pa.Table, name: str = "w") -> np.ndarray:
+    return table[name].to_numpy().view(np.uint64)
 
-    def level1(ids, bodies):
-        for i, body in zip(ids, bodies, strict=True):
-            words = (body or b"").split()
-            if len(words) >= n:
-                a = np.unique(_anchors(word_hashes(words), n))
-                yield signed(a), np.full(len(a), i, np.int64)
 
-    anchors = emit(keyed, level1, ["id", "body"], "w long, id long")
-    alive = _repeated(anchors).select("id", "w")
-    found = _keyed(dealt or _dealt(docs, id_col), id_col, text_col).join(_per_document(alive, "alive").hint("merge"), "id")
+def _batch_of(id_: Column, batches: int) -> Column:
+    return F.pmod(F.xxhash64(id_), F.lit(batches))
 
-    def level2(ids, bodies, alive):
-        for i, body, live in zip(ids, bodies, alive, strict=True):
-            h = word_hashes(body.split())
-            w = np.unique(window_hashes(h, n)[np.isin(signed(_anchors(h, n)), np.array(live, np.int64))])
-            yield signed(w), np.full(len(w), i, np.int64)
 
-    windows = emit(found, level2, ["id", "body", "alive"], "w long, id long")
-    return _repeated(windows)
+def _level(dealt: DataFrame, before: DataFrame | None, sizes: list[int], step: int, n: int) -> DataFrame:
+    """(w, c, lo): what each batch sends at a level; before: (batch, w) of the level below that other batches hold too."""
+    size, below = sizes[step], sizes[step - 1] if step else 0
+    last = size == n
+    names = ["w", "c", "lo"] if last else ["w", "lo"]
 
+    def sent(docs: pa.Table, told: np.ndarray | None) -> pa.Table:
+        b = Batch(docs)
+        if told is None:
+            alive = [np.ones(max(0, len(h) - n + 1), bool) for h in b.hashes]
+        else:
+            keys = [_anchors(h, below, n) for h in b.hashes]
+            good = b.repeated(keys, told)
+            alive = [np.isin(k, good) for k in keys]
+        k, c, lo = b.firsts(size, n, alive)
+        return pa.table(dict(zip(names, [signed(k), signed(c), lo] if last else [signed(k), lo], strict=True)))
 
-def longest_repeats(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, words): per document the largest n * 2**k of which a window repeats elsewhere; documents without one are left out."""
-    keyed, size, best = _keyed(_dealt(docs, id_col), id_col, text_col), n, None
-    alive = cut(repeated_windows(docs, n, id_col, text_col).select("id", "w"))
-    while not alive.isEmpty():
-        level = alive.select("id").distinct().withColumn("words", F.lit(size).cast("long"))
-        best = level if best is None else cut(best.unionByName(level))
+    schema = ", ".join(f"{x} long" for x in names)
+    if before is None:
+        return dealt.groupBy("batch").applyInArrow(lambda docs: sent(docs, None), schema)
+    return dealt.groupBy("batch").cogroup(before.groupBy("batch")).applyInArrow(lambda docs, told: sent(docs, _told(told)), schema)
 
-        def longer(ids, bodies, alive, size=size):
-            for i, body, live in zip(ids, bodies, alive, strict=True):
-                h = word_hashes(body.split())
-                if len(h) >= 2 * size:
-                    ok = np.isin(signed(window_hashes(h, size)), np.array(live, np.int64))
-                    w = np.unique(window_hashes(h, 2 * size)[ok[:-size] & ok[size:]])
-                    yield signed(w), np.full(len(w), i, np.int64)
 
-        rows = emit(keyed.join(_per_document(alive, "alive"), "id"), longer, ["id", "body", "alive"], "w long, id long")
-        alive, size = cut(_repeated(rows).select("id", "w")), 2 * size
-    if best is None:
-        best = alive.select("id", F.lit(0).cast("long").alias("words"))
-    return best.groupBy(F.col("id").alias(id_col)).agg(F.max("words").alias("words"))
+def _shared(rows: DataFrame, batches: int) -> DataFrame:
+    """(batch, w): the keys of each batch that another batch holds too."""
+    many = rows.withColumn("k", F.count("*").over(Window.partitionBy("w"))).where("k > 1")
+    return many.select(_batch_of(F.col("lo"), batches).alias("batch"), "w")
+
+
+def _earlier(rows: DataFrame, batches: int) -> DataFrame:
+    """(batch, w, c): the full windows of each batch that a smaller id of another batch holds."""
+    least = rows.withColumn("least", F.min("lo").over(Window.partitionBy("w", "c"))).where("least < lo")
+    return least.select(_batch_of(F.col("lo"), batches).alias("batch"), "w", "c")
+
+
+def _dealt(rows: DataFrame) -> tuple[DataFrame, int]:
+    """(own, id, body, batch), in batches of about BATCH_BYTES, and the number of batches.
+
+    Every level stands on this one exchange, which Spark reuses.
+    """
+    spark = rows.sparkSession
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    batches = max(8 * int(spark.conf.get("spark.sql.shuffle.partitions")), min(size, 1 << 52) // BATCH_BYTES)
+    return rows.where("id is not null").withColumn("batch", _batch_of(F.col("id"), batches)).repartition("batch"), batches
+
+
+def _covered(bodies: list, hashes: list[np.ndarray], starts: list[np.ndarray], n: int) -> tuple[list, list, list, list]:
+    """n_words, n_removed, kept_words and the text without the words that the windows of n words at starts cover."""
+    total, removed, kept, texts = [], [], [], []
+    for body, h, at in zip(bodies, hashes, starts, strict=True):
+        words = (body or b"").split()
+        gone = np.zeros(len(h), bool)
+        if at.any():
+            edge = np.zeros(len(h) + 1, np.int64)
+            edge[: len(at)] += at
+            edge[n : n + len(at)] -= at
+            gone = np.cumsum(edge[:-1]) > 0
+        total.append(len(words))
+        removed.append(int(gone.sum()))
+        if gone.any():
+            left = (~gone).tolist()
+            kept.append(b" ".join(w for w, k in zip(words, left, strict=True) if k).decode())
+            pieces = _PIECE.findall(body)
+            head = body[: len(body) - sum(map(len, pieces))]
+            texts.append((head + b"".join(p for p, k in zip(pieces, left, strict=True) if k)).decode())
+        else:
+            kept.append(b" ".join(words).decode())
+            texts.append(None if body is None else body.decode())
+    return total, removed, kept, texts
+
+
+def _starts(b: Batch, told: pa.Table, n: int) -> list[np.ndarray]:
+    """Per document, which windows of n words a smaller id holds, in another batch (told) or in this one."""
+    w, other = [window_hashes(h, n) for h in b.hashes], _told(told)
+    every = np.concatenate(w) if w else np.empty(0, np.uint64)
+    wanted = np.union1d(other, _twice(every))
+    maybe = [np.flatnonzero(np.isin(x, wanted)) for x in w]
+    out = [np.zeros(len(x), bool) for x in w]
+    doc = np.repeat(np.arange(len(w)), [len(m) for m in maybe])
+    if not len(doc):
+        return out
+    at = np.concatenate(maybe)
+    k = np.concatenate([x[m] for x, m in zip(w, maybe, strict=True)])
+    c = np.concatenate([_checks(h, n)[m] for h, m in zip(b.hashes, maybe, strict=True) if len(m)])
+    ids = b.ids[doc]
+    # Told windows come first in their group, with an id below all.
+    k, c = np.concatenate([other, k]), np.concatenate([_told(told, "c"), c])
+    below = np.concatenate([np.zeros(len(other), np.int64), np.ones(len(ids), np.int64)])
+    ids = np.concatenate([np.zeros(len(other), np.int64), ids])
+    order = np.lexsort((ids, below, c, k))
+    k, c = k[order], c[order]
+    new = np.ones(len(k), bool)
+    new[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
+    first = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    gone = np.empty(len(order), bool)
+    gone[order] = (below[first] == 0) | (ids[first] < ids[order])
+    for d, p in zip(doc[gone[len(other) :]].tolist(), at[gone[len(other) :]].tolist(), strict=True):
+        out[d][p] = True
+    return out
 
 
 def dedup_substrings(docs: DataFrame, n: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -106,40 +212,64 @@ def dedup_substrings(docs: DataFrame, n: int = 13, id_col: str = "doc_id", text_
     Adds n_words, n_removed (long), kept_words (kept words joined by one space) and rewrites the text
     column: kept words stay with the white space that followed them.
     """
-    docs = without(docs, "n_words", "n_removed", "kept_words", "__hits")
-    dealt = _dealt(docs, id_col)
-    hits = _per_document(repeated_windows(docs, n, id_col, text_col, dealt).where("lo < id"), "__hits").withColumnRenamed("id", "__id")
-    named = dealt.join(hits.hint("merge"), F.col(id_col) == F.col("__id"), "left").drop("__id")
-    nameless = docs.where(F.col(id_col).isNull()).withColumn("__hits", F.lit(None).cast("array<long>"))
-    rows = named.unionByName(nameless).withColumn("__body", F.col(text_col).cast("binary"))
-
-    def cover(bodies, hits):
-        total, removed, kept, texts = [], [], [], []
-        for body, hit in zip(bodies, hits, strict=True):
-            words = (body or b"").split()
-            gone = np.zeros(len(words), bool)
-            if hit:
-                starts = np.isin(signed(window_hashes(word_hashes(words), n)), np.array(hit, np.int64))
-                edge = np.zeros(len(words) + 1, np.int64)
-                edge[: len(starts)] += starts
-                edge[n : n + len(starts)] -= starts
-                gone = np.cumsum(edge[:-1]) > 0
-            total.append(len(words))
-            removed.append(int(gone.sum()))
-            if gone.any():
-                left = (~gone).tolist()
-                kept.append(b" ".join(w for w, k in zip(words, left, strict=True) if k).decode())
-                pieces = _PIECE.findall(body)
-                head = body[: len(body) - sum(map(len, pieces))]
-                texts.append((head + b"".join(p for p, k in zip(pieces, left, strict=True) if k)).decode())
-            else:
-                kept.append(b" ".join(words).decode())
-                texts.append(None if body is None else body.decode())
-        return total, removed, kept, texts
-
-    keep = [c for c in docs.columns if c != text_col]
-    out = map_docs(rows, cover, ["__body", "__hits"], f"n_words long, n_removed long, kept_words string, `{text_col}` string", keep)
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], "n_words", "n_removed", "kept_words")
+    docs = without(docs, "n_words", "n_removed", "kept_words")
+    rows = sealed(docs, id=id_col, text=text_col)
+    kind = rows.schema["id"].dataType
+    rows = rows.select("own", F.col("id").cast("long").alias("id"), F.col("text").cast("binary").alias("body"))
+    dealt, batches = _dealt(rows)
+    sizes, alive = levels(n), None
+    for step in range(len(sizes) - 1):
+        alive = _shared(_level(dealt, alive, sizes, step, n), batches)
+    hits = _earlier(_level(dealt, alive, sizes, len(sizes) - 1, n), batches)
+    added = T._parse_datatype_string("n_words long, n_removed long, kept_words string, text string")
+    schema = T.StructType([rows.schema["own"], rows.schema["id"], *added.fields])
+
+    def cover(docs: pa.Table, told: pa.Table) -> pa.Table:
+        b = Batch(docs)
+        out = _covered(b.bodies, b.hashes, _starts(b, told, n), n)
+        columns = [pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)]
+        return pa.Table.from_arrays([docs["own"], docs["id"], *columns], names=schema.names)
+
+    named = dealt.groupBy("batch").cogroup(hits.groupBy("batch")).applyInArrow(cover, schema)
+
+    def untouched(bodies):
+        counts = [np.zeros(len((b or b"").split()), np.uint64) for b in bodies]
+        return _covered(bodies, counts, [np.zeros(0, bool)] * len(bodies), n)
+
+    nameless = map_docs(rows.where("id is null"), untouched, ["body"], "n_words long, n_removed long, kept_words string, text string", ["own", "id"])
+    out = named.unionByName(nameless)
+    return opened(out, docs.columns, {id_col: F.col("id").cast(kind), text_col: F.col("text")}, *[F.col(c) for c in ("n_words", "n_removed", "kept_words")])
+
+
+def longest_repeats(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, words): per document the largest n * 2**k of which a window repeats elsewhere; documents without one are left out."""
+    keyed = docs.where(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("binary").alias("body"))
+
+    def windows(ids, bodies, alive, size):
+        for i, body, live in zip(ids, bodies, alive, strict=True):
+            h = word_hashes((body or b"").split())
+            if len(h) >= size:
+                w = window_hashes(h, size)
+                if live is not None:
+                    ok = np.isin(signed(window_hashes(h, size // 2)), np.array(live, np.int64))
+                    w = w[ok[: len(w)] & ok[size // 2 :]]
+                w = np.unique(w)
+                yield signed(w), np.full(len(w), i, np.int64)
+
+    def repeated(rows: DataFrame) -> DataFrame:
+        least = rows.groupBy("w").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("w")
+        return cut(rows.join(least, "w").groupBy("id").agg(F.collect_set("w").alias("alive")))
+
+    first = emit(keyed, lambda ids, bodies: windows(ids, bodies, [None] * len(ids), n), ["id", "body"], "w long, id long")
+    alive, size, best = repeated(first), n, None
+    while not alive.isEmpty():
+        level = alive.select("id", F.lit(size).cast("long").alias("words"))
+        best = level if best is None else cut(best.unionByName(level))
+        size *= 2
+        alive = repeated(emit(keyed.join(alive, "id"), lambda i, b, a, size=size: windows(i, b, a, size), ["id", "body", "alive"], "w long, id long"))
+    if best is None:
+        best = alive.select("id", F.lit(0).cast("long").alias("words"))
+    return best.groupBy(F.col("id").alias(id_col)).agg(F.max("words").alias("words"))
 
 
 def query(spark, sf_dir):
