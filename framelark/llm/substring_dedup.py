@@ -10,7 +10,8 @@ length until no window survives.
 Documents are dealt into batches by a hash of the id. A batch sends each of its windows once, with
 its smallest id, however many of its documents hold it, and is told which of them other batches hold
 too. So a window that a third of all documents share is one row for each batch, never one for each
-document. Windows are equal when 128 bits of hash are, from two unlike polynomials over word hashes.
+document. Windows are equal when 96 bits of hash are, from two unlike polynomials over word hashes;
+the second 32 go back to the batches only for a first half that has two of them.
 
 Defined results: null or empty text has no words and stays as it is; rows with a null id are never
 matched nor changed; rows that share an id do not remove each other's words; texts of any length are
@@ -20,6 +21,7 @@ gives no rows.
 
 from __future__ import annotations
 
+import itertools
 import re
 
 import numpy as np
@@ -44,57 +46,54 @@ def levels(n: int) -> list[int]:
     return out
 
 
-def _anchors(h: np.ndarray, size: int, n: int) -> np.ndarray:
-    """For each window of n words, the hash of size words that equal windows share; at the full size its own."""
-    return sliding_min(window_hashes(h, size), n - size + 1) if len(h) >= n else h[:0]
-
-
-def _checks(h: np.ndarray, n: int) -> np.ndarray:
-    """The second half of a window's 128 bits."""
-    return window_hashes(h ^ (h >> np.uint64(23)) * _CHECK, n)
-
-
-def _twice(keys: np.ndarray) -> np.ndarray:
-    """The values that occur twice or more."""
-    keys = np.sort(keys)
-    return np.unique(keys[1:][keys[1:] == keys[:-1]])
+def _among(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which keys are among the sorted known ones."""
+    if not len(known):
+        return np.zeros(len(keys), bool)
+    return known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys
 
 
 class Batch:
-    """The documents of a batch: ids, and per document the hashes of its words."""
-
-    def __init__(self, table: pa.Table):
-        self.ids = table["id"].to_numpy()
-        self.bodies = table["body"].to_pylist()
-        self.hashes = [word_hashes((b or b"").split()) for b in self.bodies]
-
-    def repeated(self, keys: list[np.ndarray], told: np.ndarray) -> np.ndarray:
-        """Of each document's keys: those that other batches hold (told), or two documents of this one."""
-        each = [np.unique(k) for k in keys]
-        at = {}
-        for k, i in zip(each, self.ids.tolist(), strict=True):
-            at.setdefault(i, []).append(k)
-        own = [np.unique(np.concatenate(ks)) if len(ks) > 1 else ks[0] for ks in at.values()]  # rows of one id are one document
-        return np.union1d(told, _twice(np.concatenate(own)) if own else told[:0])
-
-    def firsts(self, size: int, n: int, alive: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct keys of a level with their checks (0 below the last level) and the smallest id that holds each."""
-        keys, checks, ids = [], [], []
-        for i, h, ok in zip(self.ids.tolist(), self.hashes, alive, strict=True):
-            if not ok.any():
-                continue
-            k, at = np.unique(_anchors(h, size, n)[ok], return_index=True)
-            keys.append(k)
-            checks.append(_checks(h, n)[ok][at] if size == n else np.zeros(len(k), np.uint64))
-            ids.append(np.full(len(k), i, np.int64))
-        if not keys:
-            return np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64)
-        k, c, i = map(np.concatenate, (keys, checks, ids))
-        order = np.lexsort((i, c, k))
-        k, c, i = k[order], c[order], i[order]
-        new = np.ones(len(k), bool)
-        new[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
-        return k[new], c[new], i[new]
+    """The documents of a batch by ascending id, their words one after another, and the places where windows of n words start."""
+
+    def __init__(self, table: pa.Table, n: int):
+        self.table = table.take(np.argsort(table["id"].to_numpy(), kind="stable"))
+        self.words = [(b or b"").split() for b in self.table["body"].to_pylist()]
+        sizes = np.fromiter(map(len, self.words), np.int64, len(self.words))
+        self.edges = np.concatenate([[0], np.cumsum(sizes)])
+        self.h = word_hashes([w for words in self.words for w in words])
+        self.n = n
+        starts = np.arange(len(self.h)) + n <= np.repeat(self.edges[1:], sizes)
+        self.at = np.flatnonzero(starts)
+        self.ids = np.repeat(self.table["id"].to_numpy(), sizes)[self.at]
+
+    def anchors(self, size: int) -> np.ndarray:
+        """For each window, the hash of size words that equal windows share; at the full size its own."""
+        return sliding_min(window_hashes(self.h, size), self.n - size + 1)[self.at] if len(self.at) else self.h[:0]
+
+    def checks(self) -> np.ndarray:
+        """The second part of each window's bits."""
+        if not len(self.at):
+            return np.empty(0, np.uint32)
+        return (window_hashes(self.h ^ (self.h >> np.uint64(23)) * _CHECK, self.n)[self.at] >> np.uint64(32)).astype(np.uint32)
+
+    def repeated(self, keys: np.ndarray, told: np.ndarray) -> np.ndarray:
+        """Of the windows' keys, sorted: those that other batches hold (told), or two ids of this one."""
+        order = np.argsort(keys, kind="stable")  # ids ascend among equal keys
+        k, ids = keys[order], self.ids[order]
+        return np.union1d(told, k[1:][(k[1:] == k[:-1]) & (ids[1:] != ids[:-1])])
+
+
+def _firsts(keys: np.ndarray, ids: np.ndarray, checks: np.ndarray | None) -> tuple[np.ndarray, ...]:
+    """Distinct keys (and checks) with the smallest id of each; ids ascend."""
+    order = np.argsort(keys, kind="stable")
+    k, new = keys[order], np.ones(len(keys), bool)
+    new[1:] = k[1:] != k[:-1]
+    if checks is not None:
+        c = checks[order]
+        new[1:] |= c[1:] != c[:-1]  # of two checks under one key, one may come twice, which does no harm
+    order = np.sort(order[new])  # rows of one id side by side make smaller shuffle files
+    return (keys[order], ids[order]) if checks is None else (keys[order], checks[order], ids[order])
 
 
 def _told(table: pa.Table, name: str = "w") -> np.ndarray:
@@ -109,20 +108,22 @@ def _level(dealt: DataFrame, before: DataFrame | None, sizes: list[int], step: i
     """(w, c, lo): what each batch sends at a level; before: (batch, w) of the level below that other batches hold too."""
     size, below = sizes[step], sizes[step - 1] if step else 0
     last = size == n
-    names = ["w", "c", "lo"] if last else ["w", "lo"]
 
     def sent(docs: pa.Table, told: np.ndarray | None) -> pa.Table:
-        b = Batch(docs)
-        if told is None:
-            alive = [np.ones(max(0, len(h) - n + 1), bool) for h in b.hashes]
-        else:
-            keys = [_anchors(h, below, n) for h in b.hashes]
-            good = b.repeated(keys, told)
-            alive = [np.isin(k, good) for k in keys]
-        k, c, lo = b.firsts(size, n, alive)
-        return pa.table(dict(zip(names, [signed(k), signed(c), lo] if last else [signed(k), lo], strict=True)))
-
-    schema = ", ".join(f"{x} long" for x in names)
+        b = Batch(docs, n)
+        alive = np.ones(len(b.at), bool)
+        if told is not None:
+            keys = b.anchors(below)
+            alive = _among(keys, b.repeated(keys, told))
+        keys, ids, checks = b.anchors(size)[alive], b.ids[alive], b.checks()[alive] if last else None
+        if not last:  # neighbours mostly have the same anchor
+            new = np.ones(len(keys), bool)
+            new[1:] = (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])
+            keys, ids = keys[new], ids[new]
+        k, *c, lo = _firsts(keys, ids, checks)
+        return pa.table({"w": signed(k), **({"c": c[0].view(np.int32)} if last else {}), "lo": lo})
+
+    schema = "w long, c int, lo long" if last else "w long, lo long"
     if before is None:
         return dealt.groupBy("batch").applyInArrow(lambda docs: sent(docs, None), schema)
     return dealt.groupBy("batch").cogroup(before.groupBy("batch")).applyInArrow(lambda docs, told: sent(docs, _told(told)), schema)
@@ -135,9 +136,11 @@ def _shared(rows: DataFrame, batches: int) -> DataFrame:
 
 
 def _earlier(rows: DataFrame, batches: int) -> DataFrame:
-    """(batch, w, c): the full windows of each batch that a smaller id of another batch holds."""
-    least = rows.withColumn("least", F.min("lo").over(Window.partitionBy("w", "c"))).where("least < lo")
-    return least.select(_batch_of(F.col("lo"), batches).alias("batch"), "w", "c")
+    """(batch, w, c): the full windows of each batch that a smaller id of another batch holds; c is null where w says it all."""
+    of_w, of_both = Window.partitionBy("w"), Window.partitionBy("w", "c")
+    known = rows.repartition("w").withColumn("least", F.min("lo").over(of_both))  # one sort, by both, serves both windows
+    least = known.withColumn("one", F.min("c").over(of_w) == F.max("c").over(of_w)).where("least < lo")
+    return least.select(_batch_of(F.col("lo"), batches).alias("batch"), "w", F.when(~F.col("one"), F.col("c")).alias("c"))
 
 
 def _dealt(rows: DataFrame) -> tuple[DataFrame, int]:
@@ -151,59 +154,57 @@ def _dealt(rows: DataFrame) -> tuple[DataFrame, int]:
     return rows.where("id is not null").withColumn("batch", _batch_of(F.col("id"), batches)).repartition("batch"), batches
 
 
-def _covered(bodies: list, hashes: list[np.ndarray], starts: list[np.ndarray], n: int) -> tuple[list, list, list, list]:
-    """n_words, n_removed, kept_words and the text without the words that the windows of n words at starts cover."""
+def _covered(bodies: list, words_of: list[list[bytes]], gone_of: list[np.ndarray]) -> tuple[list, list, list, list]:
+    """n_words, n_removed, kept_words and the text without the words that are gone."""
     total, removed, kept, texts = [], [], [], []
-    for body, h, at in zip(bodies, hashes, starts, strict=True):
-        words = (body or b"").split()
-        gone = np.zeros(len(h), bool)
-        if at.any():
-            edge = np.zeros(len(h) + 1, np.int64)
-            edge[: len(at)] += at
-            edge[n : n + len(at)] -= at
-            gone = np.cumsum(edge[:-1]) > 0
+    for body, words, gone in zip(bodies, words_of, gone_of, strict=True):
         total.append(len(words))
-        removed.append(int(gone.sum()))
-        if gone.any():
+        n = int(np.count_nonzero(gone))
+        removed.append(n)
+        if n:
             left = (~gone).tolist()
-            kept.append(b" ".join(w for w, k in zip(words, left, strict=True) if k).decode())
+            kept.append(b" ".join(itertools.compress(words, left)).decode())
             pieces = _PIECE.findall(body)
             head = body[: len(body) - sum(map(len, pieces))]
-            texts.append((head + b"".join(p for p, k in zip(pieces, left, strict=True) if k)).decode())
+            texts.append((head + b"".join(itertools.compress(pieces, left))).decode())
         else:
             kept.append(b" ".join(words).decode())
             texts.append(None if body is None else body.decode())
     return total, removed, kept, texts
 
 
-def _starts(b: Batch, told: pa.Table, n: int) -> list[np.ndarray]:
-    """Per document, which windows of n words a smaller id holds, in another batch (told) or in this one."""
-    w, other = [window_hashes(h, n) for h in b.hashes], _told(told)
-    every = np.concatenate(w) if w else np.empty(0, np.uint64)
-    wanted = np.union1d(other, _twice(every))
-    maybe = [np.flatnonzero(np.isin(x, wanted)) for x in w]
-    out = [np.zeros(len(x), bool) for x in w]
-    doc = np.repeat(np.arange(len(w)), [len(m) for m in maybe])
-    if not len(doc):
-        return out
-    at = np.concatenate(maybe)
-    k = np.concatenate([x[m] for x, m in zip(w, maybe, strict=True)])
-    c = np.concatenate([_checks(h, n)[m] for h, m in zip(b.hashes, maybe, strict=True) if len(m)])
-    ids = b.ids[doc]
-    # Told windows come first in their group, with an id below all.
-    k, c = np.concatenate([other, k]), np.concatenate([_told(told, "c"), c])
-    below = np.concatenate([np.zeros(len(other), np.int64), np.ones(len(ids), np.int64)])
-    ids = np.concatenate([np.zeros(len(other), np.int64), ids])
-    order = np.lexsort((ids, below, c, k))
-    k, c = k[order], c[order]
-    new = np.ones(len(k), bool)
-    new[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
-    first = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
-    gone = np.empty(len(order), bool)
-    gone[order] = (below[first] == 0) | (ids[first] < ids[order])
-    for d, p in zip(doc[gone[len(other) :]].tolist(), at[gone[len(other) :]].tolist(), strict=True):
-        out[d][p] = True
-    return out
+def _starts(b: Batch, told: pa.Table) -> np.ndarray:
+    """Of the batch's windows, which a smaller id holds, in another batch (told) or in this one."""
+    every = b.anchors(b.n)
+    alone = told["c"].is_null().to_numpy()
+    other = _told(told)
+    lone, other, check = np.unique(other[alone]), other[~alone], told["c"].fill_null(0).to_numpy()[~alone].view(np.uint32)
+    gone = _among(every, lone)
+    some = np.flatnonzero(_among(every, b.repeated(every, np.unique(other))) & ~gone)
+    if len(some):
+        # Windows told of come first in their group.
+        k, c = np.concatenate([other, every[some]]), np.concatenate([check, b.checks()[some]])
+        mine = np.concatenate([np.zeros(len(other), np.int64), np.ones(len(some), np.int64)])
+        ids = np.concatenate([np.zeros(len(other), np.int64), b.ids[some]])
+        order = np.lexsort((ids, mine, c, k))
+        k, c = k[order], c[order]
+        new = np.ones(len(k), bool)
+        new[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
+        first = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+        hit = np.empty(len(order), bool)
+        hit[order] = (mine[first] == 0) | (ids[first] < ids[order])
+        gone[some] = hit[len(other) :]
+    return gone
+
+
+def _gone(b: Batch, told: pa.Table) -> list[np.ndarray]:
+    """Per document, which words are covered."""
+    edge = np.zeros(len(b.h) + 1, np.int64)
+    at = b.at[_starts(b, told)]
+    edge[at] += 1
+    edge[at + b.n] -= 1
+    covered = np.cumsum(edge[:-1]) > 0
+    return [covered[lo:hi] for lo, hi in zip(b.edges[:-1], b.edges[1:], strict=True)]
 
 
 def dedup_substrings(docs: DataFrame, n: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -225,16 +226,16 @@ def dedup_substrings(docs: DataFrame, n: int = 13, id_col: str = "doc_id", text_
     schema = T.StructType([rows.schema["own"], rows.schema["id"], *added.fields])
 
     def cover(docs: pa.Table, told: pa.Table) -> pa.Table:
-        b = Batch(docs)
-        out = _covered(b.bodies, b.hashes, _starts(b, told, n), n)
+        b = Batch(docs, n)
+        out = _covered(b.table["body"].to_pylist(), b.words, _gone(b, told))
         columns = [pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)]
-        return pa.Table.from_arrays([docs["own"], docs["id"], *columns], names=schema.names)
+        return pa.Table.from_arrays([b.table["own"], b.table["id"], *columns], names=schema.names)
 
     named = dealt.groupBy("batch").cogroup(hits.groupBy("batch")).applyInArrow(cover, schema)
 
     def untouched(bodies):
-        counts = [np.zeros(len((b or b"").split()), np.uint64) for b in bodies]
-        return _covered(bodies, counts, [np.zeros(0, bool)] * len(bodies), n)
+        words = [(b or b"").split() for b in bodies]
+        return _covered(bodies, words, [np.zeros(0, bool)] * len(words))
 
     nameless = map_docs(rows.where("id is null"), untouched, ["body"], "n_words long, n_removed long, kept_words string, text string", ["own", "id"])
     out = named.unionByName(nameless)
