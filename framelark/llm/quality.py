@@ -1,22 +1,25 @@
 """Quality rules: two base rules and robust multivariate outliers.
 
 Per language and source, the minimum covariance determinant of transformed statistics is estimated
-by deterministic concentration steps over all documents: start at medians with STARTS deviations
-(from the quartiles, from the narrower side of the median, and the granted ones alone), then
-repeatedly take the mean and covariance of the core with the smallest distances. The core is half of
-the group, (n + p + 1) / 2 of n documents, so that junk up to nearly a half does not enter it; of the
-starts, the core covariance with the smallest determinant wins. A document is rejected when its squared Mahalanobis distance exceeds CUTOFF. A group with fewer than MIN_GROUP
-documents is judged by the estimate over all documents of its language, and where that has fewer too,
-by the estimate over all documents, so every document past the base rules is judged.
+over all documents that pass the base rules. Three deterministic starts at the medians (deviations
+from the quartiles, from the narrower side of the median, and the granted ones alone) take
+concentration steps: mean and covariance of the core, the (n + p + 1) / 2 of n documents with the
+smallest distances, so that junk up to nearly a half does not enter it. After SCREEN steps the start
+with the smallest determinant goes on alone until no group's determinant falls any more (or STEPS are
+taken). One last step reweights: mean and covariance of the documents within REWEIGHT of the scaled
+core. A document is rejected when its squared Mahalanobis distance exceeds CUTOFF. A group with fewer
+than MIN_GROUP documents is judged by the estimate over all documents of its language, and where that
+has fewer too, by the estimate over all documents, so every document past the base rules is judged.
+
+A step is one pass: each task adds up counts, sums and products by group, start and bin of distance
+(BINS to a doubling), and a group's core is its nearest bins and a share of the one that its edge
+cuts. So a source that holds a third of all rows is no hot task. The estimates join the rows as a
+small table, which Spark broadcasts only under its own size threshold.
 
 A share that is zero in nearly all documents has no variance in the core; FLOOR is the deviation that
 every statistic is granted, so that one symbol in a clean text is no outlier. CUTOFF is set far
 beyond the chi-square tail, as texts are not normal: it is meant for documents of another kind.
 
-Estimates are aggregates with map-side combine, so a source that holds a third of all rows is no
-hot task; the distance joins the small table of groups, which Spark broadcasts only under its own
-size threshold and else splits by adaptive skew handling.
-
 Defined results: null text has no words and fails the base rules; null language or source is a group
 value like any other; texts are taken whole; repeated rows are judged alike; an input column named
 like an output column gives way; an empty table gives no rows.
@@ -32,14 +35,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, map_docs, numbered, window_hashes, without, word_hashes
+from .common import cut, few_tasks, map_docs, numbered, opened, sealed, window_hashes, without, word_hashes
 
 #: Fixed values of the contract.
 SYMBOLS = "#*$%&|<>"
 WINDOW, MIN_WORDS, MAX_REPEAT_PERCENT = 8, 20, 30
 #: Parameters of the estimate.
-CORE, STEPS, MIN_GROUP, CUTOFF = 0.5, 3, 60, 64.0
-STARTS = 3
+STARTS, SCREEN, STEPS, MIN_GROUP, CUTOFF = 3, 2, 12, 60, 64.0
+#: Bins of distance to a doubling, the bin of distance 1, the number of bins; the edge of reweighting is a bin's edge.
+BINS, ONE, LAST = 4, 32, 255
+REWEIGHT = 2**4.25
+#: A fall of the log determinant that is worth another step.
+SETTLED = 0.01
 #: Statistics and the deviation that each is granted at least. Repeats have a base rule of their own, so theirs is wide.
 FLOOR = {"word_length": 0.04, "symbols": 0.035, "dup_lines": 0.12, "repeats": 0.12, "upper": 0.04, "punct": 0.04, "stutter": 0.04, "digits": 0.1}
 
@@ -48,8 +55,9 @@ _PUNCT = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 _DIGITS = b"0123456789"
 _P = len(FLOOR)
 _RIDGE = np.diag([f * f for f in FLOOR.values()])
-#: The core of a group is the first of these shares that holds (n + p + 1) / 2 of its documents.
-SHARES = [CORE + (1 - CORE) * i / 20 for i in range(21)]
+#: Places of a symmetric matrix above and on its diagonal.
+_UP = np.triu_indices(_P)
+_SUMS = 1 + _P + len(_UP[0])
 
 
 def counts(text: str | None) -> tuple[int, int, int, int, int, list[float]]:
@@ -94,8 +102,8 @@ def _chi2(x: float, p: int) -> float:
     return 1 - math.exp(-x / 2) * sum((x / 2) ** k / math.factorial(k) for k in range(p // 2))
 
 
-def consistency(core: float = CORE, p: int = _P) -> float:
-    """Factor that makes the core's covariance that of a normal sample (p even)."""
+def consistency(core: float, p: int = _P) -> float:
+    """Factor that makes the covariance of the nearest share of a normal sample that of all of it (p even)."""
     if core >= 1:
         return 1.0
     lo, hi = 0.0, 200.0
@@ -105,126 +113,120 @@ def consistency(core: float = CORE, p: int = _P) -> float:
     return core / _chi2(lo, p + 2)
 
 
-def core_share(n: int, p: int = _P) -> float:
-    return next((s for s in SHARES if s * n >= (n + p + 1) / 2), 1.0)
-
+def core_size(n: int, p: int = _P) -> float:
+    return min(n, (n + p + 1) / 2)
 
-def _inverse(cov: np.ndarray) -> list[float]:
-    return np.linalg.inv(cov + _RIDGE).ravel().tolist()
 
-
-def _started(quartiles: DataFrame) -> DataFrame:
-    """__q, three quartiles of each statistic, -> per start __m (medians) and __w, the flat inverse of the spread."""
-
-    def run(quartiles):
-        means, inverses = [], []
-        for one in quartiles:
-            lo, mid, hi = np.array(one).T
-            spreads = [(hi - lo) / 1.349, np.minimum(mid - lo, hi - mid) / 0.6745, np.zeros(_P)]
-            means.append(mid.tolist() * STARTS)
-            inverses.append([v for spread in spreads for v in _inverse(np.diag(spread**2))])
-        return means, inverses
-
-    return cut(map_docs(quartiles, run, ["__q"], "__m array<double>, __w array<double>", ["__k"]))
+def packed(mean: np.ndarray, cov: np.ndarray) -> list[float]:
+    """Mean and the inverse of the covariance with what is granted, as one list."""
+    return [*mean.tolist(), *np.linalg.inv(cov + _RIDGE)[_UP].tolist()]
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
 
-def _distances(x: pa.Array, m: pa.Array, w: pa.Array, starts: int = 1) -> np.ndarray:
-    """Squared Mahalanobis distances of a batch without nulls: a row for each document, a column for each start."""
-    y = _matrix(x, _P)[:, None, :] - _matrix(m, starts * _P).reshape(-1, starts, _P)
-    z = np.einsum("nkij,nkj->nki", _matrix(w, starts * _P * _P).reshape(-1, starts, _P, _P), y)
-    return (z * y).sum(2)
-
-
-def _with_distance(df: DataFrame, name: str) -> DataFrame:
-    """Gives up __x, __m and __w for the distance, which is null where there is no estimate."""
-    keep = [f for f in df.schema.fields if f.name not in {"__x", "__m", "__w", name}]
-    k = len(keep)
-
-    def run(batches):
-        for b in batches:
-            known = b.column(k + 1).is_valid()
-            d = np.zeros(b.num_rows)
-            some = b.filter(known)
-            d[known.to_numpy(zero_copy_only=False)] = _distances(*some.columns[k:])[:, 0]
-            out = pa.array(d, mask=~known.to_numpy(zero_copy_only=False))
-            yield pa.RecordBatch.from_arrays([*b.columns[:k], out], names=[*[f.name for f in keep], name])
-
-    rows = df.select(*numbered([f.name for f in keep]), "__x", "__m", "__w")
-    return rows.mapInArrow(run, T.StructType([*keep, T.StructField(name, T.DoubleType())]))
+def distances(x: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """Squared Mahalanobis distances: a row for each document, a column for each packed estimate."""
+    starts = e.shape[1] // (_P + len(_UP[0]))
+    e = e.reshape(len(e), starts, -1)
+    y = x[:, None, :] - e[:, :, :_P]
+    twice = np.where(_UP[0] == _UP[1], 1.0, 2.0)
+    return (e[:, :, _P:] * twice * y[:, :, _UP[0]] * y[:, :, _UP[1]]).sum(2)
 
 
-def _reaches(rows: DataFrame) -> DataFrame:
-    """(__k, __d): the distances from every start."""
-
-    def run(batches):
-        for b in batches:
-            d = _distances(*b.columns[1:], STARTS)
-            at = np.arange(len(d) + 1, dtype=np.int32) * STARTS
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(at, d.ravel())], names=["__k", "__d"])
-
-    return rows.select("__k", "__x", "__m", "__w").mapInArrow(run, "__k string, __d array<double>")
+def bins(d: np.ndarray) -> np.ndarray:
+    return np.clip(np.floor(np.log2(np.maximum(d, 1e-9)) * BINS).astype(np.int64) + ONE, 0, LAST)
 
 
-def _sums(rows: DataFrame) -> DataFrame:
-    """(__k, __s): per group, over its core (distance up to __h) of every start, the count, the sums and the sums of products of __x.
-
-    They are added up in each task, then by position.
-    """
-
-    def run(batches):
-        total: dict[str, np.ndarray] = {}
-        for b in batches:
-            core = _distances(*b.columns[2:], STARTS) <= _matrix(b.column(1), STARTS)
-            of = b.column(0).dictionary_encode()
-            x = _matrix(b.column(2), _P)
-            at = of.indices.to_numpy()
-            for g, k in enumerate(of.dictionary.to_pylist()):
-                mine = at == g
-                parts = [x[mine & core[:, start]] for start in range(STARTS)]
-                part = np.concatenate([v for y in parts for v in ([len(y)], y.sum(0), (y.T @ y).ravel())])
-                total[k] = total[k] + part if k in total else part
-        for k, v in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k] * len(v)), pa.array(np.arange(len(v), dtype=np.int32)), pa.array(v)], names=["__k", "i", "v"])
+def nearest(by_bin: np.ndarray, v: np.ndarray, size: float) -> np.ndarray:
+    """Of sums v by ascending bin, those over the nearest size documents; of the last bin an even share."""
+    order = np.argsort(by_bin)
+    v = v[order]
+    before = np.cumsum(v[:, 0]) - v[:, 0]
+    share = np.clip((size - before) / np.maximum(v[:, 0], 1e-300), 0, 1)
+    return (v * share[:, None]).sum(0)
 
-    by_place = rows.select("__k", "__h", "__x", "__m", "__w").mapInArrow(run, "__k string, i int, v double").groupBy("__k", "i").agg(F.sum("v").alias("v"))
-    return by_place.groupBy("__k").agg(F.expr("transform(array_sort(collect_list(struct(i, v))), p -> p.v)").alias("__s"))
 
+def moments(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    mean, cov = s[1 : 1 + _P] / s[0], np.empty((_P, _P))
+    cov[_UP] = s[1 + _P :] / s[0]
+    cov.T[_UP] = cov[_UP]
+    return mean, cov - np.outer(mean, mean)
 
-def _cores(s: list[float]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Mean and covariance of the core of every start."""
-    out = []
-    for one in np.array(s).reshape(STARTS, -1):
-        mean = one[1 : 1 + _P] / one[0]
-        out.append((mean, one[1 + _P :].reshape(_P, _P) / one[0] - np.outer(mean, mean)))
-    return out
 
+def _started(quartiles: DataFrame) -> DataFrame:
+    """(__k, __n, __q), three quartiles of each statistic -> (__k, __n, __e, __det, __fall): the packed starts."""
 
-def _estimated(sums: DataFrame) -> DataFrame:
-    """__s -> per start __m and __w, the flat inverse of the covariance."""
+    def run(quartiles):
+        out = []
+        for one in quartiles:
+            lo, mid, hi = np.array(one).T
+            spreads = [(hi - lo) / 1.349, np.minimum(mid - lo, hi - mid) / 0.6745, np.zeros(_P)]
+            out.append([v for spread in spreads for v in packed(mid, np.diag(spread**2))])
+        return out, [np.inf] * len(out), [np.inf] * len(out)
 
-    def run(sums):
-        cores = [_cores(s) for s in sums]
-        return [[v for mean, _ in c for v in mean.tolist()] for c in cores], [[v for _, cov in c for v in _inverse(cov)] for c in cores]
+    return cut(map_docs(quartiles, run, ["__q"], "__e array<double>, __det double, __fall double", ["__k", "__n"]))
 
-    return cut(map_docs(sums, run, ["__s"], "__m array<double>, __w array<double>", ["__k"]))
 
+def _sums(rows: DataFrame) -> DataFrame:
+    """Of (__k, __x, __e): per group, (start, bin, count, sums and products of __x) of every bin, added up in each task first."""
 
-def _chosen(sums: DataFrame) -> DataFrame:
-    """__s and the group's size -> __m and __w of the start with the smallest determinant, for the covariance of a normal sample."""
+    def run(batches):
+        total: dict[tuple[str, int, int], np.ndarray] = {}
 
-    def run(sums, sizes):
-        means, inverses = [], []
-        for s, n in zip(sums, sizes, strict=True):
-            mean, cov = min(_cores(s), key=lambda c: np.linalg.slogdet(c[1] + _RIDGE)[1])
-            means.append(mean.tolist())
-            inverses.append(_inverse(cov * consistency(core_share(n))))
-        return means, inverses
+        def out():
+            keys = list(total)
+            v = np.array([total[k] for k in keys])
+            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys]), *[pa.array([k[i] for k in keys], pa.int32()) for i in (1, 2)], *[pa.array(np.ascontiguousarray(c)) for c in v.T]], names=names)
 
-    return cut(map_docs(sums, run, ["__s", "__n"], "__m array<double>, __w array<double>", ["__k"]))
+        for b in batches:
+            x = _matrix(b.column(1), _P)
+            d = bins(distances(x, np.stack(b.column(2).to_numpy(zero_copy_only=False))))
+            of = b.column(0).dictionary_encode()
+            groups, at = of.dictionary.to_pylist(), of.indices.to_numpy().astype(np.int64)
+            features = np.column_stack([np.ones(len(x)), x, x[:, _UP[0]] * x[:, _UP[1]]])
+            for start in range(d.shape[1]):
+                key = at * (LAST + 1) + d[:, start]
+                order = np.argsort(key, kind="stable")
+                first = np.flatnonzero(np.diff(key[order], prepend=-1))
+                for k, v in zip(key[order][first].tolist(), np.add.reduceat(features[order], first), strict=True):
+                    name = (groups[k // (LAST + 1)], start, k % (LAST + 1))
+                    total[name] = total[name] + v if name in total else v
+            if len(total) > 50_000:
+                yield out()
+                total.clear()
+        if total:
+            yield out()
+
+    names = ["__k", "start", "bin", *[f"v{i}" for i in range(_SUMS)]]
+    schema = "__k string, start int, bin int, " + ", ".join(f"v{i} double" for i in range(_SUMS))
+    each = rows.select("__k", "__x", "__e").mapInArrow(run, schema)
+    return each.groupBy("__k", "start", "bin").agg(*[F.sum(f"v{i}").alias(f"v{i}") for i in range(_SUMS)])
+
+
+def _by_start(sums: list) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    start, at = np.array([s["start"] for s in sums]), np.array([s["bin"] for s in sums])
+    v = np.array([s["v"] for s in sums])
+    return {k: (at[start == k], v[start == k]) for k in np.unique(start).tolist()}
+
+
+def concentrated(sums: list, n: int, screen: bool, last: bool) -> tuple[list[float], float]:
+    """Packed estimates after a step and the smallest log determinant; screen keeps the best start alone; last scales it."""
+    cores = [moments(nearest(*s, core_size(n))) for s in _by_start(sums).values()]
+    dets = [float(np.linalg.slogdet(cov + _RIDGE)[1]) for _, cov in cores]
+    if screen or last:
+        mean, cov = cores[int(np.argmin(dets))]
+        return packed(mean, cov * (consistency(core_size(n) / n) if last else 1.0)), min(dets)
+    return [v for c in cores for v in packed(*c)], min(dets)
+
+
+def reweighted(sums: list) -> list[float]:
+    """The packed estimate over the bins within REWEIGHT."""
+    ((at, v),) = _by_start(sums).values()
+    near = v[at < round(np.log2(REWEIGHT) * BINS) + ONE]
+    mean, cov = moments(near.sum(0) if len(near) else v.sum(0))
+    return packed(mean, cov * _chi2(REWEIGHT, _P) / _chi2(REWEIGHT, _P + 2))
 
 
 def _joined(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
@@ -237,62 +239,104 @@ def _joined(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(g, match, "left").drop(*[f"__g_{k}" for k in keys])
 
 
-def estimates(rows: DataFrame) -> DataFrame:
-    """(__k, __m, __w): location and inverse scatter of __x per group __k, by concentration steps."""
-    quartiles = rows.groupBy("__k").agg(F.array(*[F.percentile_approx(F.col("__x")[i], [0.25, 0.5, 0.75], 2000) for i in range(_P)]).alias("__q"))
-    now = _started(quartiles)
-    # Where in SHARES the group's core is.
-    place = F.expr(f"cast(greatest(0, least(20, ceil(((__n + {_P + 1}) / (2.0D * __n) - {CORE}D) * {20 / (1 - CORE)}D - 1e-9D))) as int)")
-    for step in range(STEPS):
-        reach = _reaches(_joined(rows, now, ["__k"]))
-        shares = F.array(*[F.percentile_approx(F.col("__d")[i], SHARES, 2000) for i in range(STARTS)])
-        bound = reach.groupBy("__k").agg(F.count("*").alias("__n"), shares.alias("__h")).withColumn("__at", place)
-        bound = cut(bound.select("__k", "__n", F.expr("transform(__h, h -> h[__at])").alias("__h")))
-        sums = _sums(_joined(rows, now.join(bound, "__k"), ["__k"]))
-        now = _chosen(sums.join(bound.select("__k", "__n"), "__k")) if step == STEPS - 1 else _estimated(sums)
-    return now
+def estimates(rows: DataFrame, groups: int) -> DataFrame:
+    """(__k, __e): the packed location and inverse scatter of __x per group __k; groups: about how many there are."""
+    quartiles = rows.groupBy("__k").agg(F.count("*").alias("__n"), F.array(*[F.percentile_approx(F.col("__x")[i], [0.25, 0.5, 0.75], 2000) for i in range(_P)]).alias("__q"))
+    now = _started(few_tasks(quartiles, groups))
+
+    def stepped(now: DataFrame, fn, added: str) -> DataFrame:
+        sums = few_tasks(_sums(rows.join(now.select("__k", "__e"), "__k")), groups * 100)
+        v = F.array(*[f"v{i}" for i in range(_SUMS)]).alias("v")
+        lists = few_tasks(sums.groupBy("__k").agg(F.collect_list(F.struct("start", "bin", v)).alias("__s")), groups)  # at most STARTS * LAST structs
+        return cut(map_docs(few_tasks(lists.join(now.select("__k", "__n", F.col("__det").alias("__was")), "__k"), groups), fn, ["__s", "__n", "__was"], added, ["__k", "__n"]))
+
+    for step in range(1, STEPS + 1):
+
+        def concentrate(sums, sizes, was, step=step, last=False):
+            out = [concentrated(s, n, step >= SCREEN, last) for s, n in zip(sums, sizes, strict=True)]
+            return [e for e, _ in out], [d for _, d in out], [w - d for w, (_, d) in zip(was, out, strict=True)]
 
+        now = stepped(now, concentrate, "__e array<double>, __det double, __fall double")
+        if step > SCREEN and (now.agg(F.max("__fall")).first()[0] or 0) < SETTLED:
+            break
 
-#: Names that judge works with; input columns so named give way.
-_RESERVED = ("__lang", "__source", "__level", "__k", "__feeds", "__x", "__m", "__w", "__n", "__h", "__d", "__all", "__own", "__any")
+    def scale(sums, sizes, was):
+        out = [concentrated(s, n, True, True) for s, n in zip(sums, sizes, strict=True)]
+        return [e for e, _ in out], [d for _, d in out], [0.0] * len(out)
 
+    now = stepped(now, scale, "__e array<double>, __det double, __fall double")
+    return stepped(now, lambda sums, sizes, was: ([reweighted(s) for s in sums],), "__e array<double>").select("__k", "__e")
 
-def _levels(s: DataFrame) -> DataFrame:
-    """Per language and source: __k, the group that judges it, and __feeds, the groups whose estimates its documents enter."""
-    sizes = cut(s.groupBy("__lang", "__source").agg(F.sum(F.when(F.col("base_failed"), 0).otherwise(1)).alias("__n")))
+
+def _levels(s: DataFrame) -> tuple[DataFrame, int, int]:
+    """Per language and source: __k, the group that judges it, and __feeds, the groups whose estimates its documents enter; groups and rows of s."""
+    sizes = cut(s.groupBy("__lang", "__source").agg(F.sum(F.when(F.col("base_failed"), 0).otherwise(1)).alias("__n"), F.count("*").alias("__rows")))
+    n, rows = sizes.agg(F.count("*"), F.coalesce(F.sum("__rows"), F.lit(0))).first()
+    sizes = few_tasks(sizes, n)
     own = F.col("__n") >= MIN_GROUP
-    langs = sizes.groupBy("__lang").agg((F.sum("__n") >= MIN_GROUP).alias("__all"), F.bool_or(~own).alias("__any"))
+    langs = few_tasks(sizes.groupBy("__lang").agg((F.sum("__n") >= MIN_GROUP).alias("__all"), F.bool_or(~own).alias("__any")), n)
     overall = langs.agg(F.coalesce(F.bool_or(~F.col("__all")), F.lit(False)).alias("__own"))
-    groups = _joined(sizes, langs, ["__lang"]).crossJoin(F.broadcast(overall))
+    groups = _joined(sizes, langs, ["__lang"]).crossJoin(F.broadcast(overall))  # one row
     # One name for each group; a null language or source is a value, so the level is part of the name.
     key = lambda level, *parts: F.to_json(F.struct(F.lit(level).alias("__level"), *parts))
     keys = [key(0, "__lang", "__source"), key(1, "__lang"), key(2)]
     judged_by = F.when(own, keys[0]).when(F.col("__all"), keys[1]).otherwise(keys[2])
     feeds = F.array(F.when(own, keys[0]), F.when(F.col("__all") & F.col("__any"), keys[1]), F.when(F.col("__own"), keys[2]))
-    return cut(groups.select("__lang", "__source", judged_by.alias("__k"), F.filter(feeds, lambda k: k.isNotNull()).alias("__feeds")))
+    out = few_tasks(groups.select("__lang", "__source", judged_by.alias("__k"), F.filter(feeds, lambda k: k.isNotNull()).alias("__feeds")), n)
+    return cut(out), n, rows
+
+
+def fit(s: DataFrame) -> DataFrame:
+    """(__lang, __source, __e) from statistics (__lang, __source, base_failed, __x) of all documents."""
+    levels, groups, rows = _levels(s)
+    fed = _joined(few_tasks(s.where("not base_failed"), rows), levels, ["__lang", "__source"])
+    fitted = estimates(few_tasks(cut(fed.select(F.explode("__feeds").alias("__k"), "__x")), rows), groups)
+    return cut(few_tasks(levels.join(fitted, "__k", "left"), groups).select("__lang", "__source", "__e"))
+
+
+def _judged(s: DataFrame, fitted: DataFrame) -> DataFrame:
+    """s without __lang, __source and __x, with distance (null only where no document passes the base rules) and kept."""
+    keep = [f for f in s.schema.fields if f.name not in {"__lang", "__source", "__x"}]
+    k = len(keep)
+
+    def run(batches):
+        for b in batches:
+            known = b.column(k + 1).is_valid()
+            at = known.to_numpy(zero_copy_only=False)
+            d = np.zeros(b.num_rows)
+            if at.any():
+                some = b.filter(known)
+                d[at] = distances(_matrix(some.column(k), _P), np.stack(some.column(k + 1).to_numpy(zero_copy_only=False)))[:, 0]
+            yield pa.RecordBatch.from_arrays([*b.columns[:k], pa.array(d, mask=~at)], names=[*[f.name for f in keep], "distance"])
+
+    rows = _joined(s, fitted, ["__lang", "__source"]).select(*numbered([f.name for f in keep]), "__x", "__e")
+    out = rows.mapInArrow(run, T.StructType([*keep, T.StructField("distance", T.DoubleType())]))
+    return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= CUTOFF, F.lit(True)))
+
+
+_ADDED = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", "kept"]
 
 
 def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", keep: list[str] | None = None) -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long), base_failed, distance (double, null only where no document passes the base rules), kept."""
-    docs = without(docs, "base_failed", "distance", "kept", *_RESERVED)
+    docs = without(docs, *_ADDED)
     keep = [c for c in (keep or docs.columns) if c in docs.columns]
-    named = docs.withColumn("__lang", F.col(lang_col)).withColumn("__source", F.col(source_col))
-    s = cut(statistics(named, text_col, [*keep, "__lang", "__source"]))
-    levels = _levels(s)
-    grouped = _joined(s, levels, ["__lang", "__source"])
-    fitted = estimates(cut(grouped.where("not base_failed").select(F.explode("__feeds").alias("__k"), "__x")))
-    out = _with_distance(_joined(grouped.drop("__lang", "__source", "__feeds"), fitted, ["__k"]), "distance")
-    out = out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= CUTOFF, F.lit(True)))
-    return out.drop("__k")
-
-
-def drop_low_quality(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The documents that pass, columns as they came, whatever their names."""
-    names = docs.columns
-    own = {c: f"__own{i}" for i, c in enumerate(names)}
-    renamed = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in own.items()])
-    judged = judge(renamed, own["text"], own["lang"], own["source"])
-    return judged.where("kept").select(*[F.col(n).alias(c) for c, n in own.items()])
+    own = F.struct(*[F.col(f"`{c}`") for c in keep])
+    rows = docs.select(own.alias("own"), *[F.col(f"`{c}`").alias(name) for name, c in (("text", text_col), ("__lang", lang_col), ("__source", source_col))])
+    s = cut(statistics(rows, "text", ["own", "__lang", "__source"]))
+    return opened(_judged(s, fit(s)), keep, {}, *_ADDED)
+
+
+def drop_low_quality(docs: DataFrame) -> DataFrame:
+    """The documents that pass, columns as they came, whatever their names.
+
+    The estimates are made from numbers alone; a second scan judges, so that no text is written twice.
+    """
+    rows = sealed(docs, text="text", __lang="lang", __source="source")
+    fitted = fit(cut(statistics(rows.select("text", "__lang", "__source"), "text", ["__lang", "__source"])))
+    copies = rows.withColumns({"lang": F.col("__lang"), "source": F.col("__source")})
+    kept = _judged(statistics(copies, "text", ["own", "text", "lang", "source", "__lang", "__source"]), fitted).where("kept")
+    return opened(kept, docs.columns, {c: F.col(c) for c in ("text", "lang", "source")})
 
 
 def query(spark, sf_dir):
