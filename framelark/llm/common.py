@@ -19,6 +19,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 FLUSH_ROWS = 250_000
 #: Rows of a few numbers that make a task of their own worth while.
 ROWS_A_TASK = 20_000
+#: A counted table of up to so many bytes is broadcast.
+BROADCAST_BYTES = 8 << 20
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -55,6 +57,11 @@ def few_tasks(df: DataFrame, rows: int) -> DataFrame:
     return df.coalesce(max(8, -(-rows // ROWS_A_TASK)))
 
 
+def small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
+    """df, of a counted number of rows, to be broadcast if they are few enough; else Spark deals both sides of the join."""
+    return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
+
+
 def sealed(docs: DataFrame, **roles: str) -> DataFrame:
     """The columns named by roles under the roles' names, and all others within one struct, own: no name of theirs can clash."""
     rest = [c for c in docs.columns if c not in roles.values()]

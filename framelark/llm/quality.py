@@ -14,7 +14,7 @@ has fewer too, by the estimate over all documents, so every document past the ba
 A step is one pass: each task adds up counts, sums and products by group, start and bin of distance
 (BINS to a doubling), and a group's core is its nearest bins and a share of the one that its edge
 cuts. So a source that holds a third of all rows is no hot task. The estimates join the rows as a
-small table, which Spark broadcasts only under its own size threshold.
+table, which is broadcast only when its counted rows are few.
 
 A share that is zero in nearly all documents has no variance in the core; FLOOR is the deviation that
 every statistic is granted, so that one symbol in a clean text is no outlier. CUTOFF is set far
@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, few_tasks, map_docs, numbered, opened, sealed, window_hashes, without, word_hashes
+from .common import cut, few_tasks, map_docs, numbered, opened, sealed, small, window_hashes, without, word_hashes
 
 #: Fixed values of the contract.
 SYMBOLS = "#*$%&|<>"
@@ -58,6 +58,8 @@ _RIDGE = np.diag([f * f for f in FLOOR.values()])
 #: Places of a symmetric matrix above and on its diagonal.
 _UP = np.triu_indices(_P)
 _SUMS = 1 + _P + len(_UP[0])
+#: Bytes of a group's row, at most about.
+_ROW_BYTES = 8 * STARTS * _SUMS + 200
 
 
 def counts(text: str | None) -> tuple[int, int, int, int, int, list[float]]:
@@ -229,26 +231,26 @@ def reweighted(sums: list) -> list[float]:
     return packed(mean, cov * _chi2(REWEIGHT, _P) / _chi2(REWEIGHT, _P + 2))
 
 
-def _joined(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
-    """Groups are few rows; null keys are values."""
+def _joined(rows: DataFrame, groups: DataFrame, n: int, keys: list[str]) -> DataFrame:
+    """groups: n rows; null keys are values."""
     g = groups.select(*[F.col(k).alias(f"__g_{k}") for k in keys], *[c for c in groups.columns if c not in keys])
     on = [F.col(k).eqNullSafe(F.col(f"__g_{k}")) for k in keys]
     match = on[0]
     for c in on[1:]:
         match = match & c
-    return rows.join(g, match, "left").drop(*[f"__g_{k}" for k in keys])
+    return rows.join(small(g, n, _ROW_BYTES), match, "left").drop(*[f"__g_{k}" for k in keys])
 
 
 def estimates(rows: DataFrame, groups: int) -> DataFrame:
-    """(__k, __e): the packed location and inverse scatter of __x per group __k; groups: about how many there are."""
+    """(__k, __e): the packed location and inverse scatter of __x per group __k; groups: how many languages and sources there are, so that at most about twice as many keys."""
     quartiles = rows.groupBy("__k").agg(F.count("*").alias("__n"), F.array(*[F.percentile_approx(F.col("__x")[i], [0.25, 0.5, 0.75], 2000) for i in range(_P)]).alias("__q"))
     now = _started(few_tasks(quartiles, groups))
 
     def stepped(now: DataFrame, fn, added: str) -> DataFrame:
-        sums = few_tasks(_sums(rows.join(now.select("__k", "__e"), "__k")), groups * 100)
+        sums = few_tasks(_sums(rows.join(small(now.select("__k", "__e"), 2 * groups, _ROW_BYTES), "__k")), groups * 100)
         v = F.array(*[f"v{i}" for i in range(_SUMS)]).alias("v")
         lists = few_tasks(sums.groupBy("__k").agg(F.collect_list(F.struct("start", "bin", v)).alias("__s")), groups)  # at most STARTS * LAST structs
-        return cut(map_docs(few_tasks(lists.join(now.select("__k", "__n", F.col("__det").alias("__was")), "__k"), groups), fn, ["__s", "__n", "__was"], added, ["__k", "__n"]))
+        return cut(map_docs(few_tasks(lists.join(small(now.select("__k", "__n", F.col("__det").alias("__was")), 2 * groups, _ROW_BYTES), "__k"), groups), fn, ["__s", "__n", "__was"], added, ["__k", "__n"]))
 
     for step in range(1, STEPS + 1):
 
@@ -276,7 +278,7 @@ def _levels(s: DataFrame) -> tuple[DataFrame, int, int]:
     own = F.col("__n") >= MIN_GROUP
     langs = few_tasks(sizes.groupBy("__lang").agg((F.sum("__n") >= MIN_GROUP).alias("__all"), F.bool_or(~own).alias("__any")), n)
     overall = langs.agg(F.coalesce(F.bool_or(~F.col("__all")), F.lit(False)).alias("__own"))
-    groups = _joined(sizes, langs, ["__lang"]).crossJoin(F.broadcast(overall))  # one row
+    groups = _joined(sizes, langs, n, ["__lang"]).crossJoin(F.broadcast(overall))  # one row
     # One name for each group; a null language or source is a value, so the level is part of the name.
     key = lambda level, *parts: F.to_json(F.struct(F.lit(level).alias("__level"), *parts))
     keys = [key(0, "__lang", "__source"), key(1, "__lang"), key(2)]
@@ -286,15 +288,15 @@ def _levels(s: DataFrame) -> tuple[DataFrame, int, int]:
     return cut(out), n, rows
 
 
-def fit(s: DataFrame) -> DataFrame:
-    """(__lang, __source, __e) from statistics (__lang, __source, base_failed, __x) of all documents."""
+def fit(s: DataFrame) -> tuple[DataFrame, int]:
+    """(__lang, __source, __e), and how many rows, from statistics (__lang, __source, base_failed, __x) of all documents."""
     levels, groups, rows = _levels(s)
-    fed = _joined(few_tasks(s.where("not base_failed"), rows), levels, ["__lang", "__source"])
+    fed = _joined(few_tasks(s.where("not base_failed"), rows), levels, groups, ["__lang", "__source"])
     fitted = estimates(few_tasks(cut(fed.select(F.explode("__feeds").alias("__k"), "__x")), rows), groups)
-    return cut(few_tasks(levels.join(fitted, "__k", "left"), groups).select("__lang", "__source", "__e"))
+    return cut(few_tasks(levels.join(small(fitted, 2 * groups, _ROW_BYTES), "__k", "left"), groups).select("__lang", "__source", "__e")), groups
 
 
-def _judged(s: DataFrame, fitted: DataFrame) -> DataFrame:
+def _judged(s: DataFrame, fitted: DataFrame, groups: int) -> DataFrame:
     """s without __lang, __source and __x, with distance (null only where no document passes the base rules) and kept."""
     keep = [f for f in s.schema.fields if f.name not in {"__lang", "__source", "__x"}]
     k = len(keep)
@@ -309,7 +311,7 @@ def _judged(s: DataFrame, fitted: DataFrame) -> DataFrame:
                 d[at] = distances(_matrix(some.column(k), _P), np.stack(some.column(k + 1).to_numpy(zero_copy_only=False)))[:, 0]
             yield pa.RecordBatch.from_arrays([*b.columns[:k], pa.array(d, mask=~at)], names=[*[f.name for f in keep], "distance"])
 
-    rows = _joined(s, fitted, ["__lang", "__source"]).select(*numbered([f.name for f in keep]), "__x", "__e")
+    rows = _joined(s, fitted, groups, ["__lang", "__source"]).select(*numbered([f.name for f in keep]), "__x", "__e")
     out = rows.mapInArrow(run, T.StructType([*keep, T.StructField("distance", T.DoubleType())]))
     return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= CUTOFF, F.lit(True)))
 
@@ -324,7 +326,7 @@ def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
     own = F.struct(*[F.col(f"`{c}`") for c in keep])
     rows = docs.select(own.alias("own"), *[F.col(f"`{c}`").alias(name) for name, c in (("text", text_col), ("__lang", lang_col), ("__source", source_col))])
     s = cut(statistics(rows, "text", ["own", "__lang", "__source"]))
-    return opened(_judged(s, fit(s)), keep, {}, *_ADDED)
+    return opened(_judged(s, *fit(s)), keep, {}, *_ADDED)
 
 
 def drop_low_quality(docs: DataFrame) -> DataFrame:
@@ -333,9 +335,9 @@ def drop_low_quality(docs: DataFrame) -> DataFrame:
     The estimates are made from numbers alone; a second scan judges, so that no text is written twice.
     """
     rows = sealed(docs, text="text", __lang="lang", __source="source")
-    fitted = fit(cut(statistics(rows.select("text", "__lang", "__source"), "text", ["__lang", "__source"])))
+    fitted, groups = fit(cut(statistics(rows.select("text", "__lang", "__source"), "text", ["__lang", "__source"])))
     copies = rows.withColumns({"lang": F.col("__lang"), "source": F.col("__source")})
-    kept = _judged(statistics(copies, "text", ["own", "text", "lang", "source", "__lang", "__source"]), fitted).where("kept")
+    kept = _judged(statistics(copies, "text", ["own", "text", "lang", "source", "__lang", "__source"]), fitted, groups).where("kept")
     return opened(kept, docs.columns, {c: F.col(c) for c in ("text", "lang", "source")})
 
 
