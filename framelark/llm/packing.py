@@ -6,11 +6,12 @@ capacity go at most two to a bin, each with the largest partner that still fits,
 smaller lengths, longest first, go to the tightest gap that holds them; what fits no gap opens new
 bins. A plan row places a run of equal pieces into a run of equal bins, so the plan's size depends on
 the capacity, not on the corpus. Pieces find their place by their rank within their length, counted
-over salted sub-buckets, and a range lookup in the plan.
+over sub-buckets of about BUCKET pieces, however common a length is, and a range lookup in the plan.
 
 Defined results: null or empty text is one piece holding the end id alone; rows with the same id are
 packed one by one (their pieces are interchangeable); a piece of full capacity is a bin of its own;
-texts of any length are tokenised whole; empty tables give no rows.
+texts of any length are tokenised whole; a kept column named like an output column gives way; empty
+tables give no rows.
 """
 
 from __future__ import annotations
@@ -29,7 +30,8 @@ from pyspark.sql import functions as F
 from .common import cut, map_docs
 
 CAPACITY = 2048
-SALT = 64
+#: Pieces of one length that are ranked in one task, about.
+BUCKET = 50_000
 
 
 @lru_cache(2)
@@ -52,22 +54,38 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
 
 
-def pieces(docs: DataFrame, path: str, capacity: int, id_col: str, text_col: str, keep: list[str]) -> DataFrame:
-    """One row per piece: (keep..., piece, start, length, ids_crc32); only documents above the capacity are cut."""
+@lru_cache(2)
+def _library(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
+def token_ids(text: str | None, path: str) -> np.ndarray:
+    """The ids of a whole text, then id 0."""
+    try:
+        ids = encoder(path).encode(text or "", allowed_special="all")
+    except ValueError:  # its pattern engine refuses runs of about a million white spaces; the library itself does not
+        ids = _library(path).encode(text, add_special_tokens=False).ids
+    return np.array([*ids, 0], np.uint32)
+
+
+def pieces(docs: DataFrame, path: str, capacity: int, text_col: str, keep: list[str]) -> DataFrame:
+    """One row per piece: (own: the kept columns, piece, start, length, ids_crc32); only documents above the capacity are cut."""
 
     def tokenised(texts):
-        enc = encoder(path)
         out = []
         for text in texts:
-            ids = np.array([*enc.encode(text or "", allowed_special="all"), 0], np.uint32)
+            ids = token_ids(text, path)
             head = len(ids) % capacity or capacity
             at = [0, *range(head, len(ids), capacity)] if len(ids) > capacity else [0]
             ends = [*at[1:], len(ids)]
             out.append([(k, a, b - a, zlib.crc32(ids[a:b].astype("<u4").tobytes())) for k, (a, b) in enumerate(zip(at, ends, strict=True))])
         return ([[dict(zip(("piece", "start", "length", "ids_crc32"), p, strict=True)) for p in doc] for doc in out],)
 
-    rows = map_docs(docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, text_col])]), tokenised, [text_col], "__pieces array<struct<piece:int,start:long,length:long,ids_crc32:long>>", keep)
-    return rows.select(*[F.col(f"`{c}`") for c in keep], F.inline("__pieces"))
+    own = F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.struct(F.lit(None).cast("boolean").alias("none"))
+    rows = docs.select(own.alias("own"), F.col(f"`{text_col}`").alias("text"))
+    return map_docs(rows, tokenised, ["text"], "pieces array<struct<piece:int,start:long,length:long,ids_crc32:long>>", ["own"]).select("own", F.inline("pieces"))
 
 
 def plan_bins(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
@@ -135,22 +153,23 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "do
     """One row per piece: the kept columns, piece, start, length, ids_crc32, sequence_id, offset."""
     spark = docs.sparkSession
     keep = [c for c in (keep or [id_col]) if c.lower() not in {"piece", "start", "length", "ids_crc32", "sequence_id", "offset"}]
-    cut_up = pieces(docs, path, capacity, id_col, text_col, keep)
-    rows = cut(cut_up.withColumn("__salt", F.pmod(F.xxhash64(*[f"`{c}`" for c in keep], "piece", "ids_crc32"), F.lit(SALT))))
-    groups = rows.groupBy("length", "__salt").agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.partitionBy("length").orderBy("__salt")) - F.col("n")
-    groups = cut(groups.select("length", "__salt", "n", before.alias("__before")))
-    counts = {r["length"]: r["n"] for r in groups.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
+    rows = cut(pieces(docs, path, capacity, text_col, keep))
+    counts = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
+    buckets = spark.createDataFrame([(x, -(-n // BUCKET)) for x, n in counts.items()], "length long, buckets long")
+    rows = rows.join(F.broadcast(buckets), "length").withColumn("bucket", F.pmod(F.xxhash64("own", "piece", "ids_crc32"), "buckets"))
+    groups = rows.groupBy("length", "bucket").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("length").orderBy("bucket")) - F.col("n")
+    groups = cut(groups.select("length", "bucket", before.alias("before")))
     plan = spark.createDataFrame(plan_bins(counts, capacity), "length long, r0 long, r1 long, bin0 long, per long, off0 long")
-    within = Window.partitionBy("length", "__salt").orderBy(*[F.col(f"`{c}`") for c in keep], "piece", "ids_crc32")
-    ranked = rows.withColumn("__k", F.row_number().over(within) - 1).join(groups.drop("n"), ["length", "__salt"]).withColumn("__r", F.col("__before") + F.col("__k"))
+    within = Window.partitionBy("length", "bucket").orderBy("own", "piece", "ids_crc32")
+    ranked = rows.withColumn("k", F.row_number().over(within) - 1).join(groups, ["length", "bucket"]).withColumn("r", F.col("before") + F.col("k"))
     runs = plan.groupBy("length").agg(F.array_sort(F.collect_list(F.struct("r0", "r1", "bin0", "per", "off0"))).alias("runs"))
-    placed = ranked.join(F.broadcast(runs), "length").withColumn("__run", F.filter("runs", lambda x: (x.r0 <= F.col("__r")) & (F.col("__r") <= x.r1))[0])
-    nth = F.col("__r") - F.col("__run.r0")
+    placed = ranked.join(F.broadcast(runs), "length").withColumn("run", F.filter("runs", lambda x: (x.r0 <= F.col("r")) & (F.col("r") <= x.r1))[0])
+    nth = F.col("r") - F.col("run.r0")
     return placed.select(
-        *[F.col(f"`{c}`") for c in keep], "piece", "start", "length", "ids_crc32",
-        (F.col("__run.bin0") + F.floor(nth / F.col("__run.per"))).cast("long").alias("sequence_id"),
-        (F.col("__run.off0") + F.pmod(nth, F.col("__run.per")) * F.col("length")).cast("long").alias("offset"),
+        *[F.col("own")[c].alias(c) for c in keep], "piece", "start", "length", "ids_crc32",
+        (F.col("run.bin0") + F.floor(nth / F.col("run.per"))).cast("long").alias("sequence_id"),
+        (F.col("run.off0") + F.pmod(nth, F.col("run.per")) * F.col("length")).cast("long").alias("offset"),
     )
 
 

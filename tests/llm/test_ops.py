@@ -96,6 +96,22 @@ def test_packing(spark, awkward):
     assert len(by_seq) <= -(-total // 100) * 1.1 + 1
 
 
+@pytest.mark.parametrize("run", [" " * 1_000_000, "\t" * 1_000_000, "\n" * 1_000_000, "a" + " \n" * 500_000 + "b"])
+def test_long_runs_of_white_space(run):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert packing.token_ids(run, path).tolist() == [*Tokenizer.from_file(path).encode(run, add_special_tokens=False).ids, 0]
+
+
+def test_common_length_in_many_buckets(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BUCKET", 7)
+    df = spark.createDataFrame([(i, "word", "own") for i in range(100)] + [(1, "word", "own")], "doc_id long, text string, runs string")
+    rows = packing.pack(df, public_tokenizers.path("byte_bpe_50k.json"), 20, keep=["doc_id", "runs"]).collect()
+    assert len(rows) == 101 and len({(r.sequence_id, r.offset) for r in rows}) == 101 and {r.runs for r in rows} == {"own"}
+    assert len({r.sequence_id for r in rows}) == -(-101 // (20 // rows[0].length))
+
+
 def test_plan_is_tight():
     rng = random.Random(1)
     counts = defaultdict(int)
