@@ -3,8 +3,8 @@
 Text becomes symbols; an agenda (heap) offers the adjacent pair whose joined piece has the best
 score, leftmost on ties; a joined pair offers its new neighbours. No merge-type vocabulary piece here
 has a word mark after another character, and none has a character such as a line feed at all, so a
-text falls into segments that no merge crosses. Segments recur, so each worker keeps a bounded cache
-of them. In each Arrow batch, every segment that is new to the worker is also encoded by the
+text falls into segments that no merge crosses. Segments recur, so each worker keeps those of up to
+LONG characters, CACHE_CHARS characters of them at most, and longer ones for one batch alone. In each Arrow batch, every segment that is new to the worker is also encoded by the
 sentencepiece library, and a difference ends the job. Decoding is the library's decode(ids).
 
 Defined results: null text is encoded as empty text, which has the end id alone; decoded text is what
@@ -18,14 +18,20 @@ import heapq
 import re
 from functools import lru_cache
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_docs, without
 
 MARK = "▁"
-#: Segments that a worker remembers before it starts anew.
-CACHE = 700_000
+#: Characters of segments that a worker remembers before it starts anew (about 250 MB), and the longest one that it keeps.
+CACHE_CHARS, LONG = 6_000_000, 200
+#: Segments of up to SHORT characters are merged in step, ROWS at a time.
+SHORT, ROWS = 32, 4096
+_NEVER = float("inf")
+#: Texts that normalisers other than the identity would change.
+_ODD = ["a  b", " a ", "\t\u00a0x\u3000", "\uff21\ufb01\u2167\u00bd", "e\u0301 \u1100\u1161", "\u200b\ufeff\u0000x\r\n"]
 
 
 class PieceCodec:
@@ -47,9 +53,81 @@ class PieceCodec:
         lone = "".join(map(re.escape, sorted(self.lone)))
         self.cutter = re.compile(rf"[{lone}]|{MARK}+[^{MARK}{lone}]*|[^{MARK}{lone}]+" if lone else rf"{MARK}+[^{MARK}]*|[^{MARK}]+")
         self.cache: dict[str, tuple[tuple[int, ...], str]] = {}
+        self.alone = self.lib.encode("\n")[:1]  # the dummy prefix by itself
+        self.chars, self.long = 0, []
+        self.names = list(map(str, range(n)))
+        self._table()
+        for said in _ODD:
+            if self.lib.normalize(said) != MARK + said.replace(" ", MARK):
+                raise ValueError(f"the model's normaliser changes {said!r}; only the dummy prefix and marks for spaces are expected")
+
+    def _table(self) -> None:
+        """Symbols by number (pieces, then characters that only occur in pieces), and what each adjacent pair joins to."""
+        pieces = list(self.ids)
+        symbols = pieces + sorted({c for p in pieces for c in p} - set(pieces))
+        number = {s: k for k, s in enumerate(symbols)}
+        self.n_pieces, self.id_of = len(pieces), np.array([self.ids[p] for p in pieces])
+        lone = sorted((ord(s), k) for s, k in number.items() if len(s) == 1)
+        self.points, self.point_symbols = np.array(lone, np.int64).T
+        pairs = sorted((number[p[:k]] << 32 | number[p[k:]], self.rank[p], number[p]) for p in pieces for k in range(1, len(p)) if p[:k] in number and p[k:] in number)
+        self.pairs = np.array([p[0] for p in pairs])
+        self.pair_ranks, self.pair_symbols = np.array([p[1] for p in pairs]), np.array([p[2] for p in pairs])
+
+    def _looked_up(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank and joined symbol of each pair of symbols; the rank is _NEVER where there is none."""
+        key = a << 32 | b
+        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        return np.where((self.pairs[at] == key) & (b >= 0), self.pair_ranks[at], _NEVER), self.pair_symbols[at]
+
+    def merge_all(self, segments: list[str]) -> list[list[int]]:
+        """Ids of each segment. Short ones are merged in step, a row each: the row's agenda holds its pairs, its best one is joined."""
+        out: list = [None] * len(segments)
+        order = sorted((k for k, s in enumerate(segments) if len(s) <= SHORT), key=lambda k: len(segments[k]))
+        for at in range(0, len(order), ROWS):
+            some = order[at : at + ROWS]
+            for k, ids in zip(some, self._in_step([segments[k] for k in some]), strict=True):
+                out[k] = ids
+        return [self.merge(s) if ids is None else ids for s, ids in zip(segments, out, strict=True)]
+
+    def _in_step(self, segments: list[str]) -> list[list[int] | None]:
+        """As merge_all; None for a segment with a symbol that is no piece."""
+        sizes = np.fromiter(map(len, segments), np.int64, len(segments))
+        n, width = len(segments), int(sizes.max()) + 1
+        points = np.frombuffer("".join(segments).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        at = np.minimum(np.searchsorted(self.points, points), len(self.points) - 1)
+        # A row for each segment, with one place of no symbol at its end; places are numbered through all rows.
+        symbols = np.full((n, width), -1, np.int64)
+        here = np.arange(width) < sizes[:, None]
+        symbols[here] = np.where(self.points[at] == points, self.point_symbols[at], -2)
+        rank, joined = np.full((n, width), _NEVER), np.zeros((n, width), np.int64)
+        rank[:, :-1], joined[:, :-1] = self._looked_up(symbols[:, :-1], symbols[:, 1:])
+        symbols, joined, here, flat = symbols.ravel(), joined.ravel(), here.ravel(), rank.ravel()
+        after, before = np.arange(1, n * width + 1), np.arange(-1, n * width - 1)
+        row = np.arange(n)
+        while len(row):
+            best = rank[row].argmin(1) if len(row) < n else rank.argmin(1)  # the leftmost
+            i = row * width + best
+            live = flat[i] < _NEVER
+            row, i = row[live], i[live]
+            j = after[i]
+            k = after[j]
+            symbols[i], here[j], flat[j] = joined[i], False, _NEVER
+            after[i], before[k] = k, i
+            flat[i], joined[i] = self._looked_up(symbols[i], symbols[k])
+            h = before[i[i % width > 0]]
+            flat[h], joined[h] = self._looked_up(symbols[h], symbols[after[h]])
+        ids = np.where((symbols >= 0) & (symbols < self.n_pieces), self.id_of[np.clip(symbols, 0, self.n_pieces - 1)], -1)
+        ends = np.concatenate([[0], np.cumsum(here.reshape(n, width).sum(1))]).tolist()
+        ids = ids[here].tolist()
+        out = [ids[a:b] for a, b in zip(ends, ends[1:])]  # noqa: B905
+        return [None if -1 in x else x for x in out] if -1 in ids else out
 
     def merge(self, segment: str) -> list[int]:
-        """Ids of one segment by the agenda."""
+        """Ids of one segment by the agenda as a heap."""
+        ids = [(self.ids.get(s), s) for s in self._merged(segment)]
+        return [x for i, s in ids for x in ([i] if i is not None else [self.bytes[b] for b in s.encode()])]
+
+    def _merged(self, segment: str) -> list[str]:
         rank, symbols = self.rank, list(segment)
         n = len(symbols)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -76,12 +154,7 @@ class PieceCodec:
                 longer = symbols[h] + pair
                 if longer in rank:
                     heapq.heappush(agenda, (rank[longer], h, longer))
-        out = []
-        for s in symbols:
-            if s is not None:
-                i = self.ids.get(s)
-                out += [i] if i is not None else [self.bytes[b] for b in s.encode()]
-        return out
+        return [s for s in symbols if s is not None]
 
     def segments(self, text: str) -> list[str]:
         return self.cutter.findall(MARK + text.replace(" ", MARK)) if text else []
@@ -89,22 +162,24 @@ class PieceCodec:
     def learn(self, texts: list[str]) -> list[list[str]]:
         """Segments of each text; those not yet known are encoded, and checked against the library."""
         cut = [self.segments(t) for t in texts]
-        if len(self.cache) > CACHE:
+        for s in self.long:
+            self.cache.pop(s, None)
+        if self.chars > CACHE_CHARS:
             self.cache.clear()
+            self.chars = 0
         new = list({s for c in cut for s in c}.difference(self.cache))
-        made = [tuple(self.merge(s)) for s in new]
-        head = self.lib.encode("\n")[:1]  # the dummy prefix, where a segment does not start with a mark
-        said = self.lib.encode([s[1:] if s[0] == MARK else s for s in new], num_threads=1)
-        for s, mine, theirs in zip(new, made, said, strict=True):
-            if s == MARK:
-                same = list(mine) == head
-            elif s[0] == MARK:
-                same = list(mine) == theirs
-            else:
-                same = theirs[:1] == head and list(mine) == theirs[1:] or list(mine) == self.lib.encode("\n" + s)[2:]
-            if not same:
-                raise ValueError(f"agenda and library differ on {s!r}: {mine}, {theirs}")
-            self.cache[s] = mine, " ".join(map(str, mine))
+        made = self.merge_all(new)
+        # A line feed first, where a segment has no mark: the dummy prefix then stands before that, not before the segment.
+        said = self.lib.encode([s[1:] if s[0] == MARK else "\n" + s for s in new], num_threads=1)
+        theirs = [x if s[0] == MARK else x[2:] for s, x in zip(new, said, strict=True)]
+        if MARK in new:
+            theirs[new.index(MARK)] = self.alone
+        if made != theirs:
+            raise ValueError(f"agenda and library differ: {next(x for x in zip(new, made, theirs, strict=True) if x[1] != x[2])}")
+        name = self.names.__getitem__
+        self.cache.update((s, (tuple(ids), " ".join(map(name, ids)))) for s, ids in zip(new, made, strict=True))
+        self.long = [s for s in new if len(s) > LONG]
+        self.chars += sum(map(len, new)) - sum(map(len, self.long))
         return cut
 
     def encode(self, text: str) -> list[int]:
