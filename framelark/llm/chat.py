@@ -10,14 +10,15 @@ becomes \\b, "###" becomes \\h, "</turn>" becomes \\t and in roles ":" becomes \
 starts such a mark, so unescaping is exact and no control string occurs inside a text.
 
 Defined results: null text is empty text, null role an empty role; events with equal sequence numbers
-are ordered by kind, then text, so repeated rows repeat their text; a delta without a start opens its
+are ordered by kind, then text, so a repeated event repeats its text (a repeated row of a table of
+messages is a message of its own, and a null turn comes last); a delta without a start opens its
 turn with an empty role; a null kind is a message; a null conversation id is a conversation of its
 own; conversations left without a turn give no row; an empty log gives no rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 OPEN, MIDDLE, CLOSE = "### ", ": ", "</turn>"
@@ -41,62 +42,56 @@ def unescape(c: Column, role: bool = False) -> Column:
 
 
 def messages_as_events(rows: DataFrame) -> DataFrame:
-    """(conv_id, turn, role, text) rows, each a message logged at its turn."""
-    return rows.select("conv_id", F.col("turn").cast("long").alias("seq"), F.col("turn").cast("long").alias("turn"), F.lit("message").alias("kind"), "role", F.col("text").alias("body"))
+    """(conv_id, turn, role, text) rows as the log that streaming them leaves.
+
+    A row is a message of its own, in order of turn (null last), role and text. An assistant's message
+    is a draft that is regenerated, then started anew and completed by a delta; any other one is
+    started with the front of its text and edited to the whole of it.
+    """
+    text = F.coalesce("text", F.lit(""))
+    order = [F.col("turn").asc_nulls_last(), F.coalesce("role", F.lit("")), text]
+    said = rows.select("conv_id", F.row_number().over(Window.partitionBy("conv_id").orderBy(*order)).cast("long").alias("turn"), "role", text.alias("text"))
+    half = F.floor(F.char_length("text") / 2).cast("int")
+    front, rest = F.substring("text", F.lit(1), half), F.substring("text", half + 1, F.char_length("text"))
+    event = lambda at, kind, body: F.struct(F.lit(at).alias("at"), F.lit(kind).alias("kind"), body.alias("body"))
+    streamed = F.array(event(0, "start", front), event(1, "regenerate", F.lit(None).cast("string")), event(2, "start", front), event(3, "delta", rest))
+    edited = F.array(event(0, "start", front), event(1, "edit", F.col("text")))
+    events = said.select("conv_id", "turn", "role", F.inline(F.when(F.col("role") == "assistant", streamed).otherwise(edited)))
+    return events.select("conv_id", (F.col("turn") * 4 + F.col("at")).alias("seq"), "turn", "kind", "role", "body")
 
 
 def fold(events: DataFrame) -> DataFrame:
     """One row per conversation: messages, an array of (turn, seq, role, text) in order.
 
     Events are first folded per turn (the group is one turn's stream), then turns per conversation. A
-    regeneration outdates events of its turn and later ones; the latest one that reaches each turn
-    comes from the conversation's short array of regenerations.
+    regeneration outdates events of its turn and later ones; a running maximum over the turns says
+    which one reaches each.
     """
     e = events.select("conv_id", "seq", "turn", F.coalesce("kind", F.lit("message")).alias("kind"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("body", F.lit("")).alias("body"))
     part = e.groupBy("conv_id", "turn").agg(
         F.array_sort(F.collect_list(F.when(F.col("kind") != "regenerate", F.struct("seq", "kind", "body", "role")))).alias("log"),
         F.max(F.when(F.col("kind") == "regenerate", F.col("seq"))).alias("again"),
     )
-    whole = part.groupBy("conv_id").agg(F.collect_list(F.struct("turn", "log")).alias("turns"), F.array_sort(F.collect_list(F.when(F.col("again").isNotNull(), F.struct("turn", "again")))).alias("cuts"))
-
-    def folded(t):
-        reach = F.filter("cuts", lambda c: c.turn <= t.turn)
-        since = F.array_max(F.transform(reach, lambda c: c.again))
-        live = F.filter(t.log, lambda x: since.isNull() | x.seq.isNull() | (x.seq > since))
-        return F.struct(t.turn.alias("turn"), live.alias("log"))
-
-    def message(t):
-        edits = F.filter(t.log, lambda x: x.kind == "edit")
-        last = F.element_at(edits, -1)
-        rest = F.when(F.size(edits) == 0, t.log).otherwise(F.filter(t.log, lambda x: (x.kind != "edit") & (x.seq > last.seq)))
-        text = F.array_join(F.transform(rest, lambda x: x.body), "")
-        text = F.when(F.size(edits) == 0, text).otherwise(F.concat(last.body, text))
-        roles = F.filter(t.log, lambda x: x.role != "")
-        role = F.when(F.size(roles) > 0, F.get(roles, F.lit(0)).role).otherwise(F.lit(""))
-        return F.struct(t.turn.alias("turn"), F.get(t.log, F.lit(0)).seq.alias("seq"), role.alias("role"), text.alias("text"))
-
-    turns = F.filter(F.transform("turns", folded), lambda t: F.size(t.log) > 0)
-    return whole.select("conv_id", F.array_sort(F.transform(turns, message)).alias("messages")).where(F.size("messages") > 0)
+    since = F.max("again").over(Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
+    live = part.withColumn("since", since).withColumn("log", F.filter("log", lambda x: F.col("since").isNull() | x.seq.isNull() | (x.seq > F.col("since"))))
+    live = live.where(F.size("log") > 0).withColumn("edits", F.filter("log", lambda x: x.kind == "edit")).withColumn("last", F.try_element_at("edits", F.lit(-1)))
+    later = F.filter("log", lambda x: (x.kind != "edit") & (x.seq > F.col("last.seq")))
+    text = F.concat(F.coalesce("last.body", F.lit("")), F.array_join(F.transform(F.when(F.size("edits") == 0, F.col("log")).otherwise(later), lambda x: x.body), ""))
+    role = F.coalesce(F.get(F.filter("log", lambda x: x.role != ""), F.lit(0)).role, F.lit(""))
+    message = F.struct("turn", F.get("log", F.lit(0)).seq.alias("seq"), role.alias("role"), text.alias("text"))
+    return live.select("conv_id", message.alias("m")).groupBy("conv_id").agg(F.array_sort(F.collect_list("m")).alias("messages"))
 
 
 def render(folded: DataFrame) -> DataFrame:
     """Adds formatted (text) and loss_mask, the (start, length) of assistant texts in it, in code points."""
-
-    def pieces(m):
-        head = F.concat(F.lit(OPEN), escape(m.role, True), F.lit(MIDDLE))
-        body = escape(m.text)
-        return F.struct(head.alias("head"), body.alias("body"), (m.role == "assistant").alias("loss"))
-
-    p = folded.withColumn("__p", F.transform("messages", pieces))
-    text = F.array_join(F.transform("__p", lambda x: F.concat(x.head, x.body, F.lit(CLOSE + "\n"))), "")
-    # A running end per turn: one fold whose state is the array of spans made so far and the place.
-    sizes = F.transform("__p", lambda x: F.struct(F.char_length(x.head).alias("h"), F.char_length(x.body).alias("b"), x.loss.alias("loss")))
-    p = p.withColumn("formatted", text).withColumn("__sizes", sizes)
-    ends = F.transform("__sizes", lambda x: x.h + x.b + len(CLOSE) + 1)
-    p = p.withColumn("__ends", ends)
-    starts = F.transform("__sizes", lambda x, i: F.struct((F.aggregate(F.slice("__ends", 1, i), F.lit(0), lambda a, n: a + n) + x.h).alias("start"), x.b.alias("length"), x.loss.alias("loss")))
-    mask = F.transform(F.filter(starts, lambda x: x.loss), lambda x: F.struct(x.start.alias("start"), x.length.alias("length")))
-    return p.withColumn("loss_mask", mask).drop("__p", "__sizes", "__ends")
+    turns = folded.select("conv_id", F.posexplode("messages").alias("at", "m"))
+    head, body = F.concat(F.lit(OPEN), escape(F.col("m.role"), True), F.lit(MIDDLE)), escape(F.col("m.text"))
+    sized = turns.select("conv_id", "at", F.col("m.role").alias("role"), F.concat(head, body, F.lit(CLOSE + "\n")).alias("said"), F.char_length(head).alias("h"), F.char_length(body).alias("b"))
+    order = Window.partitionBy("conv_id").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    sized = sized.withColumn("start", (F.coalesce(F.sum(F.col("h") + F.col("b") + len(CLOSE) + 1).over(order), F.lit(0)) + F.col("h")).cast("int"))
+    span = F.when(F.col("role") == "assistant", F.struct("start", F.col("b").alias("length")))
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("at", "said"))), lambda x: x.said)
+    return sized.groupBy("conv_id").agg(F.array_join(texts, "").alias("formatted"), F.array_sort(F.collect_list(span)).alias("loss_mask"))
 
 
 def read_back(rendered: DataFrame) -> DataFrame:
@@ -131,8 +126,8 @@ WITH r AS (
   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
 e AS (SELECT *, replace(replace(replace(text, '\', '\b'), '###', '\h'), '</turn>', '\t') AS et,
         replace(replace(replace(replace(role, '\', '\b'), '###', '\h'), '</turn>', '\t'), ':', '\c') AS er FROM r)
-SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS LAST, role, text)) AS turns_sha256,
   CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
-  sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn)) AS loss_sha256,
+  sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn NULLS LAST, role, text)) AS loss_sha256,
   CAST(sum(length(er) + length(et) + 14) AS BIGINT) AS formatted_chars
 FROM e GROUP BY conv_id"""

@@ -7,7 +7,8 @@ cosine. Distance-based rejection: below the REJECT quantile of that centroid's o
 the row is marked rejected (lang_pred still names the nearest language).
 
 Training uses a bounded sample: about PER_LANG labelled documents per language, drawn by a hash of the
-id, at most LANGS languages (the most frequent). Texts are always taken whole.
+id. Every language is learned; each one's clusters are found in one task from its own sample, and the
+driver gets the centroids alone. Texts are always taken whole.
 
 Defined results: null text or text without a letter is `und` with score 0; null languages are not
 learned; without any learned language everything is `und`; repeated rows are predicted alike; an
@@ -21,13 +22,14 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_docs, without
+from .common import cut, map_docs, small, without
 
 DIM = 1 << 12
-CENTROIDS, PER_LANG, LANGS, REJECT, ROUNDS = 4, 300, 200, 0.001, 12
+CENTROIDS, PER_LANG, REJECT, ROUNDS = 4, 300, 0.001, 12
 _LETTER = re.compile(r"[^\W\d_]")
 _PART = 1 << 20
 #: ASCII other than letters separates words; other bytes stay.
@@ -56,64 +58,75 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.where(n > 0, n, 1)
 
 
+def vectors(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    return _unit(np.log1p(counts) * idf)
+
+
+def clusters(x: np.ndarray) -> list[tuple[np.ndarray, float]]:
+    """Centroids of one language's vectors by spherical k-means, each with the cosine below which it rejects."""
+    c = x[np.linspace(0, len(x) - 1, min(CENTROIDS, len(x))).astype(int)]
+    for _ in range(ROUNDS):
+        near = (x @ c.T).argmax(1)
+        c = _unit(np.array([x[near == k].sum(0) if (near == k).any() else c[k] for k in range(len(c))]))
+    cosine = x @ c.T
+    of = cosine.argmax(1)
+    return [(c[k], float(np.quantile(cosine[of == k, k], REJECT)) * 0.8) for k in range(len(c)) if (of == k).any()]
+
+
 class Centroids:
     """The fitted model: idf, centroids, their languages and rejection cosines."""
 
-    def __init__(self, rows: list[tuple[str, np.ndarray]]):
-        self.langs, counts = sorted({lang for lang, _ in rows}), np.array([c for _, c in rows]).reshape(-1, DIM)
-        self.idf = np.log((1 + len(rows)) / (1 + (counts > 0).sum(0))) + 1
-        x = self.vectors(counts)
-        centres, of, least = [], [], []
-        for lang in self.langs:
-            mine = x[[i for i, (name, _) in enumerate(rows) if name == lang]]
-            c = mine[np.linspace(0, len(mine) - 1, min(CENTROIDS, len(mine))).astype(int)]
-            for _ in range(ROUNDS):
-                near = (mine @ c.T).argmax(1)
-                c = _unit(np.array([mine[near == k].sum(0) if (near == k).any() else c[k] for k in range(len(c))]))
-            cosine = mine @ c.T
-            for k in range(len(c)):
-                own = cosine[cosine.argmax(1) == k, k]
-                if len(own):
-                    centres.append(c[k])
-                    of.append(lang)
-                    least.append(float(np.quantile(own, REJECT)) * 0.8)
-        self.centres, self.of, self.least = np.array(centres).reshape(-1, DIM), of, np.array(least)
-
-    def vectors(self, counts: np.ndarray) -> np.ndarray:
-        return _unit(np.log1p(counts) * self.idf)
+    def __init__(self, idf: np.ndarray, found: list[tuple[str, np.ndarray, float]]):
+        self.idf, self.of = idf, [lang for lang, _, _ in found]
+        self.centres, self.least = np.array([c for _, c, _ in found]).reshape(-1, DIM), np.array([least for _, _, least in found])
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         if not text or not self.of or not _LETTER.search(text):
             return "und", 0.0, True
-        cosine = self.centres @ self.vectors(gram_counts(text))
+        cosine = self.centres @ vectors(gram_counts(text), self.idf)
         k = int(cosine.argmax())
         return self.of[k], float(min(max(cosine[k], 0.0), 1.0)), bool(cosine[k] < self.least[k])
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Centroids:
-    """Model from labelled rows; the sample's size is bounded by PER_LANG and LANGS."""
-    labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    sizes = {r[0]: r[1] for r in labelled.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(LANGS).collect()}
-    if not sizes:
-        return Centroids([])
-    draw = F.pmod(F.xxhash64(F.lit("sample"), F.col(id_col), F.length(text_col)), F.lit(1 << 30)) / float(1 << 30)
-    wanted = F.lit(False)
-    for lang, n in sizes.items():
-        wanted = wanted | ((F.col(lang_col) == lang) & (draw < min(1.0, PER_LANG / n)))
-    sample = labelled.where(wanted).select(F.col(id_col).alias("i"), F.col(lang_col).alias("l"), F.col(text_col).alias("t"))
+    """Model from labelled rows, PER_LANG per language on average."""
+    labelled = docs.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{lang_col}`").alias("l"), F.col(f"`{text_col}`").alias("t")).where("l is not null and t is not null")
+    sizes = cut(labelled.groupBy("l").agg(F.count("*").alias("n")))
+    draw = F.pmod(F.xxhash64(F.lit("sample"), "i", F.length("t")), F.lit(1 << 30)) / float(1 << 30)
+    sample = labelled.join(small(sizes, sizes.count(), 200), "l").where(draw < PER_LANG / F.col("n"))
 
     def features(texts):
         return ([gram_counts(t).astype(np.uint32).tobytes() if _LETTER.search(t) else None for t in texts],)
 
-    rows = map_docs(sample, features, ["t"], "g binary", ["i", "l"]).where("g is not null").collect()
-    rows = sorted(rows, key=lambda r: (r["l"], str(r["i"]), bytes(r["g"])))[: 2 * PER_LANG * LANGS]
-    return Centroids([(r["l"], np.frombuffer(r["g"], np.uint32).astype(np.float64)) for r in rows])
+    rows = cut(map_docs(sample, features, ["t"], "g binary", ["i", "l"]).where("g is not null"))
+
+    def document_counts(batches):
+        total = np.zeros(DIM + 1, np.int64)
+        for b in batches:
+            for g in b.column(0).to_pylist():
+                total[:DIM] += np.frombuffer(g, np.uint32) > 0
+                total[DIM] += 1
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(DIM + 1)), pa.array(total)], names=["at", "n"])
+
+    found = rows.select("g").mapInArrow(document_counts, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()  # DIM + 1 numbers
+    n = np.zeros(DIM + 1)
+    for r in found:
+        n[r["at"]] = r["n"]
+    idf = np.log((1 + n[DIM]) / (1 + n[:DIM])) + 1
+
+    def learn(table: pa.Table) -> pa.Table:
+        order = sorted(zip(table["i"].to_pylist(), table["g"].to_pylist(), strict=True), key=lambda r: (str(r[0]), r[1]))
+        some = clusters(vectors(np.array([np.frombuffer(g, np.uint32) for _, g in order], np.float64), idf))
+        return pa.table({"l": [table["l"][0].as_py()] * len(some), "k": pa.array(range(len(some)), pa.int32()), "c": [c.tobytes() for c, _ in some], "least": [least for _, least in some]})
+
+    made = rows.groupBy("l").applyInArrow(learn, "l string, k int, c binary, least double").collect()  # CENTROIDS * DIM numbers per language
+    return Centroids(idf, [(r["l"], np.frombuffer(r["c"]), r["least"]) for r in sorted(made, key=lambda r: (r["l"], r["k"]))])
 
 
 def identify(docs: DataFrame, model: Centroids, text_col: str = "text") -> DataFrame:
     """Adds lang_pred (string), score (double, 0 to 1) and rejected (boolean)."""
     docs = without(docs, "lang_pred", "score", "rejected")
-    shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))  # at most LANGS * CENTROIDS * DIM numbers
+    shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))  # CENTROIDS * DIM numbers per language
     held = {}
 
     def run(texts):

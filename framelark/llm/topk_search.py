@@ -1,19 +1,20 @@
 """Exact top-k inner-product search by columnar branch-and-bound.
 
-Vectors are held vertically, one row per block of dimensions. For a query, partial scores grow block
-by block; a candidate whose partial score plus the bound |rest of query| * |rest of candidate|
-(Cauchy-Schwarz) lies below the query's k-th best score so far is dropped and the survivors are
-compacted. Ties with the k-th best survive, as the smaller id wins.
+Vectors are held vertically, one row per block of dimensions. Partial scores of a tile of queries and
+candidates grow block by block of dimensions; a pair whose partial score plus the bound |rest of
+query| * |rest of candidate| (Cauchy-Schwarz) lies below the query's k-th best score so far is out.
+Candidates that no query of the tile wants any more, and queries that want none, are compacted away.
+Ties with the k-th best survive, as the smaller id wins.
 
-Queries are handled in blocks of at most `block` rows, which bounds what is broadcast; each block
-makes one pass over the candidates, and a task keeps k rows per query. Scores are integers: exact in
-float64 while dim * max|q| * max|x| < 2**53, else in Python integers.
+Queries are handled in blocks of at most `block` rows: a block is what is broadcast, and the only
+vectors that the driver ever holds. Each block makes one pass over the candidates, and a task keeps k
+rows per query; of several blocks each is done, and its broadcast gone, before the next. Scores are
+integers: exact in float64 while dim * max|q| * max|x| < 2**53, else in Python integers.
 
 Defined results: vectors that are null or hold null or non-finite components, and rows with a null
 id, take no part; empty vectors score 0; vectors meet only vectors of their own length; a candidate
 with the query's own id is left out; repeated rows count as often as they occur as candidates and
-once as a query; fewer than k candidates give all; a
-score must fit a long; empty tables give no rows.
+once as a query; fewer than k candidates give all; a score must fit a long; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -27,7 +28,8 @@ from pyspark.sql import functions as F
 SCALE = 256
 DIMS = 8
 BLOCK = 8192
-_ROWS = 4096
+#: Candidates and queries of a tile: two matrices of these sizes are held at a time.
+_ROWS, _QUERIES = 4096, 512
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -49,38 +51,46 @@ def _tails(x: np.ndarray, edges: list[int]) -> np.ndarray:
 
 def search_block(q: np.ndarray, qid: np.ndarray, x: np.ndarray, xid: np.ndarray, best: list, k: int) -> None:
     """Merge the candidates x into best: per query a list of (-score, id), sorted, at most k."""
-    dims = x.shape[1]
-    edges = [*range(0, dims, DIMS)]
+    edges = [*range(0, x.shape[1], DIMS)]
     spread = np.argsort(-x.astype(np.float64).var(0), kind="stable")  # dimensions that tell most come first
-    x, q = x[:, spread], q[:, spread]
-    vertical = np.ascontiguousarray(x.T)
-    rest, qrest = _tails(x, edges), _tails(q, edges)
-    first = q[:, :DIMS] @ vertical[:DIMS]
-    for i in range(len(q)):
-        score, row = first[i], None
-        floor = -best[i][-1][0] if len(best[i]) >= k else None
-        for b, e in enumerate(edges):
-            if b:
-                block = vertical[e : e + DIMS] if row is None else vertical[e : e + DIMS, row]
-                score = score + q[i, e : e + DIMS] @ block
-            if floor is not None and b + 1 < len(edges):
-                reach = qrest[b + 1, i] * (rest[b + 1] if row is None else rest[b + 1, row])
-                alive = np.flatnonzero((score + reach).astype(np.float64) >= floor - 0.5)
-                if len(alive) < len(score):
-                    score = score[alive]
-                    row = alive if row is None else row[alive]
-                if not len(score):
-                    break
-        if not len(score):
-            continue
-        row = np.arange(len(x)) if row is None else row
-        other = xid[row] != qid[i]
-        score, row = score[other], row[other]
-        if len(score) > k:
-            cutoff = np.partition(score.astype(np.float64), len(score) - k)[len(score) - k]
-            keep = score.astype(np.float64) >= cutoff
-            score, row = score[keep], row[keep]
-        best[i] = sorted([*best[i], *zip((-int(s) for s in score), xid[row].tolist(), strict=True)])[:k]
+    vertical = np.ascontiguousarray(x[:, spread].T)
+    rest = _tails(vertical.T, edges)
+    for at in range(0, len(q), _QUERIES):
+        mine = np.ascontiguousarray(q[at : at + _QUERIES, spread])
+        floor = np.array([-float(b[-1][0]) if len(b) >= k else -np.inf for b in best[at : at + _QUERIES]]) - 0.5
+        _search_tile(mine, qid[at : at + _QUERIES], vertical, xid, rest, edges, floor, best[at : at + _QUERIES], k)
+
+
+def _search_tile(q, qid, vertical, xid, rest, edges, floor, best, k) -> None:
+    """One tile; best holds the lists of its queries, which are changed in place."""
+    queries, rows = np.arange(len(q)), np.arange(len(xid))
+    qrest, score = _tails(q, edges), None
+    due = gap = 1  # bounds that shut out little are looked at less and less often
+    for b, e in enumerate(edges):
+        part = q[queries, e : e + DIMS] @ vertical[e : e + DIMS, rows]
+        score = part if score is None else score + part
+        if due <= b + 1 < len(edges) and np.isfinite(floor[queries]).any():
+            alive = score.astype(np.float64) + qrest[b + 1, queries][:, None] * rest[b + 1, rows][None, :] >= floor[queries][:, None]
+            some, wanted = alive.any(1), alive.any(0)
+            if some.sum() * wanted.sum() < 0.8 * alive.size:
+                queries, rows, score = queries[some], rows[wanted], score[np.ix_(some, wanted)]
+            else:
+                due, gap = b + 1 + gap, 2 * gap
+            if not score.size:
+                return
+    level = score.astype(np.float64)
+    if level.shape[1] > k:  # what is below a query's k-th best of this tile alone need not be merged either
+        level = np.where(xid[rows][None, :] == qid[queries][:, None], -np.inf, level)
+        cutoff = np.maximum(floor[queries], np.partition(level, level.shape[1] - k, axis=1)[:, -k])
+    else:
+        cutoff = floor[queries]
+    at, hit = np.nonzero(level >= cutoff[:, None])
+    found: dict[int, list] = defaultdict(list)
+    for i, s, v in zip(at.tolist(), score[at, hit].tolist(), xid[rows[hit]].tolist(), strict=True):
+        found[i].append((-int(s), v))
+    for i, new in found.items():
+        own = qid[queries[i]]
+        best[queries[i]][:] = sorted([*best[queries[i]], *(x for x in new if x[1] != own)])[:k]
 
 
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", block: int = BLOCK) -> DataFrame:
@@ -91,9 +101,8 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, id_col: str = "
     pool = usable(candidates, id_col, vec_col)
     asked = usable(queries, id_col, vec_col).distinct()
     salt = F.xxhash64("id")
-    # Blocks by range of a hash: counts per slice first, then slices joined up to at most `block` rows.
     total = asked.count()
-    parts = max(1, -(-total * 5 // (4 * block)))
+    parts = max(1, -(-total * 5 // (4 * block)))  # by a hash, so blocks are about four fifths full
     asked = cut(asked.withColumn("part", F.pmod(salt, F.lit(parts)))) if parts > 1 else asked.withColumn("part", F.lit(0))
     found = None
     for p in range(parts):
@@ -130,6 +139,9 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, id_col: str = "
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else ([], [], []))], names=["query_id", "vec_id", "score"])
 
         near = pool.mapInArrow(scan, "query_id long, vec_id long, score long")
+        if parts > 1:
+            near = cut(near)
+            shared.destroy()
         found = near if found is None else found.unionByName(near)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

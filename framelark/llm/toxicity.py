@@ -1,7 +1,7 @@
 """Toxicity by a classifier chain over hashed word features.
 
 Categories are predicted in order. Each has a linear (logistic) model on the presence of hashed words
-and on the log-odds of the categories before it. While training, those log-odds come from out-of-fold
+and on the probabilities of the categories before it. While training, those probabilities come from out-of-fold
 models (FOLDS folds by a hash of the id), so that a later model learns from predictions as good as it
 will get on unseen text, not from fitted labels.
 
@@ -40,6 +40,10 @@ def word_ids(text: str | None) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh3_64_intdigest(w) & (DIM - 1) for w in words), np.int64, len(words)))
 
 
+def _probability(score: float) -> float:
+    return float(1 / (1 + np.exp(-score)))
+
+
 class Linear:
     """Logistic regression on word presence (only words seen in several texts) and dense extras."""
 
@@ -99,7 +103,7 @@ class Chain:
                 for f in range(FOLDS):
                     part = self._fit(texts, extra, y, known & (fold != f))
                     for i in np.flatnonzero(fold == f):
-                        out[i] = part.score(texts[i], extra[i]) / 10
+                        out[i] = _probability(part.score(texts[i], extra[i]))
                 extra = np.column_stack([extra, out])
 
     @staticmethod
@@ -111,20 +115,20 @@ class Chain:
         ids, extra, out = word_ids(text), np.empty(0), []
         for m in self.models:
             s = m.score(ids, extra)
-            extra = np.append(extra, s / 10)
-            out.append(float(1 / (1 + np.exp(-s))))
+            out.append(_probability(s))
+            extra = np.append(extra, out[-1])
         return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, chain=CHAIN, id_col: str = "doc_id", text_col: str = "text") -> Chain:
-    """Chain from labelled documents; the sample is bounded by SAMPLE per class of the last category."""
+    """Chain from labelled documents; the sample, SAMPLE per class of the last category on average, bounds what is broadcast."""
     names = [n for n, _ in chain]
     target = F.expr(chain[-1][1])
     marks = labels.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("__i"), *[F.expr(e).cast("double").alias(f"__y{k}") for k, (_, e) in enumerate(chain)], target.alias("__t"))
     sizes = {r["__t"]: r["count"] for r in marks.groupBy("__t").count().collect()}
     draw = F.pmod(F.xxhash64(F.lit("sample"), "__i"), F.lit(1 << 30)) / float(1 << 30)
     want = F.when(F.col("__t"), draw < min(1.0, SAMPLE / max(1, sizes.get(True, 0)))).otherwise(F.coalesce(~F.col("__t"), F.lit(False)) & (draw < min(1.0, SAMPLE / max(1, sizes.get(False, 0)))))
-    rows = docs.select(F.col(id_col).alias("__d"), F.col(text_col).alias("__x")).join(F.broadcast(marks.where(want).limit(4 * SAMPLE)), F.col("__d") == F.col("__i"))
+    rows = docs.select(F.col(id_col).alias("__d"), F.col(text_col).alias("__x")).join(F.broadcast(marks.where(want)), F.col("__d") == F.col("__i"))
 
     def words(texts):
         return ([word_ids(t).astype(np.int32).tobytes() for t in texts],)

@@ -204,7 +204,7 @@ def test_language(spark):
     held = [i for i in rows if language_id.held_out(i)]
     assert all(rows[i].held_out == language_id.held_out(i) for i in rows)
     assert np.mean([rows[i].lang_pred == truth[i] for i in held]) > 0.9
-    model = language_id.Centroids([])
+    model = language_id.Centroids(np.zeros(language_id.DIM), [])
     assert model.predict("abc")[0] == "und" and model.predict(None)[0] == "und"
     long = "wort " * 600_000
     assert abs(language_id.gram_counts(long).sum() - 2 * len(long)) < 10
