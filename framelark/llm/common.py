@@ -19,13 +19,21 @@ WORD = r"[^\x20\x09-\x0D]+"
 FLUSH_ROWS = 250_000
 #: Rows of a few numbers that make a task of their own worth while.
 ROWS_A_TASK = 20_000
+#: Rows of a batch that goes to a Python worker.
+BATCH_ROWS = 1000
 #: A counted table of up to so many bytes is broadcast.
 BROADCAST_BYTES = 8 << 20
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def prepare(spark: SparkSession) -> None:
+    """Ship the package, and keep the batches that go to Python small: rows may hold long texts."""
     ship_package(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -90,13 +90,18 @@ def counts(text: str | None) -> tuple[int, int, int, int, int, list[float]]:
     return n, word_chars, symbols, dup, repeat, [math.log(word_chars / n), *map(math.sqrt, shares)]
 
 
+def failed(n_words, n_repeat_words):
+    """The base rules, of numbers or columns."""
+    return (n_words < MIN_WORDS) | (100 * n_repeat_words > MAX_REPEAT_PERCENT * n_words)
+
+
 def statistics(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     def run(texts):
         return list(zip(*map(counts, texts), strict=True)) if texts else [[] for _ in range(6)]
 
     keep = [c for c in (keep or docs.columns) if c not in {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "__x"}]
     out = map_docs(docs, run, [text_col], "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, __x array<double>", keep)
-    return out.withColumn("base_failed", F.expr(f"n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words"))
+    return out.withColumn("base_failed", failed(F.col("n_words"), F.col("n_repeat_words")))
 
 
 def _chi2(x: float, p: int) -> float:
@@ -337,7 +342,19 @@ def drop_low_quality(docs: DataFrame) -> DataFrame:
     rows = sealed(docs, text="text", __lang="lang", __source="source")
     fitted, groups = fit(cut(statistics(rows.select("text", "__lang", "__source"), "text", ["__lang", "__source"])))
     copies = rows.withColumns({"lang": F.col("__lang"), "source": F.col("__source")})
-    kept = _judged(statistics(copies, "text", ["own", "text", "lang", "source", "__lang", "__source"]), fitted, groups).where("kept")
+    known = _joined(copies, fitted, groups, ["__lang", "__source"]).select("own", "text", "lang", "source", "__e")
+
+    def run(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                b = whole.slice(at, 512)
+                good = []
+                for text, e in zip(b.column(1).to_pylist(), b.column(4).to_pylist(), strict=True):
+                    n, _, _, _, repeat, x = counts(text)
+                    good.append(not failed(n, repeat) and (e is None or float(distances(np.array([x]), np.array([e]))[0, 0]) <= CUTOFF))
+                yield b.filter(pa.array(good, pa.bool_())).select([0, 1, 2, 3])
+
+    kept = known.mapInArrow(run, known.drop("__e").schema)
     return opened(kept, docs.columns, {c: F.col(c) for c in ("text", "lang", "source")})
 
 
