@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelark.llm.common import shared_folder, table
+from framelark.llm.common import delete, prepare, shared_folder, table
 from framelark.llm.line_dedup import dedup_lines
 from framelark.llm.near_dedup import drop_near_duplicates
 from framelark.llm.packing import pack
@@ -32,22 +32,27 @@ def _recounted(docs: DataFrame, before: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    prepare(spark)
     return drop_low_quality(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    prepare(spark)
     return _recounted(dedup_lines(docs), docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    prepare(spark)
     return drop_near_duplicates(docs, 5, 80)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    prepare(spark)
     return _recounted(dedup_substrings(docs, PASSAGE_WORDS), docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    prepare(spark)
     return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), keep=["doc_id", "lang", "source"])
 
 
@@ -59,14 +64,18 @@ STAGES = [
     ("best_fit_packing", best_fit_packing),
 ]
 
-#: Robust covariance and byte-pair encoding have no SQL; tests compare the operators with brute-force versions, the run as a whole in part.
+#: Robust covariance and byte-pair encoding have no SQL; tests/llm compares every stage with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The rows of the last stage. A stage's output is deleted once the next one has read it."""
+    docs, before = table(spark, sf_dir, "documents"), None
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            delete(spark, before)
+        before = f"{folder}/{name}"
     return docs
