@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .stats import r6
+from .stats import nano, ratio6
 
 
 def eval_points(episodes: DataFrame, need: int, stride: int) -> DataFrame:
@@ -19,10 +19,12 @@ def grid(points: DataFrame, frames: DataFrame, steps: int) -> DataFrame:
     return at.join(frames, ["ep", "frame"]).selectExpr("ep", "start", "t", "stack(2, 'slew', slew, 'move', move) as (joint, gt)")
 
 
-def score(pairs: DataFrame, keys: list[str], dt: float) -> DataFrame:
-    """pairs (keys, ep, start, t, joint, pred, gt) -> mae, disp_err (mean |sum of errors * dt| per point and joint), move_ratio."""
-    per = pairs.groupBy(*keys, "ep", "start", "joint").agg(F.sum(F.col("pred") - F.col("gt")).alias("e"), F.sum(F.abs(F.col("pred") - F.col("gt"))).alias("ae"), F.sum(F.abs("pred")).alias("ap"), F.sum(F.abs("gt")).alias("ag"), F.count("*").alias("k"))
-    return per.groupBy(*keys).agg(r6(F.sum("ae") / F.sum("k")).alias("mae"), r6(F.avg(F.abs(F.col("e") * dt))).alias("disp_err"), r6(F.try_divide(F.sum("ap"), F.sum("ag"))).alias("move_ratio"), F.count("*").alias("n"))
+def score(pairs: DataFrame, keys: list[str], rate: int) -> DataFrame:
+    """pairs (keys, ep, start, t, joint, pred, gt) -> mae, disp_err (mean |sum of errors / rate| per point and joint), move_ratio."""
+    e, p, g = nano(F.col("pred") - F.col("gt")), nano(F.col("pred")), nano(F.col("gt"))
+    per = pairs.groupBy(*keys, "ep", "start", "joint").agg(F.sum(e).alias("e"), F.sum(F.abs(e)).alias("ae"), F.sum(F.abs(p)).alias("ap"), F.sum(F.abs(g)).alias("ag"), F.count("pred").alias("k"))
+    s = per.groupBy(*keys).agg(F.sum("ae").alias("ae"), F.sum(F.abs("e")).alias("de"), F.sum("ap").alias("ap"), F.sum("ag").alias("ag"), F.sum("k").alias("k"), F.count("*").alias("n"))
+    return s.select(*keys, ratio6("ae", "k * 1000000000").alias("mae"), ratio6("de", f"n * {rate} * 1000000000").alias("disp_err"), ratio6("ap", "ag").alias("move_ratio"), "n")
 
 
 def best_checkpoint(curve: DataFrame, key: str, margin: float) -> DataFrame:

@@ -12,6 +12,25 @@ def r6(c: Column) -> Column:
     return F.round(c.cast("double"), 6)
 
 
+def nano(c: Column) -> Column:
+    """A double in whole billionths: sums of these don't depend on the order of the rows."""
+    return F.round(c * 1e9).cast("long")
+
+
+def ratio6(num: str, den: str) -> Column:
+    """num / den of whole numbers, half up to six places, in whole numbers until the end; null for den 0."""
+    return F.expr(f"((2 * cast({num} as decimal(38, 0)) * 1000000 + {den}) div (2 * nullif({den}, 0))) / 1e6D")
+
+
+#: The same for the checking SQL.
+def nano_sql(x: str) -> str:
+    return f"CAST(round(({x}) * 1e9) AS BIGINT)"
+
+
+def ratio6_sql(num: str, den: str) -> str:
+    return f"CAST((2 * CAST({num} AS HUGEINT) * 1000000 + {den}) // (2 * nullif({den}, 0)) AS BIGINT) / 1e6"
+
+
 def long_features(frames: DataFrame, features: list[str], keys: list[str]) -> DataFrame:
     """(keys..., feature, value): one row per frame and feature."""
     pairs = ", ".join(f"'{c}', cast({c} as double)" for c in features)
@@ -27,7 +46,7 @@ def feature_stats(rows: DataFrame, keys: list[str]) -> DataFrame:
 def nearest_rank(values: DataFrame, key: str, value: str, percents: tuple[int, ...] = (50, 90, 99)) -> DataFrame:
     """a[min(n - 1, int(p / 100 * n))] over the sorted values, with count, mean, population std and rate.
 
-    Ranks come from counts of equal values, so that no group is sorted in one task.
+    Ranks come from counts of equal values; a task sorts the distinct values of a key, not its rows.
     """
     n = values.groupBy(key).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd"), F.min(value).alias("lo"), F.max(value).alias("hi"))
     ranked = values.groupBy(key, value).agg(F.count("*").alias("c"))

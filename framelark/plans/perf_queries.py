@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from framelark.operators.stats import nearest_rank, r6
+from framelark.operators.stats import nano, nano_sql, nearest_rank, r6, ratio6, ratio6_sql
 from framelark.sources.frames import FRAMES_SQL, event_frames, read_table
 
 
@@ -75,19 +75,19 @@ def q_health(spark, d):
 
 
 def q_windows(spark, d):
-    """Tumbling reports that start anew, and running ones that don't."""
-    g = _events(spark, d).groupBy(F.window("ts", "6 hours").alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("v"))
+    """Tumbling reports that start anew, and running ones that don't; sums are of whole billionths, so that order does not matter."""
+    g = _events(spark, d).groupBy(F.window("ts", "6 hours").alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum(nano(F.col("value"))).alias("v"))
     run = Window.partitionBy("event_type").orderBy("start").rowsBetween(Window.unboundedPreceding, 0)
-    g = g.select(F.col("w.start").alias("start"), "event_type", "n", "v")
-    return g.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", r6(F.col("v") / F.col("n")).alias("avg"), r6(F.sum("v").over(run) / F.sum("n").over(run)).alias("running_avg"))
+    g = g.select(F.col("w.start").alias("start"), "event_type", "n", "v").withColumn("rv", F.sum("v").over(run)).withColumn("rn", F.sum("n").over(run))
+    return g.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", ratio6("v", "(n * 1000000000)").alias("avg"), ratio6("rv", "(rn * 1000000000)").alias("running_avg"))
 
 
 def q_marginal(spark, d):
-    """Memory after each load against the one before, and against the configuration called baseline."""
-    f = event_frames(spark, d).where("frame < 12").select("ep", "frame", (F.lit(500.0) + F.col("frame") * 40 + F.col("state")).alias("rss"), (F.col("frame") + 1).alias("params"))
+    """Memory after each load against the one before, and against the configuration called baseline (null beyond its end)."""
+    f = event_frames(spark, d).select("ep", "frame", (F.lit(500.0) + F.col("frame") * 40 + F.col("state")).alias("rss"), (F.col("frame") + 1).alias("params"))
     w = Window.partitionBy("ep").orderBy("frame")
     base = f.where("ep = 0").select("frame", F.col("rss").alias("base"))
-    j = f.withColumn("delta", F.col("rss") - F.lag("rss", 1, 500.0).over(w)).join(base, "frame")
+    j = f.withColumn("delta", F.col("rss") - F.lag("rss", 1, 500.0).over(w)).join(base, "frame", "left")
     return j.select("ep", "frame", r6(F.col("delta")).alias("delta"), F.round(F.col("rss") / F.col("base"), 9).alias("ratio"), r6(F.col("rss") / F.col("params")).alias("per_param"))
 
 
@@ -127,10 +127,11 @@ g AS (SELECT *, s - lag(s) OVER w AS dt, greatest(counter - lag(counter) OVER w
 a AS (SELECT user_id, count(*) AS n, max(s) - min(s) AS span, quantile_cont(1 / dt, [0.05, 0.5, 0.95]) AS p, max(dt) AS mg, avg(CASE WHEN dt IS NOT NULL THEN CASE WHEN abs(dt * CAST(1 / 12000.0 AS DOUBLE) - 1) <= 0.2 THEN 1.0 ELSE 0.0 END END) AS wi, CAST(sum(CASE WHEN prev IS NOT NULL THEN gap0 ELSE 0 END) AS BIGINT) AS dropped FROM g GROUP BY user_id HAVING count(*) >= 3)
 SELECT user_id, n, round(span, 6) AS span_s, round((n - 1) / nullif(span, 0), 9) AS fps, round(p[1], 9) AS p5, round(p[2], 9) AS p50, round(p[3], 9) AS p95, round(mg, 6) AS max_gap_s, round(100 * wi, 6) AS within_pct, dropped,
   CASE WHEN (n - 1) / nullif(span, 0) >= 0.97 / 12000 AND dropped = 0 AND wi >= 0.95 THEN 'STABLE' ELSE 'UNSTABLE' END AS verdict FROM a""",
-    "report_windows": """WITH g AS (SELECT time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '2000-01-01') AS start, event_type, count(*) AS n, sum(value) AS v FROM events GROUP BY 1, 2)
-SELECT strftime(start, '%Y-%m-%d %H:%M:%S') AS start, event_type, n, round(v / n, 6) AS avg, round(sum(v) OVER w / sum(n) OVER w, 6) AS running_avg FROM g WINDOW w AS (PARTITION BY event_type ORDER BY start)""",
-    "marginal_delta": f"""WITH {FRAMES_SQL}, m AS (SELECT ep, frame, 500.0 + frame * 40 + state AS rss, frame + 1 AS params FROM f WHERE frame < 12), b AS (SELECT frame, rss AS base FROM m WHERE ep = 0)
-SELECT ep, frame, round(rss - lag(rss, 1, 500.0) OVER (PARTITION BY ep ORDER BY frame), 6) AS delta, round(rss / base, 9) AS ratio, round(rss / params, 6) AS per_param FROM m JOIN b USING (frame)""",
+    "report_windows": f"""WITH g AS (SELECT time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '2000-01-01') AS start, event_type, count(*) AS n, sum({nano_sql("value")}) AS v FROM events GROUP BY 1, 2),
+r AS (SELECT *, sum(v) OVER w AS rv, sum(n) OVER w AS rn FROM g WINDOW w AS (PARTITION BY event_type ORDER BY start))
+SELECT strftime(start, '%Y-%m-%d %H:%M:%S') AS start, event_type, n, {ratio6_sql("v", "(n * 1000000000)")} AS avg, {ratio6_sql("rv", "(rn * 1000000000)")} AS running_avg FROM r""",
+    "marginal_delta": f"""WITH {FRAMES_SQL}, m AS (SELECT ep, frame, 500.0 + frame * 40 + state AS rss, frame + 1 AS params FROM f), b AS (SELECT frame, rss AS base FROM m WHERE ep = 0)
+SELECT ep, frame, round(rss - lag(rss, 1, 500.0) OVER (PARTITION BY ep ORDER BY frame), 6) AS delta, round(rss / base, 9) AS ratio, round(rss / params, 6) AS per_param FROM m LEFT JOIN b USING (frame)""",
     "two_point_fit": f"""WITH {FRAMES_SQL}, a AS (SELECT ep, min(frame) AS x0, arg_min(state, frame) AS y0, max(frame) AS x1, arg_max(state, frame) AS y1, min(state) AS low FROM f WHERE state > 5 GROUP BY ep),
 s AS (SELECT *, (y1 - y0) / nullif(x1 - x0, 0) AS slope FROM a) SELECT ep, round(slope, 6) AS slope, round(y0 - slope * x0, 6) AS floor, round((100.0 - (y0 - slope * x0)) / nullif(slope, 0), 6) AS at_budget, round(y0 - low, 6) AS consumed FROM s""",
 }

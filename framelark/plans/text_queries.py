@@ -159,7 +159,7 @@ SELECT coalesce(component, 'total') AS component, CAST(CASE component WHEN 'stan
   CAST(sum(params * CASE dtype WHEN 'F16' THEN 2 ELSE 4 END) AS BIGINT) AS bytes, array_to_string(list_sort(list(DISTINCT dtype)), '+') AS dtypes FROM x GROUP BY ROLLUP (component)""",
     "natural_sort_suffix": "SELECT 'block_' || s_suppkey AS name, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS rank, s_suppkey AS part FROM supplier",
     "latest_by_mtime": "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events WHERE event_type IN ('click', 'view')) WHERE rn = 1",
-    "classify_vendor_case": """WITH p AS (SELECT page_id, lower(trim(concat_ws(' ', url, substring(html, 1, 200)))) AS s FROM pages), v AS (SELECT page_id, CASE WHEN contains(s, 'gopro') THEN 'gopro' WHEN contains(s, '/fr/') OR contains(s, 'dji') THEN 'dji' WHEN contains(s, 'page=2') THEN 'insta' WHEN s = '' THEN 'none' ELSE 'unknown' END AS vendor FROM p)
+    "classify_vendor_case": """WITH p AS (SELECT page_id, lower(trim(concat_ws(' ', url, html))) AS s FROM pages), v AS (SELECT page_id, CASE WHEN contains(s, 'gopro') THEN 'gopro' WHEN contains(s, '/fr/') OR contains(s, 'dji') THEN 'dji' WHEN contains(s, 'page=2') THEN 'insta' WHEN s = '' THEN 'none' ELSE 'unknown' END AS vendor FROM p)
 SELECT page_id, vendor, CASE WHEN vendor IN ('gopro', 'insta') THEN 'OPENCV_FISHEYE' ELSE 'OPENCV' END AS model, CASE WHEN vendor IN ('gopro', 'insta') THEN 'incremental' ELSE 'global' END AS mapper FROM v""",
     "instruction_normalise": "WITH t AS (SELECT doc_id, CASE WHEN ends_with(coalesce(text, ''), chr(10)) THEN text ELSE coalesce(text, '') || chr(10) END AS t FROM documents) SELECT doc_id, rpad(t, 48, ' ') AS padded, least(length(t), 48) AS mask_len FROM t",
     "json_descriptor": "SELECT event_id, coalesce(CAST(json_extract(props, '$.k') AS BIGINT), -1) AS k, CASE event_id % 4 WHEN 0 THEN 29.97 ELSE 30.0 END::DOUBLE AS fps, CAST(len(json_keys(props)) - 1 AS BIGINT) AS other_keys FROM events",

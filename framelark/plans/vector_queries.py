@@ -25,9 +25,9 @@ def q_cosine(spark, d):
 
 
 def q_timestep(spark, d):
-    """16 steps of 4 values: cosine per step, then mean, least and greatest."""
+    """16 steps of 4 values: cosine per step, null where a side is zero, then mean, least and greatest."""
     steps = F.explode(F.sequence(F.lit(0), F.lit(15)))
-    p = _pairs(spark, d).where("vec_id % 10 <> 3 and vec_id % 15 <> 3").select("vec_id", "a", "b", steps.alias("t"))
+    p = _pairs(spark, d).select("vec_id", "a", "b", steps.alias("t"))
     x, y = F.slice("a", F.col("t") * 4 + 1, 4), F.slice("b", F.col("t") * 4 + 1, 4)
     c = p.select("vec_id", F.try_divide(dot(x, y), F.sqrt(dot(x, x)) * F.sqrt(dot(y, y))).alias("c"))
     return c.groupBy("vec_id").agg(r6(F.avg("c")).alias("mean"), r6(F.min("c")).alias("min"), r6(F.max("c")).alias("max"))
@@ -39,8 +39,8 @@ def _long(p):
 
 def q_diff(spark, d):
     x = _long(_pairs(spark, d))
-    g = x.groupBy("vec_id").agg(F.max("e").alias("mx"), F.avg("e").alias("mean_abs"), F.max(F.abs("a")).alias("ref"), F.stddev_pop("e").alias("sd"), F.percentile("e", 0.5).alias("med"), F.avg(F.col("e") / (F.abs("a") + 1e-6)).alias("rel"), F.count_if(F.isnan("b")).alias("n_nan"))
-    return g.select("vec_id", r6(F.col("mx")).alias("max_abs"), r6(F.col("mean_abs")).alias("mean_abs"), r6(F.col("mx") / (F.col("ref") + 1e-9)).alias("max_rel"), r6(F.col("sd")).alias("std"), r6(F.col("med")).alias("median"), F.round("rel", 3).alias("mean_rel"), "n_nan")
+    g = x.groupBy("vec_id").agg(F.max("e").alias("mx"), F.avg("e").alias("mean_abs"), F.max(F.abs("a")).alias("ref"), F.stddev_pop("e").alias("sd"), F.percentile("e", 0.5).alias("med"), F.avg(F.col("e") / (F.abs("a") + 1e-6)).alias("rel"), F.count_if(F.isnan("b")).alias("n_nan"), F.count_if(F.abs("b") == float("inf")).alias("n_inf"))
+    return g.select("vec_id", r6(F.col("mx")).alias("max_abs"), r6(F.col("mean_abs")).alias("mean_abs"), r6(F.col("mx") / (F.col("ref") + 1e-9)).alias("max_rel"), r6(F.col("sd")).alias("std"), r6(F.col("med")).alias("median"), F.round("rel", 3).alias("mean_rel"), "n_nan", "n_inf", (F.col("n_nan") + F.col("n_inf") == 0).alias("finite"))
 
 
 def q_gate(spark, d):
@@ -117,8 +117,8 @@ ORACLE = {
     "vector_cosine_policies": f"""WITH {_P}, {_COS} SELECT vec_id, round(CASE WHEN na = 0 AND nb = 0 THEN 1 WHEN na = 0 OR nb = 0 THEN 0 ELSE d / (na * nb) END, 6) AS both_zero,
   round(CASE WHEN na = 0 OR nb = 0 THEN 'nan'::DOUBLE ELSE d / (na * nb) END, 6) AS nan, round(CASE WHEN na = 0 OR nb = 0 THEN CASE WHEN same THEN 1 ELSE 0 END ELSE d / (na * nb) END, 6) AS equal,
   round(d / nullif(na * nb, 0), 6) AS unguarded, round(d / (na * nb + 1e-8), 6) AS epsilon FROM c""",
-    "per_timestep_cosine": f"WITH {_P}, t AS (SELECT vec_id, sum(a * b) / nullif(sqrt(sum(a * a)) * sqrt(sum(b * b)), 0) AS c FROM l WHERE vec_id % 10 <> 3 AND vec_id % 15 <> 3 GROUP BY vec_id, i // 4) SELECT vec_id, round(avg(c), 6) AS mean, round(min(c), 6) AS min, round(max(c), 6) AS max FROM t GROUP BY vec_id",
-    "diff_stats": f"WITH {_P}, x AS (SELECT *, abs(a - b) AS e FROM l) SELECT vec_id, round(max(e), 6) AS max_abs, round(avg(e), 6) AS mean_abs, round(max(e) / (max(abs(a)) + 1e-9), 6) AS max_rel, round(stddev_pop(e), 6) AS std, round(quantile_cont(e, 0.5), 6) AS median, round(avg(e / (abs(a) + 1e-6)), 3) AS mean_rel, count(*) FILTER (WHERE isnan(b)) AS n_nan FROM x GROUP BY vec_id",
+    "per_timestep_cosine": f"WITH {_P}, t AS (SELECT vec_id, sum(a * b) / nullif(sqrt(sum(a * a)) * sqrt(sum(b * b)), 0) AS c FROM l GROUP BY vec_id, i // 4) SELECT vec_id, round(avg(c), 6) AS mean, round(min(c), 6) AS min, round(max(c), 6) AS max FROM t GROUP BY vec_id",
+    "diff_stats": f"WITH {_P}, x AS (SELECT *, abs(a - b) AS e FROM l) SELECT vec_id, round(max(e), 6) AS max_abs, round(avg(e), 6) AS mean_abs, round(max(e) / (max(abs(a)) + 1e-9), 6) AS max_rel, round(stddev_pop(e), 6) AS std, round(quantile_cont(e, 0.5), 6) AS median, round(avg(e / (abs(a) + 1e-6)), 3) AS mean_rel, count(*) FILTER (WHERE isnan(b)) AS n_nan, count(*) FILTER (WHERE isinf(b)) AS n_inf, bool_and(isfinite(b)) AS finite FROM x GROUP BY vec_id",
     "parity_gate": f"""WITH {_P}, {_COS}, g AS (SELECT vec_id // 50 AS sample, min(CASE WHEN na = 0 AND nb = 0 THEN 1 WHEN na = 0 OR nb = 0 THEN 0 ELSE d / (na * nb) END) AS wc, max(m) AS wm FROM c GROUP BY 1)
 SELECT sample, round(wc, 6) AS worst_cos, round(wm, 6) AS worst_abs, concat_ws('+', CASE WHEN wc < 0.997 THEN 'cosine' END, CASE WHEN wm > 0.01 THEN 'max_abs' END) AS reasons, wc >= 0.997 AND wm <= 0.01 AS passed FROM g""",
     "pad_truncate_vector": f"WITH {_P}, n AS (SELECT vec_id, least(32, CASE WHEN vec_id % 2 = 0 THEN 20 ELSE 64 END) AS k, v FROM e) SELECT vec_id, CAST(32 AS BIGINT) AS width, round(list_sum(v[1:k]), 6) AS total, round(CASE WHEN k = 32 THEN v[32] ELSE 0 END, 6) AS last FROM n",
