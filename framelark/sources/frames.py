@@ -32,3 +32,21 @@ def event_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: The same frames for the checking SQL.
 FRAMES_SQL = """f AS (SELECT user_id AS ep, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame, event_id, ts, event_type, value AS state,
   CASE WHEN event_type = 'click' THEN value / 100 ELSE 0.0 END AS slew, CASE WHEN event_type = 'purchase' THEN value / 100 ELSE 0.0 END AS move FROM events)"""
+
+
+def gradient_frames(spark: SparkSession, frames: int, rows: int) -> DataFrame:
+    """(frame, row, level): a synthetic moving gradient, the same at every run."""
+    f = spark.range(frames).select(F.col("id").alias("frame"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(rows - 1).cast("long"))).alias("row"))
+    return f.select("frame", "row", ((F.col("frame") * 3 + F.col("row") * 5) % 256).alias("level"))
+
+
+def real_or_gradient(spark: SparkSession, path: str, frames: int, rows: int) -> DataFrame:
+    """The recorded frames at path; the synthetic ones if nothing is there. Other errors are raised."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return gradient_frames(spark, frames, rows)
