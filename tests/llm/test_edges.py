@@ -6,9 +6,9 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from framelark.llm import language_id, line_dedup, near_dedup, packing, piece_codec, quality, substring_dedup, toxicity
+from framelark.llm import chat, language_id, line_dedup, near_dedup, packing, piece_codec, quality, substring_dedup, topk_search, toxicity
 
-NAMES = "id k b h n w x i s words word line lines piece start length offset sequence_id n_tokens ids n_lines n_words kept score lang_pred toxic_pred component_id n_shingles n_removed kept_words group value row __k a.b".split()
+NAMES = "id k b h n w x i s words word line lines piece start length offset sequence_id n_tokens ids n_lines n_words kept score lang_pred toxic_pred component_id n_shingles n_removed kept_words group value row __k a.b __id __doc __gone __hits __lines __left __doc2 own text2 doc gone at batch body lo told __x __e __lang __source runs bucket r run before linked hub component key met tile".split()
 LINES = "\n".join(f"passage line {i} of many words that comes back" for i in range(30))
 TEXTS = [None, "", LINES, LINES, "short", "top\n" + LINES, "long " * 60_000, "É日本\r\n\x0b# x"]
 
@@ -58,3 +58,23 @@ def test_columns_as_they_came(spark, docs):
 @pytest.mark.parametrize("name", sorted(OPS))
 def test_no_rows(spark, docs, name):
     assert OPS[name](spark, docs.limit(0)).count() == 0
+
+
+def test_chat_rows(spark):
+    rows = [(1, 2, "user", "hi"), (1, 2, "user", "hi"), (1, None, "assistant", "late"), (1, None, "user", "ask"), (2, 0, None, None), (None, 1, "assistant", ""), (3, 1, "assistant", "x" * 100_000 + "###\\</turn>: \U0001f600")]
+    df = spark.createDataFrame([(*r, "own") for r in rows], "conv_id long, turn long, role string, text string, kind string")
+    got = {r.conv_id: r for r in chat.read_back(chat.format_chats(chat.messages_as_events(df))).collect()}
+    said = {k: [(t.role, t.text) for t in r.turns] for k, r in got.items()}
+    assert said == {1: [("user", "hi"), ("user", "hi"), ("assistant", "late"), ("user", "ask")], 2: [("", "")], None: [("assistant", "")], 3: [("assistant", rows[-1][3])]}
+    assert {k: r.loss_text for k, r in got.items()} == {1: "late", 2: "", None: "", 3: rows[-1][3]}
+    assert chat.format_chats(chat.messages_as_events(df.limit(0))).count() == 0
+
+
+def test_topk_rows(spark):
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, []), (4, []), (5, [0.5]), (6, None), (None, [1.0, 0.0]), (7, [1.0, None]), (8, [float("inf"), 0.0])]
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], "vec_id long, embedding array<double>, score int, query_id int")
+    got = {}
+    for r in topk_search.top_k(df.where("vec_id in (0, 3, 5, 6)"), df, 3).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert got == {0: [(1, 65536), (2, 65536)], 3: [(4, 0)]}
+    assert topk_search.top_k(df.limit(0), df, 3).count() == topk_search.top_k(df, df.limit(0), 3).count() == 0

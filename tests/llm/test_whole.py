@@ -1,11 +1,13 @@
 """The whole job of the corpus operators, row by row against small brute-force versions."""
 
 import random
+import re
 
 import numpy as np
 import pytest
+import xxhash
 
-from framelark.llm import line_dedup, quality
+from framelark.llm import language_id, line_dedup, quality, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string"
 
@@ -114,3 +116,101 @@ def test_small_groups_are_judged(spark):
     x = np.array([quality.counts(r[0])[5] for r in rows])
     want = np.concatenate([robust(x[:70]), robust(x[:80])[70:], robust(x)[80:]])
     assert np.allclose([got[i].distance for i in range(len(rows))], want, rtol=0.4)
+
+
+def test_language_brute_force(spark):
+    rng = random.Random(12)
+    words = {"aa": "lorem ipsum dolor sit amet elit".split(), "bb": "zwar und nicht wieder kein haus".split(), "cc": "pero nunca siempre donde casa".split()}
+    train = [(i, " ".join(rng.choices(words[lang], k=30)), lang) for i, lang in enumerate(list(words) * 12)] + [(99, "123 456", "aa"), (100, None, "bb"), (101, "etwas", None)]
+    model = language_id.fit(spark.createDataFrame(train, "doc_id long, text string, lang string"))
+    known = [(t, lang) for _, t, lang in train if t and lang and re.search("[a-z]", t)]
+    counts = np.array([language_id.gram_counts(t) for t, _ in known])
+    idf = np.log((1 + len(known)) / (1 + (counts > 0).sum(0))) + 1
+    assert np.allclose(model.idf, idf) and sorted(set(model.of)) == sorted(words)
+    unit = lambda c: (v := np.log1p(c) * idf) / np.linalg.norm(v)
+    texts = [" ".join(rng.choices(words[lang], k=30)) for lang in list(words) * 10] + ["\u65e5\u672c\u8a9e \u30c6\u30ad\u30b9\u30c8", "", None, "12 34"]
+    rows = language_id.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()
+    for r in rows:
+        if not r.text or not re.search(r"[^\W\d_]", r.text):
+            assert (r.lang_pred, r.score, r.rejected) == ("und", 0.0, True)
+            continue
+        cosine = [float(c @ unit(language_id.gram_counts(r.text))) for c in model.centres]
+        best = int(np.argmax(cosine))
+        assert r.lang_pred == model.of[best] and abs(r.score - max(0.0, cosine[best])) < 1e-9 and r.rejected == (cosine[best] < model.least[best])
+    assert all(r.lang_pred == list(words)[r.doc_id % 3] and not r.rejected for r in rows[:30]) and rows[30].rejected
+
+
+def test_many_languages(spark):
+    rng = random.Random(3)
+    names = [f"l{i:03d}" for i in range(230)]
+    words = {n: ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(4)] for n in names}
+    df = spark.createDataFrame([(k, " ".join(rng.choices(words[n], k=25)), n) for k, n in enumerate(names * 3)], "doc_id long, text string, lang string")
+    got = language_id.identify(df, language_id.fit(df)).collect()
+    assert {r.lang_pred for r in got} == set(names) and np.mean([r.lang_pred == r.lang for r in got]) > 0.98
+
+
+def test_chain_brute_force():
+    rng = random.Random(2)
+    texts, labels = [], []
+    for _ in range(240):
+        low, toxic = rng.random() < 0.4, rng.random() < 0.3
+        texts.append(toxicity.word_ids(" ".join(rng.choices(["plain", "calm", "word", "text"], k=6) + ["bad"] * low + ["vile"] * (toxic and low) + ["rude"] * toxic)))
+        labels.append([float(low), float(toxic)])
+    y = np.array(labels)
+    chain = toxicity.Chain(["low_quality", "toxic"], list(range(240)), texts, y)
+    fold = np.array([xxhash.xxh3_64_intdigest(str(i)) % toxicity.FOLDS for i in range(240)])
+    none = np.zeros((240, 0))
+    out = np.zeros(240)
+    for f in range(toxicity.FOLDS):
+        at = np.flatnonzero(fold != f)
+        part = toxicity.Linear([texts[i] for i in at], none[at], y[at, 0])
+        for i in np.flatnonzero(fold == f):
+            out[i] = 1 / (1 + np.exp(-(part.w[texts[i]].sum() + part.b)))
+    second = toxicity.Linear(texts, out[:, None], y[:, 1])
+    assert np.allclose(chain.models[1].v, second.v) and np.allclose(chain.models[1].w, second.w)
+    for said in ("plain bad rude", "calm text", None):
+        first = chain.models[0]
+        ids = toxicity.word_ids(said)
+        p = 1 / (1 + np.exp(-(first.w[ids].sum() + first.b)))
+        q = 1 / (1 + np.exp(-(second.w[ids].sum() + second.v[0] * p + second.b)))
+        assert np.allclose(chain.predict(said), [p, q])
+
+
+def shingles(text, n):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[k : k + min(n, len(w))]) for k in range(max(1, len(w) - n + 1))} if w else set()
+
+
+def test_stages_brute_force(spark):
+    import corpus_pipeline as p
+
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    outs, now = {}, docs
+    for name, stage in p.STAGES:
+        now = spark.createDataFrame(stage(spark, now, folder).collect(), stage(spark, now, folder).schema)
+        outs[name] = {r.doc_id: r for r in now.collect()}
+    kept = quality.judge(docs).where("kept").collect()
+    assert {r.doc_id: r.text for r in kept} == {i: r.text for i, r in outs["quality_rules"].items()}
+    rows = sorted((i, r.text) for i, r in outs["quality_rules"].items())
+    assert {i: t for i, t, _, _ in lines_left(rows)} == {i: r.text for i, r in outs["line_dedup"].items()}
+    sets = {i: shingles(r.text, 5) for i, r in outs["line_dedup"].items()}
+    group = {i: i for i in sets}
+    changed = True
+    links = [(a, b) for a in sets for b in sets if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    while changed:
+        changed = False
+        for a, b in links:
+            low = min(group[a], group[b])
+            changed |= (group[a], group[b]) != (low, low)
+            group[a] = group[b] = low
+    assert set(outs["near_dedup"]) == {i for i in group if group[i] == i}
+    words = {i: (r.text or "").encode().split() for i, r in outs["near_dedup"].items()}
+    first = {}
+    for i in sorted(words):
+        for k in range(len(words[i]) - 49):
+            first.setdefault(tuple(words[i][k : k + 50]), i)
+    for i, w in words.items():
+        gone = {j for k in range(len(w) - 49) if first[tuple(w[k : k + 50])] < i for j in range(k, k + 50)}
+        assert (outs["substring_dedup"][i].text or "").encode().split() == [x for k, x in enumerate(w) if k not in gone]
+    assert set(outs["best_fit_packing"]) == set(words)
