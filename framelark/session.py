@@ -43,8 +43,11 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def new_folder(spark: SparkSession, what: str) -> str:
-    """A name for a new folder in the cluster's checkpoint folder; only where none is named (as in tests) in one of our own."""
+    """A name for a new folder in the cluster's checkpoint folder; only where none is named and master is local (as in tests) in one of our own."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp("-ckpt"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp("-ckpt"))
     return f"{sc.getCheckpointDir()}/{what}-{uuid.uuid4().hex}"
