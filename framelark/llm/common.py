@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -54,6 +55,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """df as Parquet files, which are smaller than a checkpoint, and their folder, which the caller deletes."""
+    path = f"{shared_folder(df.sparkSession)}/written-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Remove a folder from whatever store its path names."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

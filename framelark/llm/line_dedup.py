@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, opened, sealed, without
+from .common import cut, delete, opened, sealed, without, written
 
 _SALT = 32
 
@@ -37,18 +37,21 @@ def _repeats(keyed: DataFrame) -> DataFrame:
     found = each.join(cut(seen.select("h")), "h")
     wanted = found.groupBy("id", "doc").agg(F.collect_list(F.struct("at", "h")).alias("pairs"))
     held = rows.join(wanted, ["id", "doc"]).select("id", "doc", "lines", F.explode("pairs").alias("p"))
-    twice = cut(held.select("id", "doc", "p.at", "p.h", F.expr("concat(get(lines, p.at), '\n', get(lines, p.at + 1))").alias("pair")))
+    twice, folder = written(held.select("id", "doc", "p.at", "p.h", F.expr("concat(get(lines, p.at), '\n', get(lines, p.at + 1))").alias("pair")))
     # Bytes decide: the text itself is a grouping key. The salt spreads a pair that very many documents share.
     salted = twice.withColumn("s", F.pmod(F.xxhash64("id"), F.lit(_SALT)))
     part = salted.groupBy("h", "pair", "s").agg(F.min(place).alias("first"))
-    first = cut(part.groupBy("h", "pair").agg(F.min("first").alias("first")))
+    first, distinct = written(part.groupBy("h", "pair").agg(F.min("first").alias("first")))
     # Nearly every hash has one text, and its rows need no text to find their first place.
     texts = first.groupBy("h").agg(F.count("*").alias("n"), F.min("first").alias("first"))
     lone = twice.select("id", "doc", "at", "h").join(texts.where("n = 1").select("h", "first"), "h")
     # A hash of 64 bits has two texts a few hundred times in 10**11 pairs, which bounds what is broadcast.
     mixed = twice.join(F.broadcast(texts.where("n > 1").select("h")), "h", "left_semi").join(first, ["h", "pair"])
     later = lone.select("id", "doc", "at", "first").unionByName(mixed.select("id", "doc", "at", "first")).where(F.col("first") < place)
-    return later.groupBy("id", "doc").agg(F.collect_set("at").alias("gone"))
+    gone = cut(later.groupBy("id", "doc").agg(F.collect_set("at").alias("gone")))
+    for path in (folder, distinct):
+        delete(keyed.sparkSession, path)
+    return gone
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

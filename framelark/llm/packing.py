@@ -31,7 +31,7 @@ from .common import cut, map_docs
 
 CAPACITY = 2048
 #: Pieces of one length that are ranked in one task, about.
-BUCKET = 50_000
+BUCKET = 500
 
 
 @lru_cache(2)
