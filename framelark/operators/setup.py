@@ -130,3 +130,13 @@ def first_video(document: Column) -> Column:
 def rate(text: Column) -> Column:
     """A rational such as 30000/1001 as a number; null for denominator 0."""
     return F.try_divide(F.split_part(text, F.lit("/"), F.lit(1)).cast("double"), F.coalesce(F.nullif(F.split_part(text, F.lit("/"), F.lit(2)), F.lit("")).cast("double"), F.lit(1.0)))
+
+
+def samples(text: Column, name: str) -> Column:
+    """Every value of name:1.25 in a text, in order; null for null text."""
+    return F.transform(F.regexp_extract_all(text, F.lit(rf"\b{name}:([0-9]+(?:\.[0-9]+)?)"), F.lit(1)), lambda x: x.cast("double"))
+
+
+def first_integer(text: Column) -> Column:
+    """The first run of digits in a text, null without one."""
+    return F.regexp_extract(text, "([0-9]+)", 1).try_cast("long")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from framelark.operators import setup
 from framelark.operators.stats import r6
 from framelark.plans.text_queries import q_buckets
+from framelark.sinks import datasets
 from framelark.sources.frames import FRAMES_SQL, event_frames, gradient_frames, read_shards, read_table, real_or_gradient
 
 
@@ -94,6 +95,18 @@ def q_csv(spark, d):
     return v.select("event_id", F.size("v").cast("long").alias("n"), F.size(F.filter("v", lambda x: x.isNull())).cast("long").alias("blanks"), F.aggregate("v", F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0))).alias("total"))
 
 
+def q_samples(spark, d):
+    """Step times out of a training log's lines, made from events; views have none."""
+    ms = F.col("event_id") % 1000
+    text = F.concat(F.lit("step:"), "event_id", F.lit("K loss:0.5"), F.when(F.col("event_type") == "view", F.lit("")).otherwise(F.format_string(" updt_s:%d.%03d data_s:0.1\n updt_s:%d", F.col("user_id"), ms, ms)))
+    e = read_table(spark, d, "events").select("event_id", setup.samples(text, "updt_s").alias("v"), setup.first_integer(text).alias("step"))
+    return e.select("event_id", "step", F.size("v").cast("long").alias("n"), r6(F.aggregate("v", F.lit(0.0), lambda a, x: a + x)).alias("total"))
+
+
+def q_dataset_episodes(spark, d):
+    return datasets.episode_table(event_frames(spark, d), 10.0)
+
+
 def q_stamp(spark, d):
     return read_table(spark, d, "events").select("event_id", F.date_format("ts", "'run_'yyyyMMdd'T'HHmmss'Z.json'").alias("name"))
 
@@ -176,6 +189,7 @@ QUERIES = {
     "seconds_to_frames": q_frames_of, "control_strip": q_stripped, "first_video_stream": q_video, "pipe_unpack": q_unpack, "csv_vector": q_csv, "file_stamp": q_stamp, "first_outputs": q_top,
     "distinct_modes": q_modes, "state_blind": q_blind, "stream_tags": q_streams, "renamed_keys": q_keys, "own_features": q_features, "one_episode": q_episode, "loopback_hosts": q_hosts,
     "parity_flags": q_flags, "shard_reader": q_shards, "synthetic_gradient": q_gradient, "golden_fallback": q_fallback,
+    "log_samples": q_samples, "dataset_episodes": q_dataset_episodes,
 }
 
 
@@ -234,4 +248,7 @@ SELECT label, place, vec_id, len(p) AS shown, CAST(list_sum(list_transform(p, la
     "shard_reader": "SELECT event_type, count(*) AS n FROM events GROUP BY event_type",
     "synthetic_gradient": _GRADIENT.format(120, 16),
     "golden_fallback": _GRADIENT.format(40, 4),
+    "log_samples": "SELECT event_id, event_id AS step, CAST(CASE event_type WHEN 'view' THEN 0 ELSE 2 END AS BIGINT) AS n, CASE event_type WHEN 'view' THEN CAST(0 AS DOUBLE) ELSE round(user_id + event_id % 1000 / CAST(1000 AS DOUBLE) + event_id % 1000, 6) END AS total FROM events",
+    "dataset_episodes": f"""WITH {FRAMES_SQL}, e AS (SELECT ep, count(*) AS length FROM f GROUP BY ep), o AS (SELECT *, CAST(sum(length) OVER (ORDER BY ep) AS BIGINT) AS hi FROM e)
+SELECT row_number() OVER (ORDER BY ep) - 1 AS episode_index, ep AS source_episode, length, hi - length AS dataset_from_index, hi AS dataset_to_index, CAST(length / CAST(10 AS DOUBLE) AS DOUBLE) AS duration, 0::BIGINT AS "data/chunk_index", 0::BIGINT AS "data/file_index", 0::BIGINT AS "meta/episodes/chunk_index", 0::BIGINT AS "meta/episodes/file_index" FROM o""",
 }

@@ -5,9 +5,13 @@ A target that exists is an error unless force is set; a dry run writes nothing a
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from framelark.operators.trim import survivors
+
+#: Where an episode's rows and its metadata are, of which a table that Spark reads whole needs no more than zeros.
+LOCATORS = ("data/chunk_index", "data/file_index", "meta/episodes/chunk_index", "meta/episodes/file_index")
 #: What an observation's image must be to be encoded with loss.
 ENCODED_KEYS = ("observation/image", "observation/wrist_image")
 
@@ -24,6 +28,41 @@ def write_frames(frames: DataFrame, path: str, key: str | None = None, force: bo
     return frames
 
 
+def _kept(frames: DataFrame) -> DataFrame:
+    plan = frames.groupBy("ep").agg(F.count("*").alias("n"))
+    return survivors(plan.select("ep", "n", F.lit(0).cast("long").alias("start"), (F.col("n") - 1).alias("stop"), F.col("n").alias("keep")), 1)
+
+
+def episode_table(frames: DataFrame, fps: float) -> DataFrame:
+    """A row per episode of (ep, frame, ...): its dense number, the one it had, length, range of rows, duration, locators."""
+    e = _kept(frames).select(F.col("new_ep").alias("episode_index"), F.col("ep").alias("source_episode"), F.col("keep").alias("length"), F.col("from_index").alias("dataset_from_index"), F.col("to_index").alias("dataset_to_index"))
+    return e.withColumn("duration", F.col("length") / F.lit(fps)).withColumns({c: F.lit(0).cast("long") for c in LOCATORS})
+
+
+def write_dataset(frames: DataFrame, path: str, fps: float, force: bool = False) -> None:
+    """Frames under data/ and episodes under meta/episodes/, numbered anew; (ep, frame) name a row, and frames of an
+    episode count from 0 in their order. The metadata comes last, so a target without it is not finished."""
+    numbered = frames.withColumn("_at", F.row_number().over(Window.partitionBy("ep").orderBy("frame")) - 1)
+    rows = numbered.join(_kept(frames).select("ep", "new_ep", "from_index"), "ep")
+    rows = rows.withColumns({"episode_index": F.col("new_ep"), "frame_index": F.col("_at").cast("long"), "timestamp": F.col("_at") / F.lit(fps), "index": F.col("from_index") + F.col("_at")})
+    write_frames(rows.drop("ep", "frame", "_at", "new_ep", "from_index"), f"{path}/data", force=force)
+    write_frames(episode_table(frames, fps), f"{path}/meta/episodes", force=force)
+
+
+def write_view(spark: SparkSession, source: str, target: str, keep: list[str], force: bool = False) -> list[str]:
+    """Every metadata shard below source without the cameras that are not kept, at the same relative path below target.
+
+    A shard is written as a folder of the file's name, which Spark reads as it reads the file. Shards are metadata, a job
+    each; frames and videos are not copied. Gives the relative paths."""
+    whole = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(source)
+    camera_view(whole, keep)  # an unknown camera ends this before anything is written
+    root = source.rstrip("/").split(":", 1)[-1].lstrip("/")
+    names = sorted(f.split(f"{root}/", 1)[1] for f in whole.inputFiles())
+    for name in names:
+        camera_view(spark.read.parquet(f"{source}/{name}"), keep).coalesce(1).write.mode("overwrite" if force else "errorifexists").parquet(f"{target}/{name}")
+    return names
+
+
 def write_results(rows: DataFrame, path: str, force: bool = False) -> None:
     """One JSON object a row; null fields are kept."""
     rows.write.mode("overwrite" if force else "errorifexists").option("ignoreNullFields", "false").json(path)

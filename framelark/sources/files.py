@@ -95,6 +95,29 @@ def read_points(spark: SparkSession, path: str, element: str = "vertex") -> Data
     return files.mapInPandas(run, "file string, id long, values map<string, double>")
 
 
+def read_arrays(spark: SparkSession, path: str) -> DataFrame:
+    """Arrays of .npz files: file, name, dtype, shape, and the values as doubles, row by row (texts as text instead).
+
+    A file is one task's work, an array one row; pickled objects are refused."""
+
+    def run(batches):
+        import io
+
+        import numpy as np
+        import pandas as pd
+
+        for pdf in batches:
+            for file, content in zip(pdf["path"], pdf["content"], strict=True):
+                with np.load(io.BytesIO(content), allow_pickle=False) as found:
+                    for name in found.files:
+                        a = found[name]
+                        texts = a.dtype.kind in "US"
+                        yield pd.DataFrame([(file, name, a.dtype.str, list(a.shape), None if texts else a.astype("f8").ravel(), a.astype(str).ravel().tolist() if texts else None)], columns=["file", "name", "dtype", "shape", "values", "texts"])
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInPandas(run, "file string, name string, dtype string, shape array<long>, values array<double>, texts array<string>")
+
+
 def list_files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     """File catalog below a folder, without contents: path, modified, length, step (number in the pattern's first group).
 

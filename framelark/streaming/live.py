@@ -38,8 +38,8 @@ def latest(stream: DataFrame, key: str, order: list[str], columns: list[str]) ->
 
 
 def reports(stream: DataFrame, ts: str, key: str, value: str, every: str, late: str) -> DataFrame:
-    """Count and sum by window and key; rows later than `late` behind the newest of earlier batches are left out, which
-    is what bounds the state. Update mode."""
+    """Count and sum by window and key; rows whose window ended more than `late` before the newest row of the batches up
+    to the last but one are left out (Spark judges lateness one batch behind), which is what bounds the state. Update mode."""
     g = stream.withWatermark(ts, late).groupBy(F.window(ts, every).alias("w"), key).agg(F.count("*").alias("n"), F.sum(value).alias("total"))
     return g.select(F.col("w.start").alias("start"), key, "n", "total")
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from framelark.sinks.datasets import camera_view, numbered_names, wire_encoding, write_frames, write_results
+from framelark.sinks.datasets import camera_view, numbered_names, wire_encoding, write_dataset, write_frames, write_results, write_view
 from framelark.sources import files
 
 
@@ -79,3 +79,35 @@ def test_wire(spark):
     rows = [("observation/image", 3, "uint8", "jpeg"), ("observation/image", 3, "float32", "raw"), ("observation/state", 3, "uint8", "raw"), ("observation/wrist_image", 2, "uint8", "raw")]
     df = spark.createDataFrame(rows, "key string, ndim int, dtype string, want string")
     assert df.where(wire_encoding(F.col("key"), F.col("ndim"), F.col("dtype")) == F.col("want")).count() == 4
+
+
+def test_arrays(spark, tmp_path):
+    np.savez(tmp_path / "a.npz", x=np.arange(6, dtype="f4").reshape(2, 3), n=np.array(7), text=np.array("dig"), empty=np.zeros((0, 4)))
+    got = {r.name: (r.shape, r["values"], r.texts) for r in files.read_arrays(spark, f"{tmp_path}/*.npz").collect()}
+    assert got == {"x": ([2, 3], [0.0, 1.0, 2.0, 3.0, 4.0, 5.0], None), "n": ([], [7.0], None), "text": ([], None, ["dig"]), "empty": ([0, 4], [], None)}
+
+
+def test_dataset(spark, tmp_path):
+    df = spark.createDataFrame([(7, 4, 1.0), (7, 2, 2.0), (9000, 0, 3.0)], "ep long, frame long, x double")
+    write_dataset(df, f"{tmp_path}/d", 2.0)
+    rows = spark.read.parquet(f"{tmp_path}/d/data").orderBy("index").collect()
+    assert [(r.episode_index, r.frame_index, r.timestamp, r["index"], r.x) for r in rows] == [(0, 0, 0.0, 0, 2.0), (0, 1, 0.5, 1, 1.0), (1, 0, 0.0, 2, 3.0)]
+    episodes = spark.read.parquet(f"{tmp_path}/d/meta/episodes").orderBy("episode_index").collect()
+    assert [(r.source_episode, r.length, r.dataset_from_index, r.dataset_to_index, r["data/file_index"]) for r in episodes] == [(7, 2, 0, 2, 0), (9000, 1, 2, 3, 0)]
+    with pytest.raises(AnalysisException):
+        write_dataset(df, f"{tmp_path}/d", 2.0)
+
+
+def test_view_keeps_paths(spark, tmp_path):
+    cameras = "`episode_index` long, `videos/observation.images.a/t` double, `videos/observation.images.b/t` double"
+    for n, at in enumerate(("chunk-000/file-000", "chunk-001/file-000")):
+        (tmp_path / "src" / at).parent.mkdir(parents=True)
+        spark.createDataFrame([(n, 1.0, 2.0)], cameras).toPandas().to_parquet(tmp_path / "src" / f"{at}.parquet", index=False)
+    with pytest.raises(ValueError):
+        write_view(spark, f"{tmp_path}/src", f"{tmp_path}/out", ["c"])
+    assert not (tmp_path / "out").exists()
+    names = write_view(spark, f"{tmp_path}/src", f"{tmp_path}/out", ["a"])
+    assert names == ["chunk-000/file-000.parquet", "chunk-001/file-000.parquet"]
+    for n, name in enumerate(names):
+        shard = spark.read.parquet(f"{tmp_path}/out/{name}")
+        assert shard.columns == ["episode_index", "videos/observation.images.a/t"] and shard.first().episode_index == n

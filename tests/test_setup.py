@@ -65,3 +65,9 @@ def test_texts(spark):
 def test_fallback_only_where_nothing_is(spark, tmp_path):
     assert real_or_gradient(spark, f"{DATA}/region.parquet", 1, 1).columns == spark.read.parquet(f"{DATA}/region.parquet").columns
     assert real_or_gradient(spark, str(tmp_path / "none"), 3, 2).count() == 6
+
+
+def test_samples(spark):
+    row = spark.sql("select 'x updt_s:0.25 notupdt_s:9 updt_s:3' as a, 'none' as b, cast(null as string) as c, 'pid 0042 7' as d")
+    got = row.select(*[setup.samples(F.col(x), "updt_s").alias(f"s{x}") for x in "abc"], *[setup.first_integer(F.col(x)).alias(f"i{x}") for x in "bcd"]).first()
+    assert (got.sa, got.sb, got.sc, got.ib, got.ic, got["id"]) == ([0.25, 3.0], [], None, None, None, 42)
