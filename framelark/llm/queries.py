@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, language_id, line_dedup, near_dedup, packing, piece_codec, quality, substring_dedup, topk_search, toxicity
+from . import chat, filter_audit, importance, language_id, line_dedup, near_dedup, packing, piece_codec, quality, substring_dedup, topk_search, toxicity
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.query,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_minhash_near_dedup": near_dedup.query,
     "op9_language_id": language_id.query,
     "op10_toxicity": toxicity.query,
+    "op11_filter_audit": filter_audit.query,
+    "op13_importance_resampling": importance.query,
 }
 
 _WORDS = r"[^\x20\x09-\x0D]+"
@@ -48,4 +50,6 @@ ORACLE = {
     "op5_exact_topk": topk_search.SQL,
     "op6_chat_format": chat.SQL,
     "op8_minhash_near_dedup": NEAR_SQL,
+    "op11_filter_audit": filter_audit.SQL,
+    "op13_importance_resampling": importance.SQL,
 }
