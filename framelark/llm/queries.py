@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, filter_audit, importance, language_id, line_dedup, near_dedup, packing, piece_codec, quality, substring_dedup, topk_search, toxicity
+from . import chat, filter_audit, importance, language_id, line_dedup, near_dedup, packing, piece_codec, quality, quality_classifier, substring_dedup, topk_search, toxicity
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_language_id": language_id.query,
     "op10_toxicity": toxicity.query,
     "op11_filter_audit": filter_audit.query,
+    "op12_quality_classifier": quality_classifier.query,
     "op13_importance_resampling": importance.query,
 }
 
