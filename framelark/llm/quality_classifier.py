@@ -197,7 +197,7 @@ def fit(docs: DataFrame, labels: DataFrame, vectors: Vectors, id_col: str = "doc
     found = map_docs(rows, lambda texts: ([shared.value.pooled(t).tobytes() for t in texts],), ["text"], "x binary", ["i", "y"])
     found = sorted(found.groupBy("i", "y").agg(F.min("x").alias("x")).collect(), key=lambda r: r["i"])
     y = np.array([r["y"] for r in found], np.float64)
-    x = np.array([np.frombuffer(r["x"], np.float32) for r in found], np.float64).reshape(len(found), -1)
+    x = np.array([np.frombuffer(r["x"], np.float32) for r in found], np.float64).reshape(-1, 2 * DIM + 5)
     held = np.array([xxhash.xxh3_64_intdigest(f"held {r['i']}") % 5 == 0 for r in found], bool)
     return Network(x, y, np.array([1 / share[v] for v in y]), held)
 
