@@ -7,8 +7,8 @@ most, however many documents it holds.
 
 The filters' letters: A few words, B few distinct words, C many capitals, D symbols, E copy of an earlier
 document's text. Copies are equal when the SHA-256 of their UTF-8 bytes are; a text that very many
-documents share is reduced to its smallest id before it is shuffled, and its documents are joined
-back by sort-merge, whose skewed partitions adaptive execution splits.
+documents share is reduced to its smallest id before it is shuffled, and joined back by a broadcast of
+the few such texts, all others by a shuffle.
 
 Defined results: null text is an empty text; null source is the empty string's part; a row with a null id is
 never a copy, nor is one a copy of it; rows that share an id count each, and are no copies of each other; a
@@ -23,7 +23,11 @@ from itertools import permutations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 FILTERS = "ABCDE"
+#: A text with more than one in HEAVY of the rows that have copies is joined by a broadcast; so there are fewer than HEAVY.
+HEAVY = 1000
 _WORD = r"[^\x20\x09-\x0D]+"
 _SUMS = ("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost")
 
@@ -40,8 +44,16 @@ def flags(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     ]
     bits = sum((F.when(x, F.lit(1 << k)).otherwise(F.lit(0)) for k, x in enumerate(own)), F.lit(0))
     slim = rows.select("id", "part", bits.alias("bits"), F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("body"))
-    first = slim.where("id is not null").groupBy("body").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("body", "first")
-    marked = slim.join(first, "body", "left").withColumn("fails", F.col("bits") + F.when(F.col("first") < F.col("id"), F.lit(16)).otherwise(F.lit(0)))
+    again = slim.where("id is not null").groupBy("body").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("n"))
+    again = cut(again.where("first < last").select("body", "first", "n"))
+    rows = again.agg(F.sum("n")).first()[0] or 0
+    # Bodies that more than one in HEAVY of these rows share are fewer than HEAVY: broadcast. All others are too rare to make a task large.
+    heavy = again.where(F.col("n") * HEAVY > rows).select(F.col("body").alias("heavy"), F.col("first").alias("heavy_first"))
+    met = slim.join(F.broadcast(heavy), F.col("body") == F.col("heavy"), "left")
+    own_key = F.monotonically_increasing_id().cast("string").cast("binary")  # shorter than any body: meets none
+    met = met.withColumn("key", F.when(F.col("heavy").isNull(), F.col("body")).otherwise(own_key))
+    light = again.where(F.col("n") * HEAVY <= rows).select(F.col("body").alias("key"), "first")
+    marked = met.join(light, "key", "left").withColumn("fails", F.col("bits") + F.when(F.coalesce("heavy_first", "first") < F.col("id"), F.lit(16)).otherwise(F.lit(0)))
     told = labels.where("doc_id is not null").groupBy("doc_id").agg(
         F.max(F.coalesce(F.col("quality") == 1, F.lit(False)).cast("int")).alias("good"), F.max(F.coalesce(F.col("toxic") == 1, F.lit(False)).cast("int")).alias("toxic")
     )
