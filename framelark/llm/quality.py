@@ -5,11 +5,15 @@ over all documents that pass the base rules. Three deterministic starts at the m
 from the quartiles, from the narrower side of the median, and the granted ones alone) take
 concentration steps: mean and covariance of the core, the (n + p + 1) / 2 of n documents with the
 smallest distances, so that junk up to nearly a half does not enter it. After SCREEN steps the start
-with the smallest determinant goes on alone until no group's determinant falls any more (or STEPS are
-taken). One last step reweights: mean and covariance of the documents within REWEIGHT of the scaled
-core. A document is rejected when its squared Mahalanobis distance exceeds CUTOFF. A group with fewer
-than MIN_GROUP documents is judged by the estimate over all documents of its language, and where that
-has fewer too, by the estimate over all documents, so every document past the base rules is judged.
+with the smallest determinant goes on alone until no group's determinant falls any more (a warning
+says so if STEPS are taken before). One last step reweights: mean and covariance of the documents
+within REWEIGHT of the scaled core.
+
+The same is done for each language and for all documents, and by one formula, whatever their sizes,
+each estimate is shrunk toward the wider one: that of n documents weighs m / (m + PRIOR), where m =
+n - p - 1 is what n has beyond the documents that a covariance of p statistics takes (0 if less);
+means and covariances mix as those of a mixture do. A document is rejected when its squared
+Mahalanobis distance exceeds CUTOFF.
 
 A step is one pass: each task adds up counts, sums and products by group, start and bin of distance
 (BINS to a doubling), and a group's core is its nearest bins and a share of the one that its edge
@@ -28,6 +32,7 @@ like an output column gives way; an empty table gives no rows.
 from __future__ import annotations
 
 import math
+import warnings
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +46,7 @@ from .common import cut, few_tasks, map_docs, numbered, opened, sealed, small, w
 SYMBOLS = "#*$%&|<>"
 WINDOW, MIN_WORDS, MAX_REPEAT_PERCENT = 8, 20, 30
 #: Parameters of the estimate.
-STARTS, SCREEN, STEPS, MIN_GROUP, CUTOFF = 3, 2, 12, 60, 64.0
+STARTS, SCREEN, STEPS, PRIOR, CUTOFF = 3, 2, 30, 60, 64.0
 #: Bins of distance to a doubling, the bin of distance 1, the number of bins; the edge of reweighting is a bin's edge.
 BINS, ONE, LAST = 4, 32, 255
 REWEIGHT = 2**4.25
@@ -129,6 +134,28 @@ def packed(mean: np.ndarray, cov: np.ndarray) -> list[float]:
     return [*mean.tolist(), *np.linalg.inv(cov + _RIDGE)[_UP].tolist()]
 
 
+def raw(mean: np.ndarray, cov: np.ndarray) -> list[float]:
+    return [*mean.tolist(), *cov[_UP].tolist()]
+
+
+def shrunk(levels: list[tuple[int, list[float] | None]]) -> list[float] | None:
+    """The packed estimate from (n, raw estimate) of the widest group to the narrowest; null without any."""
+    mean = cov = None
+    for n, e in levels:
+        if e is None:
+            continue
+        own, c = np.array(e[:_P]), np.empty((_P, _P))
+        c[_UP] = e[_P:]
+        c.T[_UP] = c[_UP]
+        if mean is None:
+            mean, cov = own, c
+            continue
+        m, off = max(0, n - _P - 1), own - mean
+        w = m / (m + PRIOR)
+        mean, cov = mean + w * off, (1 - w) * cov + w * c + w * (1 - w) * np.outer(off, off)
+    return None if mean is None else packed(mean, cov)
+
+
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
@@ -229,11 +256,11 @@ def concentrated(sums: list, n: int, screen: bool, last: bool) -> tuple[list[flo
 
 
 def reweighted(sums: list) -> list[float]:
-    """The packed estimate over the bins within REWEIGHT."""
+    """The raw estimate over the bins within REWEIGHT."""
     ((at, v),) = _by_start(sums).values()
     near = v[at < round(np.log2(REWEIGHT) * BINS) + ONE]
     mean, cov = moments(near.sum(0) if len(near) else v.sum(0))
-    return packed(mean, cov * _chi2(REWEIGHT, _P) / _chi2(REWEIGHT, _P + 2))
+    return raw(mean, cov * _chi2(REWEIGHT, _P) / _chi2(REWEIGHT, _P + 2))
 
 
 def _joined(rows: DataFrame, groups: DataFrame, n: int, keys: list[str]) -> DataFrame:
@@ -247,15 +274,15 @@ def _joined(rows: DataFrame, groups: DataFrame, n: int, keys: list[str]) -> Data
 
 
 def estimates(rows: DataFrame, groups: int) -> DataFrame:
-    """(__k, __e): the packed location and inverse scatter of __x per group __k; groups: how many languages and sources there are, so that at most about twice as many keys."""
+    """(__k, __e): location and scatter (raw) of __x per group __k, of which there are groups at most."""
     quartiles = rows.groupBy("__k").agg(F.count("*").alias("__n"), F.array(*[F.percentile_approx(F.col("__x")[i], [0.25, 0.5, 0.75], 2000) for i in range(_P)]).alias("__q"))
     now = _started(few_tasks(quartiles, groups))
 
     def stepped(now: DataFrame, fn, added: str) -> DataFrame:
-        sums = few_tasks(_sums(rows.join(small(now.select("__k", "__e"), 2 * groups, _ROW_BYTES), "__k")), groups * 100)
+        sums = few_tasks(_sums(rows.join(small(now.select("__k", "__e"), groups, _ROW_BYTES), "__k")), groups * 100)
         v = F.array(*[f"v{i}" for i in range(_SUMS)]).alias("v")
         lists = few_tasks(sums.groupBy("__k").agg(F.collect_list(F.struct("start", "bin", v)).alias("__s")), groups)  # at most STARTS * LAST structs
-        return cut(map_docs(few_tasks(lists.join(small(now.select("__k", "__n", F.col("__det").alias("__was")), 2 * groups, _ROW_BYTES), "__k"), groups), fn, ["__s", "__n", "__was"], added, ["__k", "__n"]))
+        return cut(map_docs(few_tasks(lists.join(small(now.select("__k", "__n", F.col("__det").alias("__was")), groups, _ROW_BYTES), "__k"), groups), fn, ["__s", "__n", "__was"], added, ["__k", "__n"]))
 
     for step in range(1, STEPS + 1):
 
@@ -264,8 +291,11 @@ def estimates(rows: DataFrame, groups: int) -> DataFrame:
             return [e for e, _ in out], [d for _, d in out], [w - d for w, (_, d) in zip(was, out, strict=True)]
 
         now = stepped(now, concentrate, "__e array<double>, __det double, __fall double")
-        if step > SCREEN and (now.agg(F.max("__fall")).first()[0] or 0) < SETTLED:
+        fall = now.agg(F.max("__fall")).first()[0] or 0
+        if step > SCREEN and fall < SETTLED:
             break
+    else:
+        warnings.warn(f"a determinant still fell by {fall:.3f} (its logarithm) in the last of {STEPS} steps", stacklevel=2)
 
     def scale(sums, sizes, was):
         out = [concentrated(s, n, True, True) for s, n in zip(sums, sizes, strict=True)]
@@ -276,29 +306,32 @@ def estimates(rows: DataFrame, groups: int) -> DataFrame:
 
 
 def _levels(s: DataFrame) -> tuple[DataFrame, int, int]:
-    """Per language and source: __k, the group that judges it, and __feeds, the groups whose estimates its documents enter; groups and rows of s."""
-    sizes = cut(s.groupBy("__lang", "__source").agg(F.sum(F.when(F.col("base_failed"), 0).otherwise(1)).alias("__n"), F.count("*").alias("__rows")))
-    n, rows = sizes.agg(F.count("*"), F.coalesce(F.sum("__rows"), F.lit(0))).first()
+    """Per language and source: the keys of its three groups, from itself to all documents, and how many past the base rules each has; groups and rows of s."""
+    sizes = cut(s.groupBy("__lang", "__source").agg(F.sum(F.when(F.col("base_failed"), 0).otherwise(1)).alias("__n0"), F.count("*").alias("__rows")))
+    n, rows, passed = sizes.agg(F.count("*"), F.coalesce(F.sum("__rows"), F.lit(0)), F.coalesce(F.sum("__n0"), F.lit(0))).first()
     sizes = few_tasks(sizes, n)
-    own = F.col("__n") >= MIN_GROUP
-    langs = few_tasks(sizes.groupBy("__lang").agg((F.sum("__n") >= MIN_GROUP).alias("__all"), F.bool_or(~own).alias("__any")), n)
-    overall = langs.agg(F.coalesce(F.bool_or(~F.col("__all")), F.lit(False)).alias("__own"))
-    groups = _joined(sizes, langs, n, ["__lang"]).crossJoin(F.broadcast(overall))  # one row
+    groups = _joined(sizes, few_tasks(sizes.groupBy("__lang").agg(F.sum("__n0").alias("__n1")), n), n, ["__lang"])
     # One name for each group; a null language or source is a value, so the level is part of the name.
     key = lambda level, *parts: F.to_json(F.struct(F.lit(level).alias("__level"), *parts))
-    keys = [key(0, "__lang", "__source"), key(1, "__lang"), key(2)]
-    judged_by = F.when(own, keys[0]).when(F.col("__all"), keys[1]).otherwise(keys[2])
-    feeds = F.array(F.when(own, keys[0]), F.when(F.col("__all") & F.col("__any"), keys[1]), F.when(F.col("__own"), keys[2]))
-    out = few_tasks(groups.select("__lang", "__source", judged_by.alias("__k"), F.filter(feeds, lambda k: k.isNotNull()).alias("__feeds")), n)
-    return cut(out), n, rows
+    keys = [key(0, "__lang", "__source").alias("__k0"), key(1, "__lang").alias("__k1"), key(2).alias("__k2")]
+    return cut(few_tasks(groups.select("__lang", "__source", *keys, "__n0", "__n1", F.lit(passed).cast("long").alias("__n2")), n)), n, rows
 
 
 def fit(s: DataFrame) -> tuple[DataFrame, int]:
     """(__lang, __source, __e), and how many rows, from statistics (__lang, __source, base_failed, __x) of all documents."""
     levels, groups, rows = _levels(s)
     fed = _joined(few_tasks(s.where("not base_failed"), rows), levels, groups, ["__lang", "__source"])
-    fitted = estimates(few_tasks(cut(fed.select(F.explode("__feeds").alias("__k"), "__x")), rows), groups)
-    return cut(few_tasks(levels.join(small(fitted, 2 * groups, _ROW_BYTES), "__k", "left"), groups).select("__lang", "__source", "__e")), groups
+    most = 2 * groups + 1
+    fitted = estimates(few_tasks(cut(fed.select(F.explode(F.array("__k0", "__k1", "__k2")).alias("__k"), "__x")), rows), most)
+    for k in range(3):
+        levels = levels.join(small(fitted.select(F.col("__k").alias(f"__k{k}"), F.col("__e").alias(f"__e{k}")), most, _ROW_BYTES), f"__k{k}", "left")
+
+    def shrink(*columns):
+        n, e = columns[:3], columns[3:]
+        return ([shrunk([(n[k][i], e[k][i]) for k in (2, 1, 0)]) for i in range(len(n[0]))],)
+
+    out = map_docs(few_tasks(levels, groups), shrink, ["__n0", "__n1", "__n2", "__e0", "__e1", "__e2"], "__e array<double>", ["__lang", "__source"])
+    return cut(out), groups
 
 
 def _judged(s: DataFrame, fitted: DataFrame, groups: int) -> DataFrame:

@@ -140,7 +140,7 @@ def test_junk_in_two_fifths_of_a_source(spark, kind):
 
 
 def robust(x):
-    """Squared distances of the rows of x from the reweighted core of the smallest determinant, with exact cores."""
+    """Mean and covariance of the reweighted core of the smallest determinant, with exact cores."""
     n, p = x.shape
     low = np.sort(x, 0)
     q = [low[max(0, int(np.ceil(share * n)) - 1)] for share in (0.25, 0.5, 0.75)]
@@ -156,7 +156,20 @@ def robust(x):
         found.append((np.linalg.slogdet(c + ridge)[1], m, c))
     _, m, c = min(found, key=lambda f: f[0])
     near = x[away(m, c * quality.consistency(quality.core_size(n) / n)) < quality.REWEIGHT]
-    return away(near.mean(0), np.cov(near.T, bias=True) * quality._chi2(quality.REWEIGHT, p) / quality._chi2(quality.REWEIGHT, p + 2))
+    return near.mean(0), np.cov(near.T, bias=True) * quality._chi2(quality.REWEIGHT, p) / quality._chi2(quality.REWEIGHT, p + 2)
+
+
+def away(x, *levels):
+    """Squared distances of the rows of x from the estimates of these groups, the widest first, each shrunk toward the one before."""
+    m, c = robust(levels[0])
+    for group in levels[1:]:
+        own, cov = robust(group)
+        extra = max(0, len(group) - x.shape[1] - 1)
+        w = extra / (extra + quality.PRIOR)
+        c = (1 - w) * c + w * cov + w * (1 - w) * np.outer(own - m, own - m)
+        m = (1 - w) * m + w * own
+    ridge = np.diag([f * f for f in quality.FLOOR.values()])
+    return ((x - m) @ np.linalg.inv(c + ridge) * (x - m)).sum(1)
 
 
 def test_distances_brute_force(spark):
@@ -164,7 +177,8 @@ def test_distances_brute_force(spark):
     texts = prose(rng, 90)
     texts = [list(JUNK.values())[i % 3](t) if i < 30 else t for i, t in enumerate(texts)]
     got = {r.doc_id: r for r in quality.judge(spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], SCHEMA)).collect()}
-    want = robust(np.array([quality.counts(t)[5] for t in texts]))
+    x = np.array([quality.counts(t)[5] for t in texts])
+    want = away(x, x)
     assert np.allclose([got[i].distance for i in range(90)], want, rtol=0.25)  # the operator's cores end in a share of a bin
     assert [got[i].kept for i in range(90)] == (want <= quality.CUTOFF).tolist()
 
@@ -179,10 +193,21 @@ def test_small_groups_are_judged(spark):
     junk = {i for i, r in enumerate(rows) if "#" in r[0]}
     assert len(got) == len(rows) and all(r.distance is not None for r in got.values())
     assert {i for i in got if not got[i].kept} == junk
-    # Each by its own source, else by all of its language, else by all documents.
     x = np.array([quality.counts(r[0])[5] for r in rows])
-    want = np.concatenate([robust(x[:70]), robust(x[:80])[70:], robust(x)[80:]])
-    assert np.allclose([got[i].distance for i in range(len(rows))], want, rtol=0.4)
+    en, fr = x[:80], x[80:87]
+    parts = [away(x[:70], x, en, x[:70]), away(x[70:80], x, en, x[70:80]), away(x[80:85], x, fr, x[80:85]), away(x[85:87], x, fr, x[85:87]), away(x[87:], x, x[87:], x[87:])]
+    assert np.allclose([got[i].distance for i in range(len(rows))], np.concatenate(parts), rtol=0.4)
+
+
+def test_groups_of_every_size(spark):
+    """A fifth of junk in sources of 5, 50 and 500 documents: it goes, clean documents stay, by one formula."""
+    rng = random.Random(11)
+    rows = [(junk(t) if i % 5 == 0 else t, "en", f"of {n}") for n in (5, 50, 500) for i, (t, junk) in enumerate(zip(prose(rng, n), rng.choices(list(JUNK.values()), k=n)))]
+    got = {r.doc_id: r for r in quality.judge(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], SCHEMA)).collect()}
+    for n in (5, 50, 500):
+        of = [(i, k) for k, i in enumerate(i for i, r in enumerate(rows) if r[2] == f"of {n}")]
+        assert not any(got[i].kept for i, k in of if k % 5 == 0)
+        assert sum(got[i].kept for i, k in of if k % 5) >= 0.99 * sum(k % 5 > 0 for _, k in of)
 
 
 def test_language_brute_force(spark):
