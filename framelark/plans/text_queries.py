@@ -43,19 +43,27 @@ def q_greedy(spark, d, budget: int = 120):
     return packed.groupBy("p_brand", "chunk").agg(F.count("*").alias("units"), F.sum("size").alias("total"), F.min("p_partkey").alias("first_key"))
 
 
-def q_components(spark, d):
-    """Classify by ordered prefix, sum products of shapes and bytes, list kinds, with a grand total row."""
-    p = read_table(spark, d, "part").select("p_type", "p_brand", F.array(F.col("p_size").cast("long"), F.lit(4).cast("long"), (F.col("p_partkey") % 3 + 1)).alias("shape"))
-    kind = F.when(F.col("p_type").startswith("STANDARD"), "standard").when(F.col("p_type").startswith("S"), "s-other").when(F.col("p_type").startswith("ECO"), "economy").otherwise("other")
+def tensor_columns(p):
+    """The parts as tensors: key (starting with its type), dtype and shape."""
     dtype = F.when(F.col("p_brand").endswith("1"), "F16").when(F.col("p_brand").endswith("2"), "U8").otherwise("F32")
-    width = F.coalesce(F.create_map(F.lit("F16"), F.lit(2), F.lit("F32"), F.lit(4))[dtype], F.lit(4))
+    return p.select("p_brand", "p_partkey", F.concat_ws("/", "p_type", "p_partkey").alias("key"), dtype.alias("dtype"), F.array(F.col("p_size").cast("long"), F.lit(4).cast("long"), (F.col("p_partkey") % 3 + 1)).alias("shape"))
+
+
+def component_sums(tensors):
+    """Tensors (key, dtype, shape) by the first prefix that fits the key: counts, sums of products of shapes and bytes, kinds, and a grand total row."""
+    kind = F.when(F.col("key").startswith("STANDARD"), "standard").when(F.col("key").startswith("S"), "s-other").when(F.col("key").startswith("ECO"), "economy").otherwise("other")
+    width = F.coalesce(F.create_map(F.lit("F16"), F.lit(2), F.lit("F32"), F.lit(4))[F.col("dtype")], F.lit(4))
     size = F.aggregate("shape", F.lit(1).cast("long"), lambda a, x: a * x)
-    x = p.select(kind.alias("component"), dtype.alias("dtype"), size.alias("params"), (size * width).alias("bytes"))
+    x = tensors.select(kind.alias("component"), "dtype", size.alias("params"), (size * width).alias("bytes"))
     g = x.rollup("component").agg(F.count("*").alias("tensors"), F.sum("params").alias("params"), F.sum("bytes").alias("bytes"), F.array_join(F.sort_array(F.collect_set("dtype")), "+").alias("dtypes"))
     order = F.expr("case component when 'standard' then 0 when 'economy' then 1 when 's-other' then 2 when 'other' then 3 else 4 end").cast("long")
     return g.select(F.coalesce("component", F.lit("total")).alias("component"), order.alias("ord"), "tensors", "params", "bytes", "dtypes")
 
 
+def q_components(spark, d):
+    return component_sums(tensor_columns(read_table(spark, d, "part")))
+
+
 def q_natural(spark, d):
     """Numeric order of numeric suffixes: rank within each nation."""
     c = read_table(spark, d, "supplier").select("s_nationkey", F.concat(F.lit("block_"), F.col("s_suppkey")).alias("name"))

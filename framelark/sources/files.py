@@ -1,4 +1,4 @@
-"""Readers of other files: descriptors, tagged logs, memory probes, tensor headers, and point clouds.
+"""Readers of other files: descriptors, tagged logs, memory probes, arrays and file catalogs.
 
 All go through Spark's own readers, so paths may be in any store that Spark reads.
 """
@@ -8,11 +8,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: File scalar types of the PLY format, as NumPy names.
-PLY_TYPES = {"char": "i1", "uchar": "u1", "short": "i2", "ushort": "u2", "int": "i4", "uint": "u4", "float": "f4", "double": "f8"}
-#: Vertices decoded at once.
-BLOCK = 100_000
-
 
 def read_json_file(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Whole-file JSON under a stated schema, so that no pass is spent on inferring one."""
@@ -35,66 +30,6 @@ def read_memory_info(spark: SparkSession, path: str) -> DataFrame:
     return lines.withColumn("kb", kb).where("kb <> ''").select("file", F.regexp_extract("value", r"^([^:]+):", 1).alias("name"), (F.col("kb").cast("double") / 1e6).alias("gb"))
 
 
-def read_tensor_headers(spark: SparkSession, path: str) -> DataFrame:
-    """Tensor catalog (file, key, dtype, shape, n_params) of safetensors files: eight bytes of little-endian length, then JSON."""
-
-    def run(batches):
-        import json
-
-        import pandas as pd
-
-        for pdf in batches:
-            rows = []
-            for name, content in zip(pdf["path"], pdf["content"], strict=True):
-                size = int.from_bytes(content[:8], "little")
-                if len(content) < 8 + size:
-                    raise ValueError(f"{name}: the header is cut off")
-                for key, spec in json.loads(content[8 : 8 + size]).items():
-                    if key != "__metadata__":
-                        rows.append((name, key, spec["dtype"], spec["shape"]))
-            yield pd.DataFrame(rows, columns=["file", "key", "dtype", "shape"])
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    found = files.mapInPandas(run, "file string, key string, dtype string, shape array<long>")
-    return found.withColumn("n_params", F.aggregate("shape", F.lit(1).cast("long"), lambda a, x: a * x))
-
-
-def read_points(spark: SparkSession, path: str, element: str = "vertex") -> DataFrame:
-    """Rows of one element of binary little-endian PLY files: file, id (from 0), values map<string, double>.
-
-    Property lists are not read; a file that has one, or another encoding, ends the job. A file is one task's work, as it
-    has no place to split; values come in blocks, so only the file's bytes are held whole."""
-
-    def run(batches):
-        import numpy as np
-        import pandas as pd
-
-        for pdf in batches:
-            for name, content in zip(pdf["path"], pdf["content"], strict=True):
-                stop = content.find(b"end_header\n")
-                head = content[:stop].decode("ascii").split("\n") if stop >= 0 else []
-                if head[:2] != ["ply", "format binary_little_endian 1.0"]:
-                    raise ValueError(f"{name}: not a binary little-endian PLY file")
-                at, parts = stop + len(b"end_header\n"), []
-                for words in map(str.split, head):
-                    if words[:1] == ["element"]:
-                        parts.append((words[1], int(words[2]), []))
-                    elif words[:1] == ["property"]:
-                        parts[-1][2].append((words[2], "<" + PLY_TYPES[words[1]]))
-                for part, n, fields in parts:
-                    kind = np.dtype(fields)
-                    if part == element:
-                        rows = np.frombuffer(content, kind, n, at)
-                        for i in range(0, n, BLOCK):
-                            block = rows[i : i + BLOCK]
-                            values = [dict(zip(kind.names, map(float, r), strict=True)) for r in block.tolist()]
-                            yield pd.DataFrame({"file": name, "id": range(i, i + len(block)), "values": values})
-                    at += n * kind.itemsize
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(run, "file string, id long, values map<string, double>")
-
-
 def read_arrays(spark: SparkSession, path: str) -> DataFrame:
     """Arrays of .npz files: file, name, dtype, shape, and the values as doubles, row by row (texts as text instead).
 

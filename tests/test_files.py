@@ -1,8 +1,5 @@
 """Readers and writers on hand-made files."""
 
-import json
-import struct
-
 import numpy as np
 import pytest
 from pyspark.errors import AnalysisException
@@ -26,23 +23,6 @@ def test_memory_info(spark, tmp_path):
     assert {r.name: r.gb for r in files.read_memory_info(spark, f"{tmp_path}/m").collect()} == {"MemTotal": 8.0, "VmRSS": 0.25}
 
 
-def test_tensor_headers(spark, tmp_path):
-    head = json.dumps({"__metadata__": {"a": "b"}, "w": {"dtype": "F16", "shape": [3, 4], "data_offsets": [0, 24]}, "s": {"dtype": "F32", "shape": [], "data_offsets": [24, 28]}}).encode()
-    (tmp_path / "m.safetensors").write_bytes(struct.pack("<Q", len(head)) + head + bytes(28))
-    rows = {r.key: (r.dtype, r.shape, r.n_params) for r in files.read_tensor_headers(spark, f"{tmp_path}/m.safetensors").collect()}
-    assert rows == {"w": ("F16", [3, 4], 12), "s": ("F32", [], 1)}
-
-
-def test_points(spark, tmp_path):
-    head = "ply\nformat binary_little_endian 1.0\ncomment x\nelement chunk 2\nproperty float min_x\nelement vertex 3\nproperty uint packed\nproperty uchar f\nend_header\n"
-    chunks = np.array([1.5, -2.5], "<f4")
-    vertices = np.array([(7, 1), (8, 2), (2**32 - 1, 255)], [("packed", "<u4"), ("f", "u1")])
-    (tmp_path / "p.ply").write_bytes(head.encode() + chunks.tobytes() + vertices.tobytes())
-    got = [(r.id, r["values"]) for r in files.read_points(spark, f"{tmp_path}/p.ply").orderBy("id").collect()]
-    assert got == [(i, {"packed": float(a), "f": float(b)}) for i, (a, b) in enumerate(vertices.tolist())]
-    assert [r["values"]["min_x"] for r in files.read_points(spark, f"{tmp_path}/p.ply", "chunk").orderBy("id").collect()] == [1.5, -2.5]
-
-
 def test_catalog(spark, tmp_path):
     for k in (5, 40, 300):
         (tmp_path / f"{k}").mkdir()
