@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from framelark.operators.ranks import order_statistics, percentiles
+
 QUANTILES = {"q01": 0.01, "q10": 0.1, "q50": 0.5, "q90": 0.9, "q99": 0.99}
 
 
@@ -37,21 +39,25 @@ def long_features(frames: DataFrame, features: list[str], keys: list[str]) -> Da
     return frames.selectExpr(*keys, f"stack({len(features)}, {pairs}) as (feature, value)")
 
 
+def beside(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """a with the columns of b, which has one row at most for each key; null is a key like any other."""
+    match = F.lit(True)
+    for k in keys:
+        match = match & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
+    return a.alias("a").join(b.alias("b"), match, "left").select("a.*", *[F.col(f"b.{c}") for c in b.columns if c not in keys])
+
+
 def feature_stats(rows: DataFrame, keys: list[str]) -> DataFrame:
     """min, max, mean, population std, count and linear quantiles of value."""
-    a = rows.groupBy(*keys).agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"), F.count("value").alias("n"), F.percentile("value", list(QUANTILES.values())).alias("q"))
-    return a.select(*keys, r6(F.col("lo")).alias("min"), r6(F.col("hi")).alias("max"), r6(F.col("mean")).alias("mean"), r6(F.col("sd")).alias("std"), F.col("n").alias("count"), *[r6(F.col("q")[i]).alias(k) for i, k in enumerate(QUANTILES)])
+    a = rows.groupBy(*keys).agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"), F.count("value").alias("k"))
+    a = beside(a, percentiles(rows, keys, "value", QUANTILES), keys)
+    return a.select(*keys, r6(F.col("lo")).alias("min"), r6(F.col("hi")).alias("max"), r6(F.col("mean")).alias("mean"), r6(F.col("sd")).alias("std"), F.col("k").alias("count"), *[r6(F.col(k)).alias(k) for k in QUANTILES])
 
 
 def nearest_rank(values: DataFrame, key: str, value: str, percents: tuple[int, ...] = (50, 90, 99)) -> DataFrame:
-    """a[min(n - 1, int(p / 100 * n))] over the sorted values, with count, mean, population std and rate.
-
-    Ranks come from counts of equal values; a task sorts the distinct values of a key, not its rows.
-    """
-    n = values.groupBy(key).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd"), F.min(value).alias("lo"), F.max(value).alias("hi"))
-    ranked = values.groupBy(key, value).agg(F.count("*").alias("c"))
-    ranked = ranked.withColumn("upto", F.sum("c").over(Window.partitionBy(key).orderBy(value))).join(n, key)
-    at = lambda p: F.least(F.col("n") - 1, F.floor(F.lit(p) / 100 * F.col("n")))
-    picked = ranked.groupBy(key).agg(*[F.min(F.when(F.col("upto") > at(p), F.col(value))).alias(f"p{p}") for p in percents])
+    """a[min(n - 1, int(p / 100 * n))] over the sorted values, with count, mean, population std and rate."""
+    n = values.groupBy(key).agg(F.count(value).alias("k"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd"), F.min(value).alias("lo"), F.max(value).alias("hi"))
+    at = {f"p{p}": F.least(F.col("n") - 1, F.floor(F.lit(p) / 100 * F.col("n"))) for p in percents}
+    j = beside(n, order_statistics(values, [key], value, at), [key])
     two = lambda c: F.round(F.col(c), 2)
-    return n.join(picked, key).select(key, F.col("n").alias("count"), two("mean").alias("mean"), *[two(f"p{p}").alias(f"p{p}") for p in percents], two("lo").alias("min"), two("hi").alias("max"), two("sd").alias("stdev"), F.round(1000 / F.col("mean"), 2).alias("hz"))
+    return j.select(key, F.col("k").alias("count"), two("mean").alias("mean"), *[two(p).alias(p) for p in at], two("lo").alias("min"), two("hi").alias("max"), two("sd").alias("stdev"), F.round(1000 / F.col("mean"), 2).alias("hz"))

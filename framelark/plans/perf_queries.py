@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from framelark.operators.stats import nano, nano_sql, nearest_rank, r6, ratio6, ratio6_sql
+from framelark.operators.ranks import order_statistics, percentiles
+from framelark.operators.stats import beside, nano, nano_sql, nearest_rank, r6, ratio6, ratio6_sql
 from framelark.sources.frames import FRAMES_SQL, event_frames, read_table
 
 
@@ -14,32 +15,35 @@ def _events(spark, d):
 
 
 def q_linear(spark, d):
-    a = _events(spark, d).groupBy("event_type").agg(F.count("*").alias("n"), F.avg("value").alias("m"), F.percentile("value", [0.5, 0.95]).alias("p"), F.stddev_pop("value").alias("s"), F.min("value").alias("lo"), F.max("value").alias("hi"))
+    e = _events(spark, d)
+    a = e.groupBy("event_type").agg(F.count("*").alias("k"), F.avg("value").alias("m"), F.stddev_pop("value").alias("s"), F.min("value").alias("lo"), F.max("value").alias("hi"))
+    a = beside(a, percentiles(e, ["event_type"], "value", {"p50": 0.5, "p95": 0.95}), ["event_type"])
     # A stage without samples reports zeros.
     kinds = spark.createDataFrame([(k,) for k in ("click", "view", "error", "purchase", "signup", "never")], "event_type string")
     j = kinds.join(a, "event_type", "left")
-    z = lambda c: F.coalesce(r6(c), F.lit(0.0))
-    return j.select("event_type", F.coalesce("n", F.lit(0)).alias("n"), z(F.col("m")).alias("avg"), z(F.col("p")[0]).alias("p50"), z(F.col("p")[1]).alias("p95"), z(F.col("s")).alias("std"), z(F.col("lo")).alias("min"), z(F.col("hi")).alias("max"))
+    z = lambda c: F.coalesce(r6(F.col(c)), F.lit(0.0))
+    return j.select("event_type", F.coalesce("k", F.lit(0)).alias("n"), z("m").alias("avg"), z("p50").alias("p50"), z("p95").alias("p95"), z("s").alias("std"), z("lo").alias("min"), z("hi").alias("max"))
 
 
 def q_index_rule(spark, d):
-    """p50 = a[n // 2], p95 = a[max(0, int(0.95 n) - 1)], by counts of equal values."""
-    e = _events(spark, d).groupBy("event_type", "value").agg(F.count("*").alias("c"))
-    e = e.withColumn("upto", F.sum("c").over(Window.partitionBy("event_type").orderBy("value"))).withColumn("n", F.sum("c").over(Window.partitionBy("event_type")))
-    return e.groupBy("event_type").agg(F.max("n").alias("n"), F.min(F.when(F.col("upto") > F.expr("n div 2"), F.col("value"))).alias("p50"), F.min(F.when(F.col("upto") > F.expr("greatest(0, cast(floor(0.95D * n) as bigint) - 1)"), F.col("value"))).alias("p95"))
+    """p50 = a[n // 2], p95 = a[max(0, int(0.95 n) - 1)]."""
+    at = {"p50": F.expr("n div 2"), "p95": F.expr("greatest(0, cast(floor(0.95D * n) as bigint) - 1)")}
+    return order_statistics(_events(spark, d), ["event_type"], "value", at)
 
 
 def q_roundtrip(spark, d):
     """Round trip against server time; every fifth server time is missing (NaN) and is skipped by the mean."""
     e = _events(spark, d).select("user_id", F.col("value").alias("rt"), F.when(F.col("event_id") % 5 == 0, float("nan")).otherwise(F.col("value") * 0.8).alias("si"))
     si = F.nanvl("si", F.lit(None).cast("double"))
-    return e.groupBy("user_id").agg(F.count("*").alias("n"), r6(F.avg("rt")).alias("rt_mean"), r6(F.percentile("rt", 0.9)).alias("rt_p90"), r6(F.avg(si)).alias("si_mean"), r6(F.avg("rt") - F.avg(si)).alias("overhead"))
+    a = e.groupBy("user_id").agg(F.count("*").alias("k"), F.avg("rt").alias("rt_avg"), F.avg(si).alias("si_avg"))
+    a = beside(a, percentiles(e, ["user_id"], "rt", {"p90": 0.9}), ["user_id"])
+    return a.select("user_id", F.col("k").alias("n"), r6(F.col("rt_avg")).alias("rt_mean"), r6(F.col("p90")).alias("rt_p90"), r6(F.col("si_avg")).alias("si_mean"), r6(F.col("rt_avg") - F.col("si_avg")).alias("overhead"))
 
 
 def q_replan_split(spark, d):
     """Ticks slower than three medians are replans."""
     e = _events(spark, d)
-    m = e.groupBy("event_type").agg(F.percentile("value", 0.5).alias("med"))
+    m = percentiles(e, ["event_type"], "value", {"med": 0.5}).select("event_type", "med")
     j = e.join(m, "event_type").withColumn("slow", F.col("value") > 3 * F.col("med"))
     return j.groupBy("event_type").agg(r6(F.max("med")).alias("median"), F.count_if("slow").alias("replans"), r6(F.avg(F.when(F.col("slow"), F.col("value")))).alias("replan_mean"), r6(F.avg(F.when(~F.col("slow"), F.col("value")))).alias("tick_mean"))
 
@@ -48,7 +52,8 @@ def q_stages(spark, d):
     """Fan out the *_ms entries of a timing map; a running report at every 2000th event."""
     m = F.create_map(F.lit("vision_ms"), F.col("value") * 0.2, F.lit("denoise_ms"), F.col("value") * 0.7, F.lit("count"), F.lit(1.0), F.concat("event_type", F.lit("_ms")), F.col("value"))
     rows = _events(spark, d).select("event_id", F.explode(F.map_filter(m, lambda k, v: k.endswith("_ms"))).alias("stage", "ms"))
-    return rows.groupBy("stage").agg(F.count("*").alias("n"), r6(F.avg("ms")).alias("avg"), r6(F.percentile("ms", 0.95)).alias("p95"))
+    a = beside(rows.groupBy("stage").agg(F.count("*").alias("k"), F.avg("ms").alias("avg")), percentiles(rows, ["stage"], "ms", {"p95": 0.95}), ["stage"])
+    return a.select("stage", F.col("k").alias("n"), r6(F.col("avg")).alias("avg"), r6(F.col("p95")).alias("p95"))
 
 
 def q_warmup(spark, d):

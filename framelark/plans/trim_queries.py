@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from framelark.operators.stats import feature_stats, long_features, r6
-from framelark.operators.trim import apply_trim, report, survivors, trim_plan
+from framelark.operators.trim import apply_trim, left_out, report, survivors, trim_plan
 from framelark.sources.frames import FRAMES_SQL, event_frames
 
 FPS, MIN_FRAMES, EXCLUDE = 10.0, 20, (3, 7)
@@ -121,7 +121,7 @@ def q_whatif(spark, d):
 
 QUERIES = {
     "trim_plan": _plan,
-    "trim_report": lambda s, d: report(_plan(s, d), FPS, MIN_FRAMES),
+    "trim_report": lambda s, d: report(_plan(s, d), FPS, MIN_FRAMES), "trim_left_out": lambda s, d: left_out(_plan(s, d)),
     "trim_apply_frames": q_apply,
     "trim_episode_meta": q_meta,
     "trim_idmap_holdout": q_idmap,
@@ -141,7 +141,8 @@ ORACLE = {
     "trim_report": f"""WITH {PLAN_SQL} SELECT count(*) AS episodes, count(*) FILTER (WHERE keep > 0) AS kept, count(*) FILTER (WHERE keep = 0) AS dropped, CAST(sum(n) AS BIGINT) AS frames_before, CAST(sum(keep) AS BIGINT) AS frames_after,
   round(100.0 * sum(n - keep) / sum(n), 6) AS cut_pct, CAST(quantile_cont(start, 0.5) FILTER (WHERE keep > 0) AS DOUBLE) AS head_median, max(start) FILTER (WHERE keep > 0) AS head_max,
   CAST(quantile_cont(n - 1 - stop, 0.5) FILTER (WHERE keep > 0) AS DOUBLE) AS tail_median, max(n - 1 - stop) FILTER (WHERE keep > 0) AS tail_max, min(keep) FILTER (WHERE keep > 0) AS shortest,
-  count(*) FILTER (WHERE keep > 0 AND keep < {MIN_FRAMES}) AS below_min, coalesce(string_agg(ep, ',' ORDER BY ep) FILTER (WHERE reason = 'excluded'), '') AS excluded_ids, coalesce(string_agg(ep, ',' ORDER BY ep) FILTER (WHERE reason = 'silent'), '') AS silent_ids FROM pl""",
+  count(*) FILTER (WHERE keep > 0 AND keep < {MIN_FRAMES}) AS below_min FROM pl""",
+    "trim_left_out": f"WITH {PLAN_SQL} SELECT reason, ep FROM pl WHERE reason IN ('excluded', 'silent')",
     "trim_apply_frames": f"WITH {PLAN_SQL} SELECT event_id, new_ep, frame - start AS new_frame, round((frame - start) / {FPS}, 6) AS timestamp, from_index + frame - start AS index, state FROM f JOIN sv USING (ep) WHERE frame BETWEEN start AND stop",
     "trim_episode_meta": f"WITH {PLAN_SQL} SELECT new_ep, ep, keep AS length, from_index, to_index, round(ep * 100.0 + start / {FPS}, 6) AS video_from, round(ep * 100.0 + n / {FPS} - (n - 1 - stop) / {FPS}, 6) AS video_to FROM sv",
     "trim_idmap_holdout": f"WITH {PLAN_SQL} SELECT ep AS old_ep, new_ep FROM sv WHERE ep >= 5 AND (ep - 5) % 10 = 0",
