@@ -57,25 +57,34 @@ def look_up(rows: DataFrame, table: DataFrame, keys: list[str], strict: bool = F
 def resolve_roles(inputs: DataFrame, model: str, roles: list[tuple[str, str, str, int]]) -> DataFrame:
     """(model, role, key, via): which input serves each role of a model.
 
-    inputs (model, key, name, dtype, rank); roles (role, word, dtype, rank) in order. First pass: the
+    inputs (model, key, name, dtype, rank), keys unique in a model; roles (role, word, dtype, rank) in order. First pass: the
     input of smallest key whose name holds the word, with that dtype and rank; second pass, for roles
     still open: the only unused input of that dtype and rank. No input serves twice; via is `name`,
     `shape` or `missing`.
+
+    For each role the smallest keys that fit it are kept, two more than there are roles (tasks drop all others before the
+    shuffle): of so many some is unused whatever the other roles take, and two unused ones are seen as such. The passes
+    then fold over a model's lists with a list of used keys.
     """
-    left, found = inputs, None
-    for step in ("name", "shape"):
-        for role, word, dtype, rank in roles:
-            fits = left.where((F.col("dtype") == dtype) & (F.col("rank") == rank))
-            if step == "name":
-                pick = fits.where(F.col("name").contains(word)).groupBy(model).agg(F.min("key").alias("key"))
-            else:
-                pick = fits.groupBy(model).agg(F.min("key").alias("key"), F.count("*").alias("n")).where("n = 1").select(model, "key")
-                pick = pick.join(found.where(F.col("role") == role).select(model), model, "left_anti")
-            left = left.join(pick, [model, "key"], "left_anti")
-            pick = pick.select(model, F.lit(role).alias("role"), "key", F.lit(step).alias("via"))
-            found = pick if found is None else found.unionByName(pick)
-    wanted = inputs.select(model).distinct().select(model, F.explode(F.array(*[F.lit(r[0]) for r in roles])).alias("role"))
-    return wanted.join(found, [model, "role"], "left").withColumn("via", F.coalesce("via", F.lit("missing")))
+    n, kind = len(roles), inputs.schema["key"].dataType.simpleString()
+    fits = [(F.col("dtype") == dtype) & (F.col("rank") == rank) for _, _, dtype, rank in roles]
+    named = [f & F.col("name").contains(word) for f, (_, word, _, _) in zip(fits, roles, strict=True)]
+    lists = F.array(*[F.when(c, F.lit(i)) for i, c in enumerate([*named, *fits])])
+    each = inputs.select(model, "key", F.explode(F.array_compact(F.array_append(lists, F.lit(2 * n)))).alias("list"))  # list 2n: the model itself
+    place = F.row_number().over(Window.partitionBy(model, "list").orderBy("key"))
+    few = each.withColumn("place", place).where(F.col("place") <= n + 2).groupBy(model, "list").agg(F.array_sort(F.collect_list("key")).alias("keys"))
+    held = few.groupBy(model).agg(F.map_from_entries(F.collect_list(F.struct("list", "keys"))).alias("keys"))
+    step = "struct(array_append(s.used, k) AS used, array_append(s.found, named_struct('role', {i}, 'key', k, 'via', '{via}')) AS found)"
+    state = f"struct(cast(array() AS array<{kind}>) AS used, cast(array() AS array<struct<role: int, key: {kind}, via: string>>) AS found)"
+    for i in range(2 * n):
+        free = f"filter(coalesce(keys[{i}], cast(array() AS array<{kind}>)), k -> NOT array_contains(s.used, k))"
+        take = step.format(i=i % n, via="name" if i < n else "shape")
+        ok = f"size({free}) > 0" if i < n else f"size({free}) = 1 AND NOT exists(s.found, f -> f.role = {i - n})"
+        held = held.withColumn("s", F.expr(state if i == 0 else "s")).withColumn("s", F.expr(f"if({ok}, transform(slice({free}, 1, 1), k -> {take})[0], s)"))
+    names = F.array(*[F.lit(r[0]) for r in roles])
+    wanted = held.select(model, "s", F.posexplode(names).alias("i", "role"))
+    found = F.get(F.filter("s.found", lambda f: f["role"] == F.col("i")), F.lit(0))
+    return wanted.select(model, "role", found["key"].alias("key"), F.coalesce(found["via"], F.lit("missing")).alias("via"))
 
 
 def check_options(backend: str, precision: str, allowed: dict[str, tuple[str, ...]]) -> None:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from framelark.operators import media
+from framelark.operators.cache import cache_key, cached
 from framelark.operators.stats import r6
+from framelark.session import new_folder
 from framelark.sources.frames import read_table
 
 
@@ -32,6 +34,15 @@ def q_sharpness(spark, d):
     return _images(spark, d).select("vec_id", r6(media.sharpness(F.col("image"), 8, 8)).alias("sharpness"))
 
 
+def q_score_cache(spark, d):
+    """Sharpness of every image through a score cache, three times: new, held, and under another parameter."""
+    folder = new_folder(spark, "scores")
+    score = lambda new: new.select("_key", media.sharpness(F.col("image"), 8, 8).alias("score"))
+    e = _images(spark, d)
+    runs = [cached(e, cache_key(1, "vec_id", F.col("vec_id"), step, 2), folder, score, ["score"]).select("vec_id", r6(F.col("score")).alias("score"), "hit", F.lit(n).alias("run")) for n, step in enumerate((5, 5, 10))]
+    return runs[0].unionByName(runs[1]).unionByName(runs[2])
+
+
 def q_resized(spark, d):
     """Images at 5 x 5, normalised as the second channel."""
     small = media.normalised(media.resized(F.col("image"), 8, 8, 5), 1)
@@ -62,11 +73,14 @@ def q_throttled(spark, d):
 
 QUERIES = {
     "quaternion_unpack": q_quaternions, "time_vectors": q_time_vectors, "image_sharpness": q_sharpness, "image_resize": q_resized, "image_geometry": q_geometry,
-    "attention_mask": q_mask, "random_access": q_rows_at, "fixed_rate": q_throttled,
+    "attention_mask": q_mask, "random_access": q_rows_at, "fixed_rate": q_throttled, "score_cache": q_score_cache,
 }
 
 _IMAGE = "u AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor((abs(CAST(x AS DOUBLE)) * 1000) % 256) AS BIGINT)) AS u FROM embeddings)"
 _N = "CAST({} AS DOUBLE)"
+_SHARPNESS = f"""WITH {_IMAGE}, p AS (SELECT vec_id, unnest(generate_series(0, 63)) AS i, u FROM u), x AS (SELECT vec_id, i // 8 AS r, i % 8 AS c, u FROM p),
+l AS (SELECT vec_id, u[(CASE r WHEN 0 THEN 1 ELSE r - 1 END) * 8 + c + 1] + u[(CASE r WHEN 7 THEN 6 ELSE r + 1 END) * 8 + c + 1] + u[r * 8 + (CASE c WHEN 0 THEN 1 ELSE c - 1 END) + 1] + u[r * 8 + (CASE c WHEN 7 THEN 6 ELSE c + 1 END) + 1] - 4 * u[r * 8 + c + 1] AS l FROM x)
+SELECT vec_id, round(CAST(64 * sum(l * l) - sum(l) * sum(l) AS DOUBLE) / 4096, 6) AS sharpness FROM l GROUP BY vec_id"""
 ORACLE = {
     "quaternion_unpack": """WITH li AS (SELECT DISTINCT l_orderkey * 8 + l_linenumber AS id, (l_partkey * 2654435761 + l_suppkey * 40503) & 4294967295 AS word FROM lineitem),
 p AS (SELECT *, word & 3 AS big, ((word >> 2) & 1023) / CAST(1023 AS DOUBLE) * sqrt(2) - sqrt(0.5) AS a, ((word >> 12) & 1023) / CAST(1023 AS DOUBLE) * sqrt(2) - sqrt(0.5) AS b, ((word >> 22) & 1023) / CAST(1023 AS DOUBLE) * sqrt(2) - sqrt(0.5) AS c FROM li),
@@ -76,9 +90,8 @@ SELECT id, word, round(-5 + (word & 255) / CAST(255 AS DOUBLE) * 6, 6) AS sx, ro
     "time_vectors": f"""WITH e AS (SELECT event_id, event_id % 100 / CAST(100 AS DOUBLE) AS t, unnest(generate_series(0, 7)) AS i FROM events),
 a AS (SELECT *, t * 2 * pi() / (CAST(0.04 AS DOUBLE) * pow(CAST(100 AS DOUBLE), (i % 4) / CAST(3 AS DOUBLE))) AS s, t * exp(-ln(CAST(100 AS DOUBLE)) * (i % 3) / 3) AS c FROM e)
 SELECT event_id, i, round(CASE WHEN i < 4 THEN sin(s) ELSE cos(s) END, 6) + {_N.format(0)} AS sinusoidal, CASE WHEN i < 3 THEN round(cos(c), 6) WHEN i < 6 THEN round(sin(c), 6) WHEN i = 6 THEN {_N.format(0)} END AS timestep FROM a""",
-    "image_sharpness": f"""WITH {_IMAGE}, p AS (SELECT vec_id, unnest(generate_series(0, 63)) AS i, u FROM u), x AS (SELECT vec_id, i // 8 AS r, i % 8 AS c, u FROM p),
-l AS (SELECT vec_id, u[(CASE r WHEN 0 THEN 1 ELSE r - 1 END) * 8 + c + 1] + u[(CASE r WHEN 7 THEN 6 ELSE r + 1 END) * 8 + c + 1] + u[r * 8 + (CASE c WHEN 0 THEN 1 ELSE c - 1 END) + 1] + u[r * 8 + (CASE c WHEN 7 THEN 6 ELSE c + 1 END) + 1] - 4 * u[r * 8 + c + 1] AS l FROM x)
-SELECT vec_id, round(CAST(64 * sum(l * l) - sum(l) * sum(l) AS DOUBLE) / 4096, 6) AS sharpness FROM l GROUP BY vec_id""",
+    "image_sharpness": _SHARPNESS,
+    "score_cache": f"WITH s AS ({_SHARPNESS}) SELECT vec_id, sharpness AS score, run = 1 AS hit, CAST(run AS INTEGER) AS run FROM s, (SELECT unnest(range(3)) AS run)",
     "image_resize": f"""WITH {_IMAGE}, p AS (SELECT vec_id, unnest(generate_series(0, 24)) AS i, u FROM u)
 SELECT vec_id, i, round((u[((i // 5) * 8 // 5) * 8 + (i % 5) * 8 // 5 + 1] / CAST(255 AS DOUBLE) - CAST({media.IMAGE_MEAN[1]} AS DOUBLE)) / CAST({media.IMAGE_STD[1]} AS DOUBLE), 6) AS x FROM p""",
     "image_geometry": """WITH p AS (SELECT p_partkey, p_partkey % 7 * 100 + 50 AS h, CAST(p_size AS BIGINT) * 40 + 64 AS w FROM part), r AS (SELECT *, greatest(w / CAST(224 AS DOUBLE), h / CAST(224 AS DOUBLE)) AS k FROM p),

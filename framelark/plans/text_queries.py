@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from framelark.operators.packing import greedy_chunks
 from framelark.operators.stats import r6
 from framelark.sources.frames import FRAMES_SQL, event_frames, read_table
 
@@ -27,19 +28,7 @@ def q_even(spark, d, k: int = 8):
 def q_greedy(spark, d, budget: int = 120):
     """Contiguous greedy packing of part sizes under a budget, per brand in key order; a larger unit stands alone."""
     p = read_table(spark, d, "part").select("p_brand", "p_partkey", F.col("p_size").cast("long").alias("size"))
-    import pandas as pd
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("p_partkey")
-        chunk, running, out = -1, 0, []
-        for size in pdf["size"]:
-            if chunk < 0 or running + size > budget:
-                chunk, running = chunk + 1, 0
-            running += size
-            out.append(chunk)
-        return pdf.assign(chunk=out)
-
-    packed = p.groupBy("p_brand").applyInPandas(fold, "p_brand string, p_partkey long, size long, chunk long")
+    packed = greedy_chunks(p, "p_brand", "p_partkey", "size", budget)
     return packed.groupBy("p_brand", "chunk").agg(F.count("*").alias("units"), F.sum("size").alias("total"), F.min("p_partkey").alias("first_key"))
 
 

@@ -1,10 +1,12 @@
 """Streams end with the rows that the batch SQL gives, however the input falls into batches."""
 
+import os
+
 import duckdb
 import pytest
 
 from framelark.plans import stream_queries as q
-from framelark.streaming import live
+from framelark.streaming import live, timers
 
 DATA = "/root/testdata/sf0.001"
 
@@ -48,3 +50,30 @@ def test_late_rows(spark, tmp_path):
         os.utime(tmp_path / "in" / f"{n}.parquet", (1_700_000_000 + n, 1_700_000_000 + n))
     stream = live.reports(live.stream_table(spark, f"{tmp_path}/in", 1), "ts", "k", "v", "1 hour", "1 day")
     assert sorted((r.n, r.total) for r in live.drain(stream, "update", ["start", "k"]).collect()) == [(1, 2.0), (2, 5.0), (2, 40.0)]
+
+
+def test_queue_is_reset_within_and_between_batches(spark, tmp_path):
+    """The calls of one key over two episodes, cut into batches at every place: the second one plans anew at its first call."""
+    calls = [(0, 0), (1, 0), (2, 0), (3, 0), (4, 1), (5, 1), (6, 1), (7, 0)]
+    want = [(0, 0, 0.0), (1, 1, 0.0), (2, 2, 0.0), (3, 3, 3.0), (4, 0, 4.0), (5, 1, 4.0), (6, 2, 4.0), (7, 0, 7.0)]
+    for cut in (2, 4, 6):
+        folder = tmp_path / f"cut{cut}"
+        folder.mkdir()
+        for n, rows in enumerate((calls[:cut], calls[cut:])):
+            spark.createDataFrame([("k", at, ep, float(at)) for at, ep in rows], "k string, at long, ep long, v double").toPandas().to_parquet(folder / f"{n}.parquet", index=False)
+            os.utime(folder / f"{n}.parquet", (1_700_000_000 + n, 1_700_000_000 + n))
+        got = timers.drain_timed(timers.episode_queue(live.stream_table(spark, str(folder), 1), "k", ["at"], "ep", "v", 3)).collect()
+        assert sorted((r["at"], r.tick, r.held) for r in got) == want
+
+
+def test_first_frame_or_timeout(spark, tmp_path):
+    """A frame in time, one that comes late, a key whose own later row ends the wait, one that only the watermark ends, and one still waiting."""
+    t = "2024-01-01 {}".format
+    batches = [[("in", t("00:00:00"), False), ("in", t("00:00:02"), True), ("late", t("00:00:00"), False), ("own", t("00:00:00"), False), ("mark", t("00:00:01"), False)], [("late", t("00:00:09"), True), ("own", t("00:00:08"), False)], [("open", t("00:10:00"), False)], [("open", t("00:10:01"), False)]]
+    (tmp_path / "in").mkdir()
+    for n, rows in enumerate(batches):
+        spark.createDataFrame(rows, "k string, at string, f boolean").selectExpr("k", "timestamp(at) as ts", "f").toPandas().astype({"ts": "datetime64[us]"}).to_parquet(tmp_path / "in" / f"{n}.parquet", index=False)
+        os.utime(tmp_path / "in" / f"{n}.parquet", (1_700_000_000 + n, 1_700_000_000 + n))
+    got = timers.drain_timed(timers.first_frames(live.stream_table(spark, f"{tmp_path}/in", 1), "k", "ts", "f", 5000, "1 minute")).collect()
+    assert {r.k: (r.found, r.waited_ms) for r in got} == {"in": (True, 2000), "late": (False, None), "own": (False, None), "mark": (False, None)} and len(got) == 4
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass").endswith("HDFSBackedStateStoreProvider")
