@@ -9,7 +9,7 @@ from framelark.operators import setup
 from framelark.operators.stats import r6
 from framelark.plans.text_queries import q_buckets
 from framelark.sinks import datasets
-from framelark.sources.frames import FRAMES_SQL, event_frames, gradient_frames, read_shards, read_table, real_or_gradient
+from framelark.sources.frames import FRAMES_SQL, event_frames, read_shards, read_table, real_or_gradient, with_gradient
 
 
 def q_common_names(spark, d):
@@ -176,12 +176,13 @@ def q_shards(spark, d):
 
 
 def q_gradient(spark, d):
-    return gradient_frames(spark, 120, 16)
+    """A synthetic image of 16 rows for every recorded frame."""
+    return with_gradient(event_frames(spark, d).select("ep", "frame"), 16)
 
 
 def q_fallback(spark, d):
-    """The recorded frames, or where there are none the synthetic ones."""
-    return real_or_gradient(spark, f"{d}/golden.parquet", 40, 4)
+    """The recorded conversations, as there are some: the synthetic frames stand in only where nothing is."""
+    return real_or_gradient(spark, f"{d}/conversations.parquet", 40, 4).groupBy("role").agg(F.count("*").alias("n"), F.countDistinct("conv_id").alias("conversations"))
 
 
 QUERIES = {
@@ -215,7 +216,6 @@ def _roles_sql() -> str:
 want AS (SELECT model, unnest([{names}]) AS role FROM (SELECT DISTINCT model FROM p0)) SELECT want.model, want.role, coalesce(key, -1) AS key, coalesce(via, 'missing') AS via FROM want LEFT JOIN found USING (model, role)"""
 
 
-_GRADIENT = """SELECT f AS frame, i AS row, (f * 3 + i * 5) % 256 AS level FROM (SELECT unnest(generate_series(0, {0} - 1)) AS f), (SELECT unnest(generate_series(0, {1} - 1)) AS i)"""
 _CONTROL_SQL = " || ".join(f"chr({c})" for c in [*range(1, 33), 127])
 
 ORACLE = {
@@ -246,8 +246,8 @@ SELECT label, place, vec_id, len(p) AS shown, CAST(list_sum(list_transform(p, la
     "loopback_hosts": r"""WITH h AS (SELECT page_id, lower(CASE page_id % 3 WHEN 0 THEN '127.0.0.' || (page_id % 200) WHEN 1 THEN 'localhost' ELSE regexp_extract(url, '^[a-z]+://([^/:?#]*)', 1) END) AS host FROM pages) SELECT page_id, host, host = 'localhost' OR host LIKE '127.0.0.%' AS loopback FROM h""",
     "parity_flags": """WITH e AS (SELECT vec_id, CASE vec_id % 3 WHEN 0 THEN 1e5 WHEN 1 THEN 5e3 ELSE 1e2 END AS p, unnest(embedding)::DOUBLE AS a FROM embeddings), m AS (SELECT vec_id, max(abs(a - floor(a * p) / p)) AS m FROM e GROUP BY vec_id) SELECT vec_id, m < 1e-4 AS within_1e4, m < 1e-3 AS within_1e3 FROM m""",
     "shard_reader": "SELECT event_type, count(*) AS n FROM events GROUP BY event_type",
-    "synthetic_gradient": _GRADIENT.format(120, 16),
-    "golden_fallback": _GRADIENT.format(40, 4),
+    "synthetic_gradient": f"WITH {FRAMES_SQL}, r AS (SELECT unnest(range(16)) AS row) SELECT ep, frame, row, (frame * 3 + row * 5) % 256 AS level FROM f, r",
+    "golden_fallback": "SELECT role, count(*) AS n, count(DISTINCT conv_id) AS conversations FROM conversations GROUP BY role",
     "log_samples": "SELECT event_id, event_id AS step, CAST(CASE event_type WHEN 'view' THEN 0 ELSE 2 END AS BIGINT) AS n, CASE event_type WHEN 'view' THEN CAST(0 AS DOUBLE) ELSE round(user_id + event_id % 1000 / CAST(1000 AS DOUBLE) + event_id % 1000, 6) END AS total FROM events",
     "dataset_episodes": f"""WITH {FRAMES_SQL}, e AS (SELECT ep, count(*) AS length FROM f GROUP BY ep), o AS (SELECT *, CAST(sum(length) OVER (ORDER BY ep) AS BIGINT) AS hi FROM e)
 SELECT row_number() OVER (ORDER BY ep) - 1 AS episode_index, ep AS source_episode, length, hi - length AS dataset_from_index, hi AS dataset_to_index, CAST(length / CAST(10 AS DOUBLE) AS DOUBLE) AS duration, 0::BIGINT AS "data/chunk_index", 0::BIGINT AS "data/file_index", 0::BIGINT AS "meta/episodes/chunk_index", 0::BIGINT AS "meta/episodes/file_index" FROM o""",

@@ -88,20 +88,21 @@ def q_sh(spark, d):
 
 
 def q_functions(spark, d):
-    r = spark.range(0, 50).select(F.col("id").alias("i"), (F.col("id") / 7.0 - 3).alias("x"))
+    """Activations and time embeddings of every component of every embedding; i is its place."""
+    r = read_table(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "x")).select("vec_id", F.col("i").cast("long").alias("i"), F.col("x").cast("double").alias("x"))
     sig = 1 / (1 + F.exp(-F.col("x")))
     clip = F.least(F.greatest(sig, F.lit(0.05)), F.lit(0.95))
     freq = F.exp(-F.lit(math.log(10000.0)) * (F.col("i") % 8) / 8)
     period = 0.004 * F.pow(F.lit(1000.0), (F.col("i") % 8) / 7.0)
-    return r.select("i", r6(sig).alias("sigmoid"), r6(F.col("x") * sig).alias("silu"), r6(F.ln(clip / (1 - clip))).alias("logit"), r6(F.cos(F.col("x") * freq)).alias("t_cos"), r6(F.sin(F.col("x") * freq)).alias("t_sin"), r6(F.sin(F.col("x") / period * 0.001)).alias("s_sin"))
+    return r.select("vec_id", "i", r6(sig).alias("sigmoid"), r6(F.col("x") * sig).alias("silu"), r6(F.ln(clip / (1 - clip))).alias("logit"), r6(F.cos(F.col("x") * freq)).alias("t_cos"), r6(F.sin(F.col("x") * freq)).alias("t_sin"), r6(F.sin(F.col("x") / period * 0.001)).alias("s_sin"))
 
 
 def q_integrate(spark, d):
-    """Ten Euler steps x += dt * v from t = 1 with v = x * t, and interpolation x1 * t + a * (1 - t)."""
-    e = read_table(spark, d, "embeddings").select("vec_id", F.col("embedding")[0].cast("double").alias("x0"), F.col("embedding")[1].cast("double").alias("x1"))
-    steps = F.expr("aggregate(sequence(0, 9), x0, (x, i) -> x + (-0.1D) * x * (1 - i * 0.1D))")
-    line = F.expr("aggregate(zip_with(array(x0, x0), array(x1, x1), (a, b) -> b * 0.3D + a * 0.7D), 0.0D, (s, x) -> s + x)")
-    return e.select("vec_id", r6(steps).alias("euler"), r6(line).alias("interp"))
+    """Ten Euler steps x += dt * v from t = 1 with v = x * t, for every component; and interpolation x * t + noise * (1 - t), where the noise is the vector backwards and t goes with the row."""
+    e = read_table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"), (F.col("vec_id") % 10 / 10.0).alias("t"))
+    p = e.select("vec_id", "t", F.posexplode(F.arrays_zip("v", F.reverse("v").alias("noise"))).alias("i", "z")).select("vec_id", "t", F.col("i").cast("long").alias("i"), F.col("z.v").alias("x"), F.col("z.noise").alias("noise"))
+    steps = F.expr("aggregate(sequence(0, 9), x, (y, k) -> y + (-0.1D) * y * (1 - k * 0.1D))")
+    return p.select("vec_id", "i", r6(steps).alias("euler"), r6(F.col("x") * F.col("t") + F.col("noise") * (1 - F.col("t"))).alias("interp"))
 
 
 QUERIES = {
@@ -132,7 +133,8 @@ k AS (SELECT chunk, lo + ((w >> 21) & 1023) / CAST(1023 AS DOUBLE) * span AS x,
 SELECT chunk, count(*) AS n, round(min(x), 6) AS x_min, round(max(x), 6) AS x_max, round(avg(y), 6) AS y_mean, CAST(sum(z) AS BIGINT) AS z_sum, round(avg(ln(o / (1 - o))), 6) AS logit_mean, max(big) AS big_max, round(avg(sqrt(greatest(0, 1 - q0*q0 - q1*q1 - q2*q2))), 6) AS rest_mean FROM k GROUP BY chunk""",
     "sh_reorder": f"""WITH {_P}, u AS (SELECT vec_id, list_transform(v[1:45], lambda x: floor((abs(x) * 1000) % 256)) AS u FROM e), c AS (SELECT vec_id, list_transform(generate_series(0, 44), lambda i: u[(i % 3) * 15 + i // 3 + 1] / CAST(255 AS DOUBLE) * 4 - 2) AS c FROM u)
 SELECT vec_id, round(c[2], 6) AS c1, round(c[4], 6) AS c3, round(list_sum(list_transform(c, lambda x, i: x * (i - 1))), 6) AS weighted, CAST(3 AS BIGINT) AS degree FROM c""",
-    "embedding_functions": """WITH r AS (SELECT range AS i, range / CAST(7 AS DOUBLE) - 3 AS x FROM range(50)), s AS (SELECT *, 1 / (1 + exp(-x)) AS g, least(greatest(1 / (1 + exp(-x)), CAST(0.05 AS DOUBLE)), CAST(0.95 AS DOUBLE)) AS k FROM r)
-SELECT i, round(g, 6) AS sigmoid, round(x * g, 6) AS silu, round(ln(k / (1 - k)), 6) AS logit, round(cos(x * exp(-ln(10000) * (i % 8) / 8)), 6) AS t_cos, round(sin(x * exp(-ln(10000) * (i % 8) / 8)), 6) AS t_sin, round(sin(x / (CAST(0.004 AS DOUBLE) * pow(1000, (i % 8) / CAST(7 AS DOUBLE))) * CAST(0.001 AS DOUBLE)), 6) AS s_sin FROM s""",
-    "euler_integrate": f"WITH {_P} SELECT vec_id, round(v[1] * list_product(list_transform(generate_series(0, 9), lambda i: 1 - CAST(0.1 AS DOUBLE) * (1 - i * CAST(0.1 AS DOUBLE)))), 6) AS euler, round(2 * (v[2] * CAST(0.3 AS DOUBLE) + v[1] * CAST(0.7 AS DOUBLE)), 6) AS interp FROM e",
+    "embedding_functions": f"""WITH {_P}, r AS (SELECT vec_id, unnest(generate_series(0, len(v) - 1)) AS i, unnest(v) AS x FROM e), s AS (SELECT *, 1 / (1 + exp(-x)) AS g, least(greatest(1 / (1 + exp(-x)), CAST(0.05 AS DOUBLE)), CAST(0.95 AS DOUBLE)) AS k FROM r)
+SELECT vec_id, i, round(g, 6) AS sigmoid, round(x * g, 6) AS silu, round(ln(k / (1 - k)), 6) AS logit, round(cos(x * exp(-ln(10000) * (i % 8) / 8)), 6) AS t_cos, round(sin(x * exp(-ln(10000) * (i % 8) / 8)), 6) AS t_sin, round(sin(x / (CAST(0.004 AS DOUBLE) * pow(1000, (i % 8) / CAST(7 AS DOUBLE))) * CAST(0.001 AS DOUBLE)), 6) AS s_sin FROM s""",
+    "euler_integrate": f"""WITH {_P}, r AS (SELECT vec_id, vec_id % 10 / CAST(10 AS DOUBLE) AS t, unnest(generate_series(0, len(v) - 1)) AS i, unnest(v) AS x, unnest(list_reverse(v)) AS noise FROM e)
+SELECT vec_id, i, round(x * list_product(list_transform(generate_series(0, 9), lambda i: 1 - CAST(0.1 AS DOUBLE) * (1 - i * CAST(0.1 AS DOUBLE)))), 6) AS euler, round(x * t + noise * (1 - t), 6) AS interp FROM r""",
 }

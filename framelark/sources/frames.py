@@ -34,10 +34,15 @@ FRAMES_SQL = """f AS (SELECT user_id AS ep, row_number() OVER (PARTITION BY user
   CASE WHEN event_type = 'click' THEN value / 100 ELSE 0.0 END AS slew, CASE WHEN event_type = 'purchase' THEN value / 100 ELSE 0.0 END AS move FROM events)"""
 
 
+def with_gradient(frames: DataFrame, rows: int) -> DataFrame:
+    """Each frame (a column frame) once for each row of a synthetic moving gradient: adds row and level, the same at every run."""
+    f = frames.withColumn("row", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(rows - 1).cast("long"))))
+    return f.withColumn("level", (F.col("frame") * 3 + F.col("row") * 5) % 256)
+
+
 def gradient_frames(spark: SparkSession, frames: int, rows: int) -> DataFrame:
-    """(frame, row, level): a synthetic moving gradient, the same at every run."""
-    f = spark.range(frames).select(F.col("id").alias("frame"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(rows - 1).cast("long"))).alias("row"))
-    return f.select("frame", "row", ((F.col("frame") * 3 + F.col("row") * 5) % 256).alias("level"))
+    """(frame, row, level) of a gradient of its own."""
+    return with_gradient(spark.range(frames).select(F.col("id").alias("frame")), rows)
 
 
 def real_or_gradient(spark: SparkSession, path: str, frames: int, rows: int) -> DataFrame:
