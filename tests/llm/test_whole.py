@@ -251,23 +251,54 @@ def test_chain_brute_force():
     y = np.array(labels)
     chain = toxicity.Chain(["low_quality", "toxic"], list(range(240)), texts, y)
     fold = np.array([xxhash.xxh3_64_intdigest(str(i)) % toxicity.FOLDS for i in range(240)])
-    none = np.zeros((240, 0))
-    out = np.zeros(240)
-    for f in range(toxicity.FOLDS):
-        at = np.flatnonzero(fold != f)
-        part = toxicity.Linear([texts[i] for i in at], none[at], y[at, 0])
-        for i in np.flatnonzero(fold == f):
-            out[i] = 1 / (1 + np.exp(-(part.w[texts[i]].sum() + part.b)))
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+
+    def out_of_fold(extra, y):
+        """Scores by models of the other folds, and the slope and offset of the best logistic curve through them, by a plain descent."""
+        s = np.zeros(240)
+        for f in range(toxicity.FOLDS):
+            at = np.flatnonzero(fold != f)
+            part = toxicity.Linear([texts[i] for i in at], extra[at], y[at])
+            for i in np.flatnonzero(fold == f):
+                s[i] = part.w[texts[i]].sum() + extra[i] @ part.v + part.b
+        aim = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
+        a, b = 1.0, 0.0
+        for _ in range(200_000):
+            e = sigmoid(a * s + b) - aim
+            a, b = a - 0.05 * ((e * s).mean() + 1e-4 * (a - 1)), b - 0.05 * (e.mean() + 1e-6 * b)
+        return s, a, b
+
+    s, a, b = out_of_fold(np.zeros((240, 0)), y[:, 0])
+    assert np.allclose(chain.scales[0], [a, b], atol=0.02)
+    out = sigmoid(chain.scales[0][0] * s + chain.scales[0][1])
     second = toxicity.Linear(texts, out[:, None], y[:, 1])
     assert np.allclose(chain.models[1].v, second.v) and np.allclose(chain.models[1].w, second.w)
+    assert np.allclose(chain.scales[1], out_of_fold(out[:, None], y[:, 1])[1:], atol=0.02)
     for said in ("plain bad rude", "calm text", None):
-        first = chain.models[0]
+        first, (a, b), (c, d) = chain.models[0], *chain.scales
         ids = toxicity.word_ids(said)
-        p = 1 / (1 + np.exp(-(first.w[ids].sum() + first.b)))
-        q = 1 / (1 + np.exp(-(second.w[ids].sum() + second.v[0] * p + second.b)))
+        p = sigmoid(a * (first.w[ids].sum() + first.b) + b)
+        q = sigmoid(c * (second.w[ids].sum() + second.v[0] * p + second.b) + d)
         assert np.allclose(chain.predict(said), [p, q])
 
 
+def test_toxicity_on_held_out_labels(spark):
+    """Learned from four fifths of the labels: probabilities are calibrated, and few good or harmless documents are accused."""
+    import zlib
+
+    data = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    model = toxicity.fit(docs, labels.where(~held))
+    rows = toxicity.classify(docs.join(labels.where(held), "doc_id"), model).select("doc_id", "quality", "toxic", "p_low_quality", "p_toxic", "low_quality_pred", "toxic_pred").collect()
+    assert all(zlib.crc32(str(r.doc_id).encode()) % 5 == 0 for r in rows)
+    for name, truth, recall, precision in (("low_quality", lambda r: r.quality == 0, 0.9, 0.95), ("toxic", lambda r: r.toxic == 1, 0.85, 0.9)):
+        yes, told = [r for r in rows if truth(r)], [r for r in rows if r[f"{name}_pred"]]
+        right = sum(map(truth, told))
+        assert right >= recall * len(yes) and right >= precision * len(told)
+        assert abs(np.mean([r[f"p_{name}"] - truth(r) for r in rows])) < 0.02 and np.mean([(r[f"p_{name}"] - truth(r)) ** 2 for r in rows]) < 0.03
+
+
 def shingles(text, n):
     w = (text or "").encode().lower().split()
     return {tuple(w[k : k + min(n, len(w))]) for k in range(max(1, len(w) - n + 1))} if w else set()
