@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from framelark.operators.keypoints import with_key_points
+from framelark.operators.media import sharpness
 from framelark.operators.points import CHUNK, decode_points, dense_ids
 from framelark.operators.stats import r6
 from framelark.plans import text_queries
 from framelark.session import new_folder
+from framelark.sinks import incremental
 from framelark.sinks.parts import write_arrays, write_bytes, write_points
+from framelark.sources import wire
 from framelark.sources.files import read_arrays
 from framelark.sources.frames import FRAMES_SQL, event_frames, read_table
 from framelark.sources.ranged import read_grey_frames, read_points, read_tensor_headers
@@ -61,8 +65,6 @@ def q_tensors(spark, d):
 
 def q_grey(spark, d):
     """Embeddings as raw grey frames of 8 x 8, a file for each label; every second frame at half size, with its sum and the variance of its Laplacian."""
-    from framelark.operators.media import sharpness
-
     level = "cast(floor(abs(cast(x as double)) * 1000 % 256) as int)"
     e = read_table(spark, d, "embeddings").select(F.col("label").cast("long").alias("part"), F.col("vec_id").alias("at"), F.expr(f"unhex(array_join(transform(embedding, x -> lpad(hex({level}), 2, '0')), ''))").alias("data"))
     folder = new_folder(spark, "grey")
@@ -89,7 +91,51 @@ def q_archives(spark, d):
     return a.select(F.regexp_extract("file", r"part-(\d+)-", 1).cast("long").alias("ep"), "name", "dtype", F.array_join("shape", "x").alias("shape"), whole.alias("micros"))
 
 
-QUERIES = {"point_file_decode": q_points, "tensor_file_accounting": q_tensors, "grey_frame_scores": q_grey, "episode_archives": q_archives}
+def q_messages(spark, d):
+    """Every turn of a conversation as a message (its text as an array of bytes, its number as an array of one, the role as text), packed and unpacked."""
+    c = read_table(spark, d, "conversations").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+    entry = lambda key, dtype, shape, data: F.struct(F.lit(key).alias("key"), F.lit(dtype).alias("dtype"), shape.alias("shape"), data.alias("data"))
+    body = F.col("text").cast("binary")
+    arrays = F.array(entry("turn", ">i8", F.array(F.lit(1).cast("long")), F.unhex(F.lpad(F.hex(F.col("turn").cast("long")), 16, "0"))), entry("text", "|u1", F.array(F.octet_length("text").cast("long")), body))
+    sent = wire.encoded(c.select("conv_id", "turn", arrays.alias("arrays"), F.create_map(F.lit("role"), F.coalesce("role", F.lit(""))).alias("words")), "arrays", "words").select("conv_id", "message")
+    got = wire.decoded(sent, "message")
+    one = lambda key: F.get(F.filter("entries", lambda e: e["key"] == key), F.lit(0))
+    turn = F.conv(F.hex(one("turn")["data"]), 16, 10).cast("long")
+    return got.select("conv_id", turn.alias("turn"), F.col("texts")["role"].alias("role"), one("text")["dtype"].alias("dtype"), F.get(one("text")["shape"], F.lit(0)).alias("n_bytes"), F.sha2(one("text")["data"], 256).alias("text_sha256"), F.size("entries").cast("long").alias("arrays"))
+
+
+LEAST = 60
+
+
+def q_incremental(spark, d):
+    """Episodes added in two batches, the second one twice, those of LEAST frames and more saved with it; the frames of the dataset that results."""
+    f = event_frames(spark, d).select("ep", "frame", "state")
+    n = F.count("*").over(Window.partitionBy("ep"))
+    f = f.withColumn("second", F.col("frame") * 2 >= n).withColumn("long", n >= LEAST)
+    folder = new_folder(spark, "grown")
+    incremental.create(spark, folder, 10.0)
+    incremental.add_frames(f.where("not second").drop("second", "long"), folder, 0)
+    for _ in range(2):
+        incremental.add_frames(f.where("second").drop("second", "long"), folder, 1)
+        incremental.save_episodes(f.where("long"), folder, 1)
+    incremental.finalize(spark, folder, f"{folder}/done")
+    done = spark.read.parquet(f"{folder}/done/data")
+    return done.select("episode_index", "frame_index", "timestamp", F.col("index").alias("row"), "state")
+
+
+def q_key_points(spark, d, buckets: int = 5, least: float = 8000.0):
+    """Of equal-count buckets of each label's images the best one: sharp ones first, then by key points, then by sharpness."""
+    level = "cast(floor(abs(cast(x as double)) * 1000 % 256) as int)"
+    e = read_table(spark, d, "embeddings").select("vec_id", "label", F.expr(f"transform(embedding, x -> {level})").alias("p"))
+    e = e.withColumn("sharpness", sharpness(F.col("p"), 8, 8)).withColumn("pixels", F.expr("unhex(array_join(transform(p, x -> lpad(hex(x), 2, '0')), ''))")).drop("p")
+    e = with_key_points(e.withColumns({"h": F.lit(8), "w": F.lit(8)}), "pixels", "h", "w")
+    w = Window.partitionBy("label")
+    e = e.withColumn("bucket", F.expr(f"(row_number() OVER (PARTITION BY label ORDER BY vec_id) * {buckets} - 1)").cast("long")).withColumn("bucket", F.floor(F.col("bucket") / F.count("*").over(w)))
+    best = F.row_number().over(Window.partitionBy("label", "bucket").orderBy(F.desc(F.col("sharpness") >= least), F.desc("key_points"), F.desc("sharpness"), "vec_id"))
+    return e.withColumn("place", best).where("place = 1").select("label", "bucket", "vec_id", "key_points", r6(F.col("sharpness")).alias("sharpness"), (F.col("sharpness") < least).alias("weak"))
+
+
+QUERIES = {"wire_messages": q_messages, "incremental_dataset": q_incremental, "sharpest_by_key_points": q_key_points, "point_file_decode": q_points, "tensor_file_accounting": q_tensors, "grey_frame_scores": q_grey, "episode_archives": q_archives}
 
 _SHARE = lambda word, shift, mask: f"(({word} >> {shift}) & {mask}) / CAST({mask} AS DOUBLE)"
 _F = lambda x: f"CAST(CAST({x} AS FLOAT) AS DOUBLE)"
@@ -100,6 +146,9 @@ _AROUND_LIST = "[" + ", ".join(x for x in _AROUND.replace(") + (-4", ")|(-4").sp
 _BLOCKS = "[" + ", ".join("(2 * (" + " + ".join(f"p[{(2 * r + i) * 8 + 2 * c + j + 1}]" for i in (0, 1) for j in (0, 1)) + ") + 4) // 8" for r in range(4) for c in range(4)) + "]"
 
 ORACLE = {
+    "wire_messages": """SELECT conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, '') AS role, '|u1' AS dtype, octet_length(encode(coalesce(text, ''))) AS n_bytes, sha256(coalesce(text, '')) AS text_sha256, CAST(2 AS BIGINT) AS arrays FROM conversations""",
+    "incremental_dataset": f"""WITH {FRAMES_SQL}, n AS (SELECT *, count(*) OVER (PARTITION BY ep) AS n FROM f), s AS (SELECT *, dense_rank() OVER (ORDER BY ep) - 1 AS episode_index FROM n WHERE n >= {LEAST})
+SELECT episode_index, frame AS frame_index, frame / CAST(10 AS DOUBLE) AS timestamp, row_number() OVER (ORDER BY ep, frame) - 1 AS row, state FROM s""",
     "point_file_decode": f"""WITH v AS (SELECT l_partkey AS p, l_suppkey AS s, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1 AS id FROM lineitem),
 w AS (SELECT id, id // {CHUNK} AS chunk, p, s, {", ".join(f"(p * {2654435761 + 2 * i} + s * 40503 + id) & 4294967295 AS w{i}" for i in range(4))} FROM v),
 q AS (SELECT *, w1 & 3 AS big, {", ".join(f"{_SHARE('w1', 2 + 10 * i, 1023)} * sqrt(2) - sqrt(0.5) AS q{i}" for i in range(3))}, least(greatest({_SHARE("w3", 24, 255)}, 1e-6), 1 - CAST(1e-6 AS DOUBLE)) AS o FROM w),
