@@ -68,18 +68,53 @@ def normalised(image: Column, channel: int) -> Column:
 
 def resized(image: Column, h: int, w: int, size: int) -> Column:
     """size x size by the nearest row and column before each place."""
-    at = [int(r * (h / size)) * w + int(c * (w / size)) for r in range(size) for c in range(size)]
-    return F.transform(F.array(*[F.lit(i) for i in at]), lambda i: F.get(image, i))
+    at = lambda i, n: F.floor(i * F.lit(n / size))
+    places = F.sequence(F.lit(0), F.lit(size * size - 1))
+    return F.transform(places, lambda k: F.get(image, (at(F.floor(k / size), h) * w + at(k % size, w)).cast("int")))
+
+
+def letterboxed(image: Column, h: int, w: int, height: int, width: int, pad: float = 0.0) -> Column:
+    """height x width that holds the image in its aspect, bilinear by centres of places (edges repeat), at the bottom right; the rest is pad."""
+    if (h, w) == (height, width):
+        return F.transform(image, lambda x: x.cast("double"))
+    ratio = max(w / width, h / height)
+    rows, cols = int(h / ratio), int(w / ratio)
+    top, left = height - rows, width - cols
+    if not rows or not cols:  # so flat or so narrow that nothing of it is left
+        return F.array_repeat(F.lit(pad), height * width)
+
+    def weighed(i: Column, n: int, out: int) -> tuple[Column, Column, Column]:
+        at = F.least(F.greatest((i + 0.5) * F.lit(n / out) - 0.5, F.lit(0.0)), F.lit(float(n - 1)))
+        low = F.floor(at)
+        return low, F.least(low + 1, F.lit(n - 1)), at - low
+
+    def place(k: Column) -> Column:
+        r, c = F.floor(k / width) - top, k % width - left
+        r0, r1, fr = weighed(r, h, rows)
+        c0, c1, fc = weighed(c, w, cols)
+        get = lambda i, j: F.get(image, (i * w + j).cast("int"))
+        mixed = (get(r0, c0) * (1 - fc) + get(r0, c1) * fc) * (1 - fr) + (get(r1, c0) * (1 - fc) + get(r1, c1) * fc) * fr
+        return F.when((r < 0) | (c < 0), F.lit(pad)).otherwise(mixed)
+
+    return F.transform(F.sequence(F.lit(0), F.lit(height * width - 1)), place)
 
 
 def sharpness(image: Column, h: int, w: int) -> Column:
     """Variance of the four-neighbour Laplacian of whole levels; borders mirror without repeating the edge.
 
-    Sums are whole numbers, so the value hangs on no order."""
-    mirror = lambda i, n: (-i if i < 0 else 2 * (n - 1) - i if i >= n else i) if n > 1 else 0
-    around = [[mirror(r + dr, h) * w + mirror(c + dc, w) for dr, dc in ((-1, 0), (1, 0), (0, -1), (0, 1))] for r in range(h) for c in range(w)]
-    table = F.array(*[F.array(*[F.lit(i) for i in four]) for four in around])
-    edges = F.zip_with(image, table, lambda x, four: F.aggregate(four, -4 * x.cast("long"), lambda a, i: a + F.get(image, i).cast("long")))
+    Sums are whole numbers, so the value hangs on no order. Neighbours are found by arithmetic on the place, so the expression is
+    no longer for larger images."""
+
+    def beside(i: Column, at: Column, n: int, step: int) -> list[Column]:
+        if n == 1:
+            return [i, i]
+        return [i + F.when(at == 0, F.lit(step)).otherwise(F.lit(-step)), i + F.when(at == n - 1, F.lit(-step)).otherwise(F.lit(step))]
+
+    def edge(x: Column, i: Column) -> Column:
+        around = beside(i, F.floor(i / w), h, w) + beside(i, i % w, w, 1)
+        return sum((F.get(image, k.cast("int")).cast("long") for k in around), -4 * x.cast("long"))
+
+    edges = F.transform(image, edge)
     total = F.aggregate(edges, F.lit(0).cast("long"), lambda a, x: a + x)
     squares = F.aggregate(edges, F.lit(0).cast("long"), lambda a, x: a + x * x)
     return (F.lit(h * w) * squares - total * total) / F.lit(float(h * w) ** 2)

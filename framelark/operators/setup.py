@@ -47,10 +47,11 @@ def require_complete(zipped: DataFrame, key: str) -> DataFrame:
 
 
 def look_up(rows: DataFrame, table: DataFrame, keys: list[str], strict: bool = False) -> DataFrame:
-    """rows with the columns of a small table of configurations by its composite key; strict: a missing key is an error."""
-    out = rows.join(F.broadcast(table.withColumn("known", F.lit(True))), keys, "left").withColumn("known", F.coalesce("known", F.lit(False)))
-    if strict and not out.where("not known").isEmpty():
-        raise KeyError(f"no configuration for {out.where('not known').select(*keys).first().asDict()}")
+    """rows with the columns of a table of configurations by its composite key (Spark broadcasts it where it is small); strict: a missing key is an error."""
+    out = rows.join(table.withColumn("known", F.lit(True)), keys, "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    missing = out.where("not known").select(*keys).first() if strict else None
+    if missing:
+        raise KeyError(f"no configuration for {missing.asDict()}")
     return out
 
 

@@ -49,6 +49,12 @@ def q_resized(spark, d):
     return _images(spark, d).select("vec_id", F.posexplode(small).alias("i", "x")).select("vec_id", F.col("i").cast("long").alias("i"), r6(F.col("x")).alias("x"))
 
 
+def q_letterbox(spark, d):
+    """Images of 4 x 16, normalised, in 10 x 12 of their aspect, padded with zeros above."""
+    boxed = media.letterboxed(media.normalised(F.col("image"), 0), 4, 16, 10, 12)
+    return _images(spark, d).select("vec_id", F.posexplode(boxed).alias("i", "x")).select("vec_id", F.col("i").cast("long").alias("i"), r6(F.col("x")).alias("x"))
+
+
 def q_geometry(spark, d):
     h, w = F.col("p_partkey") % 7 * 100 + 50, F.col("p_size").cast("long") * 40 + 64
     p = read_table(spark, d, "part").select("p_partkey", media.fitted(h, w, 224, 224).alias("f"), media.centre_square(h, w).alias("c"))
@@ -73,7 +79,7 @@ def q_throttled(spark, d):
 
 QUERIES = {
     "quaternion_unpack": q_quaternions, "time_vectors": q_time_vectors, "image_sharpness": q_sharpness, "image_resize": q_resized, "image_geometry": q_geometry,
-    "attention_mask": q_mask, "random_access": q_rows_at, "fixed_rate": q_throttled, "score_cache": q_score_cache,
+    "attention_mask": q_mask, "random_access": q_rows_at, "fixed_rate": q_throttled, "score_cache": q_score_cache, "image_letterbox": q_letterbox,
 }
 
 _IMAGE = "u AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor((abs(CAST(x AS DOUBLE)) * 1000) % 256) AS BIGINT)) AS u FROM embeddings)"
@@ -91,6 +97,11 @@ SELECT id, word, round(-5 + (word & 255) / CAST(255 AS DOUBLE) * 6, 6) AS sx, ro
 a AS (SELECT *, t * 2 * pi() / (CAST(0.04 AS DOUBLE) * pow(CAST(100 AS DOUBLE), (i % 4) / CAST(3 AS DOUBLE))) AS s, t * exp(-ln(CAST(100 AS DOUBLE)) * (i % 3) / 3) AS c FROM e)
 SELECT event_id, i, round(CASE WHEN i < 4 THEN sin(s) ELSE cos(s) END, 6) + {_N.format(0)} AS sinusoidal, CASE WHEN i < 3 THEN round(cos(c), 6) WHEN i < 6 THEN round(sin(c), 6) WHEN i = 6 THEN {_N.format(0)} END AS timestep FROM a""",
     "image_sharpness": _SHARPNESS,
+    "image_letterbox": f"""WITH {_IMAGE}, n AS (SELECT vec_id, list_transform(u, lambda x: (x / CAST(255 AS DOUBLE) - CAST({media.IMAGE_MEAN[0]} AS DOUBLE)) / CAST({media.IMAGE_STD[0]} AS DOUBLE)) AS u FROM u),
+k AS (SELECT vec_id, u, unnest(generate_series(0, 119)) AS i FROM n), p AS (SELECT *, i // 12 - 7 AS r, i % 12 AS c FROM k),
+y AS (SELECT *, least(greatest((r + CAST(0.5 AS DOUBLE)) * 4 / 3 - CAST(0.5 AS DOUBLE), 0), 3) AS y, least(greatest((c + CAST(0.5 AS DOUBLE)) * 16 / 12 - CAST(0.5 AS DOUBLE), 0), 15) AS x FROM p),
+z AS (SELECT *, CAST(floor(y) AS INT) AS y0, CAST(floor(x) AS INT) AS x0, y - floor(y) AS fy, x - floor(x) AS fx FROM y)
+SELECT vec_id, i, CASE WHEN r < 0 THEN CAST(0 AS DOUBLE) ELSE round((u[y0 * 16 + x0 + 1] * (1 - fx) + u[y0 * 16 + least(x0 + 1, 15) + 1] * fx) * (1 - fy) + (u[least(y0 + 1, 3) * 16 + x0 + 1] * (1 - fx) + u[least(y0 + 1, 3) * 16 + least(x0 + 1, 15) + 1] * fx) * fy, 6) END AS x FROM z""",
     "score_cache": f"WITH s AS ({_SHARPNESS}) SELECT vec_id, sharpness AS score, run = 1 AS hit, CAST(run AS INTEGER) AS run FROM s, (SELECT unnest(range(3)) AS run)",
     "image_resize": f"""WITH {_IMAGE}, p AS (SELECT vec_id, unnest(generate_series(0, 24)) AS i, u FROM u)
 SELECT vec_id, i, round((u[((i // 5) * 8 // 5) * 8 + (i % 5) * 8 // 5 + 1] / CAST(255 AS DOUBLE) - CAST({media.IMAGE_MEAN[1]} AS DOUBLE)) / CAST({media.IMAGE_STD[1]} AS DOUBLE), 6) AS x FROM p""",

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from framelark.operators import setup
+from framelark.operators.points import dense_ids
 from framelark.operators.stats import r6
 from framelark.plans.text_queries import q_buckets
 from framelark.sinks import datasets
@@ -17,7 +18,8 @@ def q_common_names(spark, d):
     p = read_table(spark, d, "part").select("p_name", "p_partkey", "p_size")
     ref = p.where("p_size < 25").select("p_name").distinct()
     cand = p.where("p_size >= 25").groupBy("p_name").agg(F.min("p_partkey").alias("first_key"))
-    return cand.join(ref, "p_name", "left_semi").select("p_name", F.row_number().over(Window.orderBy("first_key")).cast("long").alias("place"))  # one row per distinct name
+    both = dense_ids(cand.join(ref, "p_name", "left_semi"), ["first_key", "p_name"])
+    return both.select("p_name", (F.col("id") + 1).alias("place"))
 
 
 def q_positions(spark, d):

@@ -78,3 +78,31 @@ def test_rows_at(spark):
 def test_fixed_rate(spark):
     rows = spark.sql("select 'k' as k, timestamp'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, s) as ts, s as n from (select explode(array(0, 4, 10, 10, 35)) as s)")
     assert sorted(r.n for r in media.throttled(rows, "k", "ts", "n", "10 seconds").collect()) == [0, 10, 35]
+
+
+@pytest.mark.parametrize(("h", "w", "height", "width"), [(4, 16, 10, 12), (7, 5, 14, 10), (5, 7, 3, 3), (6, 6, 6, 6), (1, 8, 4, 4), (48, 64, 20, 20)])
+def test_letterbox(spark, h, w, height, width):
+    """Against the same sampling written with arrays."""
+    image = np.random.default_rng(h * w).integers(0, 256, (h, w)).astype(float)
+    (got,) = spark.createDataFrame([(image.ravel().tolist(),)], "p array<double>").select(media.letterboxed(F.col("p"), h, w, height, width, -1.0).alias("x")).first()
+    ratio = max(w / width, h / height)
+    rows, cols = int(h / ratio), int(w / ratio)
+    want = np.full((height, width), -1.0)
+    if not rows:
+        assert got == want.ravel().tolist()
+        return
+    y, x = (np.clip((np.arange(k) + 0.5) * n / k - 0.5, 0, n - 1) for n, k in ((h, rows), (w, cols)))
+    y0, x0 = np.floor(y).astype(int), np.floor(x).astype(int)
+    y1, x1, fy, fx = np.minimum(y0 + 1, h - 1), np.minimum(x0 + 1, w - 1), (y - y0)[:, None], x - x0
+    want[height - rows :, width - cols :] = (image[y0][:, x0] * (1 - fx) + image[y0][:, x1] * fx) * (1 - fy) + (image[y1][:, x0] * (1 - fx) + image[y1][:, x1] * fx) * fy
+    assert np.allclose(np.array(got).reshape(height, width), want)
+
+
+def test_large_images_take_no_longer_expressions(spark):
+    h, w = 480, 640
+    image = np.random.default_rng(1).integers(0, 256, (h, w))
+    column = media.sharpness(F.col("p"), h, w)
+    assert len(str(column)) < 5000
+    (got,) = spark.createDataFrame([(image.ravel().tolist(),)], "p array<int>").select(column).first()
+    pad = np.pad(image, 1, "reflect")
+    assert np.isclose(got, (pad[:-2, 1:-1] + pad[2:, 1:-1] + pad[1:-1, :-2] + pad[1:-1, 2:] - 4 * image).var())
