@@ -101,7 +101,7 @@ SELECT event_id, i, round(CASE WHEN i < 4 THEN sin(s) ELSE cos(s) END, 6) + {_N.
 k AS (SELECT vec_id, u, unnest(generate_series(0, 119)) AS i FROM n), p AS (SELECT *, i // 12 - 7 AS r, i % 12 AS c FROM k),
 y AS (SELECT *, least(greatest((r + CAST(0.5 AS DOUBLE)) * 4 / 3 - CAST(0.5 AS DOUBLE), 0), 3) AS y, least(greatest((c + CAST(0.5 AS DOUBLE)) * 16 / 12 - CAST(0.5 AS DOUBLE), 0), 15) AS x FROM p),
 z AS (SELECT *, CAST(floor(y) AS INT) AS y0, CAST(floor(x) AS INT) AS x0, y - floor(y) AS fy, x - floor(x) AS fx FROM y)
-SELECT vec_id, i, CASE WHEN r < 0 THEN CAST(0 AS DOUBLE) ELSE round((u[y0 * 16 + x0 + 1] * (1 - fx) + u[y0 * 16 + least(x0 + 1, 15) + 1] * fx) * (1 - fy) + (u[least(y0 + 1, 3) * 16 + x0 + 1] * (1 - fx) + u[least(y0 + 1, 3) * 16 + least(x0 + 1, 15) + 1] * fx) * fy, 6) END AS x FROM z""",
+SELECT vec_id, i, CASE WHEN r < 0 THEN CAST(0 AS DOUBLE) ELSE round((u[y0 * 16 + x0 + 1] * (1 - fx) + u[y0 * 16 + least(x0 + 1, 15) + 1] * fx) * (1 - fy) + (u[least(y0 + 1, 3) * 16 + x0 + 1] * (1 - fx) + u[least(y0 + 1, 3) * 16 + least(x0 + 1, 15) + 1] * fx) * fy, 6) + CAST(0 AS DOUBLE) END AS x FROM z""",
     "score_cache": f"WITH s AS ({_SHARPNESS}) SELECT vec_id, sharpness AS score, run = 1 AS hit, CAST(run AS INTEGER) AS run FROM s, (SELECT unnest(range(3)) AS run)",
     "image_resize": f"""WITH {_IMAGE}, p AS (SELECT vec_id, unnest(generate_series(0, 24)) AS i, u FROM u)
 SELECT vec_id, i, round((u[((i // 5) * 8 // 5) * 8 + (i % 5) * 8 // 5 + 1] / CAST(255 AS DOUBLE) - CAST({media.IMAGE_MEAN[1]} AS DOUBLE)) / CAST({media.IMAGE_STD[1]} AS DOUBLE), 6) AS x FROM p""",

@@ -134,7 +134,7 @@ SELECT chunk, count(*) AS n, round(min(x), 6) AS x_min, round(max(x), 6) AS x_ma
     "sh_reorder": f"""WITH {_P}, u AS (SELECT vec_id, list_transform(v[1:45], lambda x: floor((abs(x) * 1000) % 256)) AS u FROM e), c AS (SELECT vec_id, list_transform(generate_series(0, 44), lambda i: u[(i % 3) * 15 + i // 3 + 1] / CAST(255 AS DOUBLE) * 4 - 2) AS c FROM u)
 SELECT vec_id, round(c[2], 6) AS c1, round(c[4], 6) AS c3, round(list_sum(list_transform(c, lambda x, i: x * (i - 1))), 6) AS weighted, CAST(3 AS BIGINT) AS degree FROM c""",
     "embedding_functions": f"""WITH {_P}, r AS (SELECT vec_id, unnest(generate_series(0, len(v) - 1)) AS i, unnest(v) AS x FROM e), s AS (SELECT *, 1 / (1 + exp(-x)) AS g, least(greatest(1 / (1 + exp(-x)), CAST(0.05 AS DOUBLE)), CAST(0.95 AS DOUBLE)) AS k FROM r)
-SELECT vec_id, i, round(g, 6) AS sigmoid, round(x * g, 6) AS silu, round(ln(k / (1 - k)), 6) AS logit, round(cos(x * exp(-ln(10000) * (i % 8) / 8)), 6) AS t_cos, round(sin(x * exp(-ln(10000) * (i % 8) / 8)), 6) AS t_sin, round(sin(x / (CAST(0.004 AS DOUBLE) * pow(1000, (i % 8) / CAST(7 AS DOUBLE))) * CAST(0.001 AS DOUBLE)), 6) AS s_sin FROM s""",
+SELECT vec_id, i, round(g, 6) + CAST(0 AS DOUBLE) AS sigmoid, round(x * g, 6) + CAST(0 AS DOUBLE) AS silu, round(ln(k / (1 - k)), 6) + CAST(0 AS DOUBLE) AS logit, round(cos(x * exp(-ln(10000) * (i % 8) / 8)), 6) + CAST(0 AS DOUBLE) AS t_cos, round(sin(x * exp(-ln(10000) * (i % 8) / 8)), 6) + CAST(0 AS DOUBLE) AS t_sin, round(sin(x / (CAST(0.004 AS DOUBLE) * pow(1000, (i % 8) / CAST(7 AS DOUBLE))) * CAST(0.001 AS DOUBLE)), 6) + CAST(0 AS DOUBLE) AS s_sin FROM s""",
     "euler_integrate": f"""WITH {_P}, r AS (SELECT vec_id, vec_id % 10 / CAST(10 AS DOUBLE) AS t, unnest(generate_series(0, len(v) - 1)) AS i, unnest(v) AS x, unnest(list_reverse(v)) AS noise FROM e)
-SELECT vec_id, i, round(x * list_product(list_transform(generate_series(0, 9), lambda i: 1 - CAST(0.1 AS DOUBLE) * (1 - i * CAST(0.1 AS DOUBLE)))), 6) AS euler, round(x * t + noise * (1 - t), 6) AS interp FROM r""",
+SELECT vec_id, i, round(x * list_product(list_transform(generate_series(0, 9), lambda i: 1 - CAST(0.1 AS DOUBLE) * (1 - i * CAST(0.1 AS DOUBLE)))), 6) + CAST(0 AS DOUBLE) AS euler, round(x * t + noise * (1 - t), 6) + CAST(0 AS DOUBLE) AS interp FROM r""",
 }
