@@ -49,6 +49,33 @@ def write_dataset(frames: DataFrame, path: str, fps: float, force: bool = False)
     write_frames(episode_table(frames, fps), f"{path}/meta/episodes", force=force)
 
 
+def bounds_of(spark: SparkSession, path: str) -> DataFrame:
+    """(episode_index, start, stop): each episode's rows [start, stop) by the metadata of the dataset at path."""
+    e = spark.read.option("recursiveFileLookup", "true").parquet(f"{path}/meta/episodes")
+    return e.select("episode_index", F.col("dataset_from_index").alias("start"), F.col("dataset_to_index").alias("stop"))
+
+
+def split_episodes(episodes: DataFrame, given: list[int] | None = None) -> DataFrame:
+    """Adds split: val for every tenth of the episodes that there are, from the one numbered 5, or for those given instead; train for the others.
+
+    A given number without an episode is an error."""
+    if given is None:
+        val = (F.col("episode_index") >= 5) & (F.col("episode_index") % 10 == 5)
+    else:
+        wanted = sorted(set(given))
+        there = {r[0] for r in episodes.where(F.col("episode_index").isin(wanted)).select("episode_index").collect()}  # those given at most
+        if set(wanted) - there:
+            raise ValueError(f"no episodes {sorted(set(wanted) - there)} to hold out")
+        val = F.col("episode_index").isin(wanted)
+    return episodes.withColumn("split", F.when(val, "val").otherwise("train"))
+
+
+def index_points(bounds: DataFrame, need: int, stride: int) -> DataFrame:
+    """(episode_index, index): every stride-th row of an episode's (start, stop) that has more than `need` rows from it on."""
+    starts = F.expr(f"sequence(start, stop - {need} - 1, {stride}L)")
+    return bounds.where(F.col("stop") - F.col("start") > need).select("episode_index", F.explode(starts).alias("index"))
+
+
 def write_view(spark: SparkSession, source: str, target: str, keep: list[str], force: bool = False) -> list[str]:
     """Every metadata shard below source without the cameras that are not kept, at the same relative path below target.
 
