@@ -7,8 +7,10 @@ cosine. Distance-based rejection: below the REJECT quantile of that centroid's o
 the row is marked rejected (lang_pred still names the nearest language).
 
 Training uses a bounded sample: about PER_LANG labelled documents per language, drawn by a hash of the
-id. Every language is learned; each one's clusters are found in one task from its own sample, and the
-driver gets the centroids alone. Texts are always taken whole.
+id. Every language is learned; each one's clusters are found in one task from its own sample. The driver
+and the workers hold the centroids of about BLOCK languages at a time: where there are more, they stay in
+a table in the shared folder, and every text meets one block of them after the other and keeps the
+nearest. Texts are always taken whole.
 
 Defined results: null text or text without a letter is `und` with score 0; null languages are not
 learned; without any learned language everything is `und`; repeated rows are predicted alike; an
@@ -20,6 +22,7 @@ from __future__ import annotations
 import pickle
 import re
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +33,8 @@ from .common import cut, map_docs, small, without
 
 DIM = 1 << 12
 CENTROIDS, PER_LANG, REJECT, ROUNDS = 4, 300, 0.001, 12
+#: Languages of a block, whose centroids take 128 KB each.
+BLOCK = 256
 _LETTER = re.compile(r"[^\W\d_]")
 _PART = 1 << 20
 #: ASCII other than letters separates words; other bytes stay.
@@ -80,20 +85,41 @@ class Centroids:
         self.idf, self.of = idf, [lang for lang, _, _ in found]
         self.centres, self.least = np.array([c for _, c, _ in found]).reshape(-1, DIM), np.array([least for _, _, least in found])
 
+    def parts(self) -> Iterator[Centroids]:
+        yield self
+
     def predict(self, text: str | None) -> tuple[str, float, bool]:
+        """The language of the nearest centroid (the smaller one's on ties), its cosine, and whether it rejects the text."""
         if not text or not self.of or not _LETTER.search(text):
             return "und", 0.0, True
         cosine = self.centres @ vectors(gram_counts(text), self.idf)
         k = int(cosine.argmax())
-        return self.of[k], float(min(max(cosine[k], 0.0), 1.0)), bool(cosine[k] < self.least[k])
+        return self.of[k], float(cosine[k]), bool(cosine[k] < self.least[k])
+
+
+class Blocks:
+    """A model of more languages: its table of centroids (l, k, c, least, part), of which one part at a time comes to the driver."""
+
+    def __init__(self, idf: np.ndarray, table: DataFrame, n: int):
+        self.idf, self.table, self.n = idf, table, n
+
+    def parts(self) -> Iterator[Centroids]:
+        for part in range(self.n):
+            yield _centroids(self.idf, self.table.where(F.col("part") == part))
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Centroids:
+def _centroids(idf: np.ndarray, rows: DataFrame) -> Centroids:
+    found = rows.select("l", "k", "c", "least").collect()  # CENTROIDS * DIM numbers for each language of a block
+    return Centroids(idf, [(r["l"], np.frombuffer(r["c"]), r["least"]) for r in sorted(found, key=lambda r: (r["l"], r["k"]))])
+
+
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Centroids | Blocks:
     """Model from labelled rows, PER_LANG per language on average."""
     labelled = docs.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{lang_col}`").alias("l"), F.col(f"`{text_col}`").alias("t")).where("l is not null and t is not null")
     sizes = cut(labelled.groupBy("l").agg(F.count("*").alias("n")))
+    languages = sizes.count()
     draw = F.pmod(F.xxhash64(F.lit("sample"), "i", F.length("t")), F.lit(1 << 30)) / float(1 << 30)
-    sample = labelled.join(small(sizes, sizes.count(), 200), "l").where(draw < PER_LANG / F.col("n"))
+    sample = labelled.join(small(sizes, languages, 200), "l").where(draw < PER_LANG / F.col("n"))
 
     def features(texts):
         return ([gram_counts(t).astype(np.uint32).tobytes() if _LETTER.search(t) else None for t in texts],)
@@ -119,22 +145,45 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         some = clusters(vectors(np.array([np.frombuffer(g, np.uint32) for _, g in order], np.float64), idf))
         return pa.table({"l": [table["l"][0].as_py()] * len(some), "k": pa.array(range(len(some)), pa.int32()), "c": [c.tobytes() for c, _ in some], "least": [least for _, least in some]})
 
-    made = rows.groupBy("l").applyInArrow(learn, "l string, k int, c binary, least double").collect()  # CENTROIDS * DIM numbers per language
-    return Centroids(idf, [(r["l"], np.frombuffer(r["c"]), r["least"]) for r in sorted(made, key=lambda r: (r["l"], r["k"]))])
+    made = rows.groupBy("l").applyInArrow(learn, "l string, k int, c binary, least double")
+    if languages <= BLOCK:
+        return _centroids(idf, made)
+    n = -(-languages * 5 // (4 * BLOCK))  # by a hash, so blocks are about four fifths full
+    return Blocks(idf, cut(made.withColumn("part", F.pmod(F.xxhash64("l"), F.lit(n)))), n)
+
+
+def _nearer(new: tuple, old: tuple) -> tuple:
+    return new if (-new[1], new[0]) < (-old[1], old[0]) else old
 
 
-def identify(docs: DataFrame, model: Centroids, text_col: str = "text") -> DataFrame:
+def identify(docs: DataFrame, model: Centroids | Blocks, text_col: str = "text") -> DataFrame:
     """Adds lang_pred (string), score (double, 0 to 1) and rejected (boolean)."""
-    docs = without(docs, "lang_pred", "score", "rejected")
-    shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))  # CENTROIDS * DIM numbers per language
+    added = ("lang_pred", "score", "rejected")
+    docs, before = without(docs, *added), None
+    names = docs.columns
+    for part in model.parts():
+        if before:
+            docs = cut(docs)  # what the block before has found; its centroids can go
+            before.unpersist()
+        docs, before = _against(docs, part, text_col, before is not None)
+    return docs.select(*[F.col(f"`{c}`") for c in names], "lang_pred", F.least(F.greatest("score", F.lit(0.0)), F.lit(1.0)).alias("score"), "rejected")
+
+
+def _against(docs: DataFrame, part: Centroids, text_col: str, later: bool):
+    """docs with what one block says, or the nearer of that and what docs say already; and the broadcast of the block."""
+    shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(part))  # the centroids of about BLOCK languages
     held = {}
 
-    def run(texts):
+    def run(texts, *found):
         if "m" not in held:
             held["m"] = pickle.loads(shared.value)
-        return list(zip(*map(held["m"].predict, texts), strict=True)) if texts else [[], [], []]
+        new = [held["m"].predict(t) for t in texts]
+        if found:
+            new = [_nearer(n, o) for n, o in zip(new, zip(*found, strict=True), strict=True)]
+        return list(zip(*new, strict=True)) if new else [[], [], []]
 
-    return map_docs(docs, run, [text_col], "lang_pred string, score double, rejected boolean")
+    inputs = [text_col, "lang_pred", "score", "rejected"] if later else [text_col]
+    return map_docs(docs, run, inputs, "lang_pred string, score double, rejected boolean"), shared
 
 
 def held_out(doc_id: int) -> bool:

@@ -241,6 +241,25 @@ def test_many_languages(spark):
     assert {r.lang_pred for r in got} == set(names) and np.mean([r.lang_pred == r.lang for r in got]) > 0.98
 
 
+def test_languages_in_blocks(spark, monkeypatch):
+    """Blocks of languages, one after the other, find what all at once do."""
+    rng = random.Random(4)
+    names = [f"l{i:02d}" for i in range(40)]
+    words = {n: ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(4)] for n in names}
+    rows = [(k, " ".join(rng.choices(words[n], k=25)), n) for k, n in enumerate(names * 3)]
+    rows += [(900, rows[0][1], "twin"), (901, None, "l01"), (902, "12", "l02"), (903, "\u65e5\u672c", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumnRenamed("doc_id", "the.id")
+    whole = language_id.identify(df, language_id.fit(df, "the.id")).collect()
+    monkeypatch.setattr(language_id, "BLOCK", 9)
+    model = language_id.fit(df, "the.id")
+    parts = list(model.parts())
+    assert isinstance(model, language_id.Blocks) and len(parts) == model.n == 6 and sorted({n for p in parts for n in p.of}) == sorted({*names, "twin"})
+    blocks = language_id.identify(df, model)
+    assert blocks.columns == ["the.id", "text", "lang", "lang_pred", "score", "rejected"]
+    bare = lambda found: sorted((r["the.id"], r.lang_pred, round(r.score, 12), r.rejected) for r in found)
+    assert bare(blocks.collect()) == bare(whole)
+
+
 def test_chain_brute_force():
     rng = random.Random(2)
     texts, labels = [], []
