@@ -33,9 +33,9 @@ _ROWS, _QUERIES = 4096, 512
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    v = F.col(vec_col)
+    v = F.col(f"`{vec_col}`")
     whole = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    return vectors.where(F.col(id_col).isNotNull() & v.isNotNull() & F.coalesce(whole, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), v.cast("array<double>").alias("v"))
+    return vectors.where(F.col(f"`{id_col}`").isNotNull() & v.isNotNull() & F.coalesce(whole, F.lit(False))).select(F.col(f"`{id_col}`").cast("long").alias("id"), v.cast("array<double>").alias("v"))
 
 
 def quantised(vectors: list) -> np.ndarray:
