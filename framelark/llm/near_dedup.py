@@ -82,7 +82,7 @@ def classes(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFr
             sig.append(signature(s).tobytes() if len(s) else None)
         return n, h1, h2, sig
 
-    keyed = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("body"))
+    keyed = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("binary").alias("body"))
     return cut(map_docs(keyed, features, ["body"], "n long, h1 long, h2 long, sig binary", ["id"]))
 
 
@@ -189,7 +189,7 @@ def link_classes(reps: DataFrame, keyed: DataFrame, shingle: int, percent: int)
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_shingles (set size), component_id (smallest linked id, or its own), kept (id = component)."""
     found = classes(docs, shingle, id_col, text_col)
-    keyed = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("body"))
+    keyed = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("binary").alias("body"))
     full = found.where("n > 0 and id is not null")
     reps = cut(full.groupBy("h1", "h2", "n").agg(F.min("id").alias("id"), F.first("sig").alias("sig")))
     parts = link_classes(reps, keyed, shingle, percent)
@@ -202,7 +202,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with the smallest id of each group, columns as they came."""
-    gone = near_duplicates(docs, shingle, percent, id_col, text_col).where("not kept").select(F.col(id_col).alias("gone")).distinct()
+    gone = near_duplicates(docs, shingle, percent, id_col, text_col).where("not kept").select(F.col(f"`{id_col}`").alias("gone")).distinct()
     return docs.join(gone, docs[f"`{id_col}`"] == gone["gone"], "left_anti")
 
 

@@ -78,3 +78,14 @@ def test_topk_rows(spark):
         got.setdefault(r.query_id, []).append((r.vec_id, r.score))
     assert got == {0: [(1, 65536), (2, 65536)], 3: [(4, 0)]}
     assert topk_search.top_k(df.limit(0), df, 3).count() == topk_search.top_k(df, df.limit(0), 3).count() == 0
+
+
+def test_names_with_dots(spark):
+    texts = ["one two three four five six seven", "one two three four five six seven", "other words here and there in a row"]
+    plain = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    dotted = plain.toDF("the.id", "the.text")
+    found = lambda rows: sorted(tuple(r) for r in rows.collect())
+    assert found(near_dedup.near_duplicates(dotted, 5, 80, "the.id", "the.text")) == found(near_dedup.near_duplicates(plain, 5, 80))
+    assert found(near_dedup.drop_near_duplicates(dotted, 5, 80, "the.id", "the.text")) == found(plain.where("doc_id <> 1"))
+    vectors = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(6)], "`vec.id` long, `a.b` array<double>")
+    assert found(topk_search.top_k(vectors, vectors, 2, "vec.id", "a.b")) == found(topk_search.top_k(vectors.toDF("vec_id", "embedding"), vectors.toDF("vec_id", "embedding"), 2))
