@@ -13,8 +13,10 @@ from framelark.operators.policies import held, joined, playback, predict_chunks,
 from framelark.operators.ranks import percentiles
 from framelark.operators.stats import beside, r6, ratio6_sql
 from framelark.plans import eval_queries as ev
+from framelark.plans.text_queries import q_buckets
 from framelark.session import new_folder
 from framelark.sinks.datasets import bounds_of, index_points, split_episodes, write_dataset
+from framelark.sinks.images import read_frame_files, write_frame_files
 from framelark.sources.frames import FRAMES_SQL, event_frames, read_shards, read_table
 
 #: run, policy type, rate of its chunks, steps of a chunk, cameras, whether it was trained without a state.
@@ -110,6 +112,17 @@ def q_points(spark, d):
     return rows.select("index", "episode_index", "frame_index", "event_id", "state")
 
 
+def q_frame_files(spark, d):
+    """The best frame of each time bucket, as files numbered within the episode, after a first selection of every frame of high value has been written to the same place; what is there then."""
+    folder = new_folder(spark, "frames")
+    f = event_frames(spark, d)
+    data = F.concat_ws(":", "ep", "frame").cast("binary").alias("data")
+    write_frame_files(f.where("state > 150").select("ep", "frame", data), folder, "ep", "frame", "data")
+    write_frame_files(q_buckets(spark, d).select("ep", "frame", data), folder, "ep", "frame", "data")
+    r = read_frame_files(spark, folder)
+    return r.select(F.col("group").cast("long").alias("ep"), "name", F.sha2("content", 256).alias("sha"))
+
+
 WIDTH = 48
 
 
@@ -122,6 +135,7 @@ def q_instructions(spark, d):
 
 QUERIES = {
     "eval_report": q_report, "playback_stride": q_playback, "latency_empty_nan": q_empty, "component_stages": q_stages, "capture_camera": q_capture, "points_from_metadata": q_points, "instruction_tokens": q_instructions,
+    "frame_files": q_frame_files,
 }
 
 _VALUES = ", ".join(f"({i}, '{r}', '{p}', {v}, {c}, '{'+'.join(cams) or '-'}', {b})" for i, (r, p, v, c, cams, b) in enumerate(RUNS))
@@ -143,4 +157,7 @@ m AS (SELECT *, CASE s WHEN 4 THEN 'GoPro' WHEN 6 THEN 'GoPro' WHEN 1 THEN 'Inst
 SELECT p_partkey, 'mov' AS container, make, lower(p_type) AS model, CASE s WHEN 4 THEN 'HD' || p_partkey ELSE 'v' || p_size END AS firmware, detected, CASE WHEN s IN (1, 4, 5, 6) THEN 'OPENCV_FISHEYE' ELSE 'OPENCV' END AS camera_model, CASE WHEN s IN (1, 4, 5, 6) THEN 'global' ELSE 'incremental' END AS mapper FROM m""",
     "points_from_metadata": f"""WITH {FRAMES_SQL}, o AS (SELECT ep, frame, event_id, state, row_number() OVER (ORDER BY ep, frame) - 1 AS index, dense_rank() OVER (ORDER BY ep) - 1 AS episode_index, count(*) OVER (PARTITION BY ep) AS n FROM f)
 SELECT index, episode_index, frame AS frame_index, event_id, state FROM o WHERE episode_index % 10 = 5 AND frame % {ev.STRIDE} = 0 AND frame < n - {ev.NEED}""",
+    "frame_files": f"""WITH {FRAMES_SQL}, b AS (SELECT *, ((frame + 1) * 7 - 1) // count(*) OVER (PARTITION BY ep) AS bucket FROM f), r AS (SELECT *, row_number() OVER (PARTITION BY ep, bucket ORDER BY (state >= 20) DESC, state DESC, frame) AS rn FROM b),
+n AS (SELECT ep, frame, row_number() OVER (PARTITION BY ep ORDER BY frame) AS n FROM r WHERE rn = 1)
+SELECT ep, 'frame_' || lpad(CAST(n AS VARCHAR), 4, '0') || '.jpg' AS name, sha256(ep || ':' || frame) AS sha FROM n""",
 }

@@ -14,6 +14,7 @@ from framelark.operators.instructions import tokenised
 from framelark.operators.policies import BACKENDS, held, joined, playback, predict_chunks, repeats
 from framelark.plans.run_queries import stage_sums
 from framelark.sinks.datasets import bounds_of, index_points, split_episodes, write_dataset
+from framelark.sinks.images import read_frame_files, write_frame_files
 
 ASKED = "`a.b` long, policy string, chunk int, state array<double>, task string"
 
@@ -104,3 +105,21 @@ def test_tokenised(spark):
         ids = plain.encode(line, add_special_tokens=False).ids[:6]
         assert r.tokens == ids + [9] * (6 - len(ids)) and r.mask == [True] * len(ids) + [False] * (6 - len(ids))
     assert got[0].tokens == got[1].tokens and got[2].tokens == got[3].tokens
+
+
+def test_frame_files(spark, tmp_path):
+    path = str(tmp_path / "out")
+    rows = [("a", i, f"a{i}".encode()) for i in range(9, -1, -1)] + [("b", 5, b"x"), ("b", 7, None), (None, 1, b"y")]
+    df = spark.createDataFrame(rows, "`cam` string, at long, data binary").repartition(4)
+    found = lambda: sorted((r.group, r.name, bytes(r.content)) for r in read_frame_files(spark, path).collect())
+    write_frame_files(df, path, "cam", "at", "data")
+    assert found() == sorted([("a", f"frame_{i + 1:04d}.jpg", f"a{i}".encode()) for i in range(10)] + [("b", "frame_0001.jpg", b"x")])
+    before = found()
+    broken = df.withColumn("data", F.when(F.col("at") == 3, F.raise_error(F.lit("lost")).cast("binary")).otherwise(F.col("data")))
+    with pytest.raises(PySparkException, match="lost"):
+        write_frame_files(broken, path, "cam", "at", "data")
+    assert found() == before  # a call that fails changes nothing
+    write_frame_files(df.where("cam = 'b'"), path, "cam", "at", "data", suffix=".png")
+    assert found() == [("b", "frame_0001.png", b"x")] and len(list((tmp_path / "out").glob("take-*"))) == 1
+    write_frame_files(df.limit(0), path, "cam", "at", "data")
+    assert found() == []
