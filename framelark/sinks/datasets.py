@@ -16,13 +16,19 @@ LOCATORS = ("data/chunk_index", "data/file_index", "meta/episodes/chunk_index",
 ENCODED_KEYS = ("observation/image", "observation/wrist_image")
 
 
-def write_frames(frames: DataFrame, path: str, key: str | None = None, force: bool = False, dry_run: bool = False) -> DataFrame:
+def write_frames(frames: DataFrame, path: str, key: str | None = None, force: bool = False, dry_run: bool = False, order: list[str] | None = None) -> DataFrame:
     """Parquet frames, in folders by key where one is given (rows are dealt by key and a salt first, so that a key
-    makes few files and a hot key is not one task's work)."""
+    makes few files and a hot key is not one task's work).
+
+    With an order, rows lie in it within each file, and without a key the files follow one another in it too: they are dealt by ranges, not sorted by one task."""
     if not dry_run:
         out = frames
         if key:
             out = frames.withColumn("_salt", F.pmod(F.xxhash64(*frames.columns), F.lit(8))).repartition(key, "_salt").drop("_salt")
+        elif order:
+            out = frames.repartitionByRange(*order)
+        if order:
+            out = out.sortWithinPartitions(*([key] if key else []), *order)
         writer = out.write.mode("overwrite" if force else "errorifexists")
         (writer.partitionBy(key) if key else writer).parquet(path)
     return frames

@@ -13,7 +13,7 @@ from framelark.operators.captures import capture
 from framelark.operators.instructions import tokenised
 from framelark.operators.policies import BACKENDS, held, joined, playback, predict_chunks, repeats
 from framelark.plans.run_queries import stage_sums
-from framelark.sinks.datasets import bounds_of, index_points, split_episodes, write_dataset
+from framelark.sinks.datasets import bounds_of, index_points, split_episodes, write_dataset, write_frames
 from framelark.sinks.images import read_frame_files, write_frame_files
 
 ASKED = "`a.b` long, policy string, chunk int, state array<double>, task string"
@@ -123,3 +123,20 @@ def test_frame_files(spark, tmp_path):
     assert found() == [("b", "frame_0001.png", b"x")] and len(list((tmp_path / "out").glob("take-*"))) == 1
     write_frame_files(df.limit(0), path, "cam", "at", "data")
     assert found() == []
+
+
+def test_frames_in_order(spark, tmp_path):
+    f = spark.range(500).select((F.col("id") % 7).alias("ep"), (F.col("id") * 37 % 500).alias("frame")).repartition(5)
+    want = sorted(map(tuple, f.collect()))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so that few rows make several files
+    try:
+        write_frames(f, f"{tmp_path}/all", order=["ep", "frame"])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = sorted((tmp_path / "all").glob("*.parquet"))
+    assert len(files) > 1 and [tuple(r) for x in files for r in spark.read.parquet(str(x)).collect()] == want
+    write_frames(f, f"{tmp_path}/keyed", "ep", order=["frame"])
+    for x in (tmp_path / "keyed").rglob("*.parquet"):
+        frames = [r.frame for r in spark.read.parquet(str(x)).select("frame").collect()]
+        assert frames == sorted(frames)
+    assert sorted((r.ep, r.frame) for r in spark.read.parquet(f"{tmp_path}/keyed").collect()) == want
