@@ -5,6 +5,8 @@ flags are crossed with the 120 broadcast orders, five steps are exploded, the fi
 computed, and conditional sums by part, order and step follow: a task sends one row for each of those keys at
 most, however many documents it holds.
 
+Before they are crossed, the flags (a few bytes a document) are dealt anew, so that each text is looked at once.
+
 The filters' letters: A few words, B few distinct words, C many capitals, D symbols, E copy of an earlier
 document's text. Copies are equal when the SHA-256 of their UTF-8 bytes are; a text that very many
 documents share is reduced to its smallest id before it is shuffled, and joined back by a broadcast of
@@ -28,6 +30,7 @@ from .common import cut
 FILTERS = "ABCDE"
 #: A text with more than one in HEAVY of the rows that have copies is joined by a broadcast; so there are fewer than HEAVY.
 HEAVY = 1000
+TASKS_A_CORE = 3
 _WORD = r"[^\x20\x09-\x0D]+"
 _SUMS = ("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost")
 
@@ -69,7 +72,10 @@ def orders(spark) -> DataFrame:
 
 def audit(flagged: DataFrame) -> DataFrame:
     """One row for each part, order and step, from rows of flags()."""
-    crossed = flagged.crossJoin(F.broadcast(orders(flagged.sparkSession)))  # 120 orders, as the replay asks
+    spark = flagged.sparkSession
+    # The shuffle makes the flags values. Within one stage Spark computes a column where it is used, here inside the loop over the orders: every text 120 times.
+    dealt = flagged.repartition(TASKS_A_CORE * spark.sparkContext.defaultParallelism)
+    crossed = dealt.crossJoin(F.broadcast(orders(spark)))  # 120 orders, as the replay asks
     failure = F.coalesce(*[F.when(F.col("fails").bitwiseAND(F.col(f"b{k}")) != 0, F.lit(k)) for k in range(1, 6)], F.lit(6))
     steps = F.explode(F.array(*[F.struct(F.lit(k).alias("step"), F.col(f"b{k}").alias("bit")) for k in range(1, 6)]))
     each = crossed.withColumn("failure", failure).select("part", "filter_order", "fails", "good", "toxic", "failure", steps.alias("s"))

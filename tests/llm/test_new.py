@@ -61,6 +61,14 @@ def test_audit_brute_force(spark):
     assert sum(r[4] for r in {(r.part, r.filter_order, r.step): (r[3], r[4], r[5], r[6], r[7]) for r in filter_audit.audit(filter_audit.flags(docs, labels.limit(0))).collect()}.values()) == 0
 
 
+def test_audit_looks_at_texts_before_the_orders(spark):
+    docs = spark.createDataFrame(ROWS, "doc_id long, text string, source string")
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    plan = filter_audit.audit(filter_audit.flags(docs, labels))._jdf.queryExecution().executedPlan().toString()
+    crossed = plan[plan.index("BroadcastNestedLoopJoin") :]
+    assert "Exchange RoundRobinPartitioning" in crossed[: crossed.index("RLIKE")]  # in one stage with the cross, a text would be searched once an order
+
+
 def resampled(rows, target):
     """(id, n_features, weight, score, rank) by plain loops."""
 
