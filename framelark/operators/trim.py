@@ -70,16 +70,18 @@ def apply_trim(frames: DataFrame, plan: DataFrame, fps: float, min_frames: int)
 
 
 def report(plan: DataFrame, fps: float, min_frames: int) -> DataFrame:
-    """One row: episodes, frames, and what is cut at either end (medians and extremes over kept episodes)."""
+    """One row: episodes, frames, what is cut at either end (medians and extremes over kept episodes), and the ids of those left out, which are one text each."""
     kept = F.col("keep") > 0
     head, tail = F.col("start"), F.col("n") - 1 - F.col("stop")
     ends = plan.where(kept).select(F.explode(F.array(F.struct(F.lit("head").alias("side"), head.alias("cut")), F.struct(F.lit("tail").alias("side"), tail.alias("cut")))).alias("x")).select("x.*")
     med = percentiles(ends, ["side"], "cut", {"med": 0.5}).groupBy().agg(*[F.max(F.when(F.col("side") == s, F.col("med"))).alias(f"{s}_median") for s in ("head", "tail")])
+    ids = lambda cond: F.array_join(F.array_sort(F.collect_list(F.when(cond, F.col("ep")))), ",")
     sums = plan.agg(
         F.count("*").alias("episodes"), F.count_if(kept).alias("kept"), F.count_if(F.col("keep") == 0).alias("dropped"),
         F.sum("n").alias("frames_before"), F.sum("keep").alias("frames_after"), F.round(100 * F.sum(F.col("n") - F.col("keep")) / F.sum("n"), 6).alias("cut_pct"),
         F.max(F.when(kept, head)).alias("head_max"), F.max(F.when(kept, tail)).alias("tail_max"),
         F.min(F.when(kept, F.col("keep"))).alias("shortest"), F.count_if(kept & (F.col("keep") < min_frames)).alias("below_min"),
+        ids(F.col("reason") == "excluded").alias("excluded_ids"), ids(F.col("reason") == "silent").alias("silent_ids"),
     )
     return sums.crossJoin(med)  # one row each
 

@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 from framelark import catalog
-from framelark.operators.trim import trim_plan
+from framelark.operators.trim import report, trim_plan
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -31,6 +31,14 @@ def _frames(spark, states, slew, move, ep=1):
     return spark.createDataFrame([(ep, i, float(s), float(a), float(b)) for i, (s, a, b) in enumerate(zip(states, slew, move))], "ep long, frame long, state double, slew double, move double")
 
 
+def test_report_names_those_left_out(spark):
+    f = _frames(spark, [0, 0, 0], [0, 0, 0], [0, 0, 0], 10)
+    for ep, command in ((9, 0), (2, 1), (11, 1), (4, 1)):
+        f = f.unionByName(_frames(spark, [0, 9, 0], [0, 0, 0], [0, command, 0], ep))
+    r = report(trim_plan(f, 1.0, 0.5, 5.0, 1, (11, 2)), 1.0, 1).first()
+    assert (r.episodes, r.kept, r.excluded_ids, r.silent_ids) == (5, 1, "2,11", "9,10")
+
+
 def test_trim_traps(spark):
     plan = lambda *x: trim_plan(_frames(spark, *x), 1.0, 0.5, 5.0, 1).first()
     silent = plan([0, 0, 0], [0, 0, 0], [0, 0, 0])
