@@ -86,7 +86,7 @@ def q_archives(spark, d):
     frames = piece("frames", "<i4", F.array(long(F.col("n"))), F.array(F.col("frame").cast("double")))
     folder = new_folder(spark, "archives")
     write_arrays(states.unionByName(frames), folder)
-    a = read_arrays(spark, f"{folder}/*.npz")
+    a = read_arrays(spark, folder, "*.npz")
     whole = F.aggregate("values", F.lit(0).cast("long"), lambda s, x: s + F.round(x * 1e6).cast("long"))
     return a.select(F.regexp_extract("file", r"part-(\d+)-", 1).cast("long").alias("ep"), "name", "dtype", F.array_join("shape", "x").alias("shape"), whole.alias("micros"))
 

@@ -57,10 +57,11 @@ class FileWriter(DataSourceArrowWriter):
 
     def commit(self, messages: list[Written | None]) -> None:
         names = sorted(n for m in messages if m for n in m.names)
+        count = set(names)
         fs, folder = opened(self.folder)
         fs.create_dir(folder)
         for f in fs.get_file_info(stores.FileSelector(folder)):  # of attempts that were run again
-            if f.is_file and f.base_name.startswith("part-") and f.base_name not in set(names):
+            if f.is_file and f.base_name.startswith("part-") and f.base_name not in count:
                 fs.delete_file(f.path)
         with fs.open_output_stream(f"{folder}/{MANIFEST}") as out:
             out.write(json.dumps(names).encode())
@@ -155,14 +156,16 @@ class ArchiveWriter(FileWriter):
         with zipfile.ZipFile(_Forward(out), "w") as z:
             name, entry, left = None, None, 0
             for b in batches:
-                for row in b.to_pylist():
-                    if row["name"] != name:
+                keys = b.column("name").to_numpy(zero_copy_only=False)
+                edges = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), b.num_rows]
+                for lo, hi in zip(edges, edges[1:]):  # the pieces of one array
+                    if keys[lo] != name:
                         _finished(name, entry, left)
-                        name, kind, shape = row["name"], np.dtype(row["dtype"]), tuple(row["shape"])
+                        name, kind, shape = keys[lo], np.dtype(b.column("dtype")[lo].as_py()), tuple(b.column("shape")[lo].as_py())
                         left = int(np.prod(shape, dtype=np.int64))
                         entry = z.open(f"{name}.npy", "w", force_zip64=True)
                         np.lib.format.write_array_header_2_0(entry, {"descr": np.lib.format.dtype_to_descr(kind), "fortran_order": False, "shape": shape})
-                    values = np.array(row["values"], np.float64).astype(kind)
+                    values = b.column("values").slice(lo, hi - lo).flatten().to_numpy(zero_copy_only=False).astype(np.float64).astype(kind)
                     left -= len(values)
                     entry.write(values.tobytes())
             _finished(name, entry, left)

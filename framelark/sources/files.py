@@ -8,6 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Values of arrays that are sent on together, in whole arrays.
+HELD_VALUES = 1 << 17
+
 
 def read_json_file(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Whole-file JSON under a stated schema, so that no pass is spent on inferring one."""
@@ -30,27 +33,39 @@ def read_memory_info(spark: SparkSession, path: str) -> DataFrame:
     return lines.withColumn("kb", kb).where("kb <> ''").select("file", F.regexp_extract("value", r"^([^:]+):", 1).alias("name"), (F.col("kb").cast("double") / 1e6).alias("gb"))
 
 
-def read_arrays(spark: SparkSession, path: str) -> DataFrame:
+def read_arrays(spark: SparkSession, path: str, names: str | None = None) -> DataFrame:
     """Arrays of .npz files: file, name, dtype, shape, and the values as doubles, row by row (texts as text instead).
 
-    A file is one task's work, an array one row; pickled objects are refused."""
+    path is a file, a pattern, or, where there are many files, a folder whose files that fit the pattern names are read: it is listed once, and
+    a pattern in path costs a listing for each file. A file is one task's work, an array one row; pickled objects are refused."""
+    schema = "file string, name string, dtype string, shape array<long>, values array<double>, texts array<string>"
 
     def run(batches):
         import io
 
         import numpy as np
-        import pandas as pd
-
-        for pdf in batches:
-            for file, content in zip(pdf["path"], pdf["content"], strict=True):
-                with np.load(io.BytesIO(content), allow_pickle=False) as found:
+        import pyarrow as pa
+
+        kinds = [pa.string(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.string())]
+        batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["file", "name", "dtype", "shape", "values", "texts"])
+        rows, held = [], 0
+        for b in batches:
+            for file, content in zip(b.column(0), b.column(1), strict=True):
+                with np.load(io.BytesIO(content.as_buffer()), allow_pickle=False) as found:
                     for name in found.files:
                         a = found[name]
                         texts = a.dtype.kind in "US"
-                        yield pd.DataFrame([(file, name, a.dtype.str, list(a.shape), None if texts else a.astype("f8").ravel(), a.astype(str).ravel().tolist() if texts else None)], columns=["file", "name", "dtype", "shape", "values", "texts"])
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(run, "file string, name string, dtype string, shape array<long>, values array<double>, texts array<string>")
+                        rows.append((file.as_py(), name, a.dtype.str, list(a.shape), None if texts else a.astype("f8").ravel(), a.astype(str).ravel().tolist() if texts else None))
+                        held += a.size
+                        if held >= HELD_VALUES:
+                            yield batch(rows)
+                            rows, held = [], 0
+        if rows:
+            yield batch(rows)
+
+    files = spark.read.format("binaryFile")
+    files = files.option("pathGlobFilter", names) if names else files
+    return files.load(path).select("path", "content").mapInArrow(run, schema)
 
 
 def list_files(spark: SparkSession, path: str, pattern: str) -> DataFrame:

@@ -135,6 +135,16 @@ def test_archives(spark, tmp_path):
     assert not (tmp_path / "y" / "_files.json").exists()
 
 
+def test_many_archives(spark, tmp_path):
+    parts.write_arrays(spark.range(40).selectExpr("id as archive", "'a' as name", "0L as piece", "'<f8' as dtype", "array(2L) as shape", "array(double(id), cast(null as double)) as values"), f"{tmp_path}/z")
+    (tmp_path / "z" / "other.txt").write_text("no archive")
+    spark.sparkContext.setJobGroup("listing", "archives are listed")
+    found = files.read_arrays(spark, f"{tmp_path}/z", "*.npz")
+    spark.sparkContext.setJobGroup("reading", "archives are read")
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("listing")  # a pattern would be a task for each file
+    assert sorted((r["values"][0], str(r["values"][1])) for r in found.collect()) == [(float(i), "nan") for i in range(40)]
+
+
 def test_dense_ids(spark):
     rows = [(k * 7 % 1000, k) for k in range(900)]
     got = dense_ids(spark.createDataFrame(rows, "a long, b long"), ["a", "b"], block=50).orderBy("id").collect()
