@@ -1,6 +1,6 @@
 """Sources that read byte ranges of large binary files: point clouds, tensor headers and raw grey frames.
 
-A file is cut into ranges of whole records, a task each, and a task asks the store for its range alone.
+A file is cut into ranges of whole records, and a task asks the store for its ranges alone; many short ones are dealt to few tasks.
 Paths are plain, file:, or of a store that pyarrow knows (hdfs, s3, gs); a folder means the files directly below it, names with
 * and ? are patterns in the last part of a path.
 """
@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from fnmatch import fnmatchcase
 
@@ -26,8 +26,12 @@ from framelark.session import ship_package
 PLY_TYPES = {"char": "i1", "uchar": "u1", "short": "i2", "ushort": "u2", "int": "i4", "uint": "u4", "float": "f4", "double": "f8"}
 _SPARK_TYPES = {"i1": T.ShortType(), "u1": T.ShortType(), "i2": T.ShortType(), "u2": T.IntegerType(), "i4": T.IntegerType(), "u4": T.LongType(), "f4": T.FloatType(), "f8": T.DoubleType()}
 _ARROW_TYPES = {T.ShortType(): pa.int16(), T.IntegerType(): pa.int32(), T.LongType(): pa.int64(), T.FloatType(): pa.float32(), T.DoubleType(): pa.float64()}
-#: Rows of a task, rows of a batch, and the longest header of a point file.
-TASK_ROWS, BATCH_ROWS, HEADER_BYTES = 1 << 20, 1 << 16, 1 << 20
+#: Most rows of a task, rows of a batch, first bytes asked for a point file's header, and the longest one.
+TASK_ROWS, BATCH_ROWS, HEAD_BYTES, HEADER_BYTES = 1 << 20, 1 << 16, 1 << 12, 1 << 20
+#: Up to so many tasks each has one file or range; of more, some are one task's, as they are too short to be worth one each.
+TASKS = 192
+#: Most headers of a task.
+FILES = 1 << 12
 
 
 def opened(path: str) -> tuple[stores.FileSystem, str]:
@@ -63,6 +67,26 @@ def part(path: str, start: int, length: int) -> bytes:
     return got
 
 
+@dataclass
+class Several(InputPartition):
+    """Files or ranges that one task reads, one after the other."""
+
+    each: list
+
+
+def dealt(each: list, size: Callable[[object], int], most: int) -> list[Several]:
+    """Runs of files or ranges: each one alone if there are no more than TASKS; else an equal share of their sizes, but no more than most unless one alone is."""
+    share = 1 if len(each) <= TASKS else -(-sum(map(size, each)) // TASKS)
+    out, held = [], 0
+    for one in each:
+        if not out or held >= share or held + size(one) > most:
+            out.append(Several([]))
+            held = 0
+        out[-1].each.append(one)
+        held += size(one)
+    return out
+
+
 @dataclass
 class Element:
     """A run of equal records in a point file."""
@@ -88,8 +112,11 @@ class Element:
 
 def point_layout(path: str, size: int) -> dict[str, Element]:
     """Elements of a binary little-endian PLY file by name, from its header alone. Property lists are an error."""
-    head = part(path, 0, min(size, HEADER_BYTES))
+    head = part(path, 0, min(size, HEAD_BYTES))
     stop = head.find(b"end_header\n")
+    if stop < 0 and head.startswith(b"ply\n") and size > len(head):
+        head = part(path, 0, min(size, HEADER_BYTES))
+        stop = head.find(b"end_header\n")
     lines = head[:stop].decode("ascii").split("\n") if stop >= 0 else []
     if lines[:2] != ["ply", "format binary_little_endian 1.0"]:
         raise ValueError(f"{path}: not a binary little-endian PLY file")
@@ -117,11 +144,15 @@ class _Rows(InputPartition):
     elements: list[Element]
 
 
+def _length(p: _Rows) -> int:
+    return p.hi - p.lo
+
+
 class PointReader(DataSourceReader):
     def __init__(self, path: str, names: list[str], rows: int, fields: list[tuple[str, str]]):
         self.path, self.names, self.rows, self.fields = path, names, rows, fields
 
-    def partitions(self) -> list[_Rows]:
+    def partitions(self) -> list[Several]:
         out = []
         for path, size in listed(self.path):
             elements = _asked(path, point_layout(path, size), self.names)
@@ -129,9 +160,13 @@ class PointReader(DataSourceReader):
                 raise ValueError(f"{path}: other fields than the first file's")
             n = elements[0].count
             out += [_Rows(path, lo, min(n, lo + self.rows), elements) for lo in range(0, n, self.rows)]
-        return out or [_Rows("", 0, 0, [])]
+        return dealt(out, _length, TASK_ROWS) or [Several([])]
+
+    def read(self, some: Several) -> Iterator[pa.RecordBatch]:
+        for p in some.each:
+            yield from self.rows_of(p)
 
-    def read(self, p: _Rows) -> Iterator[pa.RecordBatch]:
+    def rows_of(self, p: _Rows) -> Iterator[pa.RecordBatch]:
         kinds = [_ARROW_TYPES[_SPARK_TYPES[k]] for _, k in self.fields]
         for lo in range(p.lo, p.hi, BATCH_ROWS):
             n = min(p.hi - lo, BATCH_ROWS)
@@ -186,12 +221,14 @@ class TensorReader(DataSourceReader):
     def __init__(self, path: str):
         self.path = path
 
-    def partitions(self) -> list[_File]:
-        return [_File(*f) for f in listed(self.path)] or [_File("", 0)]
+    def partitions(self) -> list[Several]:
+        return dealt([_File(*f) for f in listed(self.path)], lambda f: 1, FILES) or [Several([])]
 
-    def read(self, p: _File) -> Iterator[tuple]:
-        if not p.path:
-            return
+    def read(self, some: Several) -> Iterator[tuple]:
+        for p in some.each:
+            yield from self.entries(p)
+
+    def entries(self, p: _File) -> Iterator[tuple]:
         length = int.from_bytes(part(p.path, 0, 8), "little")
         if 8 + length > p.size:
             raise ValueError(f"{p.path}: the header is cut off")
@@ -218,15 +255,19 @@ class FrameReader(DataSourceReader):
     def __init__(self, path: str, width: int, height: int, step: int, scale: int, frames: int):
         self.path, self.width, self.height, self.step, self.scale, self.frames = path, width, height, step, scale, frames
 
-    def partitions(self) -> list[_Rows]:
+    def partitions(self) -> list[Several]:
         out = []
         for path, size in listed(self.path):
             n = size // (self.width * self.height)  # what is left of a frame at the end is none
             chosen = -(-n // self.step)
             out += [_Rows(path, lo, min(chosen, lo + self.frames), []) for lo in range(0, chosen, self.frames)]
-        return out or [_Rows("", 0, 0, [])]
+        return dealt(out, _length, TASK_ROWS) or [Several([])]
+
+    def read(self, some: Several) -> Iterator[tuple]:
+        for p in some.each:
+            yield from self.frames_of(p)
 
-    def read(self, p: _Rows) -> Iterator[tuple]:
+    def frames_of(self, p: _Rows) -> Iterator[tuple]:
         size, s = self.width * self.height, self.scale
         h, w = self.height // s, self.width // s
         for k in range(p.lo, p.hi):

@@ -135,6 +135,23 @@ def test_archives(spark, tmp_path):
     assert not (tmp_path / "y" / "_files.json").exists()
 
 
+def test_short_files_share_tasks(spark, tmp_path):
+    for i in range(500):
+        head = json.dumps({f"k{i}": {"dtype": "U8", "shape": [i], "data_offsets": [0, i]}}).encode()
+        (tmp_path / f"{i:03d}.bin").write_bytes(len(head).to_bytes(8, "little") + head)
+    found = ranged.read_tensor_headers(spark, str(tmp_path))
+    assert found.rdd.getNumPartitions() <= ranged.TASKS
+    assert sorted((r.key, r.n_params) for r in found.collect()) == sorted((f"k{i}", i) for i in range(500))
+
+
+def test_short_ranges_share_tasks(spark, tmp_path):
+    points = spark.range(0, 256 * 300, 1, 2).selectExpr("id", "cast(id as float) as x")
+    parts.write_points(points, f"{tmp_path}/p", 256 * 100)
+    found = ranged.read_points(spark, f"{tmp_path}/p", rows=256)
+    assert found.rdd.getNumPartitions() <= ranged.TASKS
+    assert sorted(r.x for r in found.select("x").collect()) == list(range(256 * 300))
+
+
 def test_many_archives(spark, tmp_path):
     parts.write_arrays(spark.range(40).selectExpr("id as archive", "'a' as name", "0L as piece", "'<f8' as dtype", "array(2L) as shape", "array(double(id), cast(null as double)) as values"), f"{tmp_path}/z")
     (tmp_path / "z" / "other.txt").write_text("no archive")
