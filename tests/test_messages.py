@@ -3,6 +3,7 @@
 import os
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.errors import PySparkException
 
@@ -54,6 +55,14 @@ def test_what_is_not_read():
     assert wire.unpack(wire.pack({"__cmd__": "reset"})) == {"__cmd__": "reset"}
 
 
+def test_long_batches_are_cut(spark):
+    sent = wire.encoded(spark.range(700).coalesce(1).selectExpr("id", f"cast(array() as {wire._ENTRY}) as arrays", "map('at', string(id)) as words"), "arrays", "words")
+    got = wire.decoded(sent.select("id", "message"), "message")
+
+    assert [b.num_rows for b in wire.sliced(iter([pa.record_batch({"a": list(range(700))})]))] == [256, 256, 188]
+    assert [(r.id, r.texts["at"]) for r in got.orderBy("id").collect()] == [(i, str(i)) for i in range(700)]
+
+
 def test_messages_in_batches(spark):
     a, b = np.arange(4, dtype="<f4"), np.zeros((2, 2), "u1")
     entry = lambda k, x: (k, x.dtype.str, list(x.shape), x.tobytes())
