@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from framelark.sources.wire import sliced
+
 
 def line_ended(text: Column) -> Column:
     """The text with a line feed at its end; null is a line feed alone."""
@@ -32,7 +34,7 @@ def tokenised(rows: DataFrame, text: str, vocabulary: str, width: int, pad: int
 
         if "t" not in known:
             known["t"] = Tokenizer.from_str(shared.value)
-        for b in batches:
+        for b in sliced(batches):
             ids = [e.ids[:width] for e in known["t"].encode_batch(b.column(len(names)).to_pylist(), add_special_tokens=False)]
             tokens = pa.array([i + [pad] * (width - len(i)) for i in ids], pa.list_(pa.int32()))
             mask = pa.array([[True] * len(i) + [False] * (width - len(i)) for i in ids], pa.list_(pa.bool_()))
