@@ -1,7 +1,9 @@
 """Selected frames as files frame_0001.jpg and on, a folder for each group, in place of those that were there before.
 
 Every call writes a take: a folder of its own below the target, which counts once the commit has named it in _take.json. The takes before it are removed
-then, whole, so no frame of an earlier selection is left and a call that fails leaves the earlier one as it was.
+then, whole, so no frame of an earlier selection is left and a call that fails before that leaves the earlier one as it was.
+
+Files are many and short, so tasks list, read and remove them, group by group, and the driver holds no list of them.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ from framelark.session import ship_package
 from framelark.sources.ranged import opened
 
 POINTER, TAKE = "_take.json", "take-"
+#: Files of a group that one task writes, and files and bytes of a batch that is read (one file alone may be longer).
+RUN_FILES, BATCH_FILES, BATCH_BYTES = 1 << 10, 1 << 10, 1 << 22
 
 
 class FrameFiles(DataSourceArrowWriter):
@@ -40,7 +44,7 @@ class FrameFiles(DataSourceArrowWriter):
                 if home not in made:
                     fs.create_dir(home)
                     made.add(home)
-                passing = f"{folder}/{self.take}/.{uuid.uuid4().hex}"  # so that a file is whole as soon as it has its name
+                passing = f"{home}/.{uuid.uuid4().hex}"  # so that a file is whole as soon as it has its name; one folder for all would be fought over
                 with fs.open_output_stream(passing) as out:
                     out.write(data.as_buffer())
                 fs.move(passing, target)
@@ -51,9 +55,6 @@ class FrameFiles(DataSourceArrowWriter):
         fs.create_dir(f"{folder}/{self.take}")
         with fs.open_output_stream(f"{folder}/{POINTER}") as out:
             out.write(json.dumps(self.take).encode())
-        for f in fs.get_file_info(stores.FileSelector(folder)):
-            if f.base_name.startswith(TAKE) and f.base_name != self.take:
-                fs.delete_dir(f.path)
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
         fs, folder = opened(self.folder)
@@ -81,11 +82,49 @@ def write_frame_files(selected: DataFrame, path: str, group: str, order: str, da
     numbered = running(rows.select(F.col(group).alias("g"), F.col(order).alias("o"), F.col(data).alias("data"), F.lit(1).cast("long").alias("one")), ["g"], "o", {"n": "one"})
     name = F.concat(F.col("g").cast("string"), F.lit("/frame_"), F.when(F.col("n") < 10000, F.lpad(F.col("n").cast("string"), 4, "0")).otherwise(F.col("n").cast("string")), F.lit(suffix))
     spark = selected.sparkSession
+    dealt = numbered.repartition(_tasks(spark), "g", F.expr(f"n div {RUN_FILES}"))
     fs, at = opened(path)
     fs.create_dir(at)
     ship_package(spark)
     spark.dataSource.register(FrameSink)
-    numbered.select(name.alias("name"), "data").write.format("frame_files").mode("append").options(path=path, take=f"{TAKE}{uuid.uuid4().hex}").save()
+    take = f"{TAKE}{uuid.uuid4().hex}"
+    dealt.select(name.alias("name"), "data").write.format("frame_files").mode("append").options(path=path, take=take).save()
+    for f in fs.get_file_info(stores.FileSelector(at)):
+        if f.base_name.startswith(TAKE) and f.base_name != take:
+            _remove(spark, f"{path}/{f.base_name}")
+
+
+def _tasks(spark: SparkSession) -> int:
+    """Tasks that groups and files are dealt to. Their rows are short and the work is not, so a number by bytes would be too few."""
+    return 8 * spark.sparkContext.defaultParallelism
+
+
+def _below(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, is_file) of what is directly below a folder, within its store: the groups of a take. One task lists them, the rows are dealt to many."""
+
+    def run(batches):
+        fs, at = opened(folder)
+        for b in batches:
+            if b.num_rows:
+                found = fs.get_file_info(stores.FileSelector(at))
+                yield pa.record_batch([pa.array([f.path for f in found], pa.string()), pa.array([f.is_file for f in found], pa.bool_())], ["path", "is_file"])
+
+    return spark.range(0, 1, 1, 1).mapInArrow(run, "path string, is_file boolean").repartition(_tasks(spark), "path")
+
+
+def _remove(spark: SparkSession, take: str) -> None:
+    def run(rows):
+        fs, _ = opened(take)
+        for r in rows:
+            kind = fs.get_file_info(r.path).type  # an attempt before may have removed it
+            if kind == stores.FileType.Directory:
+                fs.delete_dir(r.path)
+            elif kind == stores.FileType.File:
+                fs.delete_file(r.path)
+
+    _below(spark, take).foreachPartition(run)
+    fs, at = opened(take)
+    fs.delete_dir(at)
 
 
 def current_take(path: str) -> str:
@@ -96,6 +135,35 @@ def current_take(path: str) -> str:
 
 
 def read_frame_files(spark: SparkSession, path: str) -> DataFrame:
-    """(group string, name, content) of the frames that count."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "frame_*").load(current_take(path))
-    return files.select(F.regexp_extract("path", "([^/]+)/[^/]+$", 1).alias("group"), F.regexp_extract("path", "([^/]+)$", 1).alias("name"), "content")
+    """(group string, name, content) of the frames that count.
+
+    A task lists whole groups, another reads files of any: the list of a group's files is one task's work, their contents are not."""
+    take = current_take(path)
+
+    def listed(batches):
+        fs, _ = opened(take)
+        for b in batches:
+            for p, is_file in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                names = [p] if is_file else [f.path for f in fs.get_file_info(stores.FileSelector(p, recursive=True)) if f.is_file]
+                yield pa.record_batch([pa.array([n for n in names if n.rpartition("/")[2].startswith("frame_")], pa.string())], ["path"])
+
+    def read(batches):
+        fs, _ = opened(take)
+        batch = lambda rows: pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.binary()), strict=True)], ["group", "name", "content"])
+        rows, held = [], 0
+        for b in batches:
+            for p in b.column(0).to_pylist():
+                with fs.open_input_stream(p, compression=None) as f:  # as it is, whatever its suffix
+                    content = f.read()
+                folder, _, name = p.rpartition("/")
+                rows.append((folder.partition(f"/{take.rpartition('/')[2]}/")[2], name, content))
+                held += len(content)
+                if held >= BATCH_BYTES or len(rows) >= BATCH_FILES:
+                    yield batch(rows)
+                    rows, held = [], 0
+        if rows:
+            yield batch(rows)
+
+    ship_package(spark)
+    files = _below(spark, take).mapInArrow(listed, "path string").repartition(_tasks(spark), "path")
+    return files.mapInArrow(read, "group string, name string, content binary")

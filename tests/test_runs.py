@@ -4,7 +4,9 @@ import json
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+from pyarrow.fs import LocalFileSystem
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -13,6 +15,7 @@ from framelark.operators.captures import capture
 from framelark.operators.instructions import tokenised
 from framelark.operators.policies import BACKENDS, held, joined, playback, predict_chunks, repeats
 from framelark.plans.run_queries import stage_sums
+from framelark.sinks import images
 from framelark.sinks.datasets import bounds_of, index_points, split_episodes, write_dataset, write_frames
 from framelark.sinks.images import read_frame_files, write_frame_files
 
@@ -125,6 +128,33 @@ def test_frame_files(spark, tmp_path):
     assert found() == []
 
 
+def test_frame_files_by_tasks(spark, tmp_path):
+    path = f"{tmp_path}/out"
+    groups = ["_x", ".y", "a/b", "", "100% é"]
+    want = [(g, f"frame_{i + 1:04d}.gz", f"{g}:{i}".encode()) for g in groups for i in range(2500 if g == "_x" else 3)]
+    df = spark.createDataFrame([(g, i, f"{g}:{i}".encode()) for g in groups for i in range(2500 if g == "_x" else 3)], "cam string, at long, data binary")
+    for suffix in (".jpg", ".gz"):
+        write_frame_files(df, path, "cam", "at", "data", suffix=suffix)
+    r = read_frame_files(spark, path)
+    assert r.inputFiles() == []  # the driver holds no list of the files
+    assert sorted(map(tuple, r.collect())) == sorted(want)
+    (take,) = (tmp_path / "out").glob("take-*")
+    assert sum(x.is_file() for x in take.rglob("*")) == len(want)
+
+
+def test_frame_file_passes_in_its_own_folder(tmp_path, monkeypatch):
+    class Store(LocalFileSystem):
+        def open_output_stream(self, path, *args, **kwargs):
+            opened.append(path.rpartition("/")[0])
+            return super().open_output_stream(path, *args, **kwargs)
+
+    opened = []
+    monkeypatch.setattr(images, "opened", lambda path: (Store(), path))
+    images.FrameFiles(str(tmp_path), "take-1").write(iter([pa.record_batch([pa.array(["a/frame_0001.jpg", "b/frame_0001.jpg"]), pa.array([b"x", b"y"])], ["name", "data"])]))
+    assert opened == [f"{tmp_path}/take-1/a", f"{tmp_path}/take-1/b"]  # not one folder for all
+    assert {str(x.relative_to(tmp_path)): x.read_bytes() for x in tmp_path.rglob("*") if x.is_file()} == {"take-1/a/frame_0001.jpg": b"x", "take-1/b/frame_0001.jpg": b"y"}
+
+
 def test_frames_in_order(spark, tmp_path):
     f = spark.range(500).select((F.col("id") % 7).alias("ep"), (F.col("id") * 37 % 500).alias("frame")).repartition(5)
     want = sorted(map(tuple, f.collect()))
